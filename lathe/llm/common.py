@@ -11,6 +11,7 @@ delimiter is ASCII and every non-ASCII character belongs to a word:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -68,3 +69,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salt: Colu
     left = left.withColumn("_salt", F.pmod(salt, F.lit(n)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for rows that hold texts or are read in parts."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

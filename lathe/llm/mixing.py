@@ -35,6 +35,7 @@ def source_targets(sources: DataFrame, weights=(1, 2, 3), most: float = 3.0) ->
     """
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[["source", "source_size"]]
         keys = pdf["source"].where(pdf["source"].notna(), None)
         order = sorted(range(len(pdf)), key=lambda i: (keys.iloc[i] is None, keys.iloc[i] or ""))
         pdf = pdf.iloc[order].reset_index(drop=True)
@@ -51,7 +52,7 @@ def source_targets(sources: DataFrame, weights=(1, 2, 3), most: float = 3.0) ->
             free &= ~over
         return pdf.assign(target=target)
 
-    return sources.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: share(pdf[["source", "source_size"]]), "source string, source_size bigint, target double")
+    return sources.groupBy(F.lit(1).alias("_all")).applyInPandas(share, "source string, source_size bigint, target double")
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
@@ -124,7 +125,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int = 7) ->
     sources = checkpoint(lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     targets = source_targets(sources, weights, most).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
 
-    def plan(key, lens: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, lens: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
         if not len(lens) or not len(goal):
             return pd.DataFrame({"_key": [], "size": [], "passes": [], "extra": []})
         lens = lens.sort_values("size", kind="stable")

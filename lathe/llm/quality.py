@@ -138,7 +138,7 @@ def estimate(fit: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("_bin", kind="stable")
         return pdf, pdf["n"].cumsum()
 
-    def concentrate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def concentrate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, cum = by_distance(pdf)
         n = int(pdf["n"].sum())
         near = pdf[(cum - pdf["n"]) < SHARE * n]
@@ -149,7 +149,7 @@ def estimate(fit: DataFrame) -> DataFrame:
             cov[i, j] = cov[j, i] = near[f"q{i}_{j}"].sum() / h - mean[i] * mean[j]
         return pd.DataFrame({"_g": [key[0]], "n": [n], "mu": [mean], "prec": [_solve(mean, cov).ravel()]})
 
-    def rescale(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rescale(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """The estimate stays; its scale makes the median distance at most that of a normal sample."""
         pdf, cum = by_distance(pdf)
         n = int(pdf["n"].sum())
