@@ -39,7 +39,7 @@ def _related(members: Column) -> Column:
 
 
 def _titles(members: Column, joiner: str) -> Column:
-    return F.array_join(F.transform(members, lambda s: title_case(s.name)), joiner)
+    return F.array_join(F.transform(members, lambda s: title_case(s["name"])), joiner)
 
 
 def _composed(df: DataFrame, kind: str, **parts: Column) -> DataFrame:
@@ -58,13 +58,13 @@ def compose_sequential(groups: DataFrame) -> DataFrame:
     """Skills one after the other; steps of later skills say whose they are."""
     m = F.col("members")
     first = lambda s: F.get(s.examples, F.lit(0))
-    flow = F.transform(m, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), F.when(F.coalesce(first(s).process, F.lit("")) != "", F.concat(title_case(s.name), F.lit(": "), F.substring(first(s).process, 1, 100), F.lit("..."))).otherwise(F.concat(F.lit("Apply "), title_case(s.name)))))
+    flow = F.transform(m, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), F.when(F.coalesce(first(s).process, F.lit("")) != "", F.concat(title_case(s["name"]), F.lit(": "), F.substring(first(s).process, 1, 100), F.lit("..."))).otherwise(F.concat(F.lit("Apply "), title_case(s["name"])))))
     last = F.element_at(m, -1)
     examples = F.array(_example(
         F.concat(F.lit("Sequential application of "), _titles(m, " -> ")), F.coalesce(first(m[0]).input, F.lit("[Input requiring this skill]")),
         F.concat(F.lit("Apply the following skills in sequence:\n"), F.array_join(flow, "\n")), F.coalesce(first(last).output, F.concat(F.lit("[Output from "), title_case(last["name"]), F.lit("]"))),
     ))
-    steps = F.flatten(F.transform(m, lambda s, i: F.transform(s.procedure, lambda p: F.when(i > 0, F.concat(F.lit("Apply "), title_case(s.name), F.lit(": "), p)).otherwise(p))))
+    steps = F.flatten(F.transform(m, lambda s, i: F.transform(s.procedure, lambda p: F.when(i > 0, F.concat(F.lit("Apply "), title_case(s["name"]), F.lit(": "), p)).otherwise(p))))
     return _composed(
         groups, "seq", name=F.concat(F.lit("seq-"), F.array_join(m["name"], "-then-")),
         description=F.concat(F.lit("Apply skills in sequence: "), F.array_join(m["description"], " -> "), F.lit(". Use when multiple capabilities are needed in order.")),
@@ -75,14 +75,14 @@ def compose_sequential(groups: DataFrame) -> DataFrame:
 def compose_parallel(groups: DataFrame) -> DataFrame:
     """Skills on the same input; of each one's constraints the first, empty if it has none."""
     m = F.col("members")
-    inputs = F.transform(m, lambda s: F.concat(F.lit("- "), title_case(s.name), F.when(F.coalesce(F.get(s.examples, F.lit(0)).input, F.lit("")) != "", F.concat(F.lit(": "), F.substring(F.get(s.examples, F.lit(0)).input, 1, 50), F.lit("..."))).otherwise("")))
+    inputs = F.transform(m, lambda s: F.concat(F.lit("- "), title_case(s["name"]), F.when(F.coalesce(F.get(s.examples, F.lit(0)).input, F.lit("")) != "", F.concat(F.lit(": "), F.substring(F.get(s.examples, F.lit(0)).input, 1, 50), F.lit("..."))).otherwise("")))
     examples = F.array(_example(
         F.lit("Parallel skill application"), F.lit("Input that requires analysis from multiple skill perspectives simultaneously"),
         F.concat(F.lit("Apply the following skills in parallel to the same input:\n"), F.array_join(inputs, "\n"), F.lit("\n\nThen integrate the results from all skills.")), F.lit("Combined analysis integrating outputs from all parallel skills"),
     ))
     text = lambda *lines: F.array(*map(F.lit, lines))
     steps = F.concat(
-        text("Apply the following skills in parallel:"), F.transform(m, lambda s: F.concat(F.lit("  - "), title_case(s.name), F.lit(": "), s.description)),
+        text("Apply the following skills in parallel:"), F.transform(m, lambda s: F.concat(F.lit("  - "), title_case(s["name"]), F.lit(": "), s.description)),
         text("Integrate the outputs from all parallel skills:", "  - Identify complementary results across skills", "  - Resolve any conflicts between skill outputs", "  - Synthesize a combined result"),
     )
     return _composed(
@@ -99,7 +99,7 @@ def compose_conditional(groups: DataFrame, n_else: int = 0) -> DataFrame:
     condition, rest = m[0], F.slice(m, F.lit(2), F.greatest(F.size(m) - 1 - n_else, F.lit(0)))
     other = F.slice(m, F.size(m) - n_else + 1, F.lit(n_else)) if n_else else None
     title = title_case(condition["name"])
-    branch = lambda skills: F.transform(skills, lambda s, i: F.concat(F.lit("   "), (i + 1).cast("string"), F.lit(". Apply "), title_case(s.name)))
+    branch = lambda skills: F.transform(skills, lambda s, i: F.concat(F.lit("   "), (i + 1).cast("string"), F.lit(". Apply "), title_case(s["name"])))
     shown = lambda word, kind, skills: _example(F.lit(f"Condition is {word.lower()}"), F.concat(F.lit("Input where "), title, F.lit(f" evaluates to {word}")), F.concat(F.lit("1. "), title, F.lit(f" evaluates to {word}\n2. Apply {kind}-skills: "), _titles(skills, " -> ")), F.concat(F.lit("Output from applying "), _titles(skills, " -> ")))
     name = F.concat(F.lit("cond-"), condition["name"], F.lit("-then-"), F.array_join(rest["name"], "-and-"))
     description = F.concat(F.lit("Conditional skill: if "), title, F.lit(", then apply "), _titles(rest, " -> "))

@@ -79,16 +79,16 @@ def with_tests(counts: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
         wide = pdf.pivot_table(index="score", columns="side", values="n", aggfunc="sum", fill_value=0)
         a, b = (wide[s].to_numpy(np.int64) if s in wide else np.zeros(len(wide), np.int64) for s in ("treatment", "baseline"))
         if not a.sum() or not b.sum():
-            return pd.DataFrame({"group": [key[0]], "p_value": [1.0], "treatment_ci_lower": [None], "treatment_ci_upper": [None]})
+            return pd.DataFrame({"_group": [key[0]], "p_value": [1.0], "treatment_ci_lower": [None], "treatment_ci_upper": [None]})
         _, p = permutation_test(wide.index.to_numpy(), a, b, resamples, _seed(key[0], "p"))
         treated = pdf[pdf["side"] == "treatment"]
         passed = int(treated["n_passed"].sum())
         parts = [(v, c) for v, c in ((0.0, int(treated["n"].sum()) - passed), (1.0, passed)) if c]
         _, low, high = bootstrap_ci([v for v, _ in parts], [c for _, c in parts], resamples, seed=_seed(key[0], "ci"))
-        return pd.DataFrame({"group": [key[0]], "p_value": [p], "treatment_ci_lower": [low], "treatment_ci_upper": [high]})
+        return pd.DataFrame({"_group": [key[0]], "p_value": [p], "treatment_ci_lower": [low], "treatment_ci_upper": [high]})
 
-    tests = counts.groupBy("group").applyInPandas(test, "group string, p_value double, treatment_ci_lower double, treatment_ci_upper double")
-    return rates(counts).join(tests, F.col("group").eqNullSafe(tests["group"])).drop(tests["group"])
+    tests = counts.groupBy("group").applyInPandas(test, "_group string, p_value double, treatment_ci_lower double, treatment_ci_upper double")
+    return rates(counts).join(tests, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def displayed(results: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries A1-A16, N2, N9, T15 and ST1, with their SQL."""
+"""Queries A1-A16, N2, N9 and T15, with their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lathe.functions.skills import inferred_sources, skill_k, skill_label, skill_operator
 from lathe.operators import analytics as A
 from lathe.plans.views import view, with_views
-from lathe.streaming.progress import progress_summary
 
 
 def _on(name: str, f):
@@ -33,12 +32,6 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "episodes").select("ord", skill_operator(name).alias("operator"), skill_k(name).cast("bigint").alias("k"), skill_label(name).alias("label"), F.array_join(inferred_sources(name), "+").alias("sources"))
 
 
-def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress records, each written twice, as a log that was resumed would hold them."""
-    rows = view(spark, sf_dir, "benchmark_records")
-    return progress_summary(rows.union(rows))
-
-
 QUERIES = {
     "n2_effective_score": _E(lambda e: A.effective_score(_as_missing(e)).select("ord", "condition", "score")),
     "n9_mode_subset": _E(lambda e: A.mode_subset(e, "guided").select("ord", "mode", "condition")),
@@ -63,10 +56,9 @@ QUERIES = {
     "a14_score_by_k_operator": _S(lambda s: A.score_by_operator(s, with_k=True)),
     "a15_skillmix_uplift": _S(A.skillmix_uplift),
     "a16_skillmix_win_tie_loss": _S(A.skillmix_win_tie_loss),
-    "st1_progress_summary": _trials,
 }
 
-E, S, B = with_views("episodes"), with_views("skillmix"), with_views("benchmark_records")
+E, S = with_views("episodes"), with_views("skillmix")
 
 
 def mean(value: str, where: str = "TRUE") -> str:
@@ -127,6 +119,4 @@ SELECT c.model, k, mean_score, baseline_mean FROM c LEFT JOIN b ON b.model = c.m
 SELECT k.skill_name, b.model, coalesce(c.s, 0.0) - b.b AS uplift FROM (SELECT DISTINCT skill_name FROM c) k, b LEFT JOIN c ON c.skill_name = k.skill_name AND c.model = b.model""",
     "a16_skillmix_win_tie_loss": f"""{S}, {SCORED}, t AS (SELECT model, task_uid, {mean('score', BASE)} AS b, {mean('score', INJECTED)} AS s FROM r GROUP BY model, task_uid)
 SELECT model, count(*) FILTER (WHERE s > b + 0.001) AS wins, count(*) FILTER (WHERE b IS NOT NULL AND s IS NOT NULL AND NOT s > b + 0.001 AND NOT s < b - 0.001) AS ties, count(*) FILTER (WHERE s < b - 0.001) AS losses FROM t GROUP BY model""",
-    "st1_progress_summary": None,
 }
-del ORACLES["st1_progress_summary"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathe.plans import analytics_queries
+from lathe.plans import analytics_queries, effect_queries, relation_queries
 
-MODULES = [analytics_queries]
+MODULES = [analytics_queries, effect_queries, relation_queries]
 
 
 def queries() -> dict:

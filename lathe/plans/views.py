@@ -59,12 +59,20 @@ FROM orders WHERE o_orderkey < 800
 #: Registry skills: name, related names (neighbours by key, one missing), description, collection.
 SKILLS = """
 SELECT CAST(p_partkey AS BIGINT) AS ord, 'skill-' || CAST(p_partkey AS STRING) AS skill_uid, 'p' || CAST(p_partkey AS STRING) || '-' || replace(lower(p_type), ' ', '-') AS name, 'Handles ' || lower(p_name) AS description,
-  p_brand AS collection, 'When ' || lower(p_brand) || ' applies' AS trigger_a, 'When ' || lower(p_container) || ' is used' AS trigger_b, 'Read the ' || lower(p_type) AS step_a, 'Compare ' || lower(p_container) || ' and pick one' AS step_b,
-  CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'Never skip ' || lower(p_container) END AS constraint_a, CAST(p_partkey AS BIGINT) AS key
+  p_brand AS collection, 'When ' || lower(p_brand) || ' applies' AS trigger_a, 'When ' || 'size ' || CAST(p_size AS STRING) || ' is used' AS trigger_b, 'Read the ' || lower(p_type) AS step_a, 'Compare ' || 'size ' || CAST(p_size AS STRING) || ' and pick one' AS step_b,
+  CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'Never skip ' || 'size ' || CAST(p_size AS STRING) END AS constraint_a, CAST(p_partkey AS BIGINT) AS key, replace(p_name, ' ', '-') || '-' || lower(p_type) || '-' || lower(p_brand) AS merge_name
 FROM part
 """
 
-VIEWS = {"episodes": EPISODES, "skillmix": SKILLMIX, "benchmark_records": BENCHMARK_RECORDS, "edges": EDGES, "tasks": TASKS, "skills": SKILLS}
+#: Trial records with unique keys: each event is a repetition of its own.
+TRIALS = """
+SELECT 'task-' || CAST(event_id % 97 AS STRING) AS problem_id, 'local' AS provider, 'model-' || CAST(user_id % 5 AS STRING) AS model, CASE WHEN event_type IN ('view', 'error') THEN 'baseline' ELSE 'curated' END AS condition,
+  CASE WHEN event_type IN ('view', 'error') THEN '' ELSE 'pick-claim' END AS skill_name, CAST(event_id % 3 AS INT) AS k_value, CAST(event_id AS BIGINT) AS repetition,
+  (event_id * 37 + user_id * 11) % 101 >= 60 AS passed, CAST((event_id * 37 + user_id * 11) % 101 AS DOUBLE) / 100 AS score, CAST((event_id * 7919) % 900 AS BIGINT) AS tokens
+FROM events
+"""
+
+VIEWS = {"trials": TRIALS, "episodes": EPISODES, "skillmix": SKILLMIX, "benchmark_records": BENCHMARK_RECORDS, "edges": EDGES, "tasks": TASKS, "skills": SKILLS}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
