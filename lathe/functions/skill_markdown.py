@@ -24,7 +24,8 @@ def front_matter(content: str) -> tuple[dict[str, str], str]:
     if not m:
         return {}, content
     pairs = (line.split(":", 1) for line in m[1].split("\n") if ":" in line and not line.startswith((" ", "-")))
-    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}, content[m.end() :]
+    bare = lambda v: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+    return {k.strip(): bare(v.strip()) for k, v in pairs}, content[m.end() :]
 
 
 def section(body: str, name: str, level: str = "##") -> str:

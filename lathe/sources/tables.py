@@ -53,7 +53,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
 
 def read_documents(spark: SparkSession, path: str, extensions: Sequence[str] = ("txt", "md", "xml"), recursive: bool = True) -> DataFrame:
     """S3: whole text files as (source_name, text), with the path that orders them."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").text(path)
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_name"), F.col("value").alias("text"))
 
 
@@ -70,7 +70,7 @@ def text_column(df: DataFrame) -> str:
 
 def read_skill_tree(spark: SparkSession, path: str, k_values: Sequence[int] | None = None, operators: Sequence[str] | None = None) -> DataFrame:
     """Skill Markdown under ``k{n}/{operator}/``: k_value, composition_type, file_path, content."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     at = F.col("_metadata.file_path")
     out = files.select(at.alias("file_path"), F.col("value").alias("content"), F.try_to_number(F.regexp_extract(at, r"/k(\d+)/", 1), F.lit("99")).cast("int").alias("k_value"), F.regexp_extract(at, r"/k\d+/([^/]+)/", 1).alias("composition_type"))
     if k_values is not None:
@@ -101,7 +101,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, all values quoted, quotes doubled."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_composed(composed: DataFrame, path: str, k_values: Sequence[int] | None = None, operators: Sequence[str] | None = None) -> DataFrame:
