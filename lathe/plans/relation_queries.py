@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.operators import compose as C
+from lathe.operators import fusion as G
 from lathe.operators import lineage as L
 from lathe.operators import matching as M
 from lathe.operators import skill_merge as P
@@ -150,6 +151,7 @@ QUERIES = {
     "c3_compose_par": _composed("par"),
     "c4_compose_cond": _composed("cond"),
     "c5_render_markdown": lambda s, d: C.with_markdown(C.COMPOSE["cond"](C.windows(registry_of(s, d), [2]))).select("name", F.sha2("markdown", 256).alias("markdown_sha256")),
+    "c6_semantic_fusion": lambda s, d: _joined(G.fuse(C.windows(registry_of(s, d), [2])).select("collection", "name", "description", "when_to_use", "procedure", "source_skills"), "when_to_use", "procedure", "source_skills"),
     "c7_dependencies": lambda s, d: C.dependencies(_edges(s, d)),
     "c8_invalid_references": _invalid,
     "c9_covering_tasks": _covering,
@@ -258,6 +260,7 @@ SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) A
     "c2_compose_seq": SEQ,
     "c3_compose_par": PAR,
     "c4_compose_cond": COND,
+    "c6_semantic_fusion": f"{S}, {REG} SELECT collection, 'sem-' || array_to_string(names, '-') AS name, 'Semantic fusion of 2 skills' AS description, 'When integrated skill application is needed' AS when_to_use, 'Apply skills with semantic understanding' AS procedure, array_to_string(names, '~') AS source_skills FROM w WHERE k = 2",
     "c7_dependencies": f"WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), {GRAPH}, r AS (SELECT name, ref AS dependency FROM g UNION SELECT r.name, g.ref FROM r JOIN g ON g.name = r.dependency) SELECT * FROM r",
     "c8_invalid_references": f"{S}, {GRAPH} SELECT name, string_agg(ref, '~' ORDER BY ref) AS missing FROM g WHERE ref NOT IN (SELECT name FROM g) GROUP BY name",
     "c9_covering_tasks": f"""{S}, {REG}, h AS (SELECT 'seq-' || array_to_string(names, '-then-') AS composed, unnest(names) AS skill FROM w), q AS (SELECT CAST(ord AS VARCHAR) AS task_uid, name AS skill FROM reg WHERE ord % 3 = 0)

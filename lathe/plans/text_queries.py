@@ -13,6 +13,7 @@ from lathe.operators import records as R
 from lathe.operators import scoring as E
 from lathe.operators.calls import call_model
 from lathe.operators.compose import title_case
+from lathe.operators.proofs import proof_score
 from lathe.plans.relation_queries import registry_of, skills_of
 from lathe.sources.tables import text_column, union_all
 
@@ -185,6 +186,15 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.step_totals(c.groupBy("conv_id").agg(F.collect_list(step).alias("steps"))).select("conv_id", F.col("num_steps").cast("bigint").alias("num_steps"), "tokens", "elapsed_s")
 
 
+def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a rule cited at each line end; by doc_id a valid, an unknown or a classical one."""
+    n = F.col("doc_id") % 3
+    rule = F.when(n == 0, "modus ponens").when(n == 1, "wishful thinking").otherwise("excluded middle")
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". P ["), rule, F.lit("]"))), "\n")
+    scored = docs_of(spark, sf_dir).select("doc_id", proof_score(F.concat(lines, F.lit("\ntherefore Q")), F.lit("Q")).alias("s"))
+    return scored.select("doc_id", "s.passed", "s.score", "s.valid_rules", "s.invalid_rules", "s.classical")
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", title_case(F.concat("p_name", F.lit("-"), F.lower("p_type"))).alias("title"))
 
@@ -258,6 +268,7 @@ QUERIES = {
     "n5_single_answer": _answers,
     "e1_deterministic_score": _scored,
     "e2_judge_verdicts": _verdicts,
+    "e3_proof_scores": _proofs,
     "e4_step_totals": _totals,
     "s4_text_column": _detected,
     "s6_merge_tables": _merged,
@@ -347,6 +358,10 @@ string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND tex
     "e1_deterministic_score": """WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'paris' WHEN 3 THEN 'b' ELSE 'no' END AS w, doc_id % 5 AS k FROM documents), y AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'no' ELSE w END AS want, CASE WHEN doc_id % 3 = 1 THEN w || ' indeed' ELSE w END AS line FROM x),
 z AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN TRUE WHEN k = 4 THEN FALSE WHEN k = 2 THEN w = want OR line = want ELSE line = want AND (k <> 0 OR line IN ('yes', 'no')) END AS passed FROM y) SELECT doc_id, passed, CAST(passed AS DOUBLE) AS score FROM z""",
     "e2_judge_verdicts": "SELECT doc_id, doc_id % 4 < 2 AS passed, CASE doc_id % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 ELSE CAST('0.' || CAST(doc_id % 9 AS VARCHAR) AS DOUBLE) END AS score, CASE doc_id % 4 WHEN 2 THEN 'Failed to parse judge response: {\"passed\": tru' WHEN 3 THEN '' ELSE 'ok' END AS rationale FROM documents",
+    "e3_proof_scores": """WITH x AS (SELECT doc_id, doc_id % 3 AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, k = 0 AS passed, CASE WHEN k = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score, CAST(CASE WHEN k = 0 THEN n ELSE 0 END AS BIGINT) AS valid_rules, CAST(CASE WHEN k = 0 THEN 0 ELSE n END AS BIGINT) AS invalid_rules, CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS classical FROM x""",
+    "p10_parse_steps": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'observe: ' || regexp_replace(string_split(t, chr(10))[1], '\s+$', '') WHEN 1 THEN 'Conclude: ' || t ELSE CASE WHEN length(t) < 300 THEN regexp_replace(string_split(t, chr(10))[1], '^\s+|\s+$', '', 'g') ELSE '' END END AS step FROM c""",
+    "p15_registry_skills": """WITH s AS (SELECT p_partkey AS k, 'p' || CAST(p_partkey AS VARCHAR) || '-' || replace(lower(p_type), ' ', '-') AS name, lower(p_name) AS n, lower(p_brand) AS b, lower(p_type) AS t, p_size AS z FROM part) SELECT name, 'Handles ' || n || '. Use when asked.' AS description, 'When ' || b || ' applies~When size ' || CAST(z AS VARCHAR) || ' is used' AS when_to_use, 'Read the ' || t || '~Compare size ' || CAST(z AS VARCHAR) || ' and pick one' AS procedure, 'r' || CAST(k + 1 AS VARCHAR) || '~r' || CAST(k % 5 AS VARCHAR) AS related_skills FROM s""",
+    "t10_markdown_blocks": """WITH n AS (SELECT count(*) AS d, sum(len(list_filter(string_split(text, chr(10))[2:], lambda x: trim(x) <> ''))) AS l FROM documents WHERE text IS NOT NULL) SELECT * FROM (SELECT 'heading' AS block_type, d AS n FROM n UNION ALL SELECT 'code', d FROM n UNION ALL SELECT 'blockquote', d FROM n UNION ALL SELECT 'list_item', CAST(l AS BIGINT) FROM n UNION ALL SELECT 'paragraph', d FROM n)""",
     "e4_step_totals": "SELECT conv_id, count(*) AS num_steps, CAST(sum(length(text)) AS BIGINT) AS tokens, count(*) * CAST(0.5 AS DOUBLE) AS elapsed_s FROM conversations GROUP BY conv_id",
     "s4_text_column": "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "s6_merge_tables": "SELECT lang, source, count(*) AS n FROM (SELECT lang, NULL::VARCHAR AS source FROM documents UNION ALL SELECT NULL, source FROM documents) GROUP BY ALL",
