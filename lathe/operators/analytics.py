@@ -24,8 +24,8 @@ def _mode() -> Column:
 
 
 def _grid(df: DataFrame, *keys: str) -> DataFrame:
-    """Every combination of the distinct values of two key columns; both are small dimensions (tasks, models, modes)."""
-    return df.select(keys[0]).distinct().crossJoin(F.broadcast(df.select(keys[1]).distinct()))
+    """Every combination of the distinct values of two key columns: the dense matrix that is asked for. Spark chooses the join by size."""
+    return df.select(keys[0]).distinct().crossJoin(df.select(keys[1]).distinct())
 
 
 def pivot_models(long: DataFrame, key: str, value: str, models: Sequence[str]) -> DataFrame:
@@ -123,7 +123,7 @@ def skill_delta_by_mode(episodes: DataFrame, excluded_models: Sequence[str] = ("
     curated = rows.where(_is("curated") & (F.col("skill_name") != ""))
     skills = curated.select("skill_name").distinct()
     cells = curated.where("_own").groupBy("mode", "skill_name").agg(exact_mean(F.col("score")).alias("_c"))
-    grid = skills.crossJoin(F.broadcast(base))  # modes are a handful
+    grid = skills.crossJoin(base)
     return grid.join(cells, ["mode", "skill_name"], "left").select("mode", "skill_name", (F.coalesce("_c", F.lit(0.0)) - F.col("_b")).alias("delta"))
 
 
@@ -191,7 +191,7 @@ def skillmix_uplift(episodes: DataFrame) -> DataFrame:
     base = rows.groupBy("model").agg(mean_or_zero(F.col("score"), _is("baseline")).alias("_b"))
     treated = rows.where(_is("skill_injected"))
     cells = treated.groupBy("skill_name", "model").agg(exact_mean(F.col("score")).alias("_s"))
-    grid = treated.select("skill_name").distinct().crossJoin(F.broadcast(base))  # one row per model
+    grid = treated.select("skill_name").distinct().crossJoin(base)
     return grid.join(cells, ["skill_name", "model"], "left").select("skill_name", "model", (F.coalesce("_s", F.lit(0.0)) - F.col("_b")).alias("uplift"))
 
 

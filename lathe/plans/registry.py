@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lathe.plans import analytics_queries, effect_queries, relation_queries, text_queries
+from lathe.plans import analytics_queries, effect_queries, io_queries, relation_queries, text_queries
 
-MODULES = [analytics_queries, effect_queries, relation_queries, text_queries]
+MODULES = [analytics_queries, effect_queries, relation_queries, text_queries, io_queries]
 
 
 def queries() -> dict:
