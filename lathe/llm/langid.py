@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm.common import as_bytes
@@ -132,12 +132,15 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """(lang, window binary): at most ``docs_per_lang`` documents of each language, the first by a hash of their id, and three windows of each."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    draw = F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
-    ids = usable.select("lang", "doc_id", draw.alias("_draw"))
-    ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))).where(F.col("_n") <= docs_per_lang)
-    chosen = ids.select("doc_id").distinct()
+    """(lang, window binary): about ``docs_per_lang`` documents of each of the most frequent languages, drawn by a hash of id and text, and three windows of each.
+
+    Labels are counted first; then a row is drawn if its hash lies below its
+    language's rate, so texts are neither shuffled nor ranked.
+    """
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGS)
+    draw = F.xxhash64(F.lit(11), F.coalesce("doc_id", F.lit(-1)), "text")
+    share = F.pmod(draw, F.lit(1 << 30)) / F.lit(1 << 30)
 
     def cut(batches):
         for batch in batches:
@@ -150,12 +153,13 @@ def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Data
                         out.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
-    return usable.withColumn("_draw", draw).join(chosen, "doc_id", "left_semi").select("lang", "text", "_draw").mapInArrow(cut, "lang string, window binary")
+    drawn = usable.withColumn("_draw", draw).join(F.broadcast(counts), "lang").where(share < docs_per_lang / F.col("_n"))
+    return drawn.select("lang", "text", "_draw").mapInArrow(cut, "lang string, window binary")
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """A model of the languages labelled in ``docs``; None if nothing is labelled. Only the bounded sample reaches the driver."""
-    rows = sorted((r.lang, bytes(r.window)) for r in training_sample(docs, docs_per_lang).limit(MOST_LANGS * docs_per_lang * WINDOWS_PER_DOC).collect())
+    rows = sorted((r.lang, bytes(r.window)) for r in training_sample(docs, docs_per_lang).limit(2 * MOST_LANGS * docs_per_lang * WINDOWS_PER_DOC).collect())
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
