@@ -59,6 +59,21 @@ def _skill_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.write_composed(composed, new_folder(spark, "composed"), k_values=[2], operators=["seq", "cond"])
 
 
+def _read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed skills written and read back, by name."""
+    path = new_folder(spark, "composed")
+    T.write_composed(C.with_markdown(C.compose_all(registry_of(spark, sf_dir), [2, 3])), path)
+    back = T.read_skill_tree(spark, path, [3], ["seq", "par"])
+    return back.select("k_value", "composition_type", F.regexp_extract("content", r"(?m)^name: (.*)$", 1).alias("name"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as one text file each and read whole."""
+    path = new_folder(spark, "items")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return T.read_documents(spark, path, ["txt"]).select(F.sha2(F.regexp_replace("text", r"\n\z", ""), 256).alias("text_sha256"))
+
+
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks_of(spark, sf_dir)
     odd = F.col("ord") % 2 == 1
@@ -128,6 +143,8 @@ def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "s1_json_arrays": _json_arrays,
     "s2_s7_json_lines": _jsonl,
+    "s3_read_documents": _documents,
+    "s5_read_skill_tree": _read_tree,
     "s8_csv_export": _csv,
     "s9_write_composed": _skill_tree,
     "n1_canonical_names": _canonical,
@@ -147,6 +164,9 @@ CUT = "left(text, 300)"
 ORACLES = {
     "s1_json_arrays": f"{with_views('edges', 'skills')} SELECT s.skill_uid, s.name, s.step_a || '~' || s.step_b AS procedure, CAST(count(e.task_uid) AS INTEGER) AS n_tasks FROM skills s LEFT JOIN edges e ON e.skill_uid = s.skill_uid GROUP BY ALL",
     "s2_s7_json_lines": f"{with_views('episodes')} SELECT task_uid, model, condition, skill_name, mode, score, passed, tokens FROM episodes",
+    "s3_read_documents": "SELECT sha256(text) AS text_sha256 FROM benchmark",
+    "s5_read_skill_tree": f"""{SK}, n AS (SELECT name AS a, lead(name) OVER w AS b, lead(name, 2) OVER w AS c FROM skills WINDOW w AS (PARTITION BY collection ORDER BY ord))
+SELECT CAST(3 AS INTEGER) AS k_value, 'seq' AS composition_type, 'seq-' || a || '-then-' || b || '-then-' || c AS name FROM n WHERE c IS NOT NULL UNION ALL SELECT 3, 'par', 'par-' || a || '-and-' || b || '-and-' || c FROM n WHERE c IS NOT NULL""",
     "s8_csv_export": f"{TK}, f AS (SELECT source_document_uid AS document_uid, min_by(source_artifact, ord) AS source_name FROM tasks WHERE source_document_uid <> '' GROUP BY 1) SELECT document_uid, CASE WHEN source_name LIKE 'dataset:%' THEN 'dataset' WHEN source_name LIKE '%.pdf' THEN 'pdf' ELSE 'file' END AS source_type, source_name FROM f",
     "s9_write_composed": f"{SK}, n AS (SELECT collection, greatest(count(*) - 1, 0) AS n FROM skills GROUP BY 1) SELECT CAST(2 AS INTEGER) AS k_value, o AS composition_type, CAST(sum(n) AS BIGINT) AS n FROM n, (VALUES ('seq'), ('cond')) v(o) GROUP BY o",
     "n1_canonical_names": f"{TK} SELECT task_uid, CASE WHEN ord % 3 = 0 THEN '' ELSE title END AS question, 'intermediate' AS difficulty FROM tasks",

@@ -68,16 +68,22 @@ def text_column(df: DataFrame) -> str:
     return strings[0]
 
 
+#: Between skills that share a file.
+SKILL_BREAK = "\n\f\n"
+
+
 def read_skill_tree(spark: SparkSession, path: str, k_values: Sequence[int] | None = None, operators: Sequence[str] | None = None) -> DataFrame:
-    """Skill Markdown under ``k{n}/{operator}/``: k_value, composition_type, file_path, content."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    """Skill Markdown under ``k{n}/{operator}/``, or as ``write_composed`` puts it: k_value, composition_type, file_path, content."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
     at = F.col("_metadata.file_path")
-    out = files.select(at.alias("file_path"), F.col("value").alias("content"), F.try_to_number(F.regexp_extract(at, r"/k(\d+)/", 1), F.lit("99")).cast("int").alias("k_value"), F.regexp_extract(at, r"/k\d+/([^/]+)/", 1).alias("composition_type"))
+    parts = r"/k(?:_value=)?(\d+)/(?:composition_type=)?([^/]+)/"
+    out = files.select(at.alias("file_path"), F.col("value").alias("content"), F.nullif(F.regexp_extract(at, parts, 1), F.lit("")).cast("int").alias("k_value"), F.regexp_extract(at, parts, 2).alias("composition_type"))
     if k_values is not None:
         out = out.where(F.col("k_value").isin(list(k_values)))
     if operators is not None:
         out = out.where(F.col("composition_type").isin(list(operators)))
-    return out
+    each = F.explode(F.filter(F.split("content", SKILL_BREAK), lambda c: F.trim(c) != ""))
+    return out.withColumn("content", each)
 
 
 def merge_results(spark: SparkSession, paths: Sequence[str], schema: T.StructType = EPISODE) -> DataFrame:
@@ -110,7 +116,7 @@ def write_composed(composed: DataFrame, path: str, k_values: Sequence[int] | Non
         composed = composed.where(F.col("k_value").isin(list(k_values)))
     if operators is not None:
         composed = composed.where(F.col("composition_type").isin(list(operators)))
-    composed.select("k_value", "composition_type", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("k_value", "composition_type").option("lineSep", "\n\f\n").text(path)
+    composed.select("k_value", "composition_type", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("k_value", "composition_type").option("lineSep", SKILL_BREAK).text(path)
     return count_operators(composed)
 
 
