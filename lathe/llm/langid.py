@@ -61,9 +61,9 @@ def windows(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def respond(model_conv: list[np.ndarray], x: np.ndarray, where: bool = False):
-    """Largest response of each filter in each window; with ``where`` also its position."""
-    n, pooled, places = len(x), [], []
+def respond(model_conv: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter in each window, and its position; for training."""
+    tops, places = [], []
     pair = x[:, :-1].astype(np.int32) * CLASSES + x[:, 1:]
     for w, width in zip(model_conv, WIDTHS):
         two = (w[0][:, None, :] + w[1][None, :, :]).reshape(CLASSES * CLASSES, -1)
@@ -73,15 +73,31 @@ def respond(model_conv: list[np.ndarray], x: np.ndarray, where: bool = False):
             r += w[2][x[:, 2 : 2 + span]]
         elif width == 4:
             r += (w[2][:, None, :] + w[3][None, :, :]).reshape(CLASSES * CLASSES, -1)[pair[:, 2 : 2 + span]]
-        pooled.append(r.max(axis=1))
-        if where:
-            places.append(r.argmax(axis=1))
-    h = np.concatenate(pooled, axis=1)
-    return (h, np.concatenate(places, axis=1)) if where else h
+        tops.append(r.max(axis=1))
+        places.append(r.argmax(axis=1))
+    return np.concatenate(tops, axis=1), np.concatenate(places, axis=1)
+
+
+def pooled(conv: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """What ``respond`` gives, position by position for many windows at once, so that only the running maxima are kept."""
+    at = np.ascontiguousarray(x.T)
+    pair = at[:-1].astype(np.int32) * CLASSES + at[1:]
+    out = []
+    for w, width in zip(conv, WIDTHS):
+        head = (w[0][:, None, :] + w[1][None, :, :]).reshape(CLASSES * CLASSES, -1)
+        rest, index = (None, None) if width == 2 else (w[2], at[2:]) if width == 3 else ((w[2][:, None, :] + w[3][None, :, :]).reshape(CLASSES * CLASSES, -1), pair[2:])
+        best = None
+        for t in range(WINDOW - width + 1):
+            r = head.take(pair[t], axis=0)
+            if rest is not None:
+                r += rest.take(index[t], axis=0)
+            best = r if best is None else np.maximum(best, r, out=best)
+        out.append(best)
+    return np.concatenate(out, axis=1)
 
 
 def log_probs(model: Model, x: np.ndarray) -> np.ndarray:
-    h = np.maximum(respond(model.conv, x) + model.bias, 0)
+    h = np.maximum(pooled(model.conv, x) + model.bias, 0)
     z = h @ model.out + model.out_bias
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -99,8 +115,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, rate
         for lo in range(0, len(x), 64):
             b = order[lo : lo + 64]
             xb, yb = x[b], y[b]
-            pooled, at = respond(params[: len(WIDTHS)], xb, where=True)
-            pre = pooled + params[-3]
+            top, at = respond(params[: len(WIDTHS)], xb)
+            pre = top + params[-3]
             h = np.maximum(pre, 0)
             z = h @ params[-2] + params[-1]
             z -= z.max(axis=1, keepdims=True)

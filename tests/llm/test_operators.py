@@ -319,6 +319,19 @@ def test_language_id_without_labels(spark):
     assert langid.identify(d).select("language.lang_pred").first()[0] == "und"
 
 
+def test_convolution_against_loops():
+    rng = np.random.default_rng(0)
+    conv = [rng.normal(size=(w, langid.CLASSES, langid.FILTERS)) for w in langid.WIDTHS]
+    x = rng.integers(0, langid.CLASSES, (3, langid.WINDOW)).astype(np.uint8)
+    tops, places = langid.respond(conv, x)
+    assert np.allclose(langid.pooled(conv, x), tops)
+    for i in range(3):
+        for k, w in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                r = [sum(conv[k][j, x[i, t + j], f] for j in range(w)) for t in range(langid.WINDOW - w + 1)]
+                assert np.isclose(max(r), tops[i, k * langid.FILTERS + f]) and int(np.argmax(r)) == places[i, k * langid.FILTERS + f]
+
+
 def test_windows_cover_the_text():
     text = ("abc def " * 100).encode()
     w = langid.windows(text)
