@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NO_ID, checkpoint, salted_join, saved
+from lathe.llm.common import NO_ID, checkpoint, salted_join
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
@@ -58,34 +59,61 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(_unescape_role(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def _rendered(conversations: DataFrame) -> DataFrame:
-    """_id, text, hashes (chained, one per turn), ends (characters up to each turn's end) and loss spans of each conversation."""
-    turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), turn.alias("t"))
-    grouped = rows.groupBy("_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("_id", "turns.role", "turns.text")
+def _turns(conversations: DataFrame) -> DataFrame:
+    """_id, and t: turn, role, a hash of role and text, and text; ordered by the struct."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = F.unhex(F.substring(F.sha2(F.concat_ws("\n", blank("role"), blank("text")), 256), 1, 32))
+    t = F.struct(F.col("turn").cast("bigint").alias("turn"), blank("role").alias("role"), digest.alias("digest"), blank("text").alias("text"))
+    return conversations.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), t.alias("t"))
 
-    def draw(batches):
-        for batch in batches:
-            out = {"_id": batch.column("_id").to_pylist(), "text": [], "hashes": [], "ends": [], "loss": []}
-            for roles, texts in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                parts, hashes, ends, loss, at, link = [], [], [], [], 0, b""
-                for role, text in zip(roles, texts):
-                    part, a, b = render(role, text)
-                    if role == "assistant":
-                        loss.append({"start": at + a, "end": at + b})
-                    at += len(part)
-                    link = hashlib.blake2b(link + part.encode(), digest_size=16).digest()
-                    parts.append(part)
-                    hashes.append(link)
-                    ends.append(at)
-                out["text"].append("".join(parts))
-                out["hashes"].append(hashes)
-                out["ends"].append(ends)
-                out["loss"].append(loss)
-            yield pa.RecordBatch.from_pydict(out, schema)
-
-    schema = pa.schema([("_id", pa.int64()), ("text", pa.string()), ("hashes", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64())), ("loss", pa.list_(SPAN))])
-    return grouped.mapInArrow(draw, "_id bigint, text string, hashes array<binary>, ends array<bigint>, loss array<struct<start:bigint,end:bigint>>")
+
+def _grouped(rows: DataFrame, *fields: str) -> DataFrame:
+    """One row per conversation: _id and an array of each field, in order of turn, role and hash."""
+    t = F.struct(*[F.col(f"t.{f}").alias(f) for f in fields])
+    return rows.select("_id", t.alias("t")).groupBy("_id").agg(F.sort_array(F.collect_list("t")).alias("_t")).select("_id", *[F.col("_t")[f].alias(f) for f in fields])
+
+
+def _nodes(turns: DataFrame) -> DataFrame:
+    """_id, ends (characters up to each turn's end) and nodes (chained hashes of the turns so far): no text is shuffled for them."""
+
+    def sizes(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for roles, texts in arrays:
+            yield pa.array([len(render(r, x)[0]) for r, x in zip(roles.to_pylist(), texts.to_pylist())], pa.int64())
+
+    def link(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for digests, sizes in arrays:
+            out = []
+            for chain, chars in zip(digests.to_pylist(), sizes.to_pylist()):
+                at, nodes = b"", []
+                for d in chain:
+                    at = hashlib.blake2b(at + d, digest_size=16).digest()
+                    nodes.append(at)
+                out.append({"ends": list(accumulate(chars)), "nodes": nodes})
+            yield pa.array(out, pa.struct([("ends", pa.list_(pa.int64())), ("nodes", pa.list_(pa.binary()))]))
+
+    sized = turns.withColumn("chars", F.arrow_udf(sizes, "bigint")("t.role", "t.text"))
+    sized = sized.select("_id", F.struct("t.turn", "t.role", "t.digest", "chars").alias("t"))
+    rows = _grouped(sized, "turn", "role", "digest", "chars")
+    return rows.select("_id", F.arrow_udf(link, "struct<ends:array<bigint>,nodes:array<binary>>")("digest", "chars").alias("c")).select("_id", "c.*")
+
+
+RENDERED = pa.struct([("text", pa.string()), ("loss", pa.list_(SPAN))])
+
+
+def draw(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Formatted text and loss spans of whole conversations."""
+    for roles, texts in arrays:
+        out = []
+        for rs, xs in zip(roles.to_pylist(), texts.to_pylist()):
+            parts, loss, at = [], [], 0
+            for role, text in zip(rs, xs):
+                part, a, b = render(role, text)
+                if role == "assistant":
+                    loss.append({"start": at + a, "end": at + b})
+                at += len(part)
+                parts.append(part)
+            out.append({"text": "".join(parts), "loss": loss})
+        yield pa.array(out, RENDERED)
 
 
 def pack(conversations: DataFrame) -> DataFrame:
@@ -95,18 +123,19 @@ def pack(conversations: DataFrame) -> DataFrame:
     length of the segment in the stream (in characters, which are the tokens
     here; length 0 if another conversation holds all its turns); position, the
     position id of its first character; attend, the ancestors' intervals of the
-    stream, in order, to which the segment attends besides its own past; text;
-    and loss, the intervals of the segment's text that hold assistant texts.
+    stream, in order, to which the segment attends besides its own past; shared,
+    how many of its first characters other segments attend to; text; and loss, the intervals of the segment's text that hold assistant texts.
 
-    Turns are ordered by turn (null first), then role and text; a null role or
+    Turns are ordered by turn (null first), then role and a hash; a null role or
     text is empty; a null conv_id is one conversation, sorted last; repeated
     rows are repeated turns; other columns are not read; an empty table gives no
     rows. A conversation is held as one row, a tree never is: hot nodes are
     aggregated map-side and joined in salted parts, and the stream is ordered by
     range partitions.
     """
-    convs = saved(_rendered(conversations), "chat")
-    path = convs.select("_id", F.posexplode("hashes").alias("k", "node"))
+    turns = _turns(conversations)
+    convs = checkpoint(_nodes(turns))
+    path = convs.select("_id", F.posexplode("nodes").alias("k", "node"))
     owners = path.groupBy("node").agg(F.min("_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = salted_join(path, owners, ["node"], F.col("_id"))
     # turns of an owner on the way are consecutive: its run ends at its last one
@@ -136,12 +165,17 @@ def pack(conversations: DataFrame) -> DataFrame:
     wanted = placed.select("_id", F.posexplode("pieces").alias("i", "p")).select("_id", "i", F.col("p.owner").alias("owner"), F.col("p.chars").alias("chars"))
     found = salted_join(wanted, starts.withColumnRenamed("_id", "owner"), ["owner"], F.col("_id"))
     span = F.struct("start", (F.col("start") + F.col("chars")).alias("end"))
+    reach = wanted.groupBy(F.col("owner").alias("_id")).agg(F.max("chars").alias("shared"))
     attend = found.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", span.alias("s")))), lambda x: x.s).alias("attend"))
-    segments = placed.select("_id", "tree", "position", "length").join(starts, "_id", "left").join(attend, "_id", "left").join(convs.select("_id", "text", "loss"), "_id")
+    small = placed.select("_id", "tree", "position", "length").join(starts, "_id", "left").join(attend, "_id", "left").join(reach, "_id", "left")
+    # joined while grouped by conversation, and drawn after: a Python step hides the partitioning
+    whole = small.join(_grouped(turns, "turn", "role", "digest", "text").withColumnsRenamed({"role": "_roles", "text": "_texts"}).select("_id", "_roles", "_texts"), "_id")
+    drawn = F.arrow_udf(draw, "struct<text:string,loss:array<struct<start:bigint,end:bigint>>>")("_roles", "_texts")
+    segments = whole.withColumn("c", drawn).select("_id", "tree", "position", "length", "start", "attend", "shared", "c.*")
     own_loss = F.transform(F.filter("loss", lambda s: s.start >= F.col("position")), lambda s: F.struct((s.start - F.col("position")).alias("start"), (s.end - F.col("position")).alias("end")))
     value = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return segments.select(
-        value("_id").alias("conv_id"), value("tree").alias("tree_id"), "start", "length", "position",
+        value("_id").alias("conv_id"), value("tree").alias("tree_id"), "start", "length", "position", F.coalesce("shared", F.lit(0)).alias("shared"),
         F.coalesce("attend", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("attend"),
         F.substr("text", (F.col("position") + 1).cast("int")).alias("text"), own_loss.alias("loss"),
     )
@@ -160,11 +194,13 @@ def read_back(segments: DataFrame) -> DataFrame:
     """
     keyed = segments.withColumn("_id", F.coalesce("conv_id", F.lit(NO_ID)))
     wanted = keyed.select("_id", F.posexplode("attend").alias("i", "s")).select("_id", "i", F.col("s.start").alias("start"), (F.col("s.end") - F.col("s.start")).alias("chars"))
-    sources = keyed.where("length > 0").select("start", "text", "loss").join(wanted.select("start").distinct(), "start", "left_semi")
+    sources = keyed.where("shared > 0").select("start", F.substr("text", F.lit(1), F.col("shared").cast("int")).alias("text"), "loss")
     pieces = salted_join(wanted, sources, ["start"], F.col("_id"))
     piece = F.struct("i", "chars", F.substr("text", F.lit(1), F.col("chars").cast("int")).alias("text"), F.filter("loss", lambda s: s.end <= F.col("chars")).alias("loss"))
     before = pieces.groupBy("_id").agg(F.sort_array(F.collect_list(piece)).alias("before"))
-    whole = keyed.select("_id", "conv_id", "position", "text", "loss").join(before, "_id", "left")
+    columns = ["_id", "conv_id", "position", "text", "loss"]
+    alone = keyed.where(F.size("attend") == 0).select("conv_id", F.col("text").alias("formatted"), "loss")
+    whole = keyed.where(F.size("attend") > 0).select(*columns).join(before, "_id")
 
     def shift(spans, by):
         return F.transform(spans, lambda s: F.struct((s.start + by).alias("start"), (s.end + by).alias("end")))
@@ -173,7 +209,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("loss"))
     folded = F.aggregate(F.coalesce("before", F.array().cast("array<struct<i:int,chars:bigint,text:string,loss:" + spans + ">>")), start, lambda acc, p: F.struct((acc.at + p.chars).alias("at"), F.concat(acc.loss, shift(p.loss, acc.at)).alias("loss")))
     text = F.concat(F.coalesce(F.array_join(F.col("before.text"), ""), F.lit("")), "text")
-    return whole.select("conv_id", text.alias("formatted"), F.concat(folded.loss, shift(F.col("loss"), F.col("position"))).alias("loss"))
+    return whole.select("conv_id", text.alias("formatted"), F.concat(folded.loss, shift(F.col("loss"), F.col("position"))).alias("loss")).union(alone)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
