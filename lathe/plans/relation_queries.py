@@ -203,6 +203,15 @@ COND = _composition(
     "list_concat(list_concat(['Evaluate the condition:', '1. Check ' || titles[1], '2. If condition is TRUE:'], list_transform(range(1, len(names)), lambda i: '   ' || CAST(i AS VARCHAR) || '. Apply ' || titles[i + 1])), ['3. If condition is FALSE:', '   No action (or apply default behavior)'])",
     "list_concat(['Condition must be evaluable: ' || titles[1], 'Only one branch (then or else) is executed'], cs[1])", "'1. ' || titles[1] || ' evaluates to TRUE' || chr(10) || '2. Apply then-skills: ' || array_to_string(titles[2:], ' -> ')",
 )
+NL = "chr(10)"
+RENDER = f"""{S}, {REG}, o AS (SELECT 'cond-' || names[1] || '-then-' || array_to_string(names[2:], '-and-') AS name, titles, 'Conditional skill: if ' || titles[1] || ', then apply ' || array_to_string(titles[2:], ' -> ') || '. Use when skill application depends on a condition.' AS description,
+list_concat(['When ' || titles[1] || ' determines the path'], ws[1]) AS w, list_concat(list_concat(['Evaluate the condition:', '1. Check ' || titles[1], '2. If condition is TRUE:'], list_transform(range(1, len(names)), lambda i: '   ' || CAST(i AS VARCHAR) || '. Apply ' || titles[i + 1])), ['3. If condition is FALSE:', '   No action (or apply default behavior)']) AS p,
+list_concat(['Condition must be evaluable: ' || titles[1], 'Only one branch (then or else) is executed'], cs[1]) AS c, list_filter(list_distinct(flatten(rs)), lambda r: NOT list_contains(names, r)) AS unordered, flatten(rs) AS allr, names, array_to_string(titles[2:], ' -> ') AS then_titles FROM w WHERE k = 2),
+m AS (SELECT *, (SELECT list(r ORDER BY q) FROM (SELECT r, min(q) AS q FROM (SELECT unnest(allr) AS r, generate_subscripts(allr, 1) AS q) GROUP BY r) WHERE NOT list_contains(names, r)) AS rel, list_aggregate(list_transform(string_split(replace(name, '-', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS title FROM o)
+SELECT name, sha256('---' || {NL} || 'name: ' || name || {NL} || 'description: ' || description || {NL} || '---' || {NL} || {NL} || '# ' || title || {NL} || {NL} || '## When to Use' || {NL} || {NL} || array_to_string(list_transform(w, lambda x: '- ' || x || {NL}), '') || {NL}
+|| '## Procedure' || {NL} || {NL} || array_to_string(list_transform(range(1, len(p) + 1), lambda i: CAST(i AS VARCHAR) || '. ' || p[i] || {NL}), '') || {NL} || '## Constraints' || {NL} || {NL} || array_to_string(list_transform(c, lambda x: '- ' || x || {NL}), '') || {NL}
+|| '### Example 1: Condition is true' || {NL} || {NL} || '**Input:**' || {NL} || 'Input where ' || titles[1] || ' evaluates to TRUE' || {NL} || {NL} || '**Process:**' || {NL} || '1. ' || titles[1] || ' evaluates to TRUE' || {NL} || '2. Apply then-skills: ' || then_titles || {NL} || {NL} || '**Output:**' || {NL} || 'Output from applying ' || then_titles || {NL} || {NL}
+|| CASE WHEN len(rel) > 0 THEN '## Related Skills' || {NL} || {NL} || array_to_string(list_transform(rel, lambda x: '- ' || x || {NL}), '') ELSE '' END) AS markdown_sha256 FROM m"""
 GRAPH = "g AS (SELECT DISTINCT 'n' || CAST(key AS VARCHAR) AS name, 'n' || CAST(unnest([key - key % 50 + (key % 50 + 7) % 50, key - key % 50 + (key % 50) * 3 % 50]) AS VARCHAR) AS ref FROM skills WHERE key % 4 <> 1)"
 
 STEPS = """l AS (SELECT doc_id AS skill_uid, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL),
@@ -246,6 +255,12 @@ SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) A
     "p13_rename_tasks": f"{ETS}, {EDGE}, {RENAMED} SELECT * FROM r",
     "p13_rename_sources": f"{ETS}, {EDGE}, {RENAMED} SELECT s.skill_uid, coalesce(string_agg(coalesce(r.new_uid, x.task_uid), '~' ORDER BY x.task_uid) FILTER (WHERE x.task_uid IS NOT NULL), '') AS source_task_uids FROM skills s LEFT JOIN x ON x.skill_uid = s.skill_uid LEFT JOIN r ON r.task_uid = x.task_uid GROUP BY s.skill_uid",
     "p12_similar_pairs": f"{S}, n AS (SELECT ord, list_distinct(string_split(merge_name, '-')) AS w FROM skills) SELECT a.ord AS ord_a, b.ord AS ord_b FROM n a JOIN n b ON a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) > 0.6",
+    "p12_merge_skills": f"""WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), edges AS ({with_views('edges').split('AS (', 1)[1].rsplit(')', 1)[0]}),
+n AS (SELECT ord, skill_uid, merge_name, list_distinct(string_split(merge_name, '-')) AS w, row_number() OVER (ORDER BY ord) AS i FROM skills),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS kept, []::STRUCT(o BIGINT, w VARCHAR[])[] AS ks UNION ALL
+SELECT i, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(ks, {{'o': ord, 'w': w}}) ELSE ks END FROM (SELECT n.i, n.ord, n.w, r.ks, list_filter(r.ks, lambda k: len(list_intersect(k.w, n.w)) / CAST(greatest(len(k.w), len(n.w)) AS DOUBLE) > 0.6)[1].o AS hit FROM r JOIN n ON n.i = r.i + 1)),
+t AS (SELECT r.kept, e.task_uid FROM r JOIN n ON n.ord = r.ord JOIN edges e ON e.skill_uid = n.skill_uid), g AS (SELECT kept, string_agg(DISTINCT task_uid, '~' ORDER BY task_uid) AS ts FROM t GROUP BY kept)
+SELECT n.skill_uid, n.merge_name AS name, coalesce(g.ts, '') AS source_task_uids FROM r JOIN n ON n.ord = r.ord AND r.kept = r.ord LEFT JOIN g ON g.kept = r.ord""",
     "l1_lineage": f"{ETS}, {EDGE} SELECT coalesce(t.source_document_uid, '') AS source_document_uid, coalesce(t.source_artifact, '') AS source_artifact, '' AS passage_uid, x.task_uid, coalesce(t.title, '') AS task_title, x.skill_uid, x.name AS skill_name FROM x LEFT JOIN tasks t ON t.task_uid = x.task_uid",
     "l2_summary": f"""{ETS}, {EDGE} SELECT (SELECT count(DISTINCT source_document_uid) FROM tasks WHERE source_document_uid <> '') AS documents, (SELECT count(*) FROM tasks) AS tasks, (SELECT count(*) FROM skills) AS skills, (SELECT count(*) FROM x) AS records,
 (SELECT count(*) FROM tasks WHERE source_document_uid = '') AS orphaned_tasks, (SELECT count(*) FROM skills WHERE skill_uid NOT IN (SELECT skill_uid FROM edges)) AS orphaned_skills, (SELECT count(*) FROM tasks WHERE task_uid NOT IN (SELECT task_uid FROM x)) AS unlinked_tasks""",
@@ -260,6 +275,7 @@ SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) A
     "c2_compose_seq": SEQ,
     "c3_compose_par": PAR,
     "c4_compose_cond": COND,
+    "c5_render_markdown": RENDER,
     "c6_semantic_fusion": f"{S}, {REG} SELECT collection, 'sem-' || array_to_string(names, '-') AS name, 'Semantic fusion of 2 skills' AS description, 'When integrated skill application is needed' AS when_to_use, 'Apply skills with semantic understanding' AS procedure, array_to_string(names, '~') AS source_skills FROM w WHERE k = 2",
     "c7_dependencies": f"WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), {GRAPH}, r AS (SELECT name, ref AS dependency FROM g UNION SELECT r.name, g.ref FROM r JOIN g ON g.name = r.dependency) SELECT * FROM r",
     "c8_invalid_references": f"{S}, {GRAPH} SELECT name, string_agg(ref, '~' ORDER BY ref) AS missing FROM g WHERE ref NOT IN (SELECT name FROM g) GROUP BY name",

@@ -339,6 +339,10 @@ SELECT doc_id, d AS document_uid, {_uid("d || '|0|' || left(sha256(text), 16)")}
     "t14_message_text": "SELECT conv_id, turn, text || chr(10) || role AS content FROM conversations",
     "t17_title_case": "SELECT p_partkey, list_aggregate(list_transform(string_split(replace(p_name || '-' || lower(p_type), '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM part",
     "p1_paragraph_chunks": f"{_fold(604, 'doc_id')} SELECT doc_id, chunk_index, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS sha256 FROM k",
+    "p2_dataset_chunks": f"""WITH RECURSIVE d AS (SELECT source, doc_id, {PARTS} AS ps FROM documents WHERE text IS NOT NULL), u AS (SELECT source, doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM d), n AS (SELECT source, p, row_number() OVER (PARTITION BY source ORDER BY doc_id, j) AS i FROM u),
+r AS (SELECT source, i, 0 AS chunk, CAST(length(p) + 2 AS BIGINT) AS size FROM n WHERE i = 1 UNION ALL SELECT n.source, n.i, CASE WHEN r.size + length(n.p) + 2 > 4000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(n.p) + 2 > 4000 THEN length(n.p) + 2 ELSE r.size + length(n.p) + 2 END FROM r JOIN n ON n.source = r.source AND n.i = r.i + 1),
+c AS (SELECT n.source, r.chunk, string_agg(n.p, chr(10) || chr(10) ORDER BY n.i) AS t FROM r JOIN n ON n.source = r.source AND n.i = r.i GROUP BY n.source, r.chunk)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY chunk) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS total_chunks, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS sha256 FROM c WHERE length(t) >= 200""",
     "p3_row_budget": r"SELECT doc_id AS ord FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS c FROM (SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM documents)) WHERE n > 0 AND c - n < 400000",
     "p4_passages": f"""{_fold(1000, 'doc_id, source')}, u AS (SELECT *, 'dataset:' || source || '/' || CAST(doc_id AS VARCHAR) AS a FROM k), v AS (SELECT *, {_uid("'document|' || a")} AS d FROM u)
 SELECT {_uid("d || '|' || CAST(chunk_index AS VARCHAR) || '|' || left(sha256(t), 16)")} AS passage_uid, d AS source_document_uid, a AS source_artifact, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(total AS INTEGER) AS total_chunks, sha256(t) AS text_sha256 FROM v""",
