@@ -29,8 +29,22 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 NEAR = np.array([0] + [1 << i for i in range(64)], np.uint64)
 PAIRS = np.array([1 << i | 1 << j for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)], np.uint64)
 MASKS = np.concatenate([NEAR, PAIRS])
-#: Variants of a fingerprint on average, and in a block.
-VARIANTS, BLOCK = 65 + len(PAIRS) // 2, 1_500_000
+#: Variants of a fingerprint on average.
+VARIANTS = 65 + len(PAIRS) // 2
+
+
+def block_sizes(n: int, least_parts: int) -> tuple[int, int]:
+    """Number of blocks for n fingerprints, and fingerprints that a task expands at once.
+
+    A block holds 1.5 million variants, and up to 20 million (some 500 MB while
+    sorted) once there are over 50,000 blocks; expansions grow with the number of
+    blocks, up to 16,384 fingerprints, so that packed rows keep about 32 variants.
+    """
+    total = n * VARIANTS
+    block = min(max(1_500_000, total // 50_000), 20_000_000)
+    parts = max(least_parts, -(-total // block))
+    return parts, min(max(2048, 32 * parts // VARIANTS), 16_384)
+
 
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -78,14 +92,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def link(fps: DataFrame) -> DataFrame:
     """Distinct fp -> (a, b): pairs within RADIUS bits that connect all fingerprints which such pairs connect."""
-    n = fps.count()
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * VARIANTS // BLOCK))
+    parts, chunk = block_sizes(fps.count(), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def emit(batches):
         for batch in batches:
             all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(all_fps), 2048):
-                x = all_fps[lo : lo + 2048]
+            for lo in range(0, len(all_fps), chunk):
+                x = all_fps[lo : lo + chunk]
                 odd = x[np.bitwise_count(x) % 2 == 1]
                 v = np.concatenate([(x[:, None] ^ NEAR).ravel(), (odd[:, None] ^ PAIRS).ravel()])
                 code = np.concatenate([np.tile(np.arange(65, dtype=np.uint16), len(x)), np.tile(np.arange(65, len(MASKS), dtype=np.uint16), len(odd))])

@@ -267,6 +267,12 @@ def test_links_at_every_distance(spark, seed):
     assert [roots.get(signed[i], signed[i]) for i in order] == [signed[order[c]] for c in comp]
 
 
+@pytest.mark.parametrize("n, parts, chunk", [(0, 8, 2048), (230_000, 87, 2048), (10**8, 37_400, 2133), (10**10, 280_500, 16_000)])
+def test_blocks_stay_bounded(n, parts, chunk):
+    got_parts, got_chunk = simhash.block_sizes(n, 8)
+    assert abs(got_parts - parts) <= 0.01 * parts + 1 and abs(got_chunk - chunk) <= 0.01 * chunk
+
+
 def test_components_of_graphs(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(60)] + [(5, 5)]
