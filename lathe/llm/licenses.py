@@ -158,10 +158,15 @@ def _blanks(form: str) -> bytes:
     return re.sub(r"(?<!\?)(?<!\\) (?!\?)", lambda m: GAP.decode("latin-1"), form).replace(" ?", "[^0-9a-z]{0,2}").encode("latin-1")
 
 
-def _keyword(form: str) -> bytes:
-    """The longest word that every text with the form must hold."""
-    words = re.findall(r"[a-z0-9]{3,}", re.sub(r"\(\?:[^()]*(?:\([^()]*\)\??[^()]*)*\)\??|\\.|\w\?|\[.*?\]\??", " ", form)) or re.findall(r"[a-z0-9]+", form)
-    return max(words, key=len).encode()
+#: Words that many names share; as gates they come last.
+COMMON = frozenset("license public general software version free open source copyright the and under terms".split())
+
+
+def _keywords(form: str) -> tuple[bytes, ...]:
+    """Words that every text with the form must hold, the least common first."""
+    fixed = re.sub(r"\(\?:[^()]*(?:\([^()]*\)\??[^()]*)*\)\??|\\.|\w\?|\[.*?\]\??|\w*\.\{.*?\}\??", " ", form)
+    words = dict.fromkeys(re.findall(r"[a-z0-9]{3,}", fixed) or re.findall(r"[a-z0-9]+", fixed))
+    return tuple(w.encode() for w in sorted(words, key=lambda w: (w in COMMON, -len(w))))
 
 
 def build_rules() -> list[Rule]:
@@ -172,10 +177,10 @@ def build_rules() -> list[Rule]:
         rules.append(Rule(label, re.compile(rb"spdx-license-identifier:[ \t]*" + tag + rb"(?:-only|-or-later|\+)?" + EDGE_R), (b"spdx-license-identifier", label.encode()), 90, 1.0))
         for form in forms:
             name = EDGE_L + _blanks(form) + EDGE_R
-            gate = _keyword(form)
+            gate = _keywords(form)
             grant = rb"(?:licensed|released|distributed|published|available)" + GAP + rb"under" + GAP + rb"(?:the" + GAP + rb")?(?:terms" + GAP + rb"(?:and conditions" + GAP + rb")?of" + GAP + rb")?(?:the" + GAP + rb")?" + _blanks(form) + EDGE_R
-            rules.append(Rule(label, re.compile(EDGE_L + grant), (gate, b"under"), 80, 0.95))
-            rules.append(Rule(label, re.compile(name), (gate,), 50, 0.6 if label in ("proprietary", "public-domain", "ruby", "unlicense") else 0.8))
+            rules.append(Rule(label, re.compile(EDGE_L + grant), (*gate, b"under"), 80, 0.95))
+            rules.append(Rule(label, re.compile(name), gate, 50, 0.6 if label in ("proprietary", "public-domain", "ruby", "unlicense") else 0.8))
     for label, form, keyword, confidence in FRAGMENTS:
         address = "://" in form
         rules.append(Rule(label, re.compile(form.encode() if address else EDGE_L + _blanks(form) + EDGE_R), (max(keyword.split(), key=len).encode(),), 70, confidence))
@@ -203,8 +208,8 @@ class Scanner:
         self.rules = build_rules()
         self.phrases = [(_phrase(p), p.split()[0].encode(), p.split()[-1].encode(), label) for p, label in BASE.items()]
         by_keyword: dict[bytes, list[int]] = {}
-        for i, rule in enumerate(self.rules):
-            by_keyword.setdefault(rule.keywords[0], []).append(i)
+        for i, rule in enumerate(self.rules):  # one test for the word that most rules share
+            by_keyword.setdefault(b"license" if b"license" in rule.keywords else rule.keywords[0], []).append(i)
         self.by_keyword = list(by_keyword.items())
 
     def detect(self, low: bytes) -> list[tuple[Rule, int, int]]:
@@ -214,7 +219,7 @@ class Scanner:
             if keyword in low:
                 for i in rules:
                     rule = self.rules[i]
-                    if all(k in low for k in rule.keywords[1:]):
+                    if all(k in low for k in rule.keywords):
                         hits += [(-rule.priority, m.start() - m.end(), m.start(), i, m.end()) for m in rule.pattern.finditer(low)]
         kept: list[tuple[Rule, int, int]] = []
         starts: list[int] = []  # of accepted intervals that lie in no other; their ends ascend too
