@@ -11,25 +11,29 @@ from lathe.sources.tables import checkpoint
 OVERLAP = 0.6
 
 
+def _named(skills: DataFrame) -> DataFrame:
+    """ord, w (the sorted set of name words) and rep, the first skill with the same words."""
+    words = skills.select("ord", F.array_sort(F.array_distinct(F.split("name", "-"))).alias("w"))
+    return words.join(words.groupBy("w").agg(F.min("ord").alias("rep")), "w")
+
+
 def similar_pairs(skills: DataFrame) -> DataFrame:
     """Pairs (ord_a < ord_b) of skills whose ``-``-split name words overlap by more than OVERLAP of the larger set.
 
-    Only the rarest words of a name are indexed: of n words, the n - floor(0.6 n)
-    rarest, of which a qualifying pair must share one; so a word that is in most
-    names makes no candidates.
+    Of skills with the same words only the first takes part. Only the rarest words
+    of a name are indexed: of n words, the n - floor(0.6 n) rarest, of which a
+    qualifying pair must share one; so a word that is in most names makes no
+    candidates. Overlaps are tested in the join.
     """
-    words = skills.select("ord", F.array_distinct(F.split("name", "-")).alias("w")).withColumn("n", F.size("w"))
-    tokens = words.select("ord", "n", F.explode("w").alias("t"))
+    words = _named(skills).where("ord = rep").select("ord", "w").withColumn("n", F.size("w"))
+    tokens = words.select("ord", "n", "w", F.explode("w").alias("t"))
     df = tokens.groupBy("t").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "t"))
-    index = tokens.join(df, "t").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * OVERLAP)).select("ord", "n", "t")
-    a, b = (index.select("t", F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    close = (F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") > OVERLAP * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, "t").where(close).select("ord_a", "ord_b").distinct()
-    sets = words.select("ord", "w")
-    both = pairs.join(sets.select(F.col("ord").alias("ord_a"), F.col("w").alias("wa")), "ord_a").join(sets.select(F.col("ord").alias("ord_b"), F.col("w").alias("wb")), "ord_b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared / F.greatest(F.size("wa"), F.size("wb")) > OVERLAP).select("ord_a", "ord_b")
+    index = tokens.join(df, "t").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * OVERLAP)).select("t", "ord", "n", "w")
+    a, b = (index.select("t", F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
+    larger = F.greatest("n_a", "n_b")
+    close = (F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") > OVERLAP * larger) & (F.size(F.array_intersect("w_a", "w_b")) / larger > OVERLAP)
+    return a.join(b, "t").where(close).select("ord_a", "ord_b").distinct()
 
 
 def first_kept(skills: DataFrame) -> DataFrame:
@@ -38,10 +42,12 @@ def first_kept(skills: DataFrame) -> DataFrame:
     In order, a skill is kept unless it is similar to a kept one before it, and then
     goes to the first such. In rounds: skills with no undecided or kept neighbour
     before them are kept, their later neighbours are decided; bounded by the longest
-    chain of neighbours.
+    chain of neighbours. Skills with the same words share a fate: what is similar
+    to one is similar to all, and the first of them meets it first.
     """
+    named = checkpoint(_named(skills).select("ord", "rep"))
     pairs = checkpoint(similar_pairs(skills))
-    kept, todo = None, checkpoint(skills.select("ord"))
+    kept, todo = None, checkpoint(named.where("ord = rep").select("ord"))
     while True:
         live = pairs.join(todo.select(F.col("ord").alias("ord_a")), "ord_a").join(todo.select(F.col("ord").alias("ord_b")), "ord_b")
         heads = checkpoint(todo.join(live.select(F.col("ord_b").alias("ord")), "ord", "left_anti"))
@@ -54,7 +60,8 @@ def first_kept(skills: DataFrame) -> DataFrame:
         return skills.select("ord", F.col("ord").alias("kept"))
     kept = checkpoint(kept)
     target = pairs.join(kept.select(F.col("ord").alias("ord_a")), "ord_a").join(kept.select(F.col("ord").alias("ord_b")), "ord_b", "left_anti").groupBy(F.col("ord_b").alias("ord")).agg(F.min("ord_a").alias("kept"))
-    return target.unionByName(kept.select("ord", F.col("ord").alias("kept")))
+    decided = target.unionByName(kept.select("ord", F.col("ord").alias("kept")))
+    return named.join(decided.withColumnRenamed("ord", "rep"), "rep").select("ord", "kept")
 
 
 def merge_skills(skills: DataFrame) -> DataFrame:

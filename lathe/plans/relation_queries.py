@@ -254,7 +254,7 @@ SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) A
     "n10_validation_subset": f"{ETS}, {EDGE} SELECT 'other' AS name, count(*) AS n_tasks FROM x JOIN tasks t ON t.task_uid = x.task_uid WHERE x.ord % 7 <> 0",
     "p13_rename_tasks": f"{ETS}, {EDGE}, {RENAMED} SELECT * FROM r",
     "p13_rename_sources": f"{ETS}, {EDGE}, {RENAMED} SELECT s.skill_uid, coalesce(string_agg(coalesce(r.new_uid, x.task_uid), '~' ORDER BY x.task_uid) FILTER (WHERE x.task_uid IS NOT NULL), '') AS source_task_uids FROM skills s LEFT JOIN x ON x.skill_uid = s.skill_uid LEFT JOIN r ON r.task_uid = x.task_uid GROUP BY s.skill_uid",
-    "p12_similar_pairs": f"{S}, n AS (SELECT ord, list_distinct(string_split(merge_name, '-')) AS w FROM skills) SELECT a.ord AS ord_a, b.ord AS ord_b FROM n a JOIN n b ON a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) > 0.6",
+    "p12_similar_pairs": f"{S}, n AS (SELECT min(ord) AS ord, w FROM (SELECT ord, list_sort(list_distinct(string_split(merge_name, '-'))) AS w FROM skills) GROUP BY w) SELECT a.ord AS ord_a, b.ord AS ord_b FROM n a JOIN n b ON a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) > 0.6",
     "p12_merge_skills": f"""WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), edges AS ({with_views('edges').split('AS (', 1)[1].rsplit(')', 1)[0]}),
 n AS (SELECT ord, skill_uid, merge_name, list_distinct(string_split(merge_name, '-')) AS w, row_number() OVER (ORDER BY ord) AS i FROM skills),
 r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS kept, []::STRUCT(o BIGINT, w VARCHAR[])[] AS ks UNION ALL
