@@ -109,7 +109,7 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verified(spark, sf_dir).select("skill_uid", F.explode("defects").alias("d")).groupBy("skill_uid", F.col("d.defect_type").alias("defect_type")).agg(F.count("*").alias("n"))
+    return V.each_defect(_verified(spark, sf_dir), "skill_uid").groupBy("skill_uid", "defect_type").agg(F.count("*").alias("n"))
 
 
 def _covering(spark: SparkSession, sf_dir: str) -> DataFrame:
