@@ -116,5 +116,16 @@ FROM r GROUP BY conv_id
 """
 
 
+#: Five hex digits of a SHA-1 are four digits of base 32.
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(i * 5 + 1 AS INTEGER), 5) AS INTEGER)) AS parts, max(page_id) OVER (PARTITION BY x, n) AS top FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(parts, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": OP1, "op9_decontamination": OP9}
+    return {"op1_chat_prefix_tree": OP1, "op7_warc_index": OP7, "op9_decontamination": OP9}
