@@ -146,10 +146,10 @@ def verdict_totals(episodes: DataFrame) -> DataFrame:
     return run_verdicts(episodes).groupBy("verdict").agg(F.count("*").alias("n_runs"))
 
 
-# SkillMix: the treated condition is skill_injected.
+# composed-skill: the treated condition is skill_injected.
 
 
-def skillmix_summary(episodes: DataFrame) -> DataFrame:
+def composed_summary(episodes: DataFrame) -> DataFrame:
     """Per model, means over rows that have a score, their delta and counts."""
     model = F.coalesce("model", F.lit("unknown")).alias("model")
     score = F.col("score")
@@ -158,7 +158,7 @@ def skillmix_summary(episodes: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("skill_mean_score") - F.col("baseline_mean_score"))
 
 
-def skillmix_by_skill(episodes: DataFrame) -> DataFrame:
+def composed_by_skill(episodes: DataFrame) -> DataFrame:
     """Mean score and number of scored rows of each skill."""
     return episodes.where(_is("skill_injected") & F.col("score").isNotNull()).groupBy("skill_name").agg(exact_mean(F.col("score")).alias("mean_score"), F.count("*").alias("n"))
 
@@ -185,7 +185,7 @@ def score_by_operator(episodes: DataFrame, with_k: bool = False) -> DataFrame:
     return _grid(rows, "operator", "model").join(cells, ["operator", "model"], "left").fillna(0.0, ["mean_score"])
 
 
-def skillmix_uplift(episodes: DataFrame) -> DataFrame:
+def composed_uplift(episodes: DataFrame) -> DataFrame:
     """Per skill and model, mean skill score (0 if none) minus the model's mean baseline score (0 if none)."""
     rows = _scored(episodes)
     base = rows.groupBy("model").agg(mean_or_zero(F.col("score"), _is("baseline")).alias("_b"))
@@ -195,7 +195,7 @@ def skillmix_uplift(episodes: DataFrame) -> DataFrame:
     return grid.join(cells, ["skill_name", "model"], "left").select("skill_name", "model", (F.coalesce("_s", F.lit(0.0)) - F.col("_b")).alias("uplift"))
 
 
-def skillmix_win_tie_loss(episodes: DataFrame, threshold: float = 0.001) -> DataFrame:
+def composed_win_tie_loss(episodes: DataFrame, threshold: float = 0.001) -> DataFrame:
     """Wins, ties and losses per model of a task's mean skill score against its mean baseline score."""
     score = F.col("score")
     tasks = _scored(episodes).groupBy("model", "task_uid").agg(exact_mean(score, _is("baseline")).alias("_b"), exact_mean(score, _is("skill_injected")).alias("_s"))

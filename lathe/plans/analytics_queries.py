@@ -16,11 +16,11 @@ def _on(name: str, f):
     return lambda spark, sf_dir: f(view(spark, sf_dir, name))
 
 
-_E, _S = partial(_on, "episodes"), partial(_on, "skillmix")
+_E, _S = partial(_on, "episodes"), partial(_on, "composed_episodes")
 
 
 def _as_missing(episodes: DataFrame) -> DataFrame:
-    """Episodes with missing scores and the SkillMix name of the condition."""
+    """Episodes with missing scores and the composed-skill name of the condition."""
     condition = F.when(F.col("condition") == "curated", "skill_injected").otherwise(F.col("condition"))
     missing = F.when(F.col("ord") % 5 != 0, F.col("score"))
     passed = F.when(F.col("ord") % 15 != 0, F.col("passed"))
@@ -49,16 +49,16 @@ QUERIES = {
     "a10_condition_pass_rates": _E(A.condition_pass_rates),
     "a11_run_verdicts": _E(A.run_verdicts),
     "a11_verdict_totals": _E(A.verdict_totals),
-    "a12_skillmix_summary": _S(A.skillmix_summary),
-    "a12_skillmix_by_skill": _S(A.skillmix_by_skill),
+    "a12_composed_summary": _S(A.composed_summary),
+    "a12_composed_by_skill": _S(A.composed_by_skill),
     "a13_score_by_k": _S(lambda s: A.score_by_k(s).withColumn("k", F.col("k").cast("bigint"))),
     "a14_score_by_operator": _S(A.score_by_operator),
     "a14_score_by_k_operator": _S(lambda s: A.score_by_operator(s, with_k=True)),
-    "a15_skillmix_uplift": _S(A.skillmix_uplift),
-    "a16_skillmix_win_tie_loss": _S(A.skillmix_win_tie_loss),
+    "a15_composed_uplift": _S(A.composed_uplift),
+    "a16_composed_win_tie_loss": _S(A.composed_win_tie_loss),
 }
 
-E, S = with_views("episodes"), with_views("skillmix")
+E, S = with_views("episodes"), with_views("composed_episodes")
 
 
 def mean(value: str, where: str = "TRUE") -> str:
@@ -74,7 +74,7 @@ max_by(tokens, ord) FILTER (WHERE condition = 'curated') AS tokens FROM episodes
 OPERATOR = "CASE WHEN skill_name = '' THEN 'baseline' WHEN regexp_matches(skill_name, '^(seq|par|cond)-') THEN regexp_extract(skill_name, '^(seq|par|cond)-', 1) ELSE 'atomic' END"
 BODY = "regexp_replace(skill_name, '^(seq|par|cond)-', '')"
 K = f"CASE WHEN skill_name = '' THEN 0 WHEN regexp_matches(skill_name, '^(seq|par|cond)-') THEN CAST(len(regexp_extract_all({BODY}, '-(?:then|and)-')) AS BIGINT) + 1 ELSE 1 END"
-SCORED = "r AS (SELECT * REPLACE (coalesce(score, CAST(passed AS DOUBLE), 0.0) AS score) FROM skillmix)"
+SCORED = "r AS (SELECT * REPLACE (coalesce(score, CAST(passed AS DOUBLE), 0.0) AS score) FROM composed_episodes)"
 VERDICTS = f"""SELECT model, mode, coalesce({mean('score', BASE)}, 0.0) AS baseline_mean, coalesce({mean('score', CURATED)}, 0.0) AS curated_mean FROM episodes GROUP BY model, mode"""
 VERDICT = "CASE WHEN curated_mean - baseline_mean > 0.01 THEN 'PASS' WHEN curated_mean - baseline_mean < -0.01 THEN 'FAIL' ELSE 'NEUTRAL' END"
 
@@ -108,15 +108,15 @@ SELECT b.mode, s.skill_name, coalesce(c.c, 0.0) - b.b AS delta FROM b, (SELECT D
 FROM episodes GROUP BY ROLLUP (model)) SELECT model, baseline_rate, curated_rate, is_total, curated_rate - baseline_rate AS delta FROM r""",
     "a11_run_verdicts": f"{E}, v AS ({VERDICTS}) SELECT *, {VERDICT} AS verdict FROM v",
     "a11_verdict_totals": f"{E}, v AS ({VERDICTS}) SELECT {VERDICT} AS verdict, count(*) AS n_runs FROM v GROUP BY 1",
-    "a12_skillmix_summary": f"""{S}, x AS (SELECT coalesce(model, 'unknown') AS model, coalesce({mean('score', BASE)}, 0.0) AS baseline_mean_score, coalesce({mean('score', INJECTED)}, 0.0) AS skill_mean_score, count(*) FILTER (WHERE {BASE} AND score IS NOT NULL) AS n_baseline, count(*) FILTER (WHERE {INJECTED} AND score IS NOT NULL) AS n_skill FROM skillmix GROUP BY 1)
+    "a12_composed_summary": f"""{S}, x AS (SELECT coalesce(model, 'unknown') AS model, coalesce({mean('score', BASE)}, 0.0) AS baseline_mean_score, coalesce({mean('score', INJECTED)}, 0.0) AS skill_mean_score, count(*) FILTER (WHERE {BASE} AND score IS NOT NULL) AS n_baseline, count(*) FILTER (WHERE {INJECTED} AND score IS NOT NULL) AS n_skill FROM composed_episodes GROUP BY 1)
 SELECT *, skill_mean_score - baseline_mean_score AS delta FROM x""",
-    "a12_skillmix_by_skill": f"{S} SELECT skill_name, {mean('score')} AS mean_score, count(*) AS n FROM skillmix WHERE {INJECTED} AND score IS NOT NULL GROUP BY skill_name",
+    "a12_composed_by_skill": f"{S} SELECT skill_name, {mean('score')} AS mean_score, count(*) AS n FROM composed_episodes WHERE {INJECTED} AND score IS NOT NULL GROUP BY skill_name",
     "a13_score_by_k": f"""{S}, {SCORED}, b AS (SELECT model, {mean('score')} AS baseline_mean FROM r WHERE {BASE} GROUP BY model), c AS (SELECT model, CAST({K} AS BIGINT) AS k, {mean('score')} AS mean_score FROM r WHERE {INJECTED} GROUP BY 1, 2)
 SELECT c.model, k, mean_score, baseline_mean FROM c LEFT JOIN b ON b.model = c.model""",
     "a14_score_by_operator": _by_operator(OPERATOR),
     "a14_score_by_k_operator": _by_operator(f"'k=' || CAST({K} AS VARCHAR) || ' ' || {OPERATOR}"),
-    "a15_skillmix_uplift": f"""{S}, {SCORED}, b AS (SELECT model, coalesce({mean('score', BASE)}, 0.0) AS b FROM r GROUP BY model), c AS (SELECT skill_name, model, {mean('score')} AS s FROM r WHERE {INJECTED} GROUP BY skill_name, model)
+    "a15_composed_uplift": f"""{S}, {SCORED}, b AS (SELECT model, coalesce({mean('score', BASE)}, 0.0) AS b FROM r GROUP BY model), c AS (SELECT skill_name, model, {mean('score')} AS s FROM r WHERE {INJECTED} GROUP BY skill_name, model)
 SELECT k.skill_name, b.model, coalesce(c.s, 0.0) - b.b AS uplift FROM (SELECT DISTINCT skill_name FROM c) k, b LEFT JOIN c ON c.skill_name = k.skill_name AND c.model = b.model""",
-    "a16_skillmix_win_tie_loss": f"""{S}, {SCORED}, t AS (SELECT model, task_uid, {mean('score', BASE)} AS b, {mean('score', INJECTED)} AS s FROM r GROUP BY model, task_uid)
+    "a16_composed_win_tie_loss": f"""{S}, {SCORED}, t AS (SELECT model, task_uid, {mean('score', BASE)} AS b, {mean('score', INJECTED)} AS s FROM r GROUP BY model, task_uid)
 SELECT model, count(*) FILTER (WHERE s > b + 0.001) AS wins, count(*) FILTER (WHERE b IS NOT NULL AND s IS NOT NULL AND NOT s > b + 0.001 AND NOT s < b - 0.001) AS ties, count(*) FILTER (WHERE s < b - 0.001) AS losses FROM t GROUP BY model""",
 }

@@ -21,7 +21,7 @@ SELECT event_id AS ord, 'task-' || lpad(CAST(event_id % 97 AS STRING), 3, '0') A
 FROM events
 """
 
-SKILLMIX = """
+COMPOSED_EPISODES = """
 SELECT event_id AS ord, 'task-' || lpad(CAST(event_id % 97 AS STRING), 3, '0') AS task_uid, 'model-' || CAST(user_id % 5 AS STRING) AS model,
   CASE WHEN event_type IN ('view', 'error') THEN 'baseline' WHEN event_type IN ('click', 'signup') THEN 'skill_injected' ELSE 'self_generated' END AS condition,
   CASE WHEN event_type NOT IN ('click', 'signup') THEN '' WHEN event_id % 5 = 0 THEN 'seq-scan-text-then-pick-claim'
@@ -72,7 +72,7 @@ SELECT 'task-' || CAST(event_id % 97 AS STRING) AS problem_id, 'local' AS provid
 FROM events
 """
 
-VIEWS = {"trials": TRIALS, "episodes": EPISODES, "skillmix": SKILLMIX, "benchmark_records": BENCHMARK_RECORDS, "edges": EDGES, "tasks": TASKS, "skills": SKILLS}
+VIEWS = {"trials": TRIALS, "episodes": EPISODES, "composed_episodes": COMPOSED_EPISODES, "benchmark_records": BENCHMARK_RECORDS, "edges": EDGES, "tasks": TASKS, "skills": SKILLS}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

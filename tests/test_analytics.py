@@ -49,7 +49,7 @@ def test_pass_rate_grid_is_dense(spark):
 
 def test_empty_tables(spark):
     e = episodes(spark).limit(0)
-    for f in (A.uplift, A.pass_rates, A.model_uplift, A.delta_by_mode, A.win_tie_loss, A.run_verdicts, A.skillmix_summary, A.score_by_operator, A.skillmix_uplift):
+    for f in (A.uplift, A.pass_rates, A.model_uplift, A.delta_by_mode, A.win_tie_loss, A.run_verdicts, A.composed_summary, A.score_by_operator, A.composed_uplift):
         assert f(e).count() == 0
 
 
