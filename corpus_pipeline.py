@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the blocks of lines that an earlier one has."""
-    kept = line_dedup.delete_repeated_lines(docs).drop("_lathe_gone")
+    kept = line_dedup.delete_repeated_blocks(docs).drop("_lathe_gone")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -1,6 +1,14 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication against every earlier document.
 
-Each line shared by several documents points every later holder to its earliest
+``delete_repeated_blocks`` deletes each line that lies in a block of consecutive
+lines, of ``BLOCK_WORDS`` words or more, that any earlier document has too. Such a
+block is covered by its shortest runs of so many words, one from and one up to
+each of its lines. Runs are keyed as a whole to their earliest holder, so no pairs
+of documents are made, however frequent a run is, and whatever the order in which
+others have it.
+
+``delete_repeated_lines`` aligns documents with the earliest holders of their lines
+only. Each line shared by several documents points every later holder to its earliest
 one, so there are never more pairs than lines. A pair is aligned if it shares a
 rare line, or enough words of frequent ones. Patience diff aligns the line hashes
 of both documents; blocks of aligned lines are deleted from the later one. The
@@ -133,6 +141,50 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, least_words: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """Hash, first and last line of the shortest runs of lines with ``least_words`` words from each line on, and up to each."""
+    ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    last = np.searchsorted(ends, ends[:-1] + least_words) - 1
+    first = np.searchsorted(ends, ends[1:] - least_words, "right") - 1
+    found = {(i, j) for i, j in enumerate(last.tolist()) if j < len(words)} | {(i, j) for j, i in enumerate(first.tolist()) if i >= 0}
+    packed = hashes.tobytes()
+    return [(xxhash.xxh64_intdigest(packed[8 * i : 8 * j + 8]), i, j) for i, j in sorted(found)]
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """id, h, run, first and last line of every run of every document."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = [runs(*line_hashes(t)) for t in as_bytes(batch.column("text"))]
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
+            run, first, last = (np.array([x[k] for row in rows for x in row], np.uint64 if k == 0 else np.int32) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(run.view(np.int64)), pa.array(first), pa.array(last)], ["id", "h", "run", "first", "last"])
+
+    rows = _keyed(docs).select(F.col("_lathe_id").alias("id"), F.col("_lathe_h").alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(cut, "id bigint, h bigint, run bigint, first int, last int")
+
+
+def repeated_blocks(docs: DataFrame) -> DataFrame:
+    """id, h (row key) and the sorted numbers of the lines that lie in a block of an earlier document."""
+    every = saved(_runs(docs), "runs")
+    holders = every.groupBy("run").agg(F.min(F.struct("id", "h")).alias("a"), F.max(F.struct("id", "h")).alias("z")).where("a != z")
+    holders = holders.select("run", F.col("a.id").alias("id0"), F.col("a.h").alias("h0"))
+    later = salted_join(every, holders, ["run"], F.col("id"), 4).where((F.col("id") != F.col("id0")) | (F.col("h") != F.col("h0")))
+    spans = F.collect_set(F.struct("first", "last"))
+    lines = F.flatten(F.transform(spans, lambda x: F.sequence(x["first"], x["last"])))
+    return later.groupBy("id", "h").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
+
+
+def delete_repeated_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` without the blocks of lines that any earlier document has, and ``_lathe_gone``, the numbers of the deleted lines (null: none).
+
+    Order, blank lines and equal rows are as in ``delete_repeated_lines``. A block that
+    stands elsewhere, or several times, in the later document goes wherever it stands.
+    """
+    return _struck(docs, repeated_blocks(docs))
+
+
 def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with aligned common blocks deleted from later documents, and ``_lathe_gone``, the numbers of the deleted lines (null: none).
 
@@ -142,7 +194,12 @@ def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     Rows that repeat (doc_id, text) are one document and lose the same lines;
     extra columns are kept.
     """
-    gone = repeated_lines(docs).select(F.col("id").alias("_lathe_id"), F.col("h").alias("_lathe_h"), F.col("gone").alias("_lathe_gone"))
+    return _struck(docs, repeated_lines(docs))
+
+
+def _struck(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the lines numbered in ``gone``."""
+    gone = gone.select(F.col("id").alias("_lathe_id"), F.col("h").alias("_lathe_h"), F.col("gone").alias("_lathe_gone"))
 
     def strike(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in arrays:

@@ -34,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.delete_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.delete_repeated_blocks(read(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     n = F.coalesce(F.size("_lathe_gone"), F.lit(0)).cast("bigint")
     return kept.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n_lines_deleted"), F.length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -218,6 +218,55 @@ def test_line_dedup(spark, monkeypatch):
     assert {x.strip() for t in texts for x in (t or "").split("\n")} <= keep  # no line vanishes
 
 
+def block_brute(texts):
+    """Lines in a block of BLOCK_WORDS words or more, of consecutive lines, that any earlier document has; all pairs of documents."""
+    hashed = [tuple(x.tolist() for x in line_dedup.line_hashes((t or "").encode())) for t in texts]
+    out = {}
+    for d, (h, w) in enumerate(hashed):
+        gone = set()
+        for a, _ in hashed[:d]:
+            for i in range(len(h)):
+                for j in range(len(a)):
+                    n = 0
+                    while i + n < len(h) and j + n < len(a) and h[i + n] == a[j + n]:
+                        n += 1
+                    if sum(w[i : i + n]) >= line_dedup.BLOCK_WORDS:
+                        gone |= set(range(i, i + n))
+        if gone:
+            out[d] = sorted(gone)
+    return out
+
+
+def aligned_brute(texts):
+    """Lines that patience diff aligns, in blocks, with those of any earlier document."""
+    hashed = [tuple(x.tolist() for x in line_dedup.line_hashes((t or "").encode())) for t in texts]
+    return {(d, n) for d, (h, w) in enumerate(hashed) for a, _ in hashed[:d] for n in line_dedup.common_lines(a, h, w)}
+
+
+def gone_lines(spark, texts):
+    rows = line_dedup.delete_repeated_blocks(documents(spark, texts)).collect()
+    assert all(r.text == (None if texts[r.doc_id] is None else "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in set(r._lathe_gone or []))) for r in rows)
+    return {r.doc_id: r._lathe_gone for r in rows if r._lathe_gone}
+
+
+def test_repeated_blocks(spark):
+    rng = random.Random(3)
+    lines = [*(" ".join(prose(rng, 14).split()[: rng.choice([1, 2, 4, 6, 9, 12])]) for _ in range(25)), "", ""]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    texts += ["\n".join(x for t in rng.sample(texts, 3) for x in t.split("\n")) for _ in range(30)] + [texts[0], "", None]
+    gone = gone_lines(spark, texts)
+    assert gone == block_brute(texts)
+    assert aligned_brute(texts) <= {(d, n) for d, lines in gone.items() for n in lines}
+
+
+def test_repeated_blocks_beyond_the_earliest_holders_of_lines(spark):
+    verse = [f"verse {k} of five words" for k in range(12)]
+    single = [f"{x}\nsomething else {k} alone" for k, x in enumerate(verse)]  # each line is held singly before
+    assert gone_lines(spark, [*single, "\n".join(verse), "own line\n" + "\n".join(verse)]) == {13: list(range(1, 13))}
+    halves = ["\n".join(verse[6:] + verse[:6]), "\n".join(verse), "\n".join(verse)]  # the earliest holder has them in another order
+    assert gone_lines(spark, halves)[2] == list(range(12))
+
+
 # --- simhash
 
 
