@@ -267,6 +267,16 @@ def test_repeated_blocks_beyond_the_earliest_holders_of_lines(spark):
     assert gone_lines(spark, halves)[2] == list(range(12))
 
 
+def test_repeated_blocks_of_frequent_lines(spark):
+    line, short = "one line of ten words that many other documents hold", [f"short line {k}" for k in range(5)]
+    texts = [f"own words of document {k}\n{line}\nand an end {k}" for k in range(line_dedup.RARE + 20)]
+    assert len(line.split()) == line_dedup.BLOCK_WORDS
+    assert gone_lines(spark, texts) == {k: [1] for k in range(1, len(texts))}  # whatever the number of holders
+    n = line_dedup.RARE + 5
+    texts = [f"{x}\nelse {k} {i}" for k, x in enumerate(short) for i in range(n)] + ["\n".join(short)] * 2  # frequent, with different earliest holders
+    assert gone_lines(spark, texts) == {len(texts) - 1: list(range(5))}
+
+
 # --- simhash
 
 
