@@ -38,6 +38,10 @@ P = len(FEATURES)
 X = [f"_x{i}" for i in range(P)]
 #: Median of the chi-square distribution with P = 6 degrees of freedom.
 CHI2_MEDIAN = 5.348
+#: Its 99.9 % quantile.
+CHI2_999 = 22.458
+#: Squared distance over which a document is rejected whatever the tail.
+MOST_CUT = 100.0
 SHARE, STEPS, LEAST_GROUP, BINS = 0.75, 3, 50, 8
 #: Parameters of up to this many groups (about 400 bytes each) are broadcast; more are joined by key.
 BROADCAST_GROUPS = 20_000
@@ -165,26 +169,61 @@ def estimate(fit: DataFrame) -> DataFrame:
     return params
 
 
-def judge(docs: DataFrame, cut: float = 100.0) -> DataFrame:
+def _known(params: DataFrame) -> DataFrame:
+    return checkpoint(params.where(F.col("n") >= LEAST_GROUP).select("_g", "mu", "prec"))
+
+
+def _of_every_group(fit: DataFrame) -> DataFrame:
+    """(_g, mu, prec) of every group: a small one has those of its language, or else of all documents."""
+    params = _known(estimate(fit.select("doc_id", "_g", *X)))
+    small = checkpoint(fit.groupBy("_g").agg(F.first("_l").alias("_l"), F.count("*").alias("n")).where(F.col("n") < LEAST_GROUP).drop("n"))
+    for wider in (F.col("_l"), F.lit("")):
+        if small.isEmpty():
+            break
+        needed = fit.withColumn("_g", wider).join(small.select(wider.alias("_g")).distinct(), "_g", "left_semi")
+        found = _known(estimate(needed.select("doc_id", "_g", *X))).withColumnRenamed("_g", "_wider")
+        joined = small.withColumn("_wider", wider).join(found, "_wider", "left")
+        params = params.unionByName(joined.where("mu is not null").select("_g", "mu", "prec"))
+        small = checkpoint(joined.where("mu is null").select("_g", "_l"))
+    return checkpoint(params)
+
+
+def calibrated_cut(distances: DataFrame) -> float:
+    """Squared distance that one document in 1000 exceeds, by a log-normal tail through the median and upper quartile of ``distance``.
+
+    Never under the chi-square quantile, and never over MOST_CUT, as outliers widen the quartile.
+    """
+    bins = F.floor(BINS * F.log(F.greatest(F.col("distance"), F.lit(1e-9)))).cast("int")
+    found = sorted(distances.groupBy(bins.alias("bin")).count().collect())
+    if not found:
+        return CHI2_999
+    cum = np.cumsum([n for _, n in found]) / sum(n for _, n in found)
+    middle, upper = (float(np.interp(q, cum, [(b + 1) / BINS for b, _ in found])) for q in (0.5, 0.75))
+    return min(MOST_CUT, max(CHI2_999, float(np.exp(middle + 3.0902 * (upper - middle) / 0.6745))))
+
+
+def judge(docs: DataFrame, cut: float | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept for every row of ``docs``.
 
     A null text has no words and fails the base rules. Null lang and source are
     values of their own. Groups with fewer than 50 documents that pass the base
-    rules have no estimate: distance is null and their documents are kept.
-    ``cut`` is the squared distance above which a document is rejected; it lies
-    far beyond the chi-square tail, as clean texts have heavier tails than a
-    normal sample. Repeated rows count each; an empty table gives an empty result.
+    rules are judged by the estimate of their language, or else of all documents;
+    if those are under 50 too, distance is null and the documents are kept.
+    ``cut`` is the squared distance above which a document is rejected, by default
+    ``calibrated_cut`` of the distances of those that pass the base rules, as clean
+    texts have heavier tails than a normal sample. Repeated rows count each; an
+    empty table gives an empty result.
     """
-    group = F.concat(*[F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit("-")) for c in ("lang", "source")], F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), group.alias("_g"), F.arrow_udf(counts_of, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(F.col("text").cast("string")).alias("c")).select("doc_id", "_g", "c.*")
+    key = lambda *cs: F.concat(*[F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit("-")) for c in cs], F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key("lang", "source").alias("_g"), key("lang").alias("_l"), F.arrow_udf(counts_of, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(F.col("text").cast("string")).alias("c")).select("doc_id", "_g", "_l", "c.*")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed).select("*", *[f.alias(x) for f, x in zip(features(), X)]))
-    params = estimate(rows.where(~F.col("base_failed")).select("doc_id", "_g", *X))
-    params = checkpoint(params.where(F.col("n") >= LEAST_GROUP).select("_g", "mu", "prec"))
+    params = _of_every_group(rows.where(~F.col("base_failed")))
     if params.count() <= BROADCAST_GROUPS:
         judged = rows.join(F.broadcast(params), "_g", "left")
     else:
         judged = salted_join(rows, params, ["_g"], F.xxhash64("doc_id"), how="left")
     judged = judged.withColumn("distance", _distance())
+    cut = calibrated_cut(judged.where(~F.col("base_failed") & F.col("distance").isNotNull())) if cut is None else cut
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select("doc_id", *COUNTS, "base_failed", "distance", kept.alias("kept"))

@@ -563,6 +563,25 @@ def test_small_groups_are_kept(spark):
     assert quality.judge(documents(spark, [])).count() == 0
 
 
+def test_quality_rejects_outliers_in_large_and_small_groups(spark):
+    rng = random.Random(8)
+
+    def text():
+        return "\n".join(" ".join(f"w{rng.randint(0, 9999)}" for _ in range(10)) for _ in range(rng.randint(6, 12)))
+
+    symbols = " ".join(f"w{rng.randint(0, 9999)}" + "#" * (k % 10 == 0) for k in range(90))
+    odd_words = " ".join(f"{rng.random()}" * 3 for _ in range(60))
+    double = [f"x{k} y{k}" for k in range(40)]
+    bad = [symbols, odd_words, "\n".join(double + double[::-1])]  # the last one: half of the lines again, no 8-word window twice
+    assert not any(100 * b[4] > 30 * b[0] or b[0] < 20 for b in map(brute_counts, bad))
+    good = [text() for _ in range(400)]
+    rows = [(t, "en", "large") for t in good + bad] + [(t, "en", "small") for t in [text() for _ in range(20)] + bad] + [(t, "fr", "small") for t in [text() for _ in range(20)] + bad]
+    out = sorted(quality.judge(spark.createDataFrame([(i, *r, len(r[0])) for i, r in enumerate(rows)], DOCS)).collect())
+    is_bad = [r[0] in bad for r in rows]
+    assert all(r.distance is not None for r in out)
+    assert not any(r.kept for r, b in zip(out, is_bad) if b) and np.mean([r.kept for r, b in zip(out, is_bad) if not b]) > 0.99
+
+
 # --- odd rows for every document operator
 
 
