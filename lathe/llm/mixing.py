@@ -2,13 +2,15 @@
 
 Each source's target is split into whole passes over the source and a remaining
 budget. The remaining budget is filled by documents *counted by exact length*: a
-proportional share of every length, then longer lengths while they fit, then a
-bounded-knapsack dynamic programme over the last words. Which documents of a
+bounded-knapsack dynamic programme, after a proportional share of every length
+where the budget exceeds what the programme covers. Which documents of a
 length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import checkpoint, salted_join
 
-#: Words that the dynamic programme fits exactly at the end.
+#: Words that the dynamic programme fits at least, where the longest document has fewer.
 DP_WORDS = 20_000
-#: Parts into which the documents of one (source, length) are dealt by their seeded hash.
-PARTS = 64
+#: Documents of one (source, length) that one part of their seeded deal holds on average at most; at least 64 parts.
+PART_ROWS, LEAST_PARTS = 2_000_000, 64
 
 
 def count_words(text: Column) -> Column:
@@ -27,36 +29,46 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` and ``_rank``, their place in code-point order from 0, null last: sorted by range, numbered by prefix sums over the partitions."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = checkpoint(sources.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted(ranged.groupBy("_p").count().collect())  # one row per partition
+    base = dict(zip((p for p, _ in sizes), [0, *accumulate(n for _, n in sizes)]))
+    starts = F.broadcast(sources.sparkSession.createDataFrame(list(base.items()), "_p int, _base bigint"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(starts, "_p").withColumn("_rank", F.col("_base") + within - 1).drop("_p", "_base")
+
+
 def source_targets(sources: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
-    """(source, source_size) -> with its ``target``: one row per source, capped sharing of the total.
+    """(source, source_size) with each source's ``target``: capped sharing of the total.
 
-    Sources in code-point order, null last, take the weights in turn. One row per
-    source is gathered, never a document.
+    Sources in code-point order, null last, take the weights in turn. A round
+    shares what is left by weight among the sources that are not yet capped, and
+    caps those above ``most`` times their size; only sums of a round reach the
+    driver, and these are of whole numbers, so they do not depend on row order.
     """
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[["source", "source_size"]]
-        keys = pdf["source"].where(pdf["source"].notna(), None)
-        order = sorted(range(len(pdf)), key=lambda i: (keys.iloc[i] is None, keys.iloc[i] or ""))
-        pdf = pdf.iloc[order].reset_index(drop=True)
-        size = pdf["source_size"].to_numpy(np.float64)
-        weight = np.array([weights[i % len(weights)] for i in range(len(pdf))], np.float64)
-        cap, target, free = most * size, np.zeros(len(pdf)), np.ones(len(pdf), bool)
-        while free.any():
-            left = size.sum() - cap[~free].sum()
-            target[free] = left * weight[free] / weight[free].sum()
-            over = free & (target > cap)
-            if not over.any():
-                break
-            target[over] = cap[over]
-            free &= ~over
-        return pdf.assign(target=target)
-
-    return sources.groupBy(F.lit(1).alias("_all")).applyInPandas(share, "source string, source_size bigint, target double")
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    weighted = checkpoint(_ranked(sources).withColumn("_weight", F.get(cycle, (F.col("_rank") % len(weights)).cast("int"))))
+    cap, share = most * F.col("source_size"), 0.0
+    while True:
+        capped = F.lit(share) * F.col("_weight") > cap
+        total, taken, weight = weighted.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("source_size"))), F.sum(F.when(~capped, F.col("_weight")))).first()
+        last, share = share, ((total or 0) - most * (taken or 0)) / weight if weight else share
+        if share <= last:  # no source was capped anew
+            return weighted.select("source", "source_size", F.when(capped, cap).otherwise(F.lit(share) * F.col("_weight")).alias("target"))
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near ``budget`` from below as found."""
+    """How many documents of each length to take for the largest sum up to ``budget``.
+
+    The programme covers ``room``, the larger of ``dp_words`` and the longest length:
+    a budget of at most twice that is fitted exactly. A larger one first takes the
+    same share of every length, then longer lengths, until one to two times ``room``
+    words are left, and the programme fits these exactly with what is not yet taken.
+    It holds eight bytes a word of that rest, in units of the lengths' common divisor.
+    """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
     take = np.zeros(len(sizes), np.int64)
@@ -64,16 +76,18 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
         return take
     if budget >= total:
         return counts.copy()
-    take = (counts * (budget / total)).astype(np.int64)
-    left = budget - int((take * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):  # longer lengths while they fit
-        if left <= dp_words:
-            break
-        if 0 < sizes[i] <= left - dp_words // 2:
-            k = min(int(counts[i] - take[i]), int((left - dp_words // 2) // sizes[i]))
-            take[i] += k
-            left -= k * int(sizes[i])
-    return take + _knapsack(sizes, counts - take, min(left, dp_words))
+    room = max(dp_words, int(sizes.max()))
+    left = budget
+    if budget > 2 * room:
+        take = (counts * ((budget - room) / total)).astype(np.int64)
+        left -= int((take * sizes).sum())
+        for i in np.argsort(-sizes, kind="stable"):  # longer lengths while room stays
+            if sizes[i] > 0 and left - sizes[i] >= room:
+                k = min(int(counts[i] - take[i]), int((left - room) // sizes[i]))
+                take[i] += k
+                left -= k * int(sizes[i])
+    unit = int(np.gcd.reduce(sizes))
+    return take + _knapsack(sizes // unit, counts - take, left // unit)
 
 
 def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
@@ -119,7 +133,9 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int = 7) ->
     sized = checkpoint(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(text).alias("size"),
         F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), text).alias("_draw"),
-    ).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_part", F.pmod("_draw", F.lit(PARTS)).cast("int")))
+    ).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
+    deal = max(LEAST_PARTS, -(-sized.count() // PART_ROWS))
+    sized = sized.withColumn("_part", F.pmod("_draw", F.lit(deal)).cast("int"))
     parts = sized.groupBy("_key", "source", "size", "_part").agg(F.count("*").alias("n"))
     lengths = parts.groupBy("_key", "source", "size").agg(F.sum("n").alias("n"))
     sources = checkpoint(lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))

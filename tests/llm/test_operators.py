@@ -489,6 +489,48 @@ def test_knapsack_is_exact():
         assert (take <= counts).all() and int(take @ sizes) == max(x for x in sums if x <= budget)
 
 
+@pytest.mark.parametrize("sizes, counts, budget, best", [([25_000, 26_000], [1, 1], 30_000, 26_000), ([21_000, 24_000, 30_000], [1, 1, 1], 47_000, 45_000), ([5, 3], [2, 4], 12, 12), ([0, 7], [3, 2], 6, 0), ([0], [3], 5, 0)])
+def test_budgets(sizes, counts, budget, best):
+    assert int(mixing.fit_budget(np.array(sizes), np.array(counts), budget) @ sizes) == best
+
+
+def test_budgets_with_long_documents_are_exact():
+    rng = np.random.default_rng(2)
+    for n in range(200):
+        sizes = np.unique(rng.integers(1, [60, 90_000][n % 2], 5))
+        counts = rng.integers(0, 3, len(sizes))
+        dp_words = [20_000, 10][n % 2]
+        budget = int(rng.integers(0, 2 * max(dp_words, sizes.max()) + 1))
+        sums = {0}
+        for s, c in zip(sizes.tolist(), counts.tolist()):
+            sums = {x + k * s for x in sums for k in range(c + 1)}
+        take = mixing.fit_budget(sizes, counts, budget, dp_words)
+        assert (take <= counts).all() and int(take @ sizes) == max(x for x in sums if x <= budget)
+    for _ in range(20):  # beyond what the programme covers
+        sizes = np.unique(rng.integers(1, 40_000, 300))
+        counts = rng.integers(1, 9, len(sizes))
+        budget = int(rng.integers(100_000, int(sizes @ counts)))
+        take = mixing.fit_budget(sizes, counts, budget)
+        assert (take <= counts).all() and int(take @ sizes) == budget
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(1)
+    sizes = {s: rng.choice([0, 1, 5, 1000, 10**6]) for s in [*{f"{rng.random()}é"[2:] for _ in range(300)}, "", "\U0001f600", "\uffff", None]}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    free, target = set(order), {}
+    while True:
+        left, weight = sum(sizes.values()) - sum(target.values()), sum(1 + order.index(s) % 3 for s in free)
+        share = {s: left * (1 + order.index(s) % 3) / weight for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        target |= {s: 3 * sizes[s] for s in over} if over else share
+        free -= over
+        if not over:
+            break
+    assert got == pytest.approx(target)
+
+
 # --- decontamination
 
 
