@@ -3,17 +3,28 @@
 A document fails the base rules if it has under 20 words or over 30 % of its
 words lie in repeated 8-word windows. The others are judged by the Mahalanobis
 distance of their transformed statistics from a minimum-covariance-determinant
-estimate of their (lang, source) group: a start at the coordinate-wise median
-and MAD, then concentration steps, each of which re-estimates mean and
-covariance from the 75 % of the group's documents nearest to the last estimate.
-Every step covers all documents: they are aggregated to (group, distance bin)
-moment sums, and only these reach the small per-group solver.
+(MCD) estimate of their (lang, source) group.
+
+The estimate of a group takes three deterministic starts (medians and quartile
+ranges; mean and covariance; medians and the covariance of directions), two
+concentration steps of each, and goes on from the one of the smallest determinant
+until that no longer falls. A step re-estimates mean and covariance from the 75 %
+of the group's documents nearest to the last estimate. All steps cover all
+documents: these are aggregated to (group, start, distance bin) moments, and only
+the moments reach the small per-group solver. A bin is 1/32 of a unit of log
+distance; the bin in which the 75 % end counts in part. Features are whole numbers
+(in 256ths), so the moments are exact and do not depend on row order.
+
+The scatter is made consistent for normal samples, and a group's estimate is
+blended with its language's, as that is with the one of all documents: each wider
+estimate counts like ``PRIOR`` documents, so a group of any size has an estimate.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -25,7 +36,8 @@ from lathe.llm.common import as_bytes, checkpoint, salted_join
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: Features of a document, and the least standard deviation that a group's estimate may have in each.
+#: Features of a document, and their tolerances: standard deviations added to a group's own, as groups
+#: may not vary at all in a feature. Nothing is rejected for being up to seven tolerances off in one feature alone.
 FEATURES = {
     "log_words": 0.25,
     "log_word_chars": 0.05,
@@ -36,15 +48,36 @@ FEATURES = {
 }
 P = len(FEATURES)
 X = [f"_x{i}" for i in range(P)]
-#: Median of the chi-square distribution with P = 6 degrees of freedom.
-CHI2_MEDIAN = 5.348
-#: Its 99.9 % quantile.
-CHI2_999 = 22.458
-#: Squared distance over which a document is rejected whatever the tail.
-MOST_CUT = 100.0
-SHARE, STEPS, LEAST_GROUP, BINS = 0.75, 3, 50, 8
-#: Parameters of up to this many groups (about 400 bytes each) are broadcast; more are joined by key.
-BROADCAST_GROUPS = 20_000
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+#: Features are rounded to this part of a unit.
+GRID = 256
+TOLERANCE = np.square(GRID * np.array(list(FEATURES.values())))
+#: Share of a group's documents that an estimate is made from, bins of a unit of log distance, most concentration steps.
+SHARE, BINS, STEPS = 0.75, 32, 10
+#: A document is rejected if one in so many of a normal sample were farther off: texts have heavier tails.
+ONE_IN = 1e9
+
+
+def chi2_tail(x: float, degrees: int) -> float:
+    """Upper tail of the chi-square distribution with an even number of degrees of freedom."""
+    return exp(-x / 2) * sum((x / 2) ** k / factorial(k) for k in range(degrees // 2))
+
+
+def chi2_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_tail(mid, degrees) > tail else (low, mid)
+    return low
+
+
+CUT = chi2_quantile(1 / ONE_IN, P)
+#: Factor that makes the covariance of the nearest SHARE of a normal sample consistent.
+CONSISTENCY = SHARE / (1 - chi2_tail(chi2_quantile(1 - SHARE, P), P + 2))
+#: Documents like which the next wider group's estimate counts.
+PRIOR = 50
+#: Parameters of up to this many groups (about 2 KB each) are broadcast; more are joined by key.
+BROADCAST_GROUPS = 5_000
 
 
 def repeat_words(words: list[bytes], window: int = 8) -> int:
@@ -92,8 +125,9 @@ def counts_of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def features() -> list[Column]:
+    """The statistics, transformed, in whole GRIDths."""
     n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    return [
+    found = [
         F.log1p("n_words"),
         F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))),
         F.asinh(10 * F.col("n_symbols") / n),
@@ -101,129 +135,154 @@ def features() -> list[Column]:
         F.sqrt(F.col("n_repeat_words") / n),
         F.log(F.greatest(F.col("n_words") / lines, F.lit(1.0))),
     ]
+    return [F.round(GRID * f).cast("bigint") for f in found]
 
 
-def _with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
-    params = checkpoint(params)
+def _with_params(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``params``, a checkpointed table of one row per ``_g``."""
     if params.count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(params), "_g")
-    return salted_join(rows, params, ["_g"], F.xxhash64("doc_id"))
+        return rows.join(F.broadcast(params), "_g", how)
+    return salted_join(rows, params, ["_g"], F.xxhash64(*X), how=how)
 
 
 def _distance() -> Column:
     d = [F.col(x) - F.col("mu")[i] for i, x in enumerate(X)]
-    terms = [F.col("prec")[i * P + j] * d[i] * d[j] * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P)]
+    terms = [F.col("prec")[i * P + j] * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in PAIRS]
     return sum(terms[1:], terms[0])
 
 
-def _solve(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(cov + np.diag(np.square(list(FEATURES.values()))))
+PARAMS = "_g string, s int, n double, mu array<double>, cov array<double>, prec array<double>, logdet double"
 
 
-PARAMS = "_g string, n bigint, mu array<double>, prec array<double>"
+def moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS]]
 
 
-def estimate(fit: DataFrame) -> DataFrame:
-    """(_g, n, mu, prec): the groups' robust centre and scaled inverse covariance from rows of _g and X."""
-    grid = lambda c: F.round(c * 32) / 32  # noqa: E731  exact percentiles of few distinct values
-    mids = checkpoint(fit.groupBy("_g").agg(F.count("*").alias("n"), F.array(*[F.percentile(grid(F.col(x)), 0.5) for x in X]).alias("mu")))
-    away = _with_params(fit, mids).groupBy("_g").agg(
-        F.first("n").alias("n"), F.first("mu").alias("mu"),
-        F.array(*[F.percentile(grid(F.abs(F.col(x) - F.col("mu")[i])), 0.5) for i, x in enumerate(X)]).alias("mad"),
-    )
-    zero = F.lit(0.0)
-    sd = list(FEATURES.values())
-    diagonal = [F.lit(1.0) / (F.pow(1.4826 * F.col("mad")[i], 2) + sd[i] ** 2) if i == j else zero for i in range(P) for j in range(P)]
-    params = away.select("_g", "n", "mu", F.array(*diagonal).alias("prec"))
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in pairs]
-
-    def by_distance(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series]:
+def symmetric(values: np.ndarray) -> np.ndarray:
+    """The matrix whose upper triangle is given row by row."""
+    out = np.zeros((P, P))
+    for (i, j), v in zip(PAIRS, values):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def mean_cov(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = sums / n
+    return mean, symmetric(squares / n) - np.outer(mean, mean)
+
+
+def _row(group: str, start: int, n: float, mean: np.ndarray, cov: np.ndarray) -> dict:
+    full = cov + np.diag(TOLERANCE)
+    return {"_g": group, "s": start, "n": n, "mu": mean, "cov": cov.ravel(), "prec": np.linalg.inv(full).ravel(), "logdet": np.linalg.slogdet(full)[1]}
+
+
+S_COLUMNS, Q_COLUMNS = [f"s{i}" for i in range(P)], [f"q{i}_{j}" for i, j in PAIRS]
+
+
+def first_estimates(fit: DataFrame) -> DataFrame:
+    """Three starts of every group: PARAMS rows whose n is the group's size and whose logdet is not yet a subset's."""
+    plain = checkpoint(fit.groupBy("_g").agg(*moments(), F.array(*[F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for x in X]).alias("quartiles")))
+    scale = lambda i: F.sqrt(F.pow((F.col("quartiles")[i][2] - F.col("quartiles")[i][0]) / 1.349, 2) + float(TOLERANCE[i]))
+    scaled = checkpoint(plain.select("_g", F.array(*[F.col("quartiles")[i][1] for i in range(P)]).alias("mid"), F.array(*[scale(i) for i in range(P)]).alias("scale")))
+    z = [(F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(X)]
+    length = F.sqrt(F.greatest(sum((c * c for c in z[1:]), z[0] * z[0]), F.lit(1e-18)))
+    # directions in 1024ths: exact sums again
+    unit = _with_params(fit, scaled).select("_g", *[F.round(1024 * c / length).cast("bigint").alias(x) for x, c in zip(X, z)])
+    unit = unit.groupBy("_g").agg(*[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"u{i}_{j}") for i, j in PAIRS])
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            mid, scale = np.array(r["mid"]), np.array(r["scale"])
+            mean, cov = mean_cov(r["n"], r[S_COLUMNS].to_numpy(np.float64), r[Q_COLUMNS].to_numpy(np.float64))
+            signs = symmetric(np.array([r[f"u{i}_{j}"] for i, j in PAIRS]) / (r["n"] * 1024.0**2)) * P
+            for s, (mu, c) in enumerate([(mid, np.diag(scale**2 - TOLERANCE)), (mean, cov), (mid, np.outer(scale, scale) * signs)]):
+                out.append(_row(r["_g"], s, float(r["n"]), mu, c) | {"logdet": np.inf})
+        return pd.DataFrame(out)
+
+    whole = plain.join(scaled, "_g").join(unit, "_g")
+    return whole.groupBy("_g").applyInPandas(starts, PARAMS)
+
+
+def concentrated(fit: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step of every start in ``params``: mean and covariance of the nearest SHARE of the group's documents."""
+    starts = checkpoint(params.groupBy("_g").agg(F.collect_list(F.struct("s", "mu", "prec")).alias("_starts")))
+    each = _with_params(fit, starts).select("_g", *X, F.explode("_starts").alias("p")).select("_g", *X, "p.*")
+    binned = each.withColumn("_bin", F.floor(BINS * F.log(F.greatest(_distance(), F.lit(1e-9)))).cast("int"))
+    binned = binned.groupBy("_g", "s", "_bin").agg(*moments())
+
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_bin", kind="stable")
-        return pdf, pdf["n"].cumsum()
-
-    def concentrate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, cum = by_distance(pdf)
-        n = int(pdf["n"].sum())
-        near = pdf[(cum - pdf["n"]) < SHARE * n]
-        h = near["n"].sum()
-        mean = near[[f"s{i}" for i in range(P)]].sum().to_numpy() / h
-        cov = np.zeros((P, P))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = near[f"q{i}_{j}"].sum() / h - mean[i] * mean[j]
-        return pd.DataFrame({"_g": [key[0]], "n": [n], "mu": [mean], "prec": [_solve(mean, cov).ravel()]})
-
-    def rescale(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The estimate stays; its scale makes the median distance at most that of a normal sample."""
-        pdf, cum = by_distance(pdf)
-        n = int(pdf["n"].sum())
-        row = pdf.iloc[int((cum >= 0.5 * n).to_numpy().argmax())]
-        scale = max(1.0, np.exp((row["_bin"] + 0.5) / BINS) / CHI2_MEDIAN)
-        return pd.DataFrame({"_g": [key[0]], "n": [n], "mu": [row["mu"]], "prec": [np.asarray(row["prec"]) / scale]})
-
-    for step in range(STEPS + 1):
-        last = step == STEPS
-        binned = _with_params(fit, params.drop("n")).withColumn("_bin", F.floor(BINS * F.log(F.greatest(_distance(), F.lit(1e-9)))).cast("int"))
-        extra = [F.first("mu").alias("mu"), F.first("prec").alias("prec")] if last else sums
-        params = binned.groupBy("_g", "_bin").agg(F.count("*").alias("n"), *extra).groupBy("_g").applyInPandas(rescale if last else concentrate, PARAMS)
-    return params
-
-
-def _known(params: DataFrame) -> DataFrame:
-    return checkpoint(params.where(F.col("n") >= LEAST_GROUP).select("_g", "mu", "prec"))
-
-
-def _of_every_group(fit: DataFrame) -> DataFrame:
-    """(_g, mu, prec) of every group: a small one has those of its language, or else of all documents."""
-    params = _known(estimate(fit.select("doc_id", "_g", *X)))
-    small = checkpoint(fit.groupBy("_g").agg(F.first("_l").alias("_l"), F.count("*").alias("n")).where(F.col("n") < LEAST_GROUP).drop("n"))
-    for wider in (F.col("_l"), F.lit("")):
-        if small.isEmpty():
+        n = pdf["n"].to_numpy(np.float64)
+        h = np.ceil(SHARE * n.sum())
+        weight = np.clip(h - (np.cumsum(n) - n), 0, n) / n  # 1 in the nearer bins, a part in the last one
+        return pd.DataFrame([_row(key[0], key[1], n.sum(), *mean_cov(h, weight @ pdf[S_COLUMNS].to_numpy(np.float64), weight @ pdf[Q_COLUMNS].to_numpy(np.float64)))])
+
+    return binned.groupBy("_g", "s").applyInPandas(step, PARAMS)
+
+
+def estimate(fit: DataFrame) -> DataFrame:
+    """The MCD estimate of every group: PARAMS rows from rows of _g and X. A step that lowers no determinant ends its group's search."""
+    current = checkpoint(concentrated(fit, checkpoint(concentrated(fit, first_estimates(fit)))))
+    lowest = F.min_by(F.struct("s", "n", "mu", "cov", "prec", "logdet"), F.struct("logdet", "s"))
+    current = checkpoint(current.groupBy("_g").agg(lowest.alias("p")).select("_g", "p.*"))
+    done = None
+    for _ in range(STEPS - 2):
+        after = checkpoint(concentrated(fit, current))
+        was = current.select("_g", F.col("logdet").alias("_was"))
+        fell = checkpoint(after.join(was, "_g").where(F.col("logdet") < F.col("_was") - 1e-9).drop("_was"))
+        rest = current.join(fell.select("_g"), "_g", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        current = fell
+        if current.isEmpty():
             break
-        needed = fit.withColumn("_g", wider).join(small.select(wider.alias("_g")).distinct(), "_g", "left_semi")
-        found = _known(estimate(needed.select("doc_id", "_g", *X))).withColumnRenamed("_g", "_wider")
-        joined = small.withColumn("_wider", wider).join(found, "_wider", "left")
-        params = params.unionByName(joined.where("mu is not null").select("_g", "mu", "prec"))
-        small = checkpoint(joined.where("mu is null").select("_g", "_l"))
-    return checkpoint(params)
+    return checkpoint(current if done is None else done.unionByName(current))
 
 
-def calibrated_cut(distances: DataFrame) -> float:
-    """Squared distance that one document in 1000 exceeds, by a log-normal tail through the median and upper quartile of ``distance``.
+def blended(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """``own`` estimates (with ``_wider``, the key of the wider one) as mixtures with PRIOR documents of the wider one's."""
 
-    Never under the chi-square quantile, and never over MOST_CUT, as outliers widen the quartile.
-    """
-    bins = F.floor(BINS * F.log(F.greatest(F.col("distance"), F.lit(1e-9)))).cast("int")
-    found = sorted(distances.groupBy(bins.alias("bin")).count().collect())
-    if not found:
-        return CHI2_999
-    cum = np.cumsum([n for _, n in found]) / sum(n for _, n in found)
-    middle, upper = (float(np.interp(q, cum, [(b + 1) / BINS for b, _ in found])) for q in (0.5, 0.75))
-    return min(MOST_CUT, max(CHI2_999, float(np.exp(middle + 3.0902 * (upper - middle) / 0.6745))))
+    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            w = SHARE * r["n"] / (SHARE * r["n"] + PRIOR)
+            mu, up = np.array(r["mu"]), np.array(r["wide_mu"])
+            cov, wide = (np.array(r[c]).reshape(P, P) for c in ("cov", "wide_cov"))
+            apart = mu - up
+            out.append(_row(r["_g"], r["s"], r["n"], w * mu + (1 - w) * up, w * cov + (1 - w) * wide + w * (1 - w) * np.outer(apart, apart)))
+        return pd.DataFrame(out)
+
+    wide = wider.select(F.col("_g").alias("_wider"), F.col("mu").alias("wide_mu"), F.col("cov").alias("wide_cov"))
+    return own.join(wide, "_wider").groupBy("_g").applyInPandas(mix, PARAMS)
 
 
-def judge(docs: DataFrame, cut: float | None = None) -> DataFrame:
+def group_estimates(fit: DataFrame) -> DataFrame:
+    """(_g, mu, prec) of every group of ``fit`` (_g, _l, X): of all documents, of each language blended with that, and of each group blended with its language's."""
+    levels = fit.select(F.explode(F.array(F.lit("*"), F.concat(F.lit("l "), "_l"), F.concat(F.lit("g "), "_g"))).alias("_g"), *X)
+    raw = estimate(levels).withColumn("cov", F.transform("cov", lambda c: c * CONSISTENCY))
+    every = raw.where("_g = '*'")
+    langs = checkpoint(blended(raw.where(F.col("_g").startswith("l ")).withColumn("_wider", F.lit("*")), every))
+    names = fit.groupBy("_g").agg(F.concat(F.lit("l "), F.first("_l")).alias("_wider"))
+    groups = raw.where(F.col("_g").startswith("g ")).withColumn("_g", F.substr("_g", F.lit(3)))
+    return checkpoint(blended(groups.join(names, "_g"), langs).select("_g", "mu", "prec"))
+
+
+def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept for every row of ``docs``.
 
     A null text has no words and fails the base rules. Null lang and source are
-    values of their own. Groups with fewer than 50 documents that pass the base
-    rules are judged by the estimate of their language, or else of all documents;
-    if those are under 50 too, distance is null and the documents are kept.
-    ``cut`` is the squared distance above which a document is rejected, by default
-    ``calibrated_cut`` of the distances of those that pass the base rules, as clean
-    texts have heavier tails than a normal sample. Repeated rows count each; an
-    empty table gives an empty result.
+    values of their own. Only documents that pass the base rules are used for
+    estimates; documents of groups without any have a null distance, and have
+    failed. ``cut`` is the squared distance above which a document is rejected,
+    by default a chi-square quantile.
+    Repeated rows count each; ties in distance fall in one bin; an empty table gives
+    an empty result; other columns are not read.
     """
     key = lambda *cs: F.concat(*[F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit("-")) for c in cs], F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key("lang", "source").alias("_g"), key("lang").alias("_l"), F.arrow_udf(counts_of, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(F.col("text").cast("string")).alias("c")).select("doc_id", "_g", "_l", "c.*")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed).select("*", *[f.alias(x) for f, x in zip(features(), X)]))
-    params = _of_every_group(rows.where(~F.col("base_failed")))
-    if params.count() <= BROADCAST_GROUPS:
-        judged = rows.join(F.broadcast(params), "_g", "left")
-    else:
-        judged = salted_join(rows, params, ["_g"], F.xxhash64("doc_id"), how="left")
-    judged = judged.withColumn("distance", _distance())
-    cut = calibrated_cut(judged.where(~F.col("base_failed") & F.col("distance").isNotNull())) if cut is None else cut
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
+    params = group_estimates(rows.where(~F.col("base_failed")).select("_g", "_l", *X))
+    judged = _with_params(rows, params, "left").withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & (F.col("distance") <= cut)
     return judged.select("doc_id", *COUNTS, "base_failed", "distance", kept.alias("kept"))

@@ -598,13 +598,49 @@ def test_quality(spark):
     assert np.mean([r.kept for r in passed]) > 0.98 and not any(rows[len(texts) - k].kept for k in (2, 3, 4)) and not any(r.kept for r in rows.values() if r.base_failed)
 
 
-def test_small_groups_are_kept(spark):
+def test_every_group_has_an_estimate(spark):
     rng = random.Random(7)
     rows = quality.judge(documents(spark, [prose(rng, 50) for _ in range(9)])).collect()
-    assert all(r.kept and r.distance is None for r in rows)
+    assert all(r.kept and r.distance is not None for r in rows if not r.base_failed)
     assert quality.judge(documents(spark, [])).count() == 0
 
 
+def mcd_brute(x, rng, starts=400):
+    """Least determinant, over many random starts, of the covariance of the nearest 75 % to a fixed point of concentration steps."""
+    h, best = int(np.ceil(0.75 * len(x))), None
+    for _ in range(starts):
+        near = rng.choice(len(x), quality.P + 1, replace=False)
+        last = np.inf
+        while True:
+            mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + np.diag(quality.TOLERANCE)
+            logdet = np.linalg.slogdet(cov)[1]
+            if len(near) == h and logdet >= last - 1e-12:
+                break
+            last = logdet if len(near) == h else np.inf
+            d = x - mean
+            near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]
+        best = last if best is None else min(best, last)
+    return best
+
+
+def test_determinants_against_many_starts(spark):
+    rng = np.random.default_rng(3)
+    groups = {"round": rng.normal(0, 200, (80, 6)), "long": rng.normal(0, 1, (120, 6)) @ rng.normal(0, 200, (6, 6)), "mixed": np.concatenate([rng.normal(0, 150, (100, 6)), rng.normal(900, 60, (30, 6))])}
+    rows = [(g, *map(int, r)) for g, x in groups.items() for r in np.round(x)]
+    fit = spark.createDataFrame(rows, "_g string, " + ", ".join(f"{x} long" for x in quality.X))
+    found = {r._g: r for r in quality.estimate(fit).collect()}
+    for g, x in groups.items():
+        assert found[g].logdet <= mcd_brute(np.round(x), rng) + 0.1  # the last bin counts in part
+    assert np.linalg.norm(np.array(found["mixed"].mu)) < 150  # not drawn to the cluster
+    again = {r._g: r for r in quality.estimate(fit.repartition(7)).collect()}
+    assert again == found  # to the last bit
+
+
+def test_blending_and_cut():
+    assert quality.CUT == pytest.approx(53.3445, abs=1e-3) and quality.CONSISTENCY == pytest.approx(1.3616, abs=1e-3)
+    assert quality.chi2_quantile(0.001, 6) == pytest.approx(22.4577, abs=1e-3)
+
+
 def test_quality_rejects_outliers_in_large_and_small_groups(spark):
     rng = random.Random(8)
 
