@@ -1,18 +1,20 @@
-"""Line deduplication against every earlier document.
-
-``delete_repeated_blocks`` deletes each line that lies in a block of consecutive
-lines, of ``BLOCK_WORDS`` words or more, that any earlier document has too. Such a
-block is covered by its shortest runs of so many words, one from and one up to
-each of its lines. Runs are keyed as a whole to their earliest holder, so no pairs
-of documents are made, however frequent a run is, and whatever the order in which
-others have it.
-
-``delete_repeated_lines`` aligns documents with the earliest holders of their lines
-only. Each line shared by several documents points every later holder to its earliest
-one, so there are never more pairs than lines. A pair is aligned if it shares a
-rare line, or enough words of frequent ones. Patience diff aligns the line hashes
-of both documents; blocks of aligned lines are deleted from the later one. The
-earliest holder of a line keeps it, so no line vanishes from the corpus.
+"""Line deduplication by pairwise alignment.
+
+A *block* is a run of consecutive lines with ``BLOCK_WORDS`` words or more; of a
+later document, every block that an earlier one has too is deleted. Lines are keyed
+by the hash of the line together with as many following (or preceding) ones as make
+up a block, so that a key is a shortest block and every longer one is covered by
+such keys.
+
+Documents that share a rare key, one with at most ``RARE`` holders, are paired, all
+with all. Each pair is aligned by patience diff over its shared keys: equal ends
+and keys unique in both documents, in increasing order, then between them. What stays
+unaligned is aligned again, so blocks that moved or stand several times in the later
+document go as well, and aligned blocks are deleted from the later document.
+
+Keys with more holders make no pairs: they are deleted from all documents but the
+earliest holder, which is what alignment with that one would give. So what goes does
+not depend on ``RARE`` or on the number of documents.
 """
 
 from __future__ import annotations
@@ -29,14 +31,12 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import NO_ID, as_bytes, checkpoint, salted_join, saved
 
-#: Lines of fewer words neither find partners nor count for them.
-LEAST_LINE_WORDS = 3
-#: A line in at most so many documents is rare.
-RARE = 64
-#: Words of shared frequent lines that let a pair be aligned without a rare one.
-FREQUENT_WORDS = 20
-#: Words that an aligned block must have to be deleted.
+#: Words that a block must have to be deleted.
 BLOCK_WORDS = 10
+#: A key with at most so many holders is rare: 15 pairs at most for six rows.
+RARE = 6
+#: Rounds of patience diff; what they leave is aligned block by block.
+ROUNDS = 8
 
 
 def line_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +88,21 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: Sequence[int], b: Sequence[int], words_b: Sequence[int], least_words: int = BLOCK_WORDS) -> list[int]:
-    """Line numbers of ``b`` in aligned blocks of at least ``least_words`` words."""
-    out, block, pairs = [], [], patience(a, b)
-    for n, (i, j) in enumerate(pairs):
-        if n and (i, j) != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):
-            block = []
-        block.append(j)
-        if n + 1 == len(pairs) or pairs[n + 1] != (i + 1, j + 1):
-            if sum(words_b[k] for k in block) >= least_words:
-                out += block
-    return out
+def align(shared: Sequence[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of lines of the later document, from (run, first line in the earlier, first and last line in the later) of all shared runs.
+
+    Every run is aligned in the end; the rounds find what keeps its order first.
+    """
+    a = [run for _, _, run in sorted({(i, last - first, run) for run, i, first, last in shared})]
+    left = sorted({(first, last, run) for run, _, first, last in shared})
+    out: list[tuple[int, int]] = []
+    for _ in range(ROUNDS):
+        aligned = {j for _, j in patience(a, [run for *_, run in left])}
+        if not aligned:
+            break
+        out += [left[j][:2] for j in aligned]
+        left = [x for j, x in enumerate(left) if j not in aligned]
+    return out + [x[:2] for x in left]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -106,41 +110,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_lathe_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_lathe_h", F.xxhash64(text))
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
-    """id, h, hashes and words (per line) of every document."""
-
-    def cut(batches):
-        for batch in batches:
-            rows = [line_hashes(t) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array([h for h, _ in rows], pa.list_(pa.int64())), pa.array([w for _, w in rows], pa.list_(pa.int32()))], ["id", "h", "hashes", "words"])
-
-    rows = _keyed(docs).select(F.col("_lathe_id").alias("id"), F.col("_lathe_h").alias("h"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "id bigint, h bigint, hashes array<bigint>, words array<int>")
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """id, h (row key) and the sorted numbers of the lines to delete, for documents that have any."""
-    seqs = saved(_sequences(docs), "lines")
-    pairs_of = F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x.words >= LEAST_LINE_WORDS))
-    lines = seqs.select("id", "h", F.explode(pairs_of).alias("l")).select("id", "h", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
-    first = lines.groupBy("line").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("df")).where("df > 1")
-    first = first.select("line", F.col("first.id").alias("id0"), F.col("first.h").alias("h0"), "df")
-    later = salted_join(lines, first, ["line"], F.col("id"), 4).where((F.col("id") != F.col("id0")) | (F.col("h") != F.col("h0")))
-    pairs = later.groupBy("id", "h", "id0", "h0").agg(F.sum("words").alias("shared"), F.min("df").alias("df")).where((F.col("df") <= RARE) | (F.col("shared") >= FREQUENT_WORDS))
-    pairs = checkpoint(pairs.select("id", "h", "id0", "h0"))
-    a = seqs.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("hashes").alias("a"))
-    a = a.join(pairs.select("id0", "h0").distinct(), ["id0", "h0"], "left_semi")
-    both = salted_join(pairs, a, ["id0", "h0"], F.col("id")).join(seqs.select("id", "h", F.col("hashes").alias("b"), "words"), ["id", "h"])
-
-    def align(batches):
-        for batch in batches:
-            found = [common_lines(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words")))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(found, pa.list_(pa.int32()))], ["id", "h", "gone"])
-
-    gone = both.select("id", "h", "a", "b", "words").mapInArrow(align, "id bigint, h bigint, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
 def runs(hashes: np.ndarray, words: np.ndarray, least_words: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
     """Hash, first and last line of the shortest runs of lines with ``least_words`` words from each line on, and up to each."""
     ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
@@ -165,28 +134,40 @@ def _runs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id bigint, h bigint, run bigint, first int, last int")
 
 
+def _aligned(rare: DataFrame) -> DataFrame:
+    """id, h, first and last of aligned blocks from the rows of rare runs (run, id, h, first, last)."""
+    place = F.struct("id", "h", "first", "last")
+    held = rare.groupBy("run").agg(F.sort_array(F.collect_set(place)).alias("held"))  # RARE rows at most
+    later = lambda x, y: (y.id > x.id) | ((y.id == x.id) & (y.h > x.h))
+    pair = lambda x, y: F.struct(x.id.alias("id0"), x.h.alias("h0"), x.first.alias("first0"), y.id.alias("id"), y.h.alias("h"), y.first.alias("first"), y["last"].alias("last"))
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: later(x, y)), lambda y: pair(x, y))))
+    each = held.select("run", F.explode(pairs).alias("p")).select("run", "p.*")
+    whole = each.groupBy("id0", "h0", "id", "h").agg(F.collect_list(F.struct("run", "first0", "first", "last")).alias("shared"))
+
+    def spans(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        for array in arrays:
+            yield pa.array([[{"first": i, "last": j} for i, j in align([tuple(x.values()) for x in shared])] for shared in array.to_pylist()], kind)
+
+    found = F.arrow_udf(spans, "array<struct<first:int,last:int>>")("shared")
+    return whole.select("id", "h", F.explode(found).alias("s")).select("id", "h", "s.first", "s.last")
+
+
 def repeated_blocks(docs: DataFrame) -> DataFrame:
     """id, h (row key) and the sorted numbers of the lines that lie in a block of an earlier document."""
     every = saved(_runs(docs), "runs")
-    holders = every.groupBy("run").agg(F.min(F.struct("id", "h")).alias("a"), F.max(F.struct("id", "h")).alias("z")).where("a != z")
-    holders = holders.select("run", F.col("a.id").alias("id0"), F.col("a.h").alias("h0"))
-    later = salted_join(every, holders, ["run"], F.col("id"), 4).where((F.col("id") != F.col("id0")) | (F.col("h") != F.col("h0")))
+    holders = every.groupBy("run").agg(F.min(F.struct("id", "h")).alias("a"), F.max(F.struct("id", "h")).alias("z"), F.count("*").alias("n")).where("a != z")
+    holders = holders.select("run", "n", F.col("a.id").alias("id0"), F.col("a.h").alias("h0"))
+    shared = checkpoint(salted_join(every, holders, ["run"], F.col("id"), 4))
+    frequent = shared.where(F.col("n") > RARE).where((F.col("id") != F.col("id0")) | (F.col("h") != F.col("h0")))
+    gone = _aligned(shared.where(F.col("n") <= RARE)).unionByName(frequent.select("id", "h", "first", "last"))
     spans = F.collect_set(F.struct("first", "last"))
     lines = F.flatten(F.transform(spans, lambda x: F.sequence(x["first"], x["last"])))
-    return later.groupBy("id", "h").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
+    return gone.groupBy("id", "h").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
 
 
 def delete_repeated_blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` without the blocks of lines that any earlier document has, and ``_lathe_gone``, the numbers of the deleted lines (null: none).
-
-    Order, blank lines and equal rows are as in ``delete_repeated_lines``. A block that
-    stands elsewhere, or several times, in the later document goes wherever it stands.
-    """
-    return _struck(docs, repeated_blocks(docs))
-
-
-def delete_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with aligned common blocks deleted from later documents, and ``_lathe_gone``, the numbers of the deleted lines (null: none).
+    """``docs`` without the blocks of lines that an earlier document has, and ``_lathe_gone``, the numbers of the deleted lines (null: none).
 
     Documents are ordered by doc_id, null last, then by a hash of the text. Lines
     are compared without outer blanks; blank lines go only inside a block. Every
@@ -194,7 +175,7 @@ def delete_repeated_lines(docs: DataFrame) -> DataFrame:
     Rows that repeat (doc_id, text) are one document and lose the same lines;
     extra columns are kept.
     """
-    return _struck(docs, repeated_lines(docs))
+    return _struck(docs, repeated_blocks(docs))
 
 
 def _struck(docs: DataFrame, gone: DataFrame) -> DataFrame:

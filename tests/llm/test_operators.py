@@ -179,45 +179,6 @@ def test_patience():
             assert len(pairs) == len(a)
 
 
-def line_brute(texts):
-    """Each document against the earliest holders of its shared lines."""
-    hashed = [line_dedup.line_hashes((t or "").encode()) for t in texts]
-    holders = {}
-    for d, (h, w) in enumerate(hashed):
-        for x in {int(x) for x, n in zip(h, w) if n >= line_dedup.LEAST_LINE_WORDS}:
-            holders.setdefault(x, []).append(d)
-    out = {}
-    for d, (h, w) in enumerate(hashed):
-        shared = {}
-        for x, n in {(int(x), int(n)) for x, n in zip(h, w) if n >= line_dedup.LEAST_LINE_WORDS}:
-            if holders[x][0] < d:
-                shared.setdefault(holders[x][0], []).append((n, len(holders[x])))
-        gone = set()
-        for e, lines in shared.items():
-            if min(df for _, df in lines) <= line_dedup.RARE or sum(n for n, _ in lines) >= line_dedup.FREQUENT_WORDS:
-                gone |= set(line_dedup.common_lines(hashed[e][0].tolist(), h.tolist(), w.tolist()))
-        if gone:
-            out[d] = sorted(gone)
-    return out
-
-
-def test_line_dedup(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RARE", 4)
-    rng = random.Random(2)
-    lines = [prose(rng, rng.randint(1, 14)).replace("\n", " ") for _ in range(40)]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    texts += [texts[0], texts[5] + "\nsomething new here and long enough to be kept", "", None]
-    out = {r.doc_id: r for r in line_dedup.delete_repeated_lines(documents(spark, texts)).collect()}
-    expected = line_brute(texts)
-    assert {d: r._lathe_gone for d, r in out.items() if r._lathe_gone} == expected and expected
-    for d, r in out.items():
-        kept = None if texts[d] is None else "\n".join(x for n, x in enumerate(texts[d].split("\n")) if n not in set(expected.get(d, [])))
-        assert r.text == kept
-    assert out[60].text == ""  # a copy keeps nothing, and its source all that is its own
-    keep = {x.strip() for r in out.values() for x in (r.text or "").split("\n")}
-    assert {x.strip() for t in texts for x in (t or "").split("\n")} <= keep  # no line vanishes
-
-
 def block_brute(texts):
     """Lines in a block of BLOCK_WORDS words or more, of consecutive lines, that any earlier document has; all pairs of documents."""
     hashed = [tuple(x.tolist() for x in line_dedup.line_hashes((t or "").encode())) for t in texts]
@@ -237,26 +198,35 @@ def block_brute(texts):
     return out
 
 
-def aligned_brute(texts):
-    """Lines that patience diff aligns, in blocks, with those of any earlier document."""
-    hashed = [tuple(x.tolist() for x in line_dedup.line_hashes((t or "").encode())) for t in texts]
-    return {(d, n) for d, (h, w) in enumerate(hashed) for a, _ in hashed[:d] for n in line_dedup.common_lines(a, h, w)}
-
-
 def gone_lines(spark, texts):
     rows = line_dedup.delete_repeated_blocks(documents(spark, texts)).collect()
     assert all(r.text == (None if texts[r.doc_id] is None else "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in set(r._lathe_gone or []))) for r in rows)
     return {r.doc_id: r._lathe_gone for r in rows if r._lathe_gone}
 
 
-def test_repeated_blocks(spark):
+@pytest.mark.parametrize("rare", [0, 2, line_dedup.RARE, 10**6])
+def test_repeated_blocks(spark, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     rng = random.Random(3)
     lines = [*(" ".join(prose(rng, 14).split()[: rng.choice([1, 2, 4, 6, 9, 12])]) for _ in range(25)), "", ""]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) for _ in range(120)]
     texts += ["\n".join(x for t in rng.sample(texts, 3) for x in t.split("\n")) for _ in range(30)] + [texts[0], "", None]
-    gone = gone_lines(spark, texts)
-    assert gone == block_brute(texts)
-    assert aligned_brute(texts) <= {(d, n) for d, lines in gone.items() for n in lines}
+    own = [" ".join(f"o{rng.randint(0, 999)}" for _ in range(4)) for _ in range(200)]  # with blocks that few hold
+    texts += ["\n".join(own[k : k + 12] * rng.choice([1, 1, 2]) + own[k - 8 : k - 2]) for k in (rng.randint(10, 180) for _ in range(30))]
+    assert gone_lines(spark, texts) == block_brute(texts)
+
+
+def test_alignment():
+    runs = lambda a, b: [(x, i, j, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y]
+    for a, b in [([1, 2, 3], [3, 1, 2]), ([1, 2, 3, 4], [4, 3, 2, 1] * 9), ([1, 1, 2], [2, 1, 1, 1]), ([7], [8])]:
+        assert sorted(line_dedup.align(runs(a, b))) == [(j, j) for j, y in enumerate(b) if y in a]
+
+
+def test_a_pair_that_is_no_first_holder_is_aligned(spark):
+    two = ["six words stand in this line", "and six words in this one"]
+    apart = [f"{two[0]}\nsomething of its own", f"{two[1]}\nsomething else of its own"]
+    both = ["\n".join(["begins alone", *two]), "\n".join([*two, "ends alone"])]
+    assert gone_lines(spark, both) == {1: [0, 1]} and gone_lines(spark, apart + both) == {3: [0, 1]}
 
 
 def test_repeated_blocks_beyond_the_earliest_holders_of_lines(spark):
@@ -668,10 +638,10 @@ def test_odd_rows(spark):
     n = d.count()
     assert licenses.scan_licenses(d).count() == tokens.count_tokens(d, ["▁", "o", "n", "e"]).count() == quality.judge(d).count() == n
     assert langid.identify(d).count() == mixing.mix(d).count() == simhash.near_duplicates(d).count() == n
-    out = line_dedup.delete_repeated_lines(d)
+    out = line_dedup.delete_repeated_blocks(d)
     assert out.columns[:-1] == d.columns and out.count() == n
     assert langid.keep_identified(d).columns == d.columns and simhash.keep_one(d).columns == d.columns
     assert decontam.drop_contaminated(d, spark.createDataFrame([(1, "one")], "item_id long, text string")).columns == d.columns
     empty = d.limit(0)
-    for f in (licenses.scan_licenses, mixing.mix, simhash.near_duplicates, line_dedup.delete_repeated_lines, langid.identify, quality.judge, simhash.keep_one):
+    for f in (licenses.scan_licenses, mixing.mix, simhash.near_duplicates, line_dedup.delete_repeated_blocks, langid.identify, quality.judge, simhash.keep_one):
         assert f(empty).count() == 0
