@@ -392,20 +392,66 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_archives_are_valid(spark, tmp_path):
+    import gzip
+
+    rows = [(i, f"http://h{i % 5}.example.com/é{i}", f"<p>{i % 7} é" * (1 + i % 5)) for i in range(150)] + [(200, None, None), (201, "u", "x" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = str(tmp_path / "a")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "left-by-a-failed-attempt.warc.gz").write_bytes(b"half a rec")
+    warc.write_archives(pages, archive, file_bytes=2000)
+    files = sorted((tmp_path / "a").glob("*.warc.gz"))
+    assert len(files) > 3 and not (tmp_path / "a" / "left-by-a-failed-attempt.warc.gz").exists()
+    seen = {}
+    for f in files:
+        rest, kinds = gzip.decompress(f.read_bytes()), []
+        while rest:
+            head, _, body = rest.partition(b"\r\n\r\n")
+            headers = warc.parse_headers(head + b"\r\n\r\n")
+            n = int(headers["Content-Length"])
+            assert rest.startswith(b"WARC/1.1\r\n") and body[n : n + 4] == b"\r\n\r\n"
+            kinds.append(headers["WARC-Type"])
+            if kinds[-1] != "warcinfo":
+                seen[headers["WARC-Record-ID"]] = headers
+            rest = body[n + 4 :]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
+    assert len(seen) == len(rows)
+    revisits = [h for h in seen.values() if h["WARC-Type"] == "revisit"]
+    assert revisits and all(seen[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and seen[h["WARC-Refers-To"]]["WARC-Type"] == "response" for h in revisits)
+    assert not any(x.startswith("X-") for h in seen.values() for x in h)
+
+
 def test_index_lookups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "LINES", 5)
-    monkeypatch.setattr(warc, "TOP", 4)
+    monkeypatch.setattr(warc, "SEGMENT", 3)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 20)
     rows = [(i, f"http://h{i % 7}.example.com/p{i % 11}", f"<p>{i}") for i in range(120)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows + rows[:1] * 17, "page_id long, url string, html string")  # captures of one key span blocks and directories
     archive, index = str(tmp_path / "a"), str(tmp_path / "i")
     warc.write_archives(pages, archive)
     warc.build_index(spark, archive, index)
-    wanted = pages.where("page_id % 3 = 0").select(warc.page_key().alias("key")).union(spark.createDataFrame([("com,nowhere)/\t1",)], "key string"))
-    places = warc.lookup(spark, wanted, index).collect()
-    assert len(places) == 40
-    for p in places[:5]:
-        headers, body = warc.read_range(spark, p.path, p.offset, p.length)
-        assert headers["X-Page-Key"] == p.key and body.decode() == "<p>" + p.key.rsplit("\t")[-1]
+    wanted = pages.where("page_id % 3 = 0").select(warc.page_key().alias("key")).union(spark.createDataFrame([("com,nowhere)/\t1",), (None,), ("\t",), ("zz)/\t3",)], "key string"))
+    places = warc.lookup(spark, wanted, index)
+    rows = places.collect()
+    assert len(rows) == 40 + 17 and len({tuple(r) for r in rows}) == 57
+    got = warc.fetch(spark, places).collect()
+    assert sorted(r.key for r in got) == sorted(r.key for r in rows)
+    assert all(r.payload.decode() == "<p>" + r.key.rsplit("\t")[-1] for r in got if r.record_type == "response")
+    plan = places._jdf.queryExecution().toString() + warc.fetch(spark, places)._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and "content#" not in plan  # ranges only
+
+
+def test_members_of_a_stream():
+    import gzip
+    import io
+
+    parts = [b"WARC/1.1\r\nA: b\r\n\r\n" + bytes(n) for n in (0, 5, 3 * warc.CHUNK, 7)]
+    packed = [gzip.compress(p) for p in parts]
+    found = list(warc.members(io.BytesIO(b"".join(packed))))
+    assert [(a, n) for a, n, _ in found] == [(sum(map(len, packed[:i])), len(packed[i])) for i in range(4)] and all(h.startswith(b"WARC") for *_, h in found)
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(b"".join(packed)[:-5])))
 
 
 @pytest.mark.parametrize("url, key", [("http://www.A.com:80/x?y#z", "com,a,www:80)/x?y"), ("a.b", "b,a)/"), (None, ")/"), ("https://u:p@h.org/é", "org,h)/%C3%A9")])
