@@ -44,11 +44,16 @@ def plain(text: bytes | None) -> bytes:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
+    """The session's shared folder (``spark.checkpoint.dir``), or the checkpoint folder that the application has set.
+
+    Without either a session on one machine gets a temporary folder, and a cluster an error.
+    """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and (sc.master == "local" or sc.master.startswith("local[")):
+        folder = tempfile.mkdtemp(prefix="lathe-")
     if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lathe-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -60,6 +65,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row key: ``_lathe_id``, the doc_id (null last), and ``_lathe_h``, a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.withColumn("_lathe_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_lathe_h", F.xxhash64(text))
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salt: Column, n: int = 8, how: str = "inner") -> DataFrame:
     """Equi-join whose ``right`` has one row per key and whose ``left`` may be skewed.
 

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import as_bytes, plain
+from lathe.llm.common import as_bytes, checkpoint, keyed, plain, saved
 
+SPANS = "array<struct<first:bigint,last:bigint>>"
 HIT = "struct<n_words:bigint,n_hit:bigint,item_ids:array<bigint>,spans:array<struct<first:bigint,last:bigint>>>"
 
 
@@ -115,19 +116,19 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, max_patterns: int) -> list[dict[bytes, list[int]]]:
-    """The benchmark's windows in blocks of about ``max_patterns``; a benchmark is a stated query set."""
-    windows = item_windows(benchmark, window).cache()
-    n = windows.select("pattern").distinct().count()
-    blocks = max(1, -(-n // max_patterns))
-    out = []
-    for b in range(blocks):
-        owners: dict[bytes, list[int]] = defaultdict(list)
-        for row in windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).toLocalIterator():
-            owners[bytes(row.pattern)] += [] if row.item_id is None else [row.item_id]
-        out.append(dict(owners))
-    windows.unpersist()
-    return out
+def pattern_blocks(benchmark: DataFrame, window: int, max_patterns: int) -> tuple[int, Iterator[dict[bytes, list[int]]]]:
+    """The number of blocks of about ``max_patterns`` windows, and the blocks, of which the driver holds one at a time."""
+    windows = checkpoint(item_windows(benchmark, window))
+    blocks = max(1, -(-windows.select("pattern").distinct().count() // max_patterns))
+
+    def each() -> Iterator[dict[bytes, list[int]]]:
+        for b in range(blocks):
+            owners: dict[bytes, list[int]] = defaultdict(list)
+            for row in windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).toLocalIterator():
+                owners[bytes(row.pattern)] += [] if row.item_id is None else [row.item_id]
+            yield dict(owners)
+
+    return blocks, each()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_patterns: int = 200_000) -> DataFrame:
@@ -136,38 +137,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     A null or empty text has no words and no hits; an item without words has no
     window; a null item_id marks words but is not listed; repeated items count
     once; repeated documents each get a row. An existing column named
-    ``contamination`` is replaced. Patterns beyond ``max_patterns`` are searched
-    in further blocks over all documents, one after the other, so that no worker
-    holds more than one block.
+    ``contamination`` is replaced. A benchmark of more than ``max_patterns`` windows
+    is searched in blocks, one job after the other over all documents; the hits of
+    each are saved, and neither the driver nor a worker holds more than one block.
     """
-    spark, first, out = docs.sparkSession, True, docs
-    for owners in pattern_blocks(benchmark, window, max_patterns):
-        found = matcher(owners, spark)(F.col("text").cast("string"))
-        if first:
-            out, first = out.withColumn("contamination", found), False
-            continue
-        out = out.withColumn("_next", found)
-        a, b = F.col("contamination"), F.col("_next")
-        spans = _union_column(F.concat(a.spans, b.spans))
-        out = out.withColumn("_spans", spans).withColumn("contamination", F.struct(
-            a.n_words.alias("n_words"),
-            F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, s: n + s.last - s.first + 1).alias("n_hit"),
-            F.array_sort(F.array_union(a.item_ids, b.item_ids)).alias("item_ids"),
-            F.col("_spans").alias("spans"),
-        )).drop("_next", "_spans")
-    return out
+    text = F.col("text").cast("string")
+    n, blocks = pattern_blocks(benchmark, window, max_patterns)
+    if n == 1:
+        return docs.withColumn("contamination", matcher(next(blocks), docs.sparkSession)(text))
+    rows, hits = keyed(docs.select("doc_id", "text")), None
+    for owners in blocks:
+        found = rows.select("_lathe_id", "_lathe_h", matcher(owners, docs.sparkSession)(text).alias("c")).where("c.n_hit > 0")
+        found = saved(found.dropDuplicates(["_lathe_id", "_lathe_h"]), "contamination")
+        owners.clear()
+        hits = found if hits is None else hits.unionByName(found)
+    every = lambda f: F.flatten(F.collect_list(f"c.{f}"))  # noqa: E731  of one block each
+    hits = hits.groupBy("_lathe_id", "_lathe_h").agg(F.array_sort(F.array_distinct(every("item_ids"))).alias("_items"), _union_column(every("spans")).alias("_spans"))
+    spans = F.coalesce("_spans", F.array().cast(SPANS))
+    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s.last - s.first + 1)
+    contamination = F.struct(count_words(text).alias("n_words"), n_hit.alias("n_hit"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("item_ids"), spans.alias("spans"))
+    others = [c for c in docs.columns if c != "contamination"]
+    return keyed(docs).join(hits, ["_lathe_id", "_lathe_h"], "left").select(*others, contamination.alias("contamination"))
+
+
+def count_words(text: Column) -> Column:
+    """Number of plain words."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
 
 
 def _union_column(spans: Column) -> Column:
     """Merge an array of inclusive spans into disjoint ones."""
-    span = "array<struct<first:bigint,last:bigint>>"
-
     def put(acc, s):
         last = F.element_at(acc, -1)
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.first.alias("first"), F.greatest(last.last, s.last).alias("last"))))
         return F.when((F.size(acc) > 0) & (s.first <= F.try_element_at(acc, F.lit(-1)).last + 1), joined).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(span), put)
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), put)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import NO_ID, as_bytes, checkpoint, salted_join, saved
+from lathe.llm.common import as_bytes, checkpoint, keyed, salted_join, saved
 
 #: Words that a block must have to be deleted.
 BLOCK_WORDS = 10
@@ -105,11 +105,6 @@ def align(shared: Sequence[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     return out + [x[:2] for x in left]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.withColumn("_lathe_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_lathe_h", F.xxhash64(text))
-
-
 def runs(hashes: np.ndarray, words: np.ndarray, least_words: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
     """Hash, first and last line of the shortest runs of lines with ``least_words`` words from each line on, and up to each."""
     ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
@@ -130,7 +125,7 @@ def _runs(docs: DataFrame) -> DataFrame:
             run, first, last = (np.array([x[k] for row in rows for x in row], np.uint64 if k == 0 else np.int32) for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(run.view(np.int64)), pa.array(first), pa.array(last)], ["id", "h", "run", "first", "last"])
 
-    rows = _keyed(docs).select(F.col("_lathe_id").alias("id"), F.col("_lathe_h").alias("h"), F.col("text").cast("string").alias("text"))
+    rows = keyed(docs).select(F.col("_lathe_id").alias("id"), F.col("_lathe_h").alias("h"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, "id bigint, h bigint, run bigint, first int, last int")
 
 
@@ -192,7 +187,7 @@ def _struck(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.array(out, pa.string())
 
-    joined = _keyed(docs).join(gone, ["_lathe_id", "_lathe_h"], "left")
+    joined = keyed(docs).join(gone, ["_lathe_id", "_lathe_h"], "left")
     hit = F.col("_lathe_gone").isNotNull()
     struck = F.arrow_udf(strike, "string")(F.when(hit, F.col("text").cast("string")), "_lathe_gone")
     return joined.withColumn("text", F.when(hit, struck).otherwise(F.col("text"))).select(*docs.columns, "_lathe_gone")

@@ -563,13 +563,18 @@ def hits(text, items, window=10):
     return len(words), len(covered), sorted(found)
 
 
-@pytest.mark.parametrize("block", [10**6, 7])
+@pytest.mark.parametrize("block", [10**6, 30])
 def test_decontamination(spark, block):
     rng = random.Random(8)
     items = [(i, prose(rng, rng.choice([1, 2, 4, 10, 12, 30]))) for i in range(12)] + [(3, "alpha beta"), (None, "x1 x1 zeta"), (50, None), (51, "!!")]
     texts = [prose(rng, rng.randint(0, 40)) + rng.choice(["", " ", "-"]) + (rng.choice(items)[1] or "").upper() + " " + prose(rng, 10) for _ in range(60)] + [None, ""]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.find_contamination(documents(spark, texts), bench, max_patterns=block).collect()
+    n, blocks = decontam.pattern_blocks(bench, 10, block)
+    assert all(0 < len(b) < block for b in blocks) if n == 1 else n > 3 and sum(map(len, blocks)) > 90
+    found = decontam.find_contamination(documents(spark, texts).withColumn("contamination", F.lit("clash")), bench, max_patterns=block)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == (n == 1)  # no plan holds two matchers
+    out = found.collect()
+    assert len(out) == len(texts)
     for r in out:
         c = r.contamination
         assert (c.n_words, c.n_hit, c.item_ids) == hits(texts[r.doc_id], items)
