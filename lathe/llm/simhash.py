@@ -137,8 +137,10 @@ def link(fps: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1).view(np.int64), axis=0) if near.any() else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    blocks = fps.select("fp").mapInArrow(emit, "part int, variants binary, codes binary")
-    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(meet, "a bigint, b bigint").distinct()
+    # a fingerprint grows some 700-fold: spread them first, so that a task emits about one block
+    spread = fps.select("fp").repartition(parts)
+    blocks = spread.mapInArrow(emit, "part int, variants binary, codes binary")
+    return blocks.repartitionById(parts, "part").groupBy("part").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
