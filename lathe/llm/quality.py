@@ -6,9 +6,9 @@ distance of their transformed statistics from a minimum-covariance-determinant
 (MCD) estimate of their (lang, source) group.
 
 The estimate of a group takes three deterministic starts (medians and quartile
-ranges; mean and covariance; medians and the covariance of directions), two
-concentration steps of each, and goes on from the one of the smallest determinant
-until that no longer falls. A step re-estimates mean and covariance from the 75 %
+ranges; mean and covariance; medians and the covariance of directions), makes two
+concentration steps of each and four more of the one whose determinant is smallest,
+and keeps the estimate of the smallest determinant of all. A step re-estimates mean and covariance from the 75 %
 of the group's documents nearest to the last estimate. All steps cover all
 documents: these are aggregated to (group, start, distance bin) moments, and only
 the moments reach the small per-group solver. A bin is 1/32 of a unit of log
@@ -52,8 +52,8 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Features are rounded to this part of a unit.
 GRID = 256
 TOLERANCE = np.square(GRID * np.array(list(FEATURES.values())))
-#: Share of a group's documents that an estimate is made from, bins of a unit of log distance, most concentration steps.
-SHARE, BINS, STEPS = 0.75, 32, 10
+#: Share of a group's documents that an estimate is made from, bins of a unit of log distance, concentration steps of all starts and of the best.
+SHARE, BINS, STEPS, MORE_STEPS = 0.75, 32, 2, 4
 #: A document is rejected if one in so many of a normal sample were farther off: texts have heavier tails.
 ONE_IN = 1e9
 
@@ -138,9 +138,9 @@ def features() -> list[Column]:
     return [F.round(GRID * f).cast("bigint") for f in found]
 
 
-def _with_params(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``params``, a checkpointed table of one row per ``_g``."""
-    if params.count() <= BROADCAST_GROUPS:
+def _with_params(rows: DataFrame, params: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``params``, which has one row per ``_g``; ``small``: so few that they can be broadcast."""
+    if small:
         return rows.join(F.broadcast(params), "_g", how)
     return salted_join(rows, params, ["_g"], F.xxhash64(*X), how=how)
 
@@ -151,7 +151,9 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-PARAMS = "_g string, s int, n double, mu array<double>, cov array<double>, prec array<double>, logdet double"
+ESTIMATE = "mu array<double>, cov array<double>, prec array<double>, logdet double"
+#: The estimates of a group and its number of documents.
+PARAMS = f"_g string, n double, found array<struct<{ESTIMATE.replace(' array', ':array').replace(' double', ':double')}>>"
 
 
 def moments() -> list[Column]:
@@ -171,100 +173,104 @@ def mean_cov(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.ndarra
     return mean, symmetric(squares / n) - np.outer(mean, mean)
 
 
-def _row(group: str, start: int, n: float, mean: np.ndarray, cov: np.ndarray) -> dict:
+def one_estimate(mean: np.ndarray, cov: np.ndarray) -> dict:
     full = cov + np.diag(TOLERANCE)
-    return {"_g": group, "s": start, "n": n, "mu": mean, "cov": cov.ravel(), "prec": np.linalg.inv(full).ravel(), "logdet": np.linalg.slogdet(full)[1]}
+    return {"mu": mean.tolist(), "cov": cov.ravel().tolist(), "prec": np.linalg.inv(full).ravel().tolist(), "logdet": float(np.linalg.slogdet(full)[1])}
 
 
 S_COLUMNS, Q_COLUMNS = [f"s{i}" for i in range(P)], [f"q{i}_{j}" for i, j in PAIRS]
 
 
-def first_estimates(fit: DataFrame) -> DataFrame:
-    """Three starts of every group: PARAMS rows whose n is the group's size and whose logdet is not yet a subset's."""
-    plain = checkpoint(fit.groupBy("_g").agg(*moments(), F.array(*[F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for x in X]).alias("quartiles")))
+def first_estimates(fit: DataFrame, plain: DataFrame, small: bool) -> DataFrame:
+    """Three starts of every group, as PARAMS. ``plain`` has the groups' moments and quartiles."""
     scale = lambda i: F.sqrt(F.pow((F.col("quartiles")[i][2] - F.col("quartiles")[i][0]) / 1.349, 2) + float(TOLERANCE[i]))
-    scaled = checkpoint(plain.select("_g", F.array(*[F.col("quartiles")[i][1] for i in range(P)]).alias("mid"), F.array(*[scale(i) for i in range(P)]).alias("scale")))
+    scaled = plain.select("_g", F.array(*[F.col("quartiles")[i][1] for i in range(P)]).alias("mid"), F.array(*[scale(i) for i in range(P)]).alias("scale"))
     z = [(F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(X)]
     length = F.sqrt(F.greatest(sum((c * c for c in z[1:]), z[0] * z[0]), F.lit(1e-18)))
     # directions in 1024ths: exact sums again
-    unit = _with_params(fit, scaled).select("_g", *[F.round(1024 * c / length).cast("bigint").alias(x) for x, c in zip(X, z)])
+    unit = _with_params(fit, scaled, small).select("_g", *[F.round(1024 * c / length).cast("bigint").alias(x) for x, c in zip(X, z)])
     unit = unit.groupBy("_g").agg(*[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"u{i}_{j}") for i, j in PAIRS])
 
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    def starts(groups: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in pdf.iterrows():
+        for _, r in groups.iterrows():
             mid, scale = np.array(r["mid"]), np.array(r["scale"])
             mean, cov = mean_cov(r["n"], r[S_COLUMNS].to_numpy(np.float64), r[Q_COLUMNS].to_numpy(np.float64))
             signs = symmetric(np.array([r[f"u{i}_{j}"] for i, j in PAIRS]) / (r["n"] * 1024.0**2)) * P
-            for s, (mu, c) in enumerate([(mid, np.diag(scale**2 - TOLERANCE)), (mean, cov), (mid, np.outer(scale, scale) * signs)]):
-                out.append(_row(r["_g"], s, float(r["n"]), mu, c) | {"logdet": np.inf})
+            found = [one_estimate(mu, c) for mu, c in ((mid, np.diag(scale**2 - TOLERANCE)), (mean, cov), (mid, np.outer(scale, scale) * signs))]
+            out.append({"_g": r["_g"], "n": float(r["n"]), "found": found})
         return pd.DataFrame(out)
 
-    whole = plain.join(scaled, "_g").join(unit, "_g")
-    return whole.groupBy("_g").applyInPandas(starts, PARAMS)
+    return checkpoint(plain.join(scaled, "_g").join(unit, "_g").groupBy("_g").applyInPandas(starts, PARAMS))
 
 
-def concentrated(fit: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step of every start in ``params``: mean and covariance of the nearest SHARE of the group's documents."""
-    starts = checkpoint(params.groupBy("_g").agg(F.collect_list(F.struct("s", "mu", "prec")).alias("_starts")))
-    each = _with_params(fit, starts).select("_g", *X, F.explode("_starts").alias("p")).select("_g", *X, "p.*")
+def concentrated(fit: DataFrame, params: DataFrame, small: bool, first: bool, best: bool) -> DataFrame:
+    """One concentration step of every estimate in ``params``: mean and covariance of the nearest SHARE of the group's documents.
+
+    ``first``: the estimates before were starts, whose determinants are no subset's; else
+    the smaller determinant of before and after stays. ``best``: of a group's estimates
+    the one of the smallest determinant stays.
+    """
+    each = _with_params(fit, params, small).select("_g", *X, F.posexplode("found").alias("s", "p")).select("_g", "s", *X, "p.mu", "p.prec")
     binned = each.withColumn("_bin", F.floor(BINS * F.log(F.greatest(_distance(), F.lit(1e-9)))).cast("int"))
     binned = binned.groupBy("_g", "s", "_bin").agg(*moments())
 
-    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bin", kind="stable")
-        n = pdf["n"].to_numpy(np.float64)
-        h = np.ceil(SHARE * n.sum())
-        weight = np.clip(h - (np.cumsum(n) - n), 0, n) / n  # 1 in the nearer bins, a part in the last one
-        return pd.DataFrame([_row(key[0], key[1], n.sum(), *mean_cov(h, weight @ pdf[S_COLUMNS].to_numpy(np.float64), weight @ pdf[Q_COLUMNS].to_numpy(np.float64)))])
+    def step(key: tuple, bins: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for s, rows in bins.sort_values(["s", "_bin"], kind="stable").groupby("s"):
+            n = rows["n"].to_numpy(np.float64)
+            h = np.ceil(SHARE * n.sum())
+            weight = np.clip(h - (np.cumsum(n) - n), 0, n) / n  # 1 in the nearer bins, a part in the last one
+            new = one_estimate(*mean_cov(h, weight @ rows[S_COLUMNS].to_numpy(np.float64), weight @ rows[Q_COLUMNS].to_numpy(np.float64)))
+            old = before["found"].iloc[0][s]
+            found.append(new if first or new["logdet"] < old["logdet"] else old)
+        if best:
+            found = [min(found, key=lambda e: e["logdet"])]
+        return pd.DataFrame([{"_g": key[0], "n": before["n"].iloc[0], "found": found}])
 
-    return binned.groupBy("_g", "s").applyInPandas(step, PARAMS)
+    return checkpoint(binned.groupBy("_g").cogroup(params.groupBy("_g")).applyInPandas(step, PARAMS))
 
 
 def estimate(fit: DataFrame) -> DataFrame:
-    """The MCD estimate of every group: PARAMS rows from rows of _g and X. A step that lowers no determinant ends its group's search."""
-    current = checkpoint(concentrated(fit, checkpoint(concentrated(fit, first_estimates(fit)))))
-    lowest = F.min_by(F.struct("s", "n", "mu", "cov", "prec", "logdet"), F.struct("logdet", "s"))
-    current = checkpoint(current.groupBy("_g").agg(lowest.alias("p")).select("_g", "p.*"))
-    done = None
-    for _ in range(STEPS - 2):
-        after = checkpoint(concentrated(fit, current))
-        was = current.select("_g", F.col("logdet").alias("_was"))
-        fell = checkpoint(after.join(was, "_g").where(F.col("logdet") < F.col("_was") - 1e-9).drop("_was"))
-        rest = current.join(fell.select("_g"), "_g", "left_anti")
-        done = rest if done is None else done.unionByName(rest)
-        current = fell
-        if current.isEmpty():
-            break
-    return checkpoint(current if done is None else done.unionByName(current))
-
-
-def blended(own: DataFrame, wider: DataFrame) -> DataFrame:
-    """``own`` estimates (with ``_wider``, the key of the wider one) as mixtures with PRIOR documents of the wider one's."""
-
-    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            w = SHARE * r["n"] / (SHARE * r["n"] + PRIOR)
-            mu, up = np.array(r["mu"]), np.array(r["wide_mu"])
-            cov, wide = (np.array(r[c]).reshape(P, P) for c in ("cov", "wide_cov"))
-            apart = mu - up
-            out.append(_row(r["_g"], r["s"], r["n"], w * mu + (1 - w) * up, w * cov + (1 - w) * wide + w * (1 - w) * np.outer(apart, apart)))
-        return pd.DataFrame(out)
+    """The MCD estimate of every group: _g, n, mu, cov, prec and logdet from rows of _g and X."""
+    quartiles = [F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for x in X]
+    plain = checkpoint(fit.groupBy("_g").agg(*moments(), F.array(*quartiles).alias("quartiles")))
+    small = plain.count() <= BROADCAST_GROUPS
+    params = first_estimates(fit, plain, small)
+    for k in range(STEPS + MORE_STEPS):
+        params = concentrated(fit, params, small, k == 0, k + 1 >= STEPS)
+    return params.select("_g", "n", F.col("found")[0].alias("e")).select("_g", "n", "e.*")
+
 
-    wide = wider.select(F.col("_g").alias("_wider"), F.col("mu").alias("wide_mu"), F.col("cov").alias("wide_cov"))
-    return own.join(wide, "_wider").groupBy("_g").applyInPandas(mix, PARAMS)
+def blend(n: float, mu: np.ndarray, cov: np.ndarray, wide_mu: np.ndarray, wide_cov: np.ndarray) -> dict:
+    """The estimate from SHARE of n documents, mixed with PRIOR documents of the wider one."""
+    w = SHARE * n / (SHARE * n + PRIOR)
+    apart = mu - wide_mu
+    return one_estimate(w * mu + (1 - w) * wide_mu, w * cov + (1 - w) * wide_cov + w * (1 - w) * np.outer(apart, apart))
 
 
 def group_estimates(fit: DataFrame) -> DataFrame:
-    """(_g, mu, prec) of every group of ``fit`` (_g, _l, X): of all documents, of each language blended with that, and of each group blended with its language's."""
+    """(_g, mu, prec) of every group of ``fit`` (_g, _l, X): its own estimate blended with its language's, which is blended with that of all documents."""
     levels = fit.select(F.explode(F.array(F.lit("*"), F.concat(F.lit("l "), "_l"), F.concat(F.lit("g "), "_g"))).alias("_g"), *X)
     raw = estimate(levels).withColumn("cov", F.transform("cov", lambda c: c * CONSISTENCY))
-    every = raw.where("_g = '*'")
-    langs = checkpoint(blended(raw.where(F.col("_g").startswith("l ")).withColumn("_wider", F.lit("*")), every))
-    names = fit.groupBy("_g").agg(F.concat(F.lit("l "), F.first("_l")).alias("_wider"))
-    groups = raw.where(F.col("_g").startswith("g ")).withColumn("_g", F.substr("_g", F.lit(3)))
-    return checkpoint(blended(groups.join(names, "_g"), langs).select("_g", "mu", "prec"))
+    every = raw.where("_g = '*'").first()  # one row
+    if every is None:
+        return raw.select("_g", "mu", "prec")
+    all_mu, all_cov = np.array(every["mu"]), np.array(every["cov"]).reshape(P, P)
+
+    def mix(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in rows.iterrows():
+            mu, cov, lang_mu, lang_cov = np.array(r["mu"]), np.array(r["cov"]).reshape(P, P), np.array(r["lang_mu"]), np.array(r["lang_cov"]).reshape(P, P)
+            lang = blend(r["lang_n"], lang_mu, lang_cov, all_mu, all_cov)
+            found = blend(r["n"], mu, cov, np.array(lang["mu"]), np.array(lang["cov"]).reshape(P, P))
+            out.append({"_g": r["_g"], "mu": found["mu"], "prec": found["prec"]})
+        return pd.DataFrame(out)
+
+    names = fit.select(F.concat(F.lit("g "), "_g").alias("_g"), F.concat(F.lit("l "), "_l").alias("_lang")).distinct()
+    langs = raw.select(F.col("_g").alias("_lang"), F.col("n").alias("lang_n"), F.col("mu").alias("lang_mu"), F.col("cov").alias("lang_cov"))
+    groups = raw.join(names, "_g").join(langs, "_lang").withColumn("_g", F.substr("_g", F.lit(3)))
+    return checkpoint(groups.groupBy("_g").applyInPandas(mix, "_g string, mu array<double>, prec array<double>"))
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
@@ -283,6 +289,6 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed).select("*", *[f.alias(x) for f, x in zip(features(), X)]))
     params = group_estimates(rows.where(~F.col("base_failed")).select("_g", "_l", *X))
-    judged = _with_params(rows, params, "left").withColumn("distance", _distance())
+    judged = _with_params(rows, params, params.count() <= BROADCAST_GROUPS, "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance") <= cut)
     return judged.select("doc_id", *COUNTS, "base_failed", "distance", kept.alias("kept"))
