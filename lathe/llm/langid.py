@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network.
 
-A text is cut into fixed-length byte windows. A window's bytes, folded to 64
-classes, pass convolution filters of widths 2, 3 and 4, whose largest response
+A text is cut into fixed-length windows of its UTF-8 bytes. A window's bytes, each
+of 256 values, pass convolution filters of widths 2, 3 and 4, whose largest response
 over the window is kept (max pooling), a ReLU and a softmax layer. As a filter
 over one-hot bytes is a sum of table entries, convolution is a few table
 look-ups per byte; in training, max pooling leaves one position per filter to
@@ -19,29 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import as_bytes
+from lathe.llm.common import as_bytes, checkpoint
 
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 12
-CLASSES = 64
+CLASSES = 256
 #: Windows put through the network at once.
 BATCH = 4096
-#: Bounds of the training sample: documents per language, windows per document, languages.
-DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS = 600, 3, 200
-
-
-def _fold() -> np.ndarray:
-    """Byte -> class: padding and blanks 0, a-z 1-26, other ASCII 27-30, non-ASCII bytes by their last five bits (31-62), the lead byte C3 63."""
-    fold = np.zeros(256, np.uint8)
-    for b in range(33, 128):
-        c = chr(b).lower()
-        fold[b] = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit() else 28 if c in ".,;:!?" else 29 if c in "'\"-" else 30
-    fold[128:] = 31 + (np.arange(128, 256) % 32)
-    fold[0xC3] = 63
-    return fold
-
-
-FOLD = _fold()
+#: Bounds of the training sample: documents per language, windows per document, documents in all.
+DOCS_PER_LANG, WINDOWS_PER_DOC, SAMPLE_DOCS = 600, 3, 120_000
 
 
 class Model(NamedTuple):
@@ -53,8 +39,8 @@ class Model(NamedTuple):
 
 
 def windows(text: bytes) -> np.ndarray:
-    """(n, WINDOW) byte classes of the whole text; the last window is padded. Runs of blanks are one blank."""
-    data = FOLD[np.frombuffer(b" ".join(text.split()), np.uint8)]
+    """(n, WINDOW) bytes of the whole text; the last window is padded with zeros. Runs of blanks are one blank."""
+    data = np.frombuffer(b" ".join(text.split()), np.uint8)
     n = max(1, -(-len(data) // WINDOW))
     out = np.zeros(n * WINDOW, np.uint8)
     out[: len(data)] = data
@@ -64,15 +50,11 @@ def windows(text: bytes) -> np.ndarray:
 def respond(model_conv: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest response of each filter in each window, and its position; for training."""
     tops, places = [], []
-    pair = x[:, :-1].astype(np.int32) * CLASSES + x[:, 1:]
     for w, width in zip(model_conv, WIDTHS):
-        two = (w[0][:, None, :] + w[1][None, :, :]).reshape(CLASSES * CLASSES, -1)
         span = WINDOW - width + 1
-        r = two[pair[:, :span]]
-        if width == 3:
-            r += w[2][x[:, 2 : 2 + span]]
-        elif width == 4:
-            r += (w[2][:, None, :] + w[3][None, :, :]).reshape(CLASSES * CLASSES, -1)[pair[:, 2 : 2 + span]]
+        r = w[0][x[:, :span]]
+        for j in range(1, width):
+            r += w[j][x[:, j : j + span]]
         tops.append(r.max(axis=1))
         places.append(r.argmax(axis=1))
     return np.concatenate(tops, axis=1), np.concatenate(places, axis=1)
@@ -147,14 +129,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """(lang, window binary): about ``docs_per_lang`` documents of each of the most frequent languages, drawn by a hash of id and text, and three windows of each.
+def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """Distinct (lang, window binary): about ``docs_per_lang`` documents of each language, drawn by a hash of id and text, and three windows of each.
 
     Labels are counted first; then a row is drawn if its hash lies below its
-    language's rate, so texts are neither shuffled nor ranked.
+    language's rate, so texts are neither shuffled nor ranked. With very many
+    languages each gets fewer documents, for about ``sample_docs`` in all; more
+    languages than that are an error.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGS)
+    counts = checkpoint(usable.groupBy("lang").agg(F.count("*").alias("_n")))
+    langs = counts.count()
+    if langs > sample_docs:
+        raise ValueError(f"{langs} languages for a sample of {sample_docs} documents")
+    docs_per_lang = min(docs_per_lang, sample_docs / max(1, langs))
     draw = F.xxhash64(F.lit(11), F.coalesce("doc_id", F.lit(-1)), "text")
     share = F.pmod(draw, F.lit(1 << 30)) / F.lit(1 << 30)
 
@@ -170,12 +158,12 @@ def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
     drawn = usable.withColumn("_draw", draw).join(F.broadcast(counts), "lang").where(share < docs_per_lang / F.col("_n"))
-    return drawn.select("lang", "text", "_draw").mapInArrow(cut, "lang string, window binary")
+    return drawn.select("lang", "text", "_draw").mapInArrow(cut, "lang string, window binary").distinct()
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """A model of the languages labelled in ``docs``; None if nothing is labelled. Only the bounded sample reaches the driver."""
-    rows = sorted((r.lang, bytes(r.window)) for r in training_sample(docs, docs_per_lang).limit(2 * MOST_LANGS * docs_per_lang * WINDOWS_PER_DOC).collect())
+    rows = sorted((r.lang, bytes(r.window)) for r in training_sample(docs, docs_per_lang).collect())
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
