@@ -1,10 +1,12 @@
 """License scans by ordered signature rules.
 
-A rule is a regex with a keyword gate, a priority and a confidence. Only rules
-all of whose keywords occur in a text are run over it. Of the detections, taken
-by priority, then length, then position, one that lies inside the interval of an
-accepted detection is suppressed. Phrase rules (the *base*) find the plain-word
-phrases that are always reported.
+The rules are hand-written regexes (``license_rules``): names, sentences of license
+texts and notices, and addresses; and SPDX tags, whose expressions are taken apart.
+An Aho-Corasick automaton over the rules' keywords reads a text once; only rules all
+of whose keywords occur are run. Of the detections, taken by priority, then length,
+then position, one that lies inside the interval of an accepted detection is
+suppressed. Phrase rules (the *base*) find the plain-word phrases that are always
+reported.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm.common import PLAIN, as_bytes
+from lathe.llm.license_rules import ADDRESSES, NAMES, TEXTS
 
 #: Phrase -> label; places where the words stand consecutively.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -28,167 +32,88 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 class Rule(NamedTuple):
     label: str
     pattern: re.Pattern
-    keywords: tuple[bytes, ...]
+    keywords: tuple[str, ...]
     priority: int
     confidence: float
 
 
-#: A few word bytes between the parts of a name.
-GAP = rb"[^0-9a-z\x80-\xff]+"
-EDGE_L, EDGE_R = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
-
-#: Hand-written name forms: label -> regexes of the license's name; a blank stands for any run of non-word bytes.
-NAMES: dict[str, list[str]] = {
-    "gpl-1.0": ["gnu general public license (?:version |v ?)?1(?:\\.0)?", "gpl ?v?1(?:\\.0)?"],
-    "gpl-2.0": ["gnu general public license (?:version |v ?)?2(?:\\.0)?", "gpl ?v?2(?:\\.0)?"],
-    "gpl-3.0": ["gnu general public license (?:version |v ?)?3(?:\\.0)?", "gpl ?v?3(?:\\.0)?"],
-    "lgpl-2.0": ["gnu library general public license", "lgpl ?v?2(?:\\.0)?"],
-    "lgpl-2.1": ["gnu lesser general public license (?:version |v ?)?2\\.1", "lgpl ?v?2\\.1"],
-    "lgpl-3.0": ["gnu lesser general public license (?:version |v ?)?3(?:\\.0)?", "lgpl ?v?3(?:\\.0)?"],
-    "agpl-3.0": ["gnu affero general public license(?: (?:version |v ?)?3(?:\\.0)?)?", "agpl ?v?3(?:\\.0)?"],
-    "gfdl-1.2": ["gnu free documentation license (?:version |v ?)?1\\.2"],
-    "gfdl-1.3": ["gnu free documentation license(?: (?:version |v ?)?1\\.3)?", "gfdl ?v?1\\.3"],
-    "apache-1.1": ["apache (?:software )?license (?:version |v ?)?1\\.1"],
-    "apache-2.0": ["apache (?:software )?license (?:version |v ?)?2(?:\\.0)?", "apache 2(?:\\.0)? license", "asl ?2(?:\\.0)?"],
-    "mit": ["(?:the )?mit license", "(?:the )?expat license"],
-    "mit-0": ["mit no attribution(?: license)?"],
-    "x11": ["(?:the )?x11 license", "mit x11 license"],
-    "isc": ["(?:the )?isc license", "internet systems consortium license"],
-    "bsd-1-clause": ["bsd 1 clause(?: license)?", "one clause bsd license"],
-    "bsd-2-clause": ["bsd 2 clause(?: license)?", "(?:simplified|two clause|freebsd) (?:bsd )?license"],
-    "bsd-3-clause": ["bsd 3 clause(?: license)?", "(?:new|modified|revised|three clause) bsd license"],
-    "bsd-4-clause": ["bsd 4 clause(?: license)?", "(?:original|old|four clause) bsd license"],
-    "0bsd": ["bsd zero clause license", "0bsd"],
-    "mpl-1.0": ["mozilla public license (?:version |v ?)?1\\.0", "mpl ?v?1\\.0"],
-    "mpl-1.1": ["mozilla public license (?:version |v ?)?1\\.1", "mpl ?v?1\\.1"],
-    "mpl-2.0": ["mozilla public license (?:version |v ?)?2(?:\\.0)?", "mpl ?v?2(?:\\.0)?"],
-    "epl-1.0": ["eclipse public license (?:version |v ?)?1(?:\\.0)?", "epl ?v?1\\.0"],
-    "epl-2.0": ["eclipse public license (?:version |v ?)?2(?:\\.0)?", "epl ?v?2\\.0"],
-    "cddl-1.0": ["common development and distribution license(?: (?:version |v ?)?1\\.0)?", "cddl ?v?1\\.0"],
-    "cddl-1.1": ["common development and distribution license (?:version |v ?)?1\\.1", "cddl ?v?1\\.1"],
-    "cpl-1.0": ["common public license(?: (?:version |v ?)?1\\.0)?"],
-    "ipl-1.0": ["ibm public license(?: (?:version |v ?)?1\\.0)?"],
-    "cecill-2.0": ["cecill(?: (?:version |v ?)?2(?:\\.0)?)?", "cecill free software license agreement"],
-    "cecill-b": ["cecill b(?: license)?"],
-    "cecill-c": ["cecill c(?: license)?"],
-    "eupl-1.1": ["european union public licen[cs]e (?:version |v ?)?1\\.1", "eupl ?v?1\\.1"],
-    "eupl-1.2": ["european union public licen[cs]e(?: (?:version |v ?)?1\\.2)?", "eupl ?v?1\\.2"],
-    "artistic-1.0": ["artistic license (?:version |v ?)?1(?:\\.0)?"],
-    "artistic-2.0": ["artistic license(?: (?:version |v ?)?2(?:\\.0)?)?"],
-    "bsl-1.0": ["boost software license(?: (?:version |v ?)?1\\.0)?"],
-    "bsl-1.1": ["business source license(?: (?:version |v ?)?1\\.1)?"],
-    "sspl-1.0": ["server side public license(?: (?:version |v ?)?1)?"],
-    "elastic-2.0": ["elastic license(?: (?:version |v ?)?2(?:\\.0)?)?"],
-    "zlib": ["(?:the )?zlib license", "zlib libpng license"],
-    "libpng": ["(?:the )?libpng license(?: (?:version |v ?)?2)?"],
-    "unlicense": ["(?:the )?unlicense"],
-    "wtfpl": ["do what the fuck you want to public license", "wtfpl"],
-    "python-2.0": ["python software foundation license(?: (?:version |v ?)?2)?", "psf license"],
-    "php-3.0": ["php license (?:version |v ?)?3(?:\\.0)?"],
-    "php-3.01": ["php license (?:version |v ?)?3\\.01"],
-    "ruby": ["ruby license"],
-    "postgresql": ["postgresql licen[cs]e"],
-    "openssl": ["openssl license"],
-    "ofl-1.1": ["sil open font license(?: (?:version |v ?)?1\\.1)?", "ofl ?v?1\\.1"],
-    "ncsa": ["(?:university of illinois )?ncsa open source license"],
-    "afl-3.0": ["academic free license(?: (?:version |v ?)?3(?:\\.0)?)?"],
-    "osl-3.0": ["open software license(?: (?:version |v ?)?3(?:\\.0)?)?"],
-    "ms-pl": ["microsoft public license"],
-    "ms-rl": ["microsoft reciprocal license"],
-    "qpl-1.0": ["q public license(?: (?:version |v ?)?1\\.0)?"],
-    "w3c": ["w3c software (?:notice and )?license"],
-    "zpl-2.1": ["zope public license(?: (?:version |v ?)?2\\.1)?"],
-    "odbl-1.0": ["open (?:data commons )?(?:open )?database license(?: (?:version |v ?)?1\\.0)?"],
-    "odc-by-1.0": ["open data commons attribution license(?: (?:version |v ?)?1\\.0)?"],
-    "pddl-1.0": ["public domain dedication and license(?: (?:version |v ?)?1\\.0)?"],
-    "cc0-1.0": ["cc0(?: 1\\.0)?(?: universal)?", "creative commons zero(?: (?:version |v ?)?1\\.0)?"],
-    "cc-by-2.0": ["cc by 2\\.0", "creative commons attribution 2\\.0(?: generic)?"],
-    "cc-by-2.5": ["cc by 2\\.5", "creative commons attribution 2\\.5"],
-    "cc-by-3.0": ["cc by 3\\.0", "creative commons attribution 3\\.0(?: unported)?"],
-    "cc-by-4.0": ["cc by 4\\.0", "creative commons attribution 4\\.0(?: international)?"],
-    "cc-by-sa-2.0": ["cc by sa 2\\.0", "creative commons attribution share ?alike 2\\.0"],
-    "cc-by-sa-3.0": ["cc by sa 3\\.0", "creative commons attribution share ?alike 3\\.0(?: unported)?"],
-    "cc-by-sa-4.0": ["cc by sa 4\\.0", "creative commons attribution share ?alike 4\\.0(?: international)?"],
-    "cc-by-nc-3.0": ["cc by nc 3\\.0", "creative commons attribution non ?commercial 3\\.0"],
-    "cc-by-nc-4.0": ["cc by nc 4\\.0", "creative commons attribution non ?commercial 4\\.0(?: international)?"],
-    "cc-by-nd-3.0": ["cc by nd 3\\.0", "creative commons attribution no ?deriv(?:ative)?s 3\\.0"],
-    "cc-by-nd-4.0": ["cc by nd 4\\.0", "creative commons attribution no ?deriv(?:ative)?s 4\\.0(?: international)?"],
-    "cc-by-nc-sa-3.0": ["cc by nc sa 3\\.0", "creative commons attribution non ?commercial share ?alike 3\\.0"],
-    "cc-by-nc-sa-4.0": ["cc by nc sa 4\\.0", "creative commons attribution non ?commercial share ?alike 4\\.0(?: international)?"],
-    "cc-by-nc-nd-3.0": ["cc by nc nd 3\\.0"],
-    "cc-by-nc-nd-4.0": ["cc by nc nd 4\\.0", "creative commons attribution non ?commercial no ?deriv(?:ative)?s 4\\.0(?: international)?"],
-    "public-domain": ["(?:released|dedicated|placed) (?:in|into|to) the public domain"],
-    "proprietary": ["all rights reserved", "no part of this (?:publication|work) may be reproduced"],
-}
-
-#: Full-text fragments and addresses: (label, regex over the lower-cased text, keyword, confidence).
-FRAGMENTS: list[tuple[str, str, str, float]] = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 1.0),
-    ("mit", "the software is provided as is without warranty of any kind express or implied", "without warranty", 0.7),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use", 1.0),
-    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice", "redistributions", 0.8),
-    ("bsd-3-clause", "neither the name of .{1,80}? nor the names of its contributors", "neither the name", 1.0),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software", "advertising materials", 1.0),
-    ("apache-2.0", "https?://www\\.apache\\.org/licenses/license-2\\.0", "apache.org", 1.0),
-    ("gpl-3.0", "either version 3 of the license or at your option any later version", "any later version", 0.9),
-    ("gpl-2.0", "either version 2 of the license or at your option any later version", "any later version", 0.9),
-    ("gpl-3.0", "https?://www\\.gnu\\.org/licenses/gpl-3\\.0", "gnu.org", 1.0),
-    ("gpl-2.0", "https?://www\\.gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0", "gnu.org", 1.0),
-    ("lgpl-3.0", "https?://www\\.gnu\\.org/licenses/lgpl-3\\.0", "gnu.org", 1.0),
-    ("agpl-3.0", "https?://www\\.gnu\\.org/licenses/agpl", "gnu.org", 1.0),
-    ("mpl-2.0", "https?://(?:www\\.)?mozilla\\.org/mpl/2\\.0", "mozilla.org", 1.0),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2\\.0", "source code form", 1.0),
-    ("cc0-1.0", "https?://creativecommons\\.org/publicdomain/zero/1\\.0", "creativecommons.org", 1.0),
-    ("cc-by-4.0", "https?://creativecommons\\.org/licenses/by/4\\.0", "creativecommons.org", 1.0),
-    ("cc-by-3.0", "https?://creativecommons\\.org/licenses/by/3\\.0", "creativecommons.org", 1.0),
-    ("cc-by-sa-4.0", "https?://creativecommons\\.org/licenses/by-sa/4\\.0", "creativecommons.org", 1.0),
-    ("cc-by-sa-3.0", "https?://creativecommons\\.org/licenses/by-sa/3\\.0", "creativecommons.org", 1.0),
-    ("cc-by-nc-4.0", "https?://creativecommons\\.org/licenses/by-nc/4\\.0", "creativecommons.org", 1.0),
-    ("cc-by-nd-4.0", "https?://creativecommons\\.org/licenses/by-nd/4\\.0", "creativecommons.org", 1.0),
-    ("cc-by-nc-sa-4.0", "https?://creativecommons\\.org/licenses/by-nc-sa/4\\.0", "creativecommons.org", 1.0),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
-    ("wtfpl", "you just do what the fuck you want to", "the fuck", 1.0),
-    ("bsl-1.0", "https?://www\\.boost\\.org/license_1_0\\.txt", "boost.org", 1.0),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event", "implied warranty", 0.8),
-    ("ofl-1.1", "https?://scripts\\.sil\\.org/ofl", "sil.org", 1.0),
-]
-
-
-def _blanks(form: str) -> bytes:
-    return re.sub(r"(?<!\?)(?<!\\) (?!\?)", lambda m: GAP.decode("latin-1"), form).replace(" ?", "[^0-9a-z]{0,2}").encode("latin-1")
+class Detection(NamedTuple):
+    label: str
+    start: int
+    end: int
+    confidence: float
 
 
+#: A few non-word bytes between the parts of a name.
+GAP = "[^0-9a-z\\x80-\\xff]+"
+EDGE_L, EDGE_R = "(?<![0-9a-z\\x80-\\xff])", "(?![0-9a-z\\x80-\\xff])"
+TAG, GRANT, TEXT, NAME = 90, 80, 70, 50
+#: Labels whose names may go with "only" or "or later".
+VERSIONED = re.compile(r"(?:gpl|lgpl|agpl|gfdl)-[\d.]+")
+SUFFIX = f"(?:(?P<only>{GAP}only)|(?P<later>\\+|{GAP}(?:or|and){GAP}(?:at{GAP}your{GAP}option{GAP})?(?:any{GAP})?(?:later|newer|above|higher)(?:{GAP}versions?)?))?"
+#: What makes a name a grant, right before it.
+GRANTED = re.compile(
+    rf"{EDGE_L}(?:licensed|released|distributed|published|available|provided|covered|governed){GAP}(?:under|by){GAP}(?:the{GAP})?(?:terms{GAP}(?:and{GAP}conditions{GAP})?of{GAP})?(?:the{GAP}|an?{GAP})?$".encode("latin-1")
+)
+#: Bytes before a name in which its grant may stand.
+REACH = 120
+#: Labels of names that are common words as well.
+UNSURE = frozenset("proprietary public-domain ruby unlicense fair json curl vim bsd".split())
 #: Words that many names share; as gates they come last.
-COMMON = frozenset("license public general software version free open source copyright the and under terms".split())
+COMMON = frozenset("license public general software version free open source copyright the and under terms use for this any http org".split())
+
 
+def in_bytes(form: str) -> str:
+    """The form with its blanks as gaps."""
+    return form.replace(" ?", "[^0-9a-z]{0,2}").replace(" ", GAP)
 
-def _keywords(form: str) -> tuple[bytes, ...]:
-    """Words that every text with the form must hold, the least common first."""
+
+def keywords(form: str) -> tuple[str, ...]:
+    """Up to three words that every text with the form must hold, the least common first."""
     fixed = re.sub(r"\(\?:[^()]*(?:\([^()]*\)\??[^()]*)*\)\??|\\.|\w\?|\[.*?\]\??|\w*\.\{.*?\}\??", " ", form)
     words = dict.fromkeys(re.findall(r"[a-z0-9]{3,}", fixed) or re.findall(r"[a-z0-9]+", fixed))
-    return tuple(w.encode() for w in sorted(words, key=lambda w: (w in COMMON, -len(w))))
+    return tuple(sorted(words, key=lambda w: (w in COMMON, -len(w)))[:3])
+
+
+def _pattern(form: str) -> re.Pattern:
+    return re.compile(form.encode("latin-1"), re.S)
 
 
 def build_rules() -> list[Rule]:
-    """The rules in order: tag, grant, full text and name forms of every license."""
+    """The rules in order: names, texts, addresses."""
     rules = []
-    for label, forms in NAMES.items():
-        tag = label.encode().replace(b".", rb"\.")
-        rules.append(Rule(label, re.compile(rb"spdx-license-identifier:[ \t]*" + tag + rb"(?:-only|-or-later|\+)?" + EDGE_R), (b"spdx-license-identifier", label.encode()), 90, 1.0))
-        for form in forms:
-            name = EDGE_L + _blanks(form) + EDGE_R
-            gate = _keywords(form)
-            grant = rb"(?:licensed|released|distributed|published|available)" + GAP + rb"under" + GAP + rb"(?:the" + GAP + rb")?(?:terms" + GAP + rb"(?:and conditions" + GAP + rb")?of" + GAP + rb")?(?:the" + GAP + rb")?" + _blanks(form) + EDGE_R
-            rules.append(Rule(label, re.compile(EDGE_L + grant), (*gate, b"under"), 80, 0.95))
-            rules.append(Rule(label, re.compile(name), gate, 50, 0.6 if label in ("proprietary", "public-domain", "ruby", "unlicense") else 0.8))
-    for label, form, keyword, confidence in FRAGMENTS:
-        address = "://" in form
-        rules.append(Rule(label, re.compile(form.encode() if address else EDGE_L + _blanks(form) + EDGE_R), (max(keyword.split(), key=len).encode(),), 70, confidence))
+    for label, form in NAMES:
+        suffix = SUFFIX if VERSIONED.fullmatch(label) else ""
+        rules.append(Rule(label, _pattern(EDGE_L + in_bytes(form) + suffix + EDGE_R), keywords(form), NAME, 0.6 if label in UNSURE else 0.8))
+    for label, form in TEXTS:
+        rules.append(Rule(label, _pattern(EDGE_L + in_bytes(form) + EDGE_R), keywords(form), TEXT, 0.9))
+    for label, form in ADDRESSES:
+        rules.append(Rule(label, _pattern(form + EDGE_R), keywords(form), TEXT, 1.0))
     return rules
 
 
+SPDX = re.compile(rb"spdx-license-identifier[ \t]*:([^\r\n]*)")
+_TOKEN = re.compile(rb"[ \t(]*([a-z0-9][a-z0-9.+-]*)[ \t)]*")
+KNOWN = {label for label, _ in NAMES + TEXTS + ADDRESSES} | {f"{label}-{x}" for label, _ in NAMES if VERSIONED.fullmatch(label) for x in ("only", "or-later")}
+
+
+def spdx_operands(expression: bytes) -> list[tuple[str, int, int]]:
+    """(label, start, end) of the known licenses and exceptions of an SPDX expression: operands joined by AND, OR and WITH."""
+    out, at = [], 0
+    while m := _TOKEN.match(expression, at):
+        name = m[1].decode()
+        label = name[:-1] + "-or-later" if name.endswith("+") else name
+        if label in KNOWN:
+            out.append((label, *m.span(1)))
+        joint = _TOKEN.match(expression, m.end())
+        if not joint or joint[1] not in (b"and", b"or", b"with"):
+            break
+        at = joint.end()
+    return out
+
+
 def _phrase(phrase: str) -> re.Pattern:
-    return re.compile(EDGE_L + GAP.join(w.encode() for w in phrase.split()) + EDGE_R)
+    return _pattern(EDGE_L + GAP.join(phrase.split()) + EDGE_R)
 
 
 FOUND = pa.struct([
@@ -207,31 +132,49 @@ class Scanner:
     def __init__(self):
         self.rules = build_rules()
         self.phrases = [(_phrase(p), p.split()[0].encode(), p.split()[-1].encode(), label) for p, label in BASE.items()]
-        by_keyword: dict[bytes, list[int]] = {}
-        for i, rule in enumerate(self.rules):  # one test for the word that most rules share
-            by_keyword.setdefault(b"license" if b"license" in rule.keywords else rule.keywords[0], []).append(i)
-        self.by_keyword = list(by_keyword.items())
-
-    def detect(self, low: bytes) -> list[tuple[Rule, int, int]]:
-        """Detections that are not suppressed, in order of acceptance."""
-        hits = []
-        for keyword, rules in self.by_keyword:
-            if keyword in low:
-                for i in rules:
-                    rule = self.rules[i]
-                    if all(k in low for k in rule.keywords):
-                        hits += [(-rule.priority, m.start() - m.end(), m.start(), i, m.end()) for m in rule.pattern.finditer(low)]
-        kept: list[tuple[Rule, int, int]] = []
+        self.by_keyword: dict[str, list[int]] = {}
+        for i, rule in enumerate(self.rules):
+            self.by_keyword.setdefault(rule.keywords[0], []).append(i)
+        self.gate = ahocorasick.Automaton()
+        for word in {w for rule in self.rules for w in rule.keywords}:
+            self.gate.add_word(word, word)
+        self.gate.make_automaton()
+
+    def hits(self, low: bytes, rules: list[Rule]) -> list[tuple[tuple, Detection]]:
+        """All detections of ``rules`` and of SPDX tags, with what orders them."""
+        out = []
+        for m in SPDX.finditer(low):
+            for label, start, end in spdx_operands(m[1]):
+                out.append((TAG, Detection(label, m.start(1) + start, m.start(1) + end, 1.0)))
+        for rule in rules:
+            for m in rule.pattern.finditer(low):
+                named, start = m.groupdict(), m.start()
+                label = rule.label + ("-only" if named.get("only") else "-or-later" if named.get("later") else "")
+                grant = GRANTED.search(low, max(0, start - REACH), start) if rule.priority == NAME else None
+                if grant:
+                    out.append((GRANT, Detection(label, grant.start(), m.end(), 0.95)))
+                else:
+                    out.append((rule.priority, Detection(label, start, m.end(), rule.confidence)))
+        return [((-priority, d.start - d.end, d.start, -d.confidence, d.label), d) for priority, d in out]
+
+    def gated(self, low: bytes) -> list[Rule]:
+        """The rules all of whose keywords occur."""
+        present = {word for _, word in self.gate.iter(low.decode("latin-1"))}
+        return [self.rules[i] for word in present for i in self.by_keyword.get(word, ()) if present.issuperset(self.rules[i].keywords)]
+
+    def detect(self, low: bytes) -> list[Detection]:
+        """Detections that are not suppressed, in order of acceptance; of equal intervals the first by confidence, then label."""
+        kept: list[Detection] = []
         starts: list[int] = []  # of accepted intervals that lie in no other; their ends ascend too
         ends: list[int] = []
-        for _, _, start, i, end in sorted(hits):
-            at = bisect_right(starts, start)
-            if at and ends[at - 1] >= end:
+        for _, d in sorted(self.hits(low, self.gated(low))):
+            at = bisect_right(starts, d.start)
+            if at and ends[at - 1] >= d.end:
                 continue
-            kept.append((self.rules[i], start, end))
-            lo = bisect_left(starts, start)
-            hi = bisect_right(ends, end, lo)
-            starts[lo:hi], ends[lo:hi] = [start], [end]
+            kept.append(d)
+            lo = bisect_left(starts, d.start)
+            hi = bisect_right(ends, d.end, lo)
+            starts[lo:hi], ends[lo:hi] = [d.start], [d.end]
         return kept
 
     def scan(self, text: bytes | None) -> dict:
@@ -248,15 +191,15 @@ class Scanner:
                     places += at
         kept = self.detect(low)
         starts = np.searchsorted(np.flatnonzero(begins), places) if places else []
-        confidences = [r.confidence for r, _, _ in kept] + [0.8] * bool(base)
+        confidences = [d.confidence for d in kept] + [0.8] * bool(base)
         # offsets are of UTF-8 bytes while scanning, of characters in the result
         chars = np.concatenate([[0], np.cumsum((np.frombuffer(low, np.uint8) & 0xC0) != 0x80)]) if kept else None
         return {
             "n_words": int(begins.sum()), "n_base": len(places),
             "first_word": int(min(starts)) if places else None, "last_word": int(max(starts)) if places else None,
-            "base_labels": sorted(base), "labels": sorted(base | {r.label for r, _, _ in kept}),
+            "base_labels": sorted(base), "labels": sorted(base | {d.label for d in kept}),
             "score": max(confidences, default=0.0),
-            "detections": [{"label": r.label, "start": int(chars[a]), "end": int(chars[b]), "confidence": r.confidence} for r, a, b in sorted(kept, key=lambda x: x[1:])],
+            "detections": [{"label": d.label, "start": int(chars[d.start]), "end": int(chars[d.end]), "confidence": d.confidence} for d in sorted(kept, key=lambda d: d[1:])],
         }
 
 
@@ -271,8 +214,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, no labels and score 0. ``score`` is the
     highest confidence of a detection that is not suppressed. Phrases of the base
-    are counted at every place, whatever the rules find. Repeated rows each get a
-    row; other columns are not read.
+    are counted at every place, whatever the rules find. Of rules that find the same
+    interval the more confident, then the smaller label stays. Repeated rows each get
+    a row; other columns are not read.
     """
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.arrow_udf(scan_text, FOUND_DDL)(text).alias("s")).select("doc_id", "s.*")
