@@ -22,17 +22,12 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_of(spark, sf_dir).where("lang = 'en'")
-
-
-def _digest(f, english: bool = True):
-    """A text function over all (English) documents, its result as length and hash."""
+def _digest(f):
+    """A text function over all documents, its result as length and hash."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _english(spark, sf_dir) if english else docs_of(spark, sf_dir)
-        out = f(F.col("text"))
-        return rows.select("doc_id", out.alias("out")).select("doc_id", F.length("out").cast("bigint").alias("chars"), F.sha2("out", 256).alias("sha256"))
+        rows = docs_of(spark, sf_dir).select("doc_id", f(F.col("text")).alias("out"))
+        return rows.select("doc_id", F.length("out").cast("bigint").alias("chars"), F.sha2("out", 256).alias("sha256"))
 
     return query
 
@@ -110,9 +105,10 @@ def _parsed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    obj = F.to_json(F.struct(F.concat(F.lit("pick-"), F.col("item_id").cast("string")).alias("name"), F.array(F.concat(F.lit("t"), F.col("item_id").cast("string")), F.lit("t0")).alias("source_task_ids"), F.array(F.lit("a"), F.lit("b")).alias("procedure")))
-    rows = b.select(F.when(F.col("item_id") % 5 == 0, "no json").otherwise(F.concat(F.lit("["), obj, F.lit("]"))).alias("reply"), F.lit("m").alias("model"))
+    """Items as replies: skills whose steps are the item's lines, and texts that are no JSON."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("id", F.col("item_id").cast("string"))
+    obj = F.to_json(F.struct(F.concat(F.lit("pick-"), "id").alias("name"), F.array(F.concat(F.lit("t"), "id"), F.lit("t0")).alias("source_task_ids"), F.split("text", "\n").alias("procedure")))
+    rows = b.select(F.when(F.length("text") % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("["), obj, F.lit("]"))).alias("reply"), F.lit("m").alias("model"))
     return R.parse_skills(rows).select("skill_uid", "name", F.array_join("procedure", "~").alias("procedure"), F.array_join("source_task_uids", "~").alias("sources"))
 
 
@@ -147,37 +143,36 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _task_json() -> Column:
-    n = F.col("item_id") % 4
-    text = F.lit('"x"')
-    return (
-        F.when(n == 0, F.concat(F.lit('{"task_id":"a","title":"t","domain":"d","challenge":"q","passage":'), text, F.lit("}")))
-        .when(n == 1, F.lit('{"task_uid":"a","title":1,"domain":"d","question":"q"}')).when(n == 2, F.lit("[1]")).otherwise(F.lit("{"))
-    )
+    """An item's text as a task, by its length: whole, with a number for a title, in a list, or cut off."""
+    n, text = F.length("text") % 4, F.col("text")
+    whole = F.to_json(F.struct(text.alias("task_id"), text.alias("title"), F.lit("d").alias("domain"), text.alias("challenge"), text.alias("passage")))
+    numbered = F.to_json(F.struct(text.alias("task_uid"), F.length("text").alias("title"), F.lit("d").alias("domain"), text.alias("question")))
+    return F.when(n == 0, whole).when(n == 1, numbered).when(n == 2, F.to_json(F.array(text))).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 1))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs_of(spark, sf_dir)
-    n = F.col("doc_id") % 4
-    out = F.when(n == 0, "a OR b").when(n == 1, "a / b").when(n == 2, "a").otherwise("x | y")
-    kind = F.when(F.col("doc_id") % 3 == 0, "YES_NO").otherwise("FREE_FORM")
-    return d.select("doc_id", R.several_answers(out, kind).isNotNull().alias("several"))
+    kind = F.when(F.col("lang") == "de", "YES_NO").otherwise("FREE_FORM")
+    return d.select("doc_id", R.several_answers(F.replace("text", F.lit(".\n"), F.lit(" / ")), kind).isNotNull().alias("several"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs_of(spark, sf_dir)
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("YES_NO", "YES_NO_VERIFICATION", "SINGLE_WORD", "RANKING", "FREE_FORM")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    word = F.element_at(F.array(*[F.lit(k) for k in ("yes", "Incorrect", "paris", "b", "no")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    tail = F.element_at(F.array(F.lit("."), F.lit(" indeed"), F.lit("..\nmore")), (F.col("doc_id") % 3 + 1).cast("int"))
-    rows = d.select("doc_id", F.concat(F.lit("  "), word, tail).alias("reply"), F.when(F.col("doc_id") % 11 == 0, "no").otherwise(word).alias("expected"), kind.alias("query_type"), (F.col("doc_id") % 10 != 0).alias("has_criteria"))
+    """Texts as replies: English to single words, German to rankings, French to yes-no questions."""
+    lang, text = F.col("lang"), F.col("text")
+    kind = F.when(lang == "en", "SINGLE_WORD").when(lang == "de", "RANKING").when(lang == "fr", "YES_NO").otherwise("FREE_FORM")
+    reply = F.when(lang == "de", F.concat(F.lit(" "), F.substring(text, 1, 1), F.lit("..\nmore"))).when(lang == "fr", F.concat(F.when(text.contains(" la "), "Yes.").otherwise("no"), F.lit("\n"), text)).otherwise(text)
+    expected = F.when(lang == "en", F.regexp_extract(text, r"^(\S+)", 1)).when(lang == "de", "A").otherwise("yes")
+    rows = docs_of(spark, sf_dir).select("doc_id", reply.alias("reply"), expected.alias("expected"), kind.alias("query_type"), (F.coalesce(F.length(text), F.lit(0)) % 10 != 0).alias("has_criteria"))
     return E.score(rows).select("doc_id", "passed", "score")
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs_of(spark, sf_dir)
-    n = F.col("doc_id") % 4
-    good = F.concat(F.lit('{"passed": true, "score": 0.'), (F.col("doc_id") % 9).cast("string"), F.lit(', "rationale": "ok"}'))
-    reply = F.when(n == 0, good).when(n == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(n == 2, F.lit('{"passed": tru')).otherwise(F.lit('{"score": 1.0}'))
-    return d.select("doc_id", E.judge_verdict(reply).alias("v")).select("doc_id", "v.passed", "v.score", "v.rationale")
+    """Texts as rationales of judges' replies, by length: JSON, fenced, cut off or without a verdict."""
+    d = docs_of(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    n, score = F.length("text") % 4, (F.length("text") % 9 / 10).alias("score")
+    good = F.to_json(F.struct(F.lit(True).alias("passed"), score, F.col("text").alias("rationale")))
+    reply = F.when(n == 0, good).when(n == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(n == 2, F.concat(F.lit('{"passed": tru'), "text")).otherwise(F.to_json(F.struct(F.lit(1.0).alias("score"), F.col("text").alias("rationale"))))
+    return d.select("doc_id", E.judge_verdict(reply).alias("v")).select("doc_id", "v.passed", "v.score", F.sha2("v.rationale", 256).alias("rationale_sha256"))
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,13 +181,16 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.step_totals(c.groupBy("conv_id").agg(F.collect_list(step).alias("steps"))).select("conv_id", F.col("num_steps").cast("bigint").alias("num_steps"), "tokens", "elapsed_s")
 
 
+#: Rules that a line cites by its length: valid, valid, unknown, unknown, classical and a remark.
+CITED = ["modus ponens, 1", "conj-elim, 2", "and i", "wishful thinking", "excluded middle", "lines 3"]
+
+
 def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a rule cited at each line end; by doc_id a valid, an unknown or a classical one."""
-    n = F.col("doc_id") % 3
-    rule = F.when(n == 0, "modus ponens").when(n == 1, "wishful thinking").otherwise("excluded middle")
-    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". P ["), rule, F.lit("]"))), "\n")
-    scored = docs_of(spark, sf_dir).select("doc_id", proof_score(F.concat(lines, F.lit("\ntherefore Q")), F.lit("Q")).alias("s"))
-    return scored.select("doc_id", "s.passed", "s.score", "s.valid_rules", "s.invalid_rules", "s.classical")
+    """Documents as proofs of Q with a rule cited at each line end."""
+    rules = F.array(*map(F.lit, CITED))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". P ["), F.get(rules, F.length(x) % len(CITED)), F.lit("]")))
+    scored = docs_of(spark, sf_dir).select("doc_id", proof_score(F.concat(F.array_join(lines, "\n"), F.lit("\ntherefore Q")), F.lit("Q")).alias("s"))
+    return scored.select("doc_id", "s.passed", "s.score", "s.valid_rules", "s.invalid_rules", "s.classical", "s.conclusion_reached")
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +237,12 @@ QUERIES = {
     "t1_uids": _uids,
     "t2_extraction_method": _methods,
     "t3_normalize_whitespace": _digest(lambda c: T.normalize_whitespace(F.concat(F.regexp_replace(c, " ", "  \n"), F.lit("\n\n\n\nend  ")))),
-    "t4_lettertracks": _digest(lambda c: close_lettertracks(F.concat(F.lit("C o m p r e h e n s i o n "), c)), english=False),
-    "t5_rejoin_hyphens": _digest(lambda c: rejoin_hyphens(F.regexp_replace(c, "th", "th-\n")), english=False),
+    "t4_lettertracks": _digest(lambda c: close_lettertracks(F.concat(F.lit("C o m p r e h e n s i o n "), c))),
+    "t5_rejoin_hyphens": _digest(lambda c: rejoin_hyphens(F.regexp_replace(c, "th", "th-\n"))),
     "t6_space_blocks": _digest(lambda c: T.space_blocks(F.regexp_replace(c, r"\. |\n", ".7"))),
     "t7_fix_markdown": _digest(lambda c: T.fix_markdown(F.regexp_replace(c, " the ", "****"))),
     "t8_cleanup": _digest(lambda c: clean(c, Cleanup(lettertracks=False, hyphens=False, is_markdown=True))),
-    "t8_cleanup_all": _digest(lambda c: clean(c), english=False),
+    "t8_cleanup_all": _digest(lambda c: clean(c)),
     "t9_markdown_to_text": _digest(lambda c: T.markdown_to_text(F.concat(F.lit("# Head\n[a](b) ***c*** __d__ `e`\n---\n\n\n\n"), F.regexp_replace(c, " the ", " **the** ")))),
     "t10_markdown_blocks": _block_counts,
     "t12_strip_fences": _digest(lambda c: T.strip_fences(F.concat(F.lit("```json\n"), c, F.lit("\n```")))),
@@ -275,11 +273,11 @@ QUERIES = {
     "u1_model_calls": _called,
 }
 
-EN = "SELECT doc_id, {} AS o FROM documents WHERE lang = 'en'"
+EVERY = "SELECT doc_id, {} AS o FROM documents"
 
 
 def _sha(expr: str) -> str:
-    return f"SELECT doc_id, CAST(length(o) AS BIGINT) AS chars, sha256(o) AS sha256 FROM ({EN.format(expr)})"
+    return f"SELECT doc_id, CAST(length(o) AS BIGINT) AS chars, sha256(o) AS sha256 FROM ({EVERY.format(expr)})"
 
 
 def _rep(c: str, pattern: str, to: str) -> str:
@@ -354,15 +352,18 @@ SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'OBSERVE: read ' || role || '~'
 CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN 'yes' ELSE coalesce(free[-1], '') END AS conclusion FROM m""",
     "p9_import_episodes": """WITH k AS (SELECT conv_id, coalesce(min_by(text, turn) FILTER (WHERE role = 'system' AND text <> ''), '') AS s, coalesce(min_by(text, turn) FILTER (WHERE role = 'user' AND text <> ''), '') AS u, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant'), '') AS a,
 string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text <> '') AS st FROM conversations GROUP BY conv_id) SELECT conv_id AS episode_id, s AS system_prompt, u AS user_prompt, sha256(CASE WHEN conv_id % 2 = 0 AND st IS NOT NULL THEN st ELSE a END) AS response_sha256 FROM k""",
-    "p11_parse_skills": f"""SELECT {_uid("array_to_string(list_sort(['t' || CAST(item_id AS VARCHAR), 't0']), '|') || '|pick-' || CAST(item_id AS VARCHAR)")} AS skill_uid, 'pick-' || CAST(item_id AS VARCHAR) AS name, 'a~b' AS procedure, 't' || CAST(item_id AS VARCHAR) || '~t0' AS sources FROM benchmark WHERE item_id % 5 <> 0""",
-    "p14_skill_markdown": "WITH skills AS (SELECT * FROM part), e AS (SELECT DISTINCT l_partkey AS k, l_orderkey % 700 AS t FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 10 <> 0) SELECT 'skill-' || CAST(p_partkey AS VARCHAR) AS skill_uid, 'p' || CAST(p_partkey AS VARCHAR) || '-' || replace(lower(p_type), ' ', '-') AS name, 'Handles ' || lower(p_name) AS description, 'Read the ' || lower(p_type) || '~Compare size ' || CAST(p_size AS VARCHAR) || ' and pick one' AS procedure, count(e.t) AS n_sources FROM part LEFT JOIN e ON e.k = p_partkey GROUP BY ALL",
-    "n3_schema_errors": """SELECT item_id, unnest(CASE item_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['task.title: expected string, got bigint', 'task missing required field ''input'''] WHEN 2 THEN ['task missing required field ''task_uid''', 'task missing required field ''title''', 'task missing required field ''domain''', 'task missing required field ''question''', 'task missing required field ''input'''] ELSE ['task is not a JSON object'] END) AS error FROM benchmark""",
+    "p11_parse_skills": f"""SELECT {_uid("array_to_string(list_sort(['t' || CAST(item_id AS VARCHAR), 't0']), '|') || '|pick-' || CAST(item_id AS VARCHAR)")} AS skill_uid, 'pick-' || CAST(item_id AS VARCHAR) AS name, replace(text, chr(10), '~') AS procedure, 't' || CAST(item_id AS VARCHAR) || '~t0' AS sources FROM benchmark WHERE length(text) % 5 <> 0""",
+    "p14_skill_markdown": "WITH skills AS (SELECT * FROM part), e AS (SELECT DISTINCT l_partkey AS k, l_orderkey AS t FROM lineitem WHERE l_returnflag = 'R') SELECT 'skill-' || CAST(p_partkey AS VARCHAR) AS skill_uid, 'p' || CAST(p_partkey AS VARCHAR) || '-' || replace(lower(p_type), ' ', '-') AS name, 'Handles ' || lower(p_name) AS description, 'Read the ' || lower(p_type) || '~Compare size ' || CAST(p_size AS VARCHAR) || ' and pick one' AS procedure, count(e.t) AS n_sources FROM part LEFT JOIN e ON e.k = p_partkey GROUP BY ALL",
+    "n3_schema_errors": """SELECT item_id, unnest(CASE length(text) % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['task.title: expected string, got bigint', 'task missing required field ''input'''] WHEN 2 THEN ['task missing required field ''task_uid''', 'task missing required field ''title''', 'task missing required field ''domain''', 'task missing required field ''question''', 'task missing required field ''input'''] ELSE ['task is not a JSON object'] END) AS error FROM benchmark""",
     "n4_document_validation": r"""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'source_type' WHEN doc_id % 17 = 0 THEN 'source_name' WHEN text IS NULL THEN 'text_missing' WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200 THEN 'text_short' WHEN length(text) > 100000 THEN 'text_long' WHEN doc_id % 7 >= 6 THEN 'chunk_index' END AS reject_reason FROM documents""",
-    "n5_single_answer": "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 <> 2 AS several FROM documents",
-    "e1_deterministic_score": """WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'paris' WHEN 3 THEN 'b' ELSE 'no' END AS w, doc_id % 5 AS k FROM documents), y AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'no' ELSE w END AS want, CASE WHEN doc_id % 3 = 1 THEN w || ' indeed' ELSE w END AS line FROM x),
-z AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN TRUE WHEN k = 4 THEN FALSE WHEN k = 2 THEN w = want OR line = want ELSE line = want AND (k <> 0 OR line IN ('yes', 'no')) END AS passed FROM y) SELECT doc_id, passed, CAST(passed AS DOUBLE) AS score FROM z""",
-    "e2_judge_verdicts": "SELECT doc_id, doc_id % 4 < 2 AS passed, CASE doc_id % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 ELSE CAST('0.' || CAST(doc_id % 9 AS VARCHAR) AS DOUBLE) END AS score, CASE doc_id % 4 WHEN 2 THEN 'Failed to parse judge response: {\"passed\": tru' WHEN 3 THEN '' ELSE 'ok' END AS rationale FROM documents",
-    "e3_proof_scores": """WITH x AS (SELECT doc_id, doc_id % 3 AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, k = 0 AS passed, CASE WHEN k = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score, CAST(CASE WHEN k = 0 THEN n ELSE 0 END AS BIGINT) AS valid_rules, CAST(CASE WHEN k = 0 THEN 0 ELSE n END AS BIGINT) AS invalid_rules, CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS classical FROM x""",
+    "n5_single_answer": r"""WITH x AS (SELECT doc_id, lang, replace(coalesce(text, ''), '.' || chr(10), ' / ') AS t FROM documents) SELECT doc_id, coalesce(lang <> 'de', TRUE) AND (regexp_replace(t, '^\s+|\s+$', '', 'g') = '' OR contains(t, ' OR ') OR contains(t, ' / ') OR contains(t, ' | ')) AS several FROM x""",
+    "e1_deterministic_score": r"""WITH x AS (SELECT doc_id, lang, text, coalesce(CASE lang WHEN 'de' THEN ' ' || left(text, 1) || '..' || chr(10) || 'more' WHEN 'fr' THEN CASE WHEN contains(text, ' la ') THEN 'Yes.' ELSE 'no' END || chr(10) || text ELSE text END, '') AS reply, lower(coalesce(CASE lang WHEN 'en' THEN regexp_extract(text, '^(\S+)', 1) WHEN 'de' THEN 'A' ELSE 'yes' END, '')) AS want FROM documents),
+y AS (SELECT *, regexp_replace(regexp_replace(string_split(lower(regexp_replace(reply, '^\s+|\s+$', '', 'g')), chr(10))[1], '^\s+|\s+$', '', 'g'), '\.+$', '') AS line FROM x),
+z AS (SELECT doc_id, CASE WHEN coalesce(length(text), 0) % 10 = 0 THEN TRUE WHEN lang = 'en' THEN regexp_extract(line, '^(\S+)', 1) = want OR line = want WHEN lang = 'de' THEN line IN ('a', 'b') AND line = want WHEN lang = 'fr' THEN line IN ('yes', 'no') AND line = want ELSE FALSE END AS passed FROM y) SELECT doc_id, passed, CAST(passed AS DOUBLE) AS score FROM z""",
+    "e2_judge_verdicts": """WITH x AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, n % 4 < 2 AS passed, CASE n % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 ELSE CAST(n % 9 AS DOUBLE) / 10 END AS score, sha256(CASE n % 4 WHEN 2 THEN 'Failed to parse judge response: ' || left('{"passed": tru' || t, 200) ELSE t END) AS rationale_sha256 FROM x""",
+    "e3_proof_scores": """WITH l AS (SELECT doc_id, length(unnest(string_split(text, chr(10)))) % 6 AS k FROM documents), x AS (SELECT d.doc_id, count(*) FILTER (WHERE k < 2) AS v, count(*) FILTER (WHERE k IN (2, 3, 4)) AS i, CASE WHEN bool_or(k = 4) THEN 1 ELSE 0 END AS c FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id, d.text IS NULL),
+y AS (SELECT x.*, d.text IS NOT NULL AS has FROM x JOIN documents d ON d.doc_id = x.doc_id)
+SELECT doc_id, has AND i = 0 AND c = 0 AND v > 0 AS passed, CASE WHEN has THEN greatest(0, least(1, CAST(v - i - 3 * c AS DOUBLE) / greatest(v + i, 1))) ELSE CAST(0 AS DOUBLE) END AS score, v AS valid_rules, i AS invalid_rules, CAST(c AS BIGINT) AS classical, has AS conclusion_reached FROM y""",
     "p10_parse_steps": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'observe: ' || regexp_replace(string_split(t, chr(10))[1], '\s+$', '') WHEN 1 THEN 'Conclude: ' || t ELSE CASE WHEN length(t) < 300 THEN regexp_replace(string_split(t, chr(10))[1], '^\s+|\s+$', '', 'g') ELSE '' END END AS step FROM c""",
     "p15_registry_skills": """WITH s AS (SELECT p_partkey AS k, 'p' || CAST(p_partkey AS VARCHAR) || '-' || replace(lower(p_type), ' ', '-') AS name, lower(p_name) AS n, lower(p_brand) AS b, lower(p_type) AS t, p_size AS z FROM part) SELECT name, 'Handles ' || n || '. Use when asked.' AS description, 'When ' || b || ' applies~When size ' || CAST(z AS VARCHAR) || ' is used' AS when_to_use, 'Read the ' || t || '~Compare size ' || CAST(z AS VARCHAR) || ' and pick one' AS procedure, 'r' || CAST(k + 1 AS VARCHAR) || '~r' || CAST(k % 5 AS VARCHAR) AS related_skills FROM s""",
     "t10_markdown_blocks": """WITH n AS (SELECT count(*) AS d, sum(len(list_filter(string_split(text, chr(10))[2:], lambda x: trim(x) <> ''))) AS l FROM documents WHERE text IS NOT NULL) SELECT * FROM (SELECT 'heading' AS block_type, d AS n FROM n UNION ALL SELECT 'code', d FROM n UNION ALL SELECT 'blockquote', d FROM n UNION ALL SELECT 'list_item', CAST(l AS BIGINT) FROM n UNION ALL SELECT 'paragraph', d FROM n)""",

@@ -39,13 +39,13 @@ SELECT CAST(l_orderkey AS STRING) AS problem_id, CASE l_linestatus WHEN 'F' THEN
 FROM lineitem
 """
 
-#: Exploded source_task_uids of skills.
+#: Exploded source_task_uids of skills: the orders of which a part was returned.
 EDGES = """
-SELECT DISTINCT 'skill-' || CAST(l_partkey AS STRING) AS skill_uid, 'task-' || CAST(l_orderkey % 700 AS STRING) AS task_uid
-FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 10 <> 0
+SELECT DISTINCT 'skill-' || CAST(l_partkey AS STRING) AS skill_uid, 'task-' || CAST(l_orderkey AS STRING) AS task_uid
+FROM lineitem WHERE l_returnflag = 'R'
 """
 
-#: A task for most task ids of EDGES, and some that no skill lists.
+#: All orders; some are in no skill.
 TASKS = """
 SELECT 'task-' || CAST(o_orderkey AS STRING) AS task_uid, 'Title ' || CAST(o_orderkey AS STRING) AS title,
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'law' WHEN 1 THEN 'rhetoric' ELSE 'history' END AS domain,
@@ -53,7 +53,7 @@ SELECT 'task-' || CAST(o_orderkey AS STRING) AS task_uid, 'Title ' || CAST(o_ord
   CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'doc-' || CAST(o_custkey % 40 AS STRING) END AS source_document_uid,
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'dataset:corpus-' WHEN 1 THEN 'report-' ELSE 'notes-' END || CAST(o_custkey % 40 AS STRING) || CASE CAST(o_custkey % 3 AS INT) WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '' END AS source_artifact,
   CAST(o_orderkey AS BIGINT) AS ord
-FROM orders WHERE o_orderkey < 800
+FROM orders
 """
 
 #: Registry skills: name, related names (neighbours by key, one missing), description, collection.
