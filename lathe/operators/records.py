@@ -220,7 +220,8 @@ def trace_summary(index: Column, task: Column, challenge: Column, steps: Column,
 
 def skill_prompts(traces: DataFrame, group: str, template: str = "{traces}") -> DataFrame:
     """One prompt per ``group`` of traces (task_uid, user_prompt, procedural_steps, conclusion, ord) in order."""
-    items = F.sort_array(F.collect_list(F.struct("ord", "task_uid", "user_prompt", "procedural_steps", "conclusion")))
+    cut = F.struct("ord", "task_uid", F.substring("user_prompt", 1, 500).alias("user_prompt"), F.transform("procedural_steps", lambda s: F.substring(s, 1, 300)).alias("procedural_steps"), F.substring("conclusion", 1, 300).alias("conclusion"))
+    items = F.sort_array(F.collect_list(cut))  # cut first: whole texts are not gathered
     texts = F.transform("_t", lambda t, i: trace_summary(i + 1, t.task_uid, t.user_prompt, t.procedural_steps, t.conclusion))
     head, tail = template.split("{traces}", 1)
     return traces.groupBy(group).agg(items.alias("_t")).select(group, F.concat(F.lit(head), F.array_join(texts, "\n"), F.lit(tail)).alias("prompt"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lathe.operators import effectiveness as X
 from lathe.plans.analytics_queries import mean
 from lathe.plans.views import TRIALS, view, with_views
+from lathe.sources.tables import new_folder
 from lathe.streaming.progress import progress_summary, run_to_end
 
 
@@ -22,9 +22,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     records = spark.sql(TRIALS.replace("FROM events", "FROM {events}"), events=events)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-")
     name = f"progress_{uuid.uuid4().hex}"
-    run_to_end(progress_summary(records), name, f"{shared}/{name}")
+    run_to_end(progress_summary(records), name, new_folder(spark, name))
     return spark.table(name)
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +12,10 @@ from lathe.operators import lineage as L
 from lathe.operators import matching as M
 from lathe.operators import passages as P
 from lathe.operators import records as R
-from lathe.operators import verify as V
 from lathe.plans.relation_queries import registry_of, skills_of, tasks_of
 from lathe.plans.views import view, with_views
 from lathe.sources import tables as T
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the session's shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from lathe.sources.tables import new_folder
 
 
 def _episodes_json(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -38,11 +29,11 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skills as JSON arrays, one per collection and file, read back as rows."""
+    """Skills as JSON arrays of at most 1000, one per file, read back as rows."""
     path = new_folder(spark, "skills-json")
-    s = skills_of(spark, sf_dir).join(view(spark, sf_dir, "skills").select("skill_uid", "collection"), "skill_uid")
-    arrays = s.groupBy("collection").agg(F.to_json(F.collect_list(F.struct("skill_uid", "name", "description", "procedure", "source_task_uids"))).alias("value"))
-    arrays.repartition("collection").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    s = skills_of(spark, sf_dir).withColumn("file", F.floor(F.col("ord") / 1000))
+    arrays = s.groupBy("file").agg(F.to_json(F.collect_list(F.struct("skill_uid", "name", "description", "procedure", "source_task_uids"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     back = T.read_json_array(spark, path, T.SKILL)
     return back.select("skill_uid", "name", F.array_join("procedure", "~").alias("procedure"), F.size("source_task_uids").alias("n_tasks"))
 
@@ -94,9 +85,10 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _skill_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt per conversation, whose turns are the traces."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    traces = c.select((F.col("conv_id") % 10).alias("g"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("conv_id").cast("string").alias("task_uid"), F.col("text").alias("user_prompt"), F.array("role", "text").alias("procedural_steps"), F.col("text").alias("conclusion"))
-    return R.skill_prompts(traces, "g").select("g", F.sha2("prompt", 256).alias("prompt_sha256"))
+    traces = c.select("conv_id", F.col("turn").alias("ord"), F.concat_ws("/", "conv_id", "turn").alias("task_uid"), F.col("text").alias("user_prompt"), F.array("role", "text").alias("procedural_steps"), F.col("text").alias("conclusion"))
+    return R.skill_prompts(traces, "conv_id").select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def _trial_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +102,7 @@ def _trial_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passages_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) >= 200").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_artifact"), "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_artifact"), "text")
     return L.passages_export(P.passages(docs, 10**6, "\x01")).select("document_uid", "text", "chunk_index", "total_chunks")
 
 
@@ -121,10 +113,16 @@ def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    spaced = F.concat(F.lit("w o r d "), F.substring("text", 1, 40))
-    js = F.to_json(F.struct(F.array(F.struct(spaced.alias("text"))).alias("blocks")))
-    return d.select("doc_id", clean_payload(F.lit("json"), js).alias("payload"))
+    """Whole texts, a block or span per line, as payloads of every shape, cleaned."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.concat(F.lit("w o r d. "), x).alias("text")))
+    pages = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(F.struct(lines.alias("spans"))).alias("lines"))).alias("blocks"))).alias("pages")))
+    blocks, nested = F.to_json(F.struct(lines.alias("blocks"))), F.to_json(F.struct(F.struct(lines.alias("b")).alias("a")))
+    marked = F.transform(F.split(F.translate("text", "<>&\x00", "    "), "\n"), lambda x: F.concat(F.lit("<span>w o r d. "), x, F.lit("</span>")))
+    xml = F.concat(F.lit("<doc>"), F.array_join(marked, ""), F.lit("</doc>"))
+    shapes = {"pages": pages, "blocks": blocks, "nested": nested, "xml": xml, "txt": F.col("text")}
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *[c.alias(name) for name, c in shapes.items()])
+    kinds = {"xml": "xml", "txt": "txt"}
+    return d.select("doc_id", *[F.sha2(clean_payload(F.lit(kinds.get(name, "json")), F.col(name)), 256).alias(f"{name}_sha256") for name in shapes])
 
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +132,6 @@ def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.run_episodes(trials).select("task_uid", "mode", F.size("replies").alias("n_replies"), F.element_at("replies", 1).alias("first"))
 
 
-def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "skills").select("skill_uid", "description", F.lit("").alias("when_to_use"), F.array(F.when(F.col("key") % 4 == 0, "hm").otherwise(F.lit("The analyst reads it"))).alias("procedure"), F.array().cast("array<string>").alias("constraints"), "key")
-    fix = lambda bad: bad.withColumn("procedure", F.when(F.col("key") % 8 == 0, F.array(F.lit("The analyst reads it"))).otherwise(F.col("procedure"))).withColumn("description", F.lit("Reads."))
-    return V.roll_up(V.revise_loop(s, fix))
-
-
 QUERIES = {
     "s1_json_arrays": _json_arrays,
     "s2_s7_json_lines": _jsonl,
@@ -156,7 +148,6 @@ QUERIES = {
     "c10_lookup": _lookup,
     "t11_clean_payloads": _payloads,
     "u2_episodes": _episodes,
-    "v9_revise_loop": _revised,
 }
 
 TK, SK = with_views("tasks"), with_views("skills")
@@ -172,10 +163,10 @@ SELECT CAST(3 AS INTEGER) AS k_value, 'seq' AS composition_type, 'seq-' || a ||
     "n1_canonical_names": f"{TK} SELECT task_uid, CASE WHEN ord % 3 = 0 THEN '' ELSE title END AS question, 'intermediate' AS difficulty FROM tasks",
     "n6_incomplete_tasks": f"{TK} SELECT task_uid, CASE WHEN ord % 5 = 0 THEN 'question' WHEN source_document_uid = '' THEN 'input' WHEN ord % 7 = 0 THEN 'output' END AS missing FROM tasks",
     "p5_task_prompts": f"{TK} SELECT task_uid, 'Domain: ' || domain || chr(10) || '## Passage' || chr(10) || chr(10) || source_artifact || chr(10) || chr(10) || '## Challenge' || chr(10) || chr(10) || title || chr(10) || 'Generate 2 tasks.' AS prompt FROM tasks",
-    "p5_skill_prompts": f"""WITH t AS (SELECT conv_id % 10 AS g, conv_id * 1000 + turn AS o, conv_id, role, text, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id * 1000 + turn) AS i FROM conversations)
-SELECT g, sha256(string_agg('### Trace ' || CAST(i AS VARCHAR) || ' (Task: ' || CAST(conv_id AS VARCHAR) || ')' || chr(10) || 'Challenge: ' || left(text, 500) || chr(10) || 'Procedural actions taken:' || chr(10) || '  1. ' || role || chr(10) || '  2. ' || {CUT} || chr(10) || 'Conclusion reached: ' || {CUT} || chr(10), chr(10) ORDER BY o)) AS prompt_sha256 FROM t GROUP BY g""",
+    "p5_skill_prompts": f"""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT conv_id, sha256(string_agg('### Trace ' || CAST(i AS VARCHAR) || ' (Task: ' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || ')' || chr(10) || 'Challenge: ' || left(text, 500) || chr(10) || 'Procedural actions taken:' || chr(10) || '  1. ' || role || chr(10) || '  2. ' || {CUT} || chr(10) || 'Conclusion reached: ' || {CUT} || chr(10), chr(10) ORDER BY i)) AS prompt_sha256 FROM t GROUP BY conv_id""",
     "c10_lookup": f"{SK} SELECT name, CASE WHEN ord % 3 = 0 THEN step_a WHEN ord % 2 = 0 THEN 'c ' || step_a END AS content, CASE WHEN ord % 3 = 0 OR ord % 2 = 0 THEN description END AS description FROM skills",
-    "l4_passages_export": r"""WITH d AS (SELECT 'f' || CAST(doc_id AS VARCHAR) AS a, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE length(text) >= 200), u AS (SELECT sha256('document|' || a) AS h, t FROM d WHERE length(t) >= 200)
+    "l4_passages_export": r"""WITH d AS (SELECT 'f' || CAST(doc_id AS VARCHAR) AS a, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), u AS (SELECT sha256('document|' || a) AS h, t FROM d WHERE length(t) >= 200)
 SELECT h[1:4] || '-' || h[5:8] || '-' || h[9:12] || '-' || h[13:16] AS document_uid, left(t, 500) AS text, CAST(0 AS INTEGER) AS chunk_index, CAST(1 AS INTEGER) AS total_chunks FROM u""",
     "m4_trial_prompts": f"""{with_views('edges', 'tasks', 'skills')}, x AS (SELECT s.skill_uid, s.name, s.ord, e.task_uid, count(*) OVER (PARTITION BY s.skill_uid) AS n FROM skills s JOIN edges e ON e.skill_uid = s.skill_uid), m AS (SELECT task_uid, name FROM (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY n, ord) AS rn FROM x) WHERE rn = 1)
 SELECT t.task_uid, sha256('Be exact.' || chr(10) || chr(10) || '--- SKILL: ' || s.name || ' ---' || chr(10) || s.description || chr(10) || chr(10) || '## Procedure' || chr(10) || '1. ' || s.step_a || chr(10) || '2. ' || s.step_b || chr(10) || chr(10) || '## Constraints' || chr(10) || '- never' || chr(10) || '- ever' || chr(10) || '--- END SKILL ---' || 'Q' || chr(10) || chr(10) || 'Skill hint (' || s.name || '): ' || s.description) AS prompt_sha256

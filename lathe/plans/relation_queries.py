@@ -84,7 +84,9 @@ def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = M.plan_cross_task(tasks_of(spark, sf_dir), view(spark, sf_dir, "skills").where("key % 40 = 1"), MODELS, ("baseline", "curated", "self_generated"), repetitions=2)
+    """The whole grid of tasks and nations, which stand for a short list of skills."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"))
+    grid = M.plan_cross_task(tasks_of(spark, sf_dir), nations, MODELS, ("baseline", "curated", "self_generated"), repetitions=2)
     return grid.groupBy("condition", "model", "repetition").agg(F.count("*").alias("n"), F.count_distinct("skill_name").alias("n_skills"))
 
 
@@ -102,20 +104,32 @@ def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as skills: description, steps and constraints are their lines."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and text is not null").select("doc_id", F.split("text", "\n").alias("_l"))
+    """Documents as skills: the first line describes, the second says when to use, of the others every third is a constraint and the rest are steps."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.split("text", "\n").alias("_l"))
     line = lambda i: F.coalesce(F.get("_l", F.lit(i)), F.lit(""))
-    return V.verify(d.select(F.col("doc_id").alias("skill_uid"), line(0).alias("description"), line(1).alias("when_to_use"), F.slice("_l", 1, 4).alias("procedure"), F.slice("_l", 5, 2).alias("constraints")))
+    rest = F.slice("_l", F.lit(3), F.greatest(F.size("_l") - 2, F.lit(0)))
+    steps, limits = F.filter(rest, lambda x, i: i % 3 != 2), F.filter(rest, lambda x, i: i % 3 == 2)
+    return V.verify(d.select(F.col("doc_id").alias("skill_uid"), line(0).alias("description"), line(1).alias("when_to_use"), steps.alias("procedure"), limits.alias("constraints")))
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.each_defect(_verified(spark, sf_dir), "skill_uid").groupBy("skill_uid", "defect_type").agg(F.count("*").alias("n"))
+    """Defects with their texts; of passive phrases without, as DuckDB's words are ASCII."""
+    shown = F.when(F.col("defect_type") != "passive_voice", F.col("description"))
+    return V.each_defect(_verified(spark, sf_dir), "skill_uid").groupBy("skill_uid", "defect_type", "location", shown.alias("description")).agg(F.count("*").alias("n"))
+
+
+def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills under revision: a reply rewrites the description, and the steps of large parts only."""
+    s = skills_of(spark, sf_dir).join(view(spark, sf_dir, "skills").select("ord", "trigger_b"), "ord")
+    rows = s.select("skill_uid", "description", F.lit("").alias("when_to_use"), "procedure", F.array("trigger_b").alias("constraints"))
+    large = F.regexp_extract(F.col("constraints")[0], r"size (\d+)", 1).cast("int") > 25
+    fix = lambda bad: bad.withColumn("procedure", F.when(large, F.array(F.lit("The analyst reads it"))).otherwise(F.col("procedure"))).withColumn("description", F.lit("Reads."))
+    return V.roll_up(V.revise_loop(rows, fix))
 
 
 def _covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     composed = C.COMPOSE["seq"](C.windows(registry_of(spark, sf_dir))).select(F.col("name").alias("composed"), F.explode("source_skills").alias("skill"))
-    s = registry_of(spark, sf_dir).where("ord % 3 = 0")
-    required = s.select(F.col("ord").cast("string").alias("task_uid"), F.col("name").alias("skill"))
+    required = registry_of(spark, sf_dir).select(F.col("ord").cast("string").alias("task_uid"), F.col("name").alias("skill"))
     return C.covering_tasks(composed, required)
 
 
@@ -156,6 +170,7 @@ QUERIES = {
     "c8_invalid_references": _invalid,
     "c9_covering_tasks": _covering,
     "v7_defects": _defects,
+    "v9_revise_loop": _revised,
     "v8_roll_up": lambda s, d: V.roll_up(_verified(s, d)),
     "v8_defects_by_type": lambda s, d: V.defects_by_type(_verified(s, d)),
 }
@@ -214,39 +229,57 @@ SELECT name, sha256('---' || {NL} || 'name: ' || name || {NL} || 'description: '
 || CASE WHEN len(rel) > 0 THEN '## Related Skills' || {NL} || {NL} || array_to_string(list_transform(rel, lambda x: '- ' || x || {NL}), '') ELSE '' END) AS markdown_sha256 FROM m"""
 GRAPH = "g AS (SELECT DISTINCT 'n' || CAST(key AS VARCHAR) AS name, 'n' || CAST(unnest([key - key % 50 + (key % 50 + 7) % 50, key - key % 50 + (key % 50) * 3 % 50]) AS VARCHAR) AS ref FROM skills WHERE key % 4 <> 1)"
 
-STEPS = """l AS (SELECT doc_id AS skill_uid, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL),
-f AS (SELECT skill_uid, 'd' AS kind, 0 AS i, coalesce(l[1], '') AS t FROM l UNION ALL SELECT skill_uid, 'w', 0, coalesce(l[2], '') FROM l UNION ALL SELECT skill_uid, 's', i, l[i] FROM (SELECT skill_uid, l, unnest(range(1, least(4, len(l)) + 1)) AS i FROM l) UNION ALL SELECT skill_uid, 'c', i, l[i] FROM (SELECT skill_uid, l, unnest(range(5, least(6, len(l)) + 1)) AS i FROM l)),
-q AS (SELECT skill_uid, kind, trim(unnest(regexp_split_to_array(t, '[.!?]\\s+')), chr(9) || chr(10) || chr(13) || ' ') AS q FROM f)"""
+#: Fields of skills: kind (description, when to use, step, constraint), number within the kind, text.
+DOC_FIELDS = """l AS (SELECT doc_id AS skill_uid, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+r AS (SELECT skill_uid, i, l[i + 3] AS t FROM (SELECT skill_uid, l, unnest(range(0, len(l) - 2)) AS i FROM l)),
+f AS (SELECT skill_uid, 'd' AS kind, 0 AS i, coalesce(l[1], '') AS t FROM l UNION ALL SELECT skill_uid, 'w', 0, coalesce(l[2], '') FROM l UNION ALL SELECT skill_uid, 's', i - i // 3 + 1, t FROM r WHERE i % 3 <> 2 UNION ALL SELECT skill_uid, 'c', i // 3 + 1, t FROM r WHERE i % 3 = 2)"""
+LOCATION = "CASE kind WHEN 'd' THEN 'description' WHEN 'w' THEN 'when_to_use' WHEN 's' THEN 'procedure step ' || CAST(i AS VARCHAR) ELSE 'constraint ' || CAST(i AS VARCHAR) END AS location"
+NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def _values(items: list[str]) -> str:
     return "(VALUES " + ", ".join(f"('{x}')" for x in items) + ") v(p)"
 
 
-def _found(kind: str, items: list[str], kinds: str) -> str:
-    return f"SELECT skill_uid, '{kind}' AS defect_type FROM f, {_values(items)} WHERE kind IN ({kinds}) AND contains(lower(t), p)"
+def _found(kind: str, items: list[str], kinds: str, description: str) -> str:
+    return f"SELECT skill_uid, '{kind}' AS defect_type, {LOCATION}, {description} AS description FROM f, {_values(items)} WHERE kind IN ({kinds}) AND contains(lower(t), p)"
+
+
+def _starts(kind: str, words: list[str], kinds: str, description: str) -> str:
+    return f"SELECT skill_uid, '{kind}' AS defect_type, {LOCATION}, {description} AS description FROM (SELECT *, lower(regexp_extract(q, '^\\S+')) AS p FROM q) WHERE kind IN ({kinds}) AND p IN ({', '.join(repr(w) for w in words)})"
 
 
-def _starts(kind: str, words: list[str], kinds: str) -> str:
-    return f"SELECT skill_uid, '{kind}' AS defect_type FROM q WHERE kind IN ({kinds}) AND lower(regexp_extract(q, '^\\S+')) IN ({', '.join(repr(w) for w in words)})"
+def _defects_of(fields: str) -> str:
+    """CTEs from those of ``fields`` (l: skills; f: their fields) to e: all defects."""
+    verbs = "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{p}')" for v, p in V.verb_primitives().items()) + ") b(verb, primitive))"
+    return f"""{fields}, q AS (SELECT skill_uid, kind, i, trim(unnest(regexp_split_to_array(t, '[.!?]\\s+')), chr(9) || chr(10) || chr(13) || ' ') AS q FROM f), {verbs},
+y AS (SELECT skill_uid, i, pos, w FROM (SELECT skill_uid, i, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM (SELECT skill_uid, i, list_transform(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[.,;:!?()\\[\\]"'']+|[.,;:!?()\\[\\]"'']+$', '', 'g')) AS ws FROM f WHERE kind = 's'))),
+z AS (SELECT s.skill_uid, s.i, s.t, min_by(b.primitive, y.pos) FILTER (WHERE y.pos <= 5) AS primitive, count(b.verb) AS n FROM (SELECT skill_uid, i, t FROM f WHERE kind = 's') s LEFT JOIN y ON y.skill_uid = s.skill_uid AND y.i = s.i LEFT JOIN b ON b.verb = y.w GROUP BY s.skill_uid, s.i, s.t),
+k AS (SELECT skill_uid, 'procedural_sufficiency' AS defect_type, 'procedure step ' || CAST(i AS VARCHAR) AS location, 'Step is not a procedural action: "' || left(t, 80) || '"' AS description FROM z WHERE n = 0
+UNION ALL SELECT skill_uid, 'procedural_sufficiency', 'procedure', 'Procedure has no observation step -- actions should begin with observing the input' FROM z GROUP BY skill_uid HAVING coalesce(max(primitive) FILTER (WHERE i = 1), 'observe') <> 'observe' AND count(*) FILTER (WHERE primitive = 'observe') = 0
+UNION ALL SELECT skill_uid, 'procedural_sufficiency', 'procedure', 'Procedure is empty -- a skill must have at least 1 procedural action step' FROM l WHERE skill_uid NOT IN (SELECT skill_uid FROM z)),
+e AS (SELECT * FROM k UNION ALL SELECT skill_uid, 'passive_voice', {LOCATION}, NULL FROM (SELECT skill_uid, kind, i, unnest(regexp_extract_all(regexp_replace(t, '{NOT_ASCII}', 'x', 'g'), '(?i)\\b(is|was|were|are|been|being|gets|got)\\s+(\\w+ed|(\\w+en))\\b')) AS m FROM f) WHERE lower(m) NOT IN ('is used', 'is called', 'is named', 'is defined')
+UNION ALL {_starts('implicit_subject', V.IMPERATIVE_VERBS, "'s'", "'Imperative \"' || left(q, 60) || '...\" has implied subject'")}
+UNION ALL {_starts('undefined_language', V.REFERENTS, "'d', 's', 'w', 'c'", "'Undefined referent \"' || p || '\" at sentence start: \"' || left(q, 60) || '...\"'")}
+UNION ALL {_found('not_stated_with_specificity', V.VAGUE_QUANTIFIERS, "'d', 's', 'w', 'c'", "'Vague quantifier \"' || p || '\" used without specific count'")}
+UNION ALL {_found('vaguely_specified_operation', V.VAGUE_OPERATIONS, "'d', 's', 'c'", "'Vague operation \"' || p || '\" lacks depth or acceptance criteria'")}
+UNION ALL {_found('imprecise_external_reference', V.IMPRECISE_REFERENCES, "'d', 's', 'w'", "'Imprecise reference \"' || p || '\" without enough info to locate'")})"""
 
 
-VERB = "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{p}')" for v, p in V.verb_primitives().items()) + ") b(verb, primitive))"
-SUFFICIENT = f"""{VERB}, y AS (SELECT skill_uid, i, pos, w FROM (SELECT skill_uid, i, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM (SELECT skill_uid, i, list_transform(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[.,;:!?()\\[\\]"'']+|[.,;:!?()\\[\\]"'']+$', '', 'g')) AS ws FROM f WHERE kind = 's'))),
-z AS (SELECT s.skill_uid, s.i, min_by(b.primitive, y.pos) FILTER (WHERE y.pos <= 5) AS primitive, count(b.verb) AS n FROM (SELECT skill_uid, i FROM f WHERE kind = 's') s LEFT JOIN y ON y.skill_uid = s.skill_uid AND y.i = s.i LEFT JOIN b ON b.verb = y.w GROUP BY s.skill_uid, s.i),
-k AS (SELECT skill_uid, 'procedural_sufficiency' AS defect_type FROM z WHERE n = 0 UNION ALL SELECT skill_uid, 'procedural_sufficiency' FROM z GROUP BY skill_uid HAVING coalesce(max(primitive) FILTER (WHERE i = 1), 'observe') <> 'observe' AND count(*) FILTER (WHERE primitive = 'observe') = 0)"""
-DEFECTS = f"""WITH {STEPS}, {SUFFICIENT}, e AS (SELECT * FROM k
-UNION ALL SELECT skill_uid, 'passive_voice' FROM (SELECT skill_uid, unnest(regexp_extract_all(t, '(?i)\\b(is|was|were|are|been|being|gets|got)\\s+(\\w+ed|(\\w+en))\\b')) AS m FROM f) WHERE lower(m) NOT IN ('is used', 'is called', 'is named', 'is defined')
-UNION ALL {_starts('implicit_subject', V.IMPERATIVE_VERBS, "'s'")} UNION ALL {_starts('undefined_language', V.REFERENTS, "'d', 's', 'w', 'c'")}
-UNION ALL {_found('not_stated_with_specificity', V.VAGUE_QUANTIFIERS, "'d', 's', 'w', 'c'")} UNION ALL {_found('vaguely_specified_operation', V.VAGUE_OPERATIONS, "'d', 's', 'c'")} UNION ALL {_found('imprecise_external_reference', V.IMPRECISE_REFERENCES, "'d', 's', 'w'")})"""
+DEFECTS = "WITH " + _defects_of(DOC_FIELDS)
+#: Skills after revision: those of large parts have a new step, all have a new description, as none is valid before.
+REVISED = f"""{S}, {_defects_of("""l AS (SELECT *, CAST(regexp_extract(trigger_b, 'size ([0-9]+)', 1) AS INTEGER) > 25 AS large FROM skills),
+f AS (SELECT skill_uid, 'd' AS kind, 0 AS i, 'Reads.' AS t FROM l UNION ALL SELECT skill_uid, 'w', 0, '' FROM l UNION ALL SELECT skill_uid, 's', 1, CASE WHEN large THEN 'The analyst reads it' ELSE step_a END FROM l UNION ALL SELECT skill_uid, 's', 2, step_b FROM l WHERE NOT large UNION ALL SELECT skill_uid, 'c', 1, trigger_b FROM l)""")}"""
+ROLL_UP = "t AS (SELECT l.skill_uid, count(e.defect_type) AS n FROM l LEFT JOIN e ON e.skill_uid = l.skill_uid GROUP BY l.skill_uid) SELECT count(*) AS skills, count(*) FILTER (WHERE n = 0) AS valid, count(*) FILTER (WHERE n > 0) AS with_defects, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_defects FROM t"
 
 ORACLES = {
-    "v7_defects": f"{DEFECTS} SELECT skill_uid, defect_type, count(*) AS n FROM e GROUP BY ALL",
+    "v7_defects": f"{DEFECTS} SELECT skill_uid, defect_type, location, description, count(*) AS n FROM e GROUP BY ALL",
+    "v9_revise_loop": f"{REVISED}, {ROLL_UP}",
     "v8_defects_by_type": f"{DEFECTS} SELECT defect_type, count(*) AS n FROM e GROUP BY ALL",
-    "v8_roll_up": f"{DEFECTS}, t AS (SELECT l.skill_uid, count(e.defect_type) AS n FROM l LEFT JOIN e ON e.skill_uid = l.skill_uid GROUP BY l.skill_uid) SELECT count(*) AS skills, count(*) FILTER (WHERE n = 0) AS valid, count(*) FILTER (WHERE n > 0) AS with_defects, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_defects FROM t",
+    "v8_roll_up": f"{DEFECTS}, {ROLL_UP}",
     "m1_task_skill_match": f"{ETS}, {EDGE}, {MATCH} SELECT * FROM m",
     "m2_one_to_one_plan": f"{ETS}, {EDGE}, {MATCH}, {PLAN} SELECT p.*, a.model, b.mode FROM p, (VALUES ('m-a'), ('m-b')) a(model), (VALUES ('singlecall'), ('stepwise')) b(mode)",
-    "m3_cross_task_plan": f"""{ETS}, k AS (SELECT name FROM skills WHERE key % 40 = 1), g AS (SELECT task_uid, c AS condition, '' AS skill_name FROM tasks, (VALUES ('baseline'), ('self_generated')) v(c) UNION ALL SELECT task_uid, 'curated', name FROM tasks, k)
+    "m3_cross_task_plan": f"""{with_views('tasks')}, g AS (SELECT task_uid, c AS condition, '' AS skill_name FROM tasks, (VALUES ('baseline'), ('self_generated')) v(c) UNION ALL SELECT task_uid, 'curated', n_name FROM tasks, nation)
 SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) AS n_skills FROM g, (VALUES ('m-a'), ('m-b')) a(model), (VALUES (0), (1)) r(repetition) GROUP BY ALL""",
     "s10_pending_trials": f"{ETS}, {EDGE}, {MATCH}, {PLAN}, t AS (SELECT {KEY} AS trial_key FROM p, (VALUES ('m-a'), ('m-b')) a(model)) SELECT trial_key FROM t WHERE trial_key NOT IN (SELECT trial_key FROM t WHERE left(sha256(trial_key), 1) < '8')",
     "n7_filter_tasks": f"{with_views('tasks')} SELECT task_uid FROM tasks WHERE domain = 'law' AND difficulty = 'easy'",
@@ -279,6 +312,6 @@ SELECT n.skill_uid, n.merge_name AS name, coalesce(g.ts, '') AS source_task_uids
     "c6_semantic_fusion": f"{S}, {REG} SELECT collection, 'sem-' || array_to_string(names, '-') AS name, 'Semantic fusion of 2 skills' AS description, 'When integrated skill application is needed' AS when_to_use, 'Apply skills with semantic understanding' AS procedure, array_to_string(names, '~') AS source_skills FROM w WHERE k = 2",
     "c7_dependencies": f"WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), {GRAPH}, r AS (SELECT name, ref AS dependency FROM g UNION SELECT r.name, g.ref FROM r JOIN g ON g.name = r.dependency) SELECT * FROM r",
     "c8_invalid_references": f"{S}, {GRAPH} SELECT name, string_agg(ref, '~' ORDER BY ref) AS missing FROM g WHERE ref NOT IN (SELECT name FROM g) GROUP BY name",
-    "c9_covering_tasks": f"""{S}, {REG}, h AS (SELECT 'seq-' || array_to_string(names, '-then-') AS composed, unnest(names) AS skill FROM w), q AS (SELECT CAST(ord AS VARCHAR) AS task_uid, name AS skill FROM reg WHERE ord % 3 = 0)
+    "c9_covering_tasks": f"""{S}, {REG}, h AS (SELECT 'seq-' || array_to_string(names, '-then-') AS composed, unnest(names) AS skill FROM w), q AS (SELECT CAST(ord AS VARCHAR) AS task_uid, name AS skill FROM reg)
 SELECT DISTINCT q.task_uid, h.composed FROM q JOIN h ON h.skill = q.skill""",
 }

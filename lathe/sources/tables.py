@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,30 @@ RECORD = _struct("problem_id domain model provider condition skill_name composit
 TEXT_COLUMNS = ("text", "content", "passage", "article", "sentence", "document", "paragraph", "body")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the session's shared checkpoint folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint folder that the application has set.
+
+    Without either a session on one machine gets a temporary folder, and a cluster an error.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and (sc.master == "local" or sc.master.startswith("local[")):
+        folder = tempfile.mkdtemp(prefix="lathe-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-"))
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathe.operators import compose, fusion
-from lathe.operators.proofs import is_rule, proof_score, score_proof, score_rule
+from lathe.operators.proofs import ANSWERS, BEGINNINGS, EXACT, is_rule, proof_score, score_proof, score_rule
+from lathe.operators.verify import verb_primitives
 from tests.test_relations import registry
 
 
@@ -44,5 +45,26 @@ def test_proofs(spark):
     assert [r[0] for r in df.collect()] == [True, False]
 
 
+def test_tables_hold_their_fixed_values():
+    assert len(set(BEGINNINGS)) == 118 and len(EXACT) == 69 and len(set(BEGINNINGS) | EXACT) == 182 and len(ANSWERS) == 10
+    assert {"mp", "↔i", "¬¬i", "modus tollens", "right-simplification"} <= set(BEGINNINGS) and {"and introduction", "rule of negation elimination", "assumption reuse"} <= EXACT
+    assert len(verb_primitives()) == 183 and verb_primitives()["produce"] == "enumerate" and verb_primitives()["produces"] == "apply" and verb_primitives()["collect"] == "observe"
+
+
+@pytest.mark.parametrize("name", ["and i", "and-e", "arrow intro", "negation introduction of p", "introduce", "conjunct elim"])
+def test_unlisted_spellings_do_not_count(name):
+    assert is_rule(name) is False
+
+
+@pytest.mark.parametrize("target, answer", [("⊥e", "explosion"), ("⊥e", "ex-falso"), ("⊥E", "EFQ"), ("¬i", "refutation"), ("⇒i", "deduction-theorem"), ("⇒e", "mp"), ("mp", "modus ponens"), ("∨e", "i use ∨e here")])
+def test_rule_selection_aliases(target, answer):
+    assert score_rule(answer, target)["passed"] and not score_rule("bogus", target)["passed"]
+
+
+@pytest.mark.parametrize("text, target, found", [("p QED", "P", True), ("so ( a → b )", "(a⇒b)", True), ("we have: Q", "q", True), ("we have maybe Q", "q", False), ("thus we say q", "Q", True), ("", "Q", False)])
+def test_conclusions(text, target, found):
+    assert score_proof(text, target)["conclusion_reached"] is found
+
+
 def test_rule_selection():
     assert score_rule(" conj-elim ", "∧e")["passed"] and score_rule("use mp here", "mp")["passed"] and not score_rule("or-elim", "∧e")["passed"]

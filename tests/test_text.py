@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from lathe.functions import text as T
 from lathe.functions.cleanup import Cleanup, blocks, clean, clean_json, clean_payload, clean_xml, close_letters, join_hyphens, markdown_blocks
 from lathe.functions.skills import inferred_sources, skill_k, skill_label, skill_operator
 from lathe.operators.compose import title_case
+from lathe.operators.passages import dataset_chunks
 
 
 def one(spark, column, value=""):
@@ -111,3 +114,42 @@ def test_cleanup_switches(spark):
 @pytest.mark.parametrize("name, title", [("pick-claim", "Pick Claim"), ("a1b-c", "A1B C"), ("it's-X", "It'S X")])
 def test_title_case(spark, name, title):
     assert one(spark, title_case, name) == title == name.replace("-", " ").title()
+
+
+def folded(docs, size, most=None):
+    """P2 by a loop over the paragraphs of each source."""
+    out = {}
+    for source in {s for s, _, _ in docs}:
+        chunks, parts, n = [], [], 0
+        for _, _, text in sorted((d for d in docs if d[0] == source), key=lambda d: d[1]):
+            for p in filter(None, (x.strip() for x in (text or "").split("\n\n"))):
+                if n and n + len(p) + 2 > size:
+                    chunks.append("\n\n".join(parts))
+                    parts, n = [], 0
+                parts.append(p)
+                n += len(p) + 2
+        chunks = [c for c in [*chunks, "\n\n".join(parts)] if len(c) >= 200][:most]
+        out |= {(source, i): (len(chunks), c) for i, c in enumerate(chunks)}
+    return out
+
+
+@pytest.mark.parametrize("size, most", [(300, None), (700, None), (2500, None), (100, None), (700, 3)])
+def test_dataset_chunks_over_runs(spark, size, most):
+    rng = random.Random(size)
+    text = lambda: rng.choice([None, "", *["\n\n".join("x" * rng.choice([0, 1, 5, 40, 150, 250, 900]) for _ in range(rng.randint(0, 9))) for _ in range(8)]])
+    docs = [(rng.choice("aaaabc"), i, text()) for i in range(150)] + [("short", 500, "y"), ("long", 501, "z" * 5000)]
+    rows = dataset_chunks(spark.createDataFrame(docs, "source string, ord long, text string").repartition(5), size, max_chunks=most).collect()
+    assert {(r.source, r.chunk_index): (r.total_chunks, r.text) for r in rows} == folded(docs, size, most)
+
+
+@pytest.mark.parametrize("kind, payload, cleaned", [
+    ("json", '{"pages": [{"blocks": [{"text": "a b c d", "lines": [{"spans": [{"text": "w o r d un-\\nder"}]}]}]}], "text": "w o r d"}', '{"pages": [{"blocks": [{"text": "a b c d", "lines": [{"spans": [{"text": "word under"}]}]}]}], "text": "w o r d"}'),
+    ("json", '{"blocks": [{"text": "w o r d"}, {"n": 1}], "text": "w o r d"}', '{"blocks": [{"text": "word"}, {"n": 1}], "text": "w o r d"}'),
+    ("json", '[{"a": {"text": "co-operate well-known"}}, {"text": ["w o r d"]}]', '[{"a": {"text": "co-operate well-known"}}, {"text": ["w o r d"]}]'),
+    ("json", '{"a": [{"text": "é w o r d"}]}', '{"a": [{"text": "é word"}]}'),
+    ("xml", "<d><span>w o r d</span><text>w o r d</text></d>", "<d><span>word</span><text>w o r d</text></d>"), ("xml", "<d>w o r d</d>", "<d>word</d>"),
+    ("json", "{w o r d", "{w o r d"), ("xml", "<d>w o r d", "<d>w o r d"), ("txt", "w o r d", "word"), ("md", None, None),
+])
+def test_payload_shapes(spark, kind, payload, cleaned):
+    df = spark.createDataFrame([(kind, payload)], "k string, p string")
+    assert df.select(clean_payload(F.col("k"), F.col("p"))).first()[0] == cleaned
