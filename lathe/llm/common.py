@@ -10,14 +10,14 @@ delimiter is ASCII and every non-ASCII character belongs to a word:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathe.sources.tables import checkpoint, new_folder  # noqa: F401
+
 #: Larger than any real id: rows without a doc_id sort after all others.
 NO_ID = 2**63 - 1
 
@@ -43,28 +43,6 @@ def plain(text: bytes | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b" "
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder (``spark.checkpoint.dir``), or the checkpoint folder that the application has set.
-
-    Without either a session on one machine gets a temporary folder, and a cluster an error.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder and (sc.master == "local" or sc.master.startswith("local[")):
-        folder = tempfile.mkdtemp(prefix="lathe-")
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a row key: ``_lathe_id``, the doc_id (null last), and ``_lathe_h``, a hash of the text."""
     text = F.col("text").cast("string")
@@ -84,7 +62,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salt: Colu
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for rows that hold texts or are read in parts."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import as_bytes, checkpoint, ensure_checkpoint_dir, salted_join
+from lathe.llm.common import as_bytes, checkpoint, new_folder, salted_join
 
 #: Size after which an archive file is closed, lines of an index block, and blocks of a directory.
 FILE_BYTES, LINES, SEGMENT = 256 << 20, 3000, 1024
@@ -379,10 +379,6 @@ def page_key() -> Column:
     return F.arrow_udf(keys, "string")(F.col("url").cast("string"), F.col("page_id").cast("bigint"))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages``, index them, look every page up and read it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
