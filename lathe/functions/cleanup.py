@@ -17,6 +17,7 @@ from lathe.functions import text as T
 # First parts of compounds that keep their hyphen.
 COMPOUND_PREFIXES = frozenset("self well non pre post co re anti semi multi inter intra cross over under out up all ex half mid sub super ultra vice".split())
 
+# Letter-spaced runs, words broken at line ends, words with inner hyphens.
 _SPACED = re.compile(r"(?<![a-zA-Z])(?:[A-Za-z] ){3,}[A-Za-z](?:  (?:[A-Za-z] ){2,}[A-Za-z])*(?![a-zA-Z])")
 _BROKEN = re.compile(r"(\w{2,})-\s*\n\s*(\w{2,})(?!-)")
 _INLINE = re.compile(r"(\w{2,})-([a-z]\w+)(?!-)")

@@ -43,39 +43,47 @@ def extraction_method(model: Column, operation: Column | str, version: int = 1)
     return F.concat(name, F.lit("-"), F.lit(operation) if isinstance(operation, str) else operation, F.lit(f"-v{version}"))
 
 
+# Patterns of the cleanup steps and what they put in place, in order.
+#: T3
+WHITESPACE = [(r"(?md)[ \t]+$", ""), (r"\n{3,}", "\n\n")]
+#: T6
+BLOCKS = [(r"([a-z])([A-Z])", "$1 $2"), (r"([.!?;:)])([A-Z])", "$1 $2"), (r"(?U)([a-zA-Z])(\d+)([A-Z])", "$1 $2 $3"), (r"(?U)(\d)([A-Z])(?=\s)", "$1 $2")]
+#: T7
+BOLD = [(r"\*{4}", "** **"), (r"(?U)\*\*\s+\*\*", " ")]
+#: T9
+PLAIN_TEXT = [
+    (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"\*\*\*([^*]+)\*\*\*", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
+    (r"___([^_]+)___", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
+    (r"(?Umd)^#{1,6}\s+", ""), (r"```[^\n]*\n?", ""), (r"`([^`]+)`", "$1"),
+    (r"(?Umd)^(-{3,}|_{3,}|\*{3,})\s*$", ""), (r"\n{3,}", "\n\n"),
+]
+
+
+def _replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, to in steps:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
 def normalize_whitespace(c: Column) -> Column:
     """No blanks at line ends, at most one empty line in a row, no outer blanks."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"(?md)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    return strip(_replaced(c, WHITESPACE))
 
 
 def space_blocks(c: Column) -> Column:
     """Blanks between run-together blocks."""
-    c = F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")
-    c = F.regexp_replace(c, r"([.!?;:)])([A-Z])", "$1 $2")
-    c = F.regexp_replace(c, r"(?U)([a-zA-Z])(\d+)([A-Z])", "$1 $2 $3")
-    return F.regexp_replace(c, r"(?U)(\d)([A-Z])(\s)", "$1 $2$3")
+    return _replaced(c, BLOCKS)
 
 
 def fix_markdown(c: Column) -> Column:
     """Doubled bold marks."""
-    return F.regexp_replace(F.regexp_replace(c, r"\*{4}", "** **"), r"(?U)\*\*\s+\*\*", " ")
-
-
-#: T9, in order: pattern and what stays of it.
-PLAIN_TEXT = [
-    (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"\*\*\*([^*]+)\*\*\*", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
-    (r"___([^_]+)___", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
-    (r"(?Umd)^#{1,6}\s+", ""), (r"```[^\n]*\n?", ""), (r"`([^`]+)`", "$1"),
-    (r"(?Umd)^(-{3,}|_{3,}|\*{3,})\s*$", ""), (r"\n{3,}", "\n\n"),
-]
+    return _replaced(c, BOLD)
 
 
 def markdown_to_text(c: Column) -> Column:
     """Markdown without its marks."""
-    for pattern, keep in PLAIN_TEXT:
-        c = F.regexp_replace(c, pattern, keep)
-    return strip(c)
+    return strip(_replaced(c, PLAIN_TEXT))
 
 
 def strip_fences(c: Column) -> Column:
