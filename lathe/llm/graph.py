@@ -13,7 +13,6 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("merge")
     large = salted_join(both.where("v > u"), low, ["u"], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where("u <> v").union(salted_join(edges, low, ["u"], F.xxhash64("v")).where("u <> m").select("u", F.col("m").alias("v"))).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m")).hint("merge")
     small = salted_join(large, low, ["u"], F.xxhash64("v"))
     return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
