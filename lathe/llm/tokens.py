@@ -4,7 +4,7 @@ The vocabulary's trie gets a failure link and a popped-token count per node
 (Song et al., "Fast WordPiece Tokenization", 2021): when no child matches, the
 node's count is added and matching goes on at the linked node, so each
 character is read once and no piece is built. Counts of words seen before come
-from a bounded cache.
+from a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from lathe.llm.common import as_bytes
 START = "▁"
 #: A word without a segmentation counts one token; this marks it in a word's count.
 UNKNOWN = 1 << 40
-CACHED_WORDS = 400_000
+#: Bytes that the cache of words may take: their own and about 150 more each.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 150
 
 
 class LongestMatch(dict):
@@ -30,6 +31,7 @@ class LongestMatch(dict):
 
     def __init__(self, pieces: Iterable[str]):
         super().__init__()
+        self.bytes = 0
         self.children: list[dict[str, int]] = [{}]
         final = {0: False}
         for piece in pieces:
@@ -76,7 +78,14 @@ class LongestMatch(dict):
         return n
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.count(word.decode("utf-8"))
+        n = self.count(word.decode("utf-8"))
+        size = len(word) + ENTRY_BYTES
+        if self.bytes + size > CACHE_BYTES:
+            self.clear()
+            self.bytes = 0
+        if size <= CACHE_BYTES:
+            self[word] = n
+            self.bytes += size
         return n
 
 
@@ -107,8 +116,6 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
                 words = (text or b"").split()
                 words_of.append(len(words))
                 totals.append(sum(map(automaton.__getitem__, words)))
-                if len(automaton) > CACHED_WORDS:
-                    automaton.clear()
             tokens, unknown = [t % UNKNOWN for t in totals], [t // UNKNOWN for t in totals]
             yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (words_of, tokens, unknown)], ["n_words", "n_tokens", "n_unknown"])
 

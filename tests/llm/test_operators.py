@@ -94,6 +94,15 @@ def test_chat_tree(spark, seed):
     assert first.p == list(range(first.position, first.position + first.length))
 
 
+def test_chat_tree_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "x<|" * 200_000), (1, 1, "assistant", "é" * 300_000), (2, 0, "user", "x<|" * 200_000), (2, 1, "assistant", "short")]
+    clash = spark.createDataFrame(rows, CONV)
+    for c in ("_id", "t", "nodes", "ends", "order", "pieces", "tree", "length", "shared", "attend", "loss", "part", "base", "start", "conv"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_tree.digests(chat_tree.read_back(chat_tree.pack(clash))).collect()}
+    assert got == read_digests(rows)
+
+
 def test_chat_tree_of_nothing(spark):
     assert chat_tree.pack(spark.createDataFrame([], CONV)).count() == 0
 
@@ -200,6 +209,14 @@ def greedy(word, pieces):
     return n, 0
 
 
+def test_cache_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    m = tokens.LongestMatch(["▁", "a", "b", "ab"])
+    words = [b"ab" * k for k in range(1, 300)]
+    assert [m[w] for w in words for _ in range(2)] == [1 + k for k in range(1, 300) for _ in range(2)]
+    assert m.bytes <= 2000 and sum(len(w) + tokens.ENTRY_BYTES for w in m) == m.bytes
+
+
 def test_token_counts(spark):
     rng = random.Random(0)
     pieces = {"▁", *"abcé"} | {"".join(rng.choice("▁abcé" if k == 0 else "abcé") for k in range(rng.randint(1, 5))) for _ in range(60)}
@@ -742,6 +759,8 @@ def test_odd_rows(spark):
     d = odd(spark).cache()
     n = d.count()
     assert licenses.scan_licenses(d).count() == tokens.count_tokens(d, ["▁", "o", "n", "e"]).count() == quality.judge(d).count() == n
+    named = langid.identify(d.withColumn("language", F.lit("clash")))
+    assert named.columns == [*d.columns, "language"] and dict(named.dtypes)["language"].startswith("struct")
     assert langid.identify(d).count() == mixing.mix(d).count() == simhash.near_duplicates(d).count() == n
     out = line_dedup.delete_repeated_blocks(d)
     assert out.columns[:-1] == d.columns and out.count() == n
