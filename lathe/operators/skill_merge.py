@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.sources.tables import checkpoint
@@ -20,16 +20,20 @@ def _named(skills: DataFrame) -> DataFrame:
 def similar_pairs(skills: DataFrame) -> DataFrame:
     """Pairs (ord_a < ord_b) of skills whose ``-``-split name words overlap by more than OVERLAP of the larger set.
 
-    Of skills with the same words only the first takes part. Only the rarest words
-    of a name are indexed: of n words, the n - floor(0.6 n) rarest, of which a
-    qualifying pair must share one; so a word that is in most names makes no
+    Of skills with the same words only the first takes part. A pair of different
+    word sets shares at least two words, so pairs of words are indexed, and of a
+    name only its rarest: to share floor(0.6 n) + 1 of n words, two names share two
+    of the n - floor(0.6 n) + 1 rarest. Words that are in most names thus make few
     candidates. Overlaps are tested in the join.
     """
-    words = _named(skills).where("ord = rep").select("ord", "w").withColumn("n", F.size("w"))
-    tokens = words.select("ord", "n", "w", F.explode("w").alias("t"))
+    words = _named(skills).where("ord = rep").select("ord", "w")
+    tokens = words.select("ord", F.explode("w").alias("t"))
     df = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "t"))
-    index = tokens.join(df, "t").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * OVERLAP)).select("t", "ord", "n", "w")
+    ranked = tokens.join(df, "t").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))  # the words of one name
+    n = F.size("r")
+    rarest = ranked.select("ord", F.array_sort(F.transform("r", lambda x: x.t)).alias("w"), F.array_sort(F.transform(F.slice("r", F.lit(1), (n - F.floor(n * OVERLAP) + 1).cast("int")), lambda x: x.t)).alias("p"))
+    keys = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.concat(x, F.lit("-"), y))))
+    index = rarest.select(F.explode(keys).alias("t"), "ord", F.size("w").alias("n"), "w")
     a, b = (index.select("t", F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
     larger = F.greatest("n_a", "n_b")
     close = (F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") > OVERLAP * larger) & (F.size(F.array_intersect("w_a", "w_b")) / larger > OVERLAP)
