@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lathe.operators.numbering import numbered
 from lathe.sources.tables import checkpoint
 
 OPERATORS = ("seq", "par", "cond")
@@ -25,8 +26,7 @@ def windows(skills: DataFrame, k_values: Sequence[int] = (2, 3)) -> DataFrame:
     Each skill is sent to the windows that it belongs to, so no window over rows is
     kept open; n - k + 1 windows of n skills.
     """
-    nth = F.row_number().over(Window.partitionBy("collection").orderBy("ord"))
-    order = skills.select("collection", "ord").withColumn("_i", nth)
+    order = numbered(skills.select("collection", "ord"), ["collection"], ["ord"], "_i")
     rows = skills.join(order, ["collection", "ord"]).withColumn("k_value", F.explode(F.array(*map(F.lit, k_values))))
     rows = rows.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_i") - F.col("k_value") + 1), F.col("_i"))))
     member = F.struct("_i", *[c for c in skills.columns if c != "collection"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathe.functions.text import strip, strip_right
+from lathe.operators.numbering import numbered
 
 #: Size up to which the skill list of a cross-task plan is broadcast.
 BROADCAST_ROWS = 100_000
@@ -108,8 +109,7 @@ def validation_subset(skills: DataFrame, tasks: DataFrame, names: Sequence[str])
 def rename_tasks(skills: DataFrame, tasks: DataFrame) -> DataFrame:
     """task_uid -> ``{skill}-{NN}``: the first skill (by ord) that lists the task names it; numbered per skill in task order (ord)."""
     first = edges(skills).groupBy("task_uid").agg(F.min_by("name", F.struct("ord", "pos")).alias("name"))
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
-    return tasks.select("task_uid", "ord").join(first, "task_uid").withColumn("n", nth).select("task_uid", F.format_string("%s-%02d", "name", "n").alias("new_uid"))
+    return numbered(tasks.select("task_uid", "ord").join(first, "task_uid"), ["name"], ["ord", "task_uid"], "n").select("task_uid", F.format_string("%s-%02d", "name", "n").alias("new_uid"))
 
 
 def rename_sources(skills: DataFrame, tasks: DataFrame) -> DataFrame:

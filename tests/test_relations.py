@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from lathe.operators import compose as C
 from lathe.operators import lineage as L
 from lathe.operators import matching as M
+from lathe.operators import numbering
 from lathe.operators import skill_merge as S
 from lathe.operators import verify as V
 from lathe.operators.calls import call_model, run_episodes
@@ -232,3 +234,13 @@ def test_progress_stream(spark, tmp_path):
         query.stop()
     r = spark.table("progress_test").first()
     assert (r.n_trials, r.pass_rate, r.mean_score, r.tokens) == (3, pytest.approx(2 / 3), 0.5, 6)
+
+
+def test_numbers_within_hot_keys(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(500)]
+    out = numbering.numbered(spark.createDataFrame(rows, "k string, o long, i long").repartition(7), ["k"], ["o", "i"], "n").collect()
+    by = {}
+    for k, o, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        by.setdefault(k, []).append(i)
+    assert {(r.k, r.i): r.n for r in out} == {(k, i): n for k, ids in by.items() for n, i in enumerate(ids, 1)} and len(out) == 500
