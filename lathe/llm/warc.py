@@ -72,7 +72,9 @@ def record_id(page_id: int | None, url: str | None, digest: str) -> str:
 
 
 def _page_of(record: str) -> str:
-    return record.split(":")[3]
+    """The page's number in a record id; empty in those of other writers."""
+    found = re.match(r"<?urn:lathe:page:(-?\d*):", record)
+    return found[1] if found else ""
 
 
 def _key(target: str, page_id: str) -> str:

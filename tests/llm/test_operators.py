@@ -513,6 +513,16 @@ def test_index_lookups(spark, tmp_path, monkeypatch):
     assert "CoGroups" not in plan and "content#" not in plan  # ranges only
 
 
+def test_archives_of_others(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    head = ["WARC-Type: response", "WARC-Record-ID: <urn:uuid:0>", "WARC-Target-URI: http://x.org/p", "WARC-Payload-Digest: sha1:D"]
+    (tmp_path / "a" / "x.warc.gz").write_bytes(warc.info_record("x") + warc._packed(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:1>"], b"") + warc._packed(head, b"HTTP/1.1 200 OK\r\n\r\nbody"))
+    warc.build_index(spark, str(tmp_path / "a"), str(tmp_path / "i"))
+    got = warc.fetch(spark, warc.lookup(spark, spark.createDataFrame([("org,x)/p\t",)], "key string"), str(tmp_path / "i"))).collect()
+    assert [(r.key, bytes(r.payload), r.refers_to) for r in got] == [("org,x)/p\t", b"body", None)]
+    assert warc._page_of(warc.record_id(-5, "u", "D")) == "-5" and warc._page_of(f"<{warc.record_id(None, None, 'D')}>") == ""
+
+
 def test_members_of_a_stream():
     import gzip
     import io
