@@ -708,8 +708,8 @@ def test_every_group_has_an_estimate(spark):
 
 
 def mcd_brute(x, rng, starts=400):
-    """Least determinant, over many random starts, of the covariance of the nearest 75 % to a fixed point of concentration steps."""
-    h, best = int(np.ceil(0.75 * len(x))), None
+    """Least determinant, over many random starts, of the covariance of the nearest 75 % to a fixed point of concentration steps; and its mean and covariance."""
+    h, best = int(np.ceil(0.75 * len(x))), (np.inf, None, None)
     for _ in range(starts):
         near = rng.choice(len(x), quality.P + 1, replace=False)
         last = np.inf
@@ -718,10 +718,11 @@ def mcd_brute(x, rng, starts=400):
             logdet = np.linalg.slogdet(cov)[1]
             if len(near) == h and logdet >= last - 1e-12:
                 break
+            if len(near) == h and logdet < best[0]:
+                best = logdet, mean, cov - np.diag(quality.TOLERANCE)
             last = logdet if len(near) == h else np.inf
             d = x - mean
             near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]
-        best = last if best is None else min(best, last)
     return best
 
 
@@ -732,12 +733,33 @@ def test_determinants_against_many_starts(spark):
     fit = spark.createDataFrame(rows, "_g string, " + ", ".join(f"{x} long" for x in quality.X))
     found = {r._g: r for r in quality.estimate(fit).collect()}
     for g, x in groups.items():
-        assert found[g].logdet <= mcd_brute(np.round(x), rng) + 0.1  # the last bin counts in part
+        assert found[g].logdet <= mcd_brute(np.round(x), rng)[0] + 0.1  # the last bin counts in part
     assert np.linalg.norm(np.array(found["mixed"].mu)) < 150  # not drawn to the cluster
     again = {r._g: r for r in quality.estimate(fit.repartition(7)).collect()}
     assert again == found  # to the last bit
 
 
+def test_verdicts_of_one_group_by_brute_force(spark):
+    """With one group the wider estimates are its own, so the verdict follows from the counts and the best of many starts."""
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join(f"w{rng.randint(0, 9999)}" + rng.choice(["", "", "", "", "#"]) for _ in range(rng.randint(6, 12))) for _ in range(rng.randint(3, 15))) for _ in range(120)]
+    lines = [f"x{k} y{k}" for k in range(40)]
+    texts += [" ".join("#w$" for _ in range(60)), "\n".join(lines + lines[::-1]), " ".join(f"{rng.random()}" * 3 for _ in range(60)), " ".join(f"w{k}" for k in range(30_000))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    counts = [brute_counts(t) for t in texts]
+    n_lines = [sum(bool(blank_words(x)) for x in t.split("\n")) for t in texts]
+    passed = [c[0] >= 20 and 100 * c[4] <= 30 * c[0] for c in counts]
+    x = np.round(256 * np.array([[np.log1p(n), np.log(max(chars / n, 1)), np.arcsinh(10 * symbols / n), np.sqrt(dups / k), np.sqrt(rep / n), np.log(max(n / k, 1))] for (n, chars, symbols, dups, rep), k in zip(counts, n_lines)]))
+    _, mean, cov = mcd_brute(x[passed], np.random.default_rng(0))
+    away = x - mean
+    distance = np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov * quality.CONSISTENCY + np.diag(quality.TOLERANCE)), away)
+    rows = {r.doc_id: r for r in quality.judge(d).collect()}
+    sure = [i for i in range(len(texts)) if abs(np.log(distance[i] / quality.CUT)) > 0.2]
+    assert len(sure) > 110 and all(rows[i].kept == (passed[i] and distance[i] <= quality.CUT) for i in sure)
+    assert sum(passed) - sum(r.kept for r in rows.values()) >= 3
+    assert np.median([abs(np.log(rows[i].distance / distance[i])) for i in range(120)]) < 0.2
+
+
 def test_blending_and_cut():
     assert quality.CUT == pytest.approx(53.3445, abs=1e-3) and quality.CONSISTENCY == pytest.approx(1.3616, abs=1e-3)
     assert quality.chi2_quantile(0.001, 6) == pytest.approx(22.4577, abs=1e-3)
