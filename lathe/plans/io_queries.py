@@ -107,8 +107,9 @@ def _passages_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "skills").select("ord", "name", "description", F.col("step_a").alias("content"))
-    atomic, composed = s.where("ord % 3 = 0").drop("ord"), s.where("ord % 2 = 0").withColumn("content", F.concat(F.lit("c "), "content")).drop("ord")
+    """All names looked up in a registry of large parts, then in one of blue parts."""
+    s = view(spark, sf_dir, "skills").select("name", "description", F.col("step_a").alias("content"))
+    atomic, composed = s.where("content like '%large'"), s.where("description like '%blue%'").withColumn("content", F.concat(F.lit("c "), "content"))
     return C.lookup(s.select("name"), atomic, composed)
 
 
@@ -165,7 +166,7 @@ SELECT CAST(3 AS INTEGER) AS k_value, 'seq' AS composition_type, 'seq-' || a ||
     "p5_task_prompts": f"{TK} SELECT task_uid, 'Domain: ' || domain || chr(10) || '## Passage' || chr(10) || chr(10) || source_artifact || chr(10) || chr(10) || '## Challenge' || chr(10) || chr(10) || title || chr(10) || 'Generate 2 tasks.' AS prompt FROM tasks",
     "p5_skill_prompts": f"""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
 SELECT conv_id, sha256(string_agg('### Trace ' || CAST(i AS VARCHAR) || ' (Task: ' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || ')' || chr(10) || 'Challenge: ' || left(text, 500) || chr(10) || 'Procedural actions taken:' || chr(10) || '  1. ' || role || chr(10) || '  2. ' || {CUT} || chr(10) || 'Conclusion reached: ' || {CUT} || chr(10), chr(10) ORDER BY i)) AS prompt_sha256 FROM t GROUP BY conv_id""",
-    "c10_lookup": f"{SK} SELECT name, CASE WHEN ord % 3 = 0 THEN step_a WHEN ord % 2 = 0 THEN 'c ' || step_a END AS content, CASE WHEN ord % 3 = 0 OR ord % 2 = 0 THEN description END AS description FROM skills",
+    "c10_lookup": f"{SK} SELECT name, CASE WHEN step_a LIKE '%large' THEN step_a WHEN description LIKE '%blue%' THEN 'c ' || step_a END AS content, CASE WHEN step_a LIKE '%large' OR description LIKE '%blue%' THEN description END AS description FROM skills",
     "l4_passages_export": r"""WITH d AS (SELECT 'f' || CAST(doc_id AS VARCHAR) AS a, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), u AS (SELECT sha256('document|' || a) AS h, t FROM d WHERE length(t) >= 200)
 SELECT h[1:4] || '-' || h[5:8] || '-' || h[9:12] || '-' || h[13:16] AS document_uid, left(t, 500) AS text, CAST(0 AS INTEGER) AS chunk_index, CAST(1 AS INTEGER) AS total_chunks FROM u""",
     "m4_trial_prompts": f"""{with_views('edges', 'tasks', 'skills')}, x AS (SELECT s.skill_uid, s.name, s.ord, e.task_uid, count(*) OVER (PARTITION BY s.skill_uid) AS n FROM skills s JOIN edges e ON e.skill_uid = s.skill_uid), m AS (SELECT task_uid, name FROM (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY n, ord) AS rn FROM x) WHERE rn = 1)

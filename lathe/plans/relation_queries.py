@@ -91,11 +91,11 @@ def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Related skills as a graph with cycles: p -> p+7 and p -> 3p, within key blocks of 50."""
+    """Related skills as a graph with cycles: p -> p+7 and p -> 3p, within key blocks of 50; promo parts have no entry."""
     s = view(spark, sf_dir, "skills")
     at = lambda e: F.concat(F.lit("n"), F.expr(e).cast("string"))
     nxt = F.array(at("key - key % 50 + (key % 50 + 7) % 50"), at("key - key % 50 + (key % 50) * 3 % 50"))
-    return s.where("key % 4 <> 1").select(F.concat(F.lit("n"), F.col("key").cast("string")).alias("name"), F.explode(nxt).alias("ref")).distinct()
+    return s.where("step_a not like '%promo'").select(F.concat(F.lit("n"), F.col("key").cast("string")).alias("name"), F.explode(nxt).alias("ref")).distinct()
 
 
 def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ SELECT name, sha256('---' || {NL} || 'name: ' || name || {NL} || 'description: '
 || '## Procedure' || {NL} || {NL} || array_to_string(list_transform(range(1, len(p) + 1), lambda i: CAST(i AS VARCHAR) || '. ' || p[i] || {NL}), '') || {NL} || '## Constraints' || {NL} || {NL} || array_to_string(list_transform(c, lambda x: '- ' || x || {NL}), '') || {NL}
 || '### Example 1: Condition is true' || {NL} || {NL} || '**Input:**' || {NL} || 'Input where ' || titles[1] || ' evaluates to TRUE' || {NL} || {NL} || '**Process:**' || {NL} || '1. ' || titles[1] || ' evaluates to TRUE' || {NL} || '2. Apply then-skills: ' || then_titles || {NL} || {NL} || '**Output:**' || {NL} || 'Output from applying ' || then_titles || {NL} || {NL}
 || CASE WHEN len(rel) > 0 THEN '## Related Skills' || {NL} || {NL} || array_to_string(list_transform(rel, lambda x: '- ' || x || {NL}), '') ELSE '' END) AS markdown_sha256 FROM m"""
-GRAPH = "g AS (SELECT DISTINCT 'n' || CAST(key AS VARCHAR) AS name, 'n' || CAST(unnest([key - key % 50 + (key % 50 + 7) % 50, key - key % 50 + (key % 50) * 3 % 50]) AS VARCHAR) AS ref FROM skills WHERE key % 4 <> 1)"
+GRAPH = "g AS (SELECT DISTINCT 'n' || CAST(key AS VARCHAR) AS name, 'n' || CAST(unnest([key - key % 50 + (key % 50 + 7) % 50, key - key % 50 + (key % 50) * 3 % 50]) AS VARCHAR) AS ref FROM skills WHERE step_a NOT LIKE '%promo')"
 
 #: Fields of skills: kind (description, when to use, step, constraint), number within the kind, text.
 DOC_FIELDS = """l AS (SELECT doc_id AS skill_uid, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
