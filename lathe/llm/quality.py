@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from math import exp, factorial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +153,8 @@ def _distance() -> Column:
 ESTIMATE = "mu array<double>, cov array<double>, prec array<double>, logdet double"
 #: The estimates of a group and its number of documents.
 PARAMS = f"_g string, n double, found array<struct<{ESTIMATE.replace(' array', ':array').replace(' double', ':double')}>>"
+_DOUBLES = pa.list_(pa.float64())
+PARAMS_ARROW = pa.schema([("_g", pa.string()), ("n", pa.float64()), ("found", pa.list_(pa.struct([("mu", _DOUBLES), ("cov", _DOUBLES), ("prec", _DOUBLES), ("logdet", pa.float64())])))])
 
 
 def moments() -> list[Column]:
@@ -191,17 +192,18 @@ def first_estimates(fit: DataFrame, plain: DataFrame, small: bool) -> DataFrame:
     unit = _with_params(fit, scaled, small).select("_g", *[F.round(1024 * c / length).cast("bigint").alias(x) for x, c in zip(X, z)])
     unit = unit.groupBy("_g").agg(*[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"u{i}_{j}") for i, j in PAIRS])
 
-    def starts(groups: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in groups.iterrows():
-            mid, scale = np.array(r["mid"]), np.array(r["scale"])
-            mean, cov = mean_cov(r["n"], r[S_COLUMNS].to_numpy(np.float64), r[Q_COLUMNS].to_numpy(np.float64))
-            signs = symmetric(np.array([r[f"u{i}_{j}"] for i, j in PAIRS]) / (r["n"] * 1024.0**2)) * P
-            found = [one_estimate(mu, c) for mu, c in ((mid, np.diag(scale**2 - TOLERANCE)), (mean, cov), (mid, np.outer(scale, scale) * signs))]
-            out.append({"_g": r["_g"], "n": float(r["n"]), "found": found})
-        return pd.DataFrame(out)
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                mid, scale, n = np.array(r["mid"]), np.array(r["scale"]), r["n"]
+                mean, cov = mean_cov(n, np.array([r[c] for c in S_COLUMNS], np.float64), np.array([r[c] for c in Q_COLUMNS], np.float64))
+                signs = symmetric(np.array([r[f"u{i}_{j}"] for i, j in PAIRS]) / (n * 1024.0**2)) * P
+                found = [one_estimate(mu, c) for mu, c in ((mid, np.diag(scale**2 - TOLERANCE)), (mean, cov), (mid, np.outer(scale, scale) * signs))]
+                out.append({"_g": r["_g"], "n": float(n), "found": found})
+            yield pa.RecordBatch.from_pylist(out, PARAMS_ARROW)
 
-    return checkpoint(plain.join(scaled, "_g").join(unit, "_g").groupBy("_g").applyInPandas(starts, PARAMS))
+    return checkpoint(plain.join(scaled, "_g").join(unit, "_g").mapInArrow(starts, PARAMS))
 
 
 def concentrated(fit: DataFrame, params: DataFrame, small: bool, first: bool, best: bool) -> DataFrame:
@@ -215,20 +217,24 @@ def concentrated(fit: DataFrame, params: DataFrame, small: bool, first: bool, be
     binned = each.withColumn("_bin", F.floor(BINS * F.log(F.greatest(_distance(), F.lit(1e-9)))).cast("int"))
     binned = binned.groupBy("_g", "s", "_bin").agg(*moments())
 
-    def step(key: tuple, bins: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for s, rows in bins.sort_values(["s", "_bin"], kind="stable").groupby("s"):
-            n = rows["n"].to_numpy(np.float64)
-            h = np.ceil(SHARE * n.sum())
-            weight = np.clip(h - (np.cumsum(n) - n), 0, n) / n  # 1 in the nearer bins, a part in the last one
-            new = one_estimate(*mean_cov(h, weight @ rows[S_COLUMNS].to_numpy(np.float64), weight @ rows[Q_COLUMNS].to_numpy(np.float64)))
-            old = before["found"].iloc[0][s]
+    def step(key: tuple, bins: pa.Table, before: pa.Table) -> pa.Table:
+        column = lambda c: bins.column(c).to_numpy()
+        order = np.lexsort((column("_bin"), column("s")))
+        start, n = column("s")[order], column("n")[order].astype(np.float64)
+        sums, squares = (np.stack([column(c) for c in names], axis=1)[order].astype(np.float64) for names in (S_COLUMNS, Q_COLUMNS))
+        was, found = before.column("found")[0].as_py(), []
+        for s, old in enumerate(was):
+            mine = start == s
+            m = n[mine]
+            h = np.ceil(SHARE * m.sum())
+            weight = np.clip(h - (np.cumsum(m) - m), 0, m) / m  # 1 in the nearer bins, a part in the last one
+            new = one_estimate(*mean_cov(h, weight @ sums[mine], weight @ squares[mine]))
             found.append(new if first or new["logdet"] < old["logdet"] else old)
         if best:
             found = [min(found, key=lambda e: e["logdet"])]
-        return pd.DataFrame([{"_g": key[0], "n": before["n"].iloc[0], "found": found}])
+        return pa.Table.from_pylist([{"_g": key[0].as_py(), "n": before.column("n")[0].as_py(), "found": found}], PARAMS_ARROW)
 
-    return checkpoint(binned.groupBy("_g").cogroup(params.groupBy("_g")).applyInPandas(step, PARAMS))
+    return checkpoint(binned.groupBy("_g").cogroup(params.groupBy("_g")).applyInArrow(step, PARAMS))
 
 
 def estimate(fit: DataFrame) -> DataFrame:
@@ -258,19 +264,20 @@ def group_estimates(fit: DataFrame) -> DataFrame:
         return raw.select("_g", "mu", "prec")
     all_mu, all_cov = np.array(every["mu"]), np.array(every["cov"]).reshape(P, P)
 
-    def mix(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in rows.iterrows():
-            mu, cov, lang_mu, lang_cov = np.array(r["mu"]), np.array(r["cov"]).reshape(P, P), np.array(r["lang_mu"]), np.array(r["lang_cov"]).reshape(P, P)
-            lang = blend(r["lang_n"], lang_mu, lang_cov, all_mu, all_cov)
-            found = blend(r["n"], mu, cov, np.array(lang["mu"]), np.array(lang["cov"]).reshape(P, P))
-            out.append({"_g": r["_g"], "mu": found["mu"], "prec": found["prec"]})
-        return pd.DataFrame(out)
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                mu, cov, lang_mu, lang_cov = np.array(r["mu"]), np.array(r["cov"]).reshape(P, P), np.array(r["lang_mu"]), np.array(r["lang_cov"]).reshape(P, P)
+                lang = blend(r["lang_n"], lang_mu, lang_cov, all_mu, all_cov)
+                found = blend(r["n"], mu, cov, np.array(lang["mu"]), np.array(lang["cov"]).reshape(P, P))
+                out.append({"_g": r["_g"], "mu": found["mu"], "prec": found["prec"]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("_g", pa.string()), ("mu", _DOUBLES), ("prec", _DOUBLES)]))
 
     names = fit.select(F.concat(F.lit("g "), "_g").alias("_g"), F.concat(F.lit("l "), "_l").alias("_lang")).distinct()
     langs = raw.select(F.col("_g").alias("_lang"), F.col("n").alias("lang_n"), F.col("mu").alias("lang_mu"), F.col("cov").alias("lang_cov"))
     groups = raw.join(names, "_g").join(langs, "_lang").withColumn("_g", F.substr("_g", F.lit(3)))
-    return checkpoint(groups.groupBy("_g").applyInPandas(mix, "_g string, mu array<double>, prec array<double>"))
+    return checkpoint(groups.mapInArrow(mix, "_g string, mu array<double>, prec array<double>"))
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
