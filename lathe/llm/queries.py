@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import chat_tree, decontam, langid, licenses, line_dedup, mixing, quality, simhash, tokens, warc
+from lathe.llm import chat_tree, decontam, langid, licenses, line_dedup, mixing, packing, quality, simhash, tokens, warc
 from lathe.llm.common import read, saved
 
 #: Vocabulary file of the token-count query; a parameter of the session.
 PIECES = "spark.lathe.tokenizer.pieces"
 PIECES_DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
+#: Tokenizer of the packing query; a parameter of the session.
+BYTE_BPE = "spark.lathe.tokenizer.bpe"
+BYTE_BPE_DEFAULT = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 #: A conversation whose texts try to close and open turns.
@@ -72,8 +75,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = packing.pack(read(spark, sf_dir, "documents"), spark.conf.get(BYTE_BPE, BYTE_BPE_DEFAULT))
+    return packing.packed_pieces(sequences).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality, op12_packing)}
 
 
 #: The 10-word windows of benchmark items looked up in all documents' windows of the same length.
