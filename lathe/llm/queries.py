@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import chat_tree, decontam, langid, licenses, line_dedup, mixing, packing, quality, simhash, tokens, warc
+from lathe.llm import chat_tree, collocations, decontam, langid, licenses, line_dedup, mixing, packing, quality, simhash, tokens, warc
 from lathe.llm.common import read, saved
 
 #: Vocabulary file of the token-count query; a parameter of the session.
@@ -80,8 +80,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(sequences).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality, op12_packing)}
+    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality, op12_packing, op13_collocations)}
 
 
 #: The 10-word windows of benchmark items looked up in all documents' windows of the same length.
@@ -135,5 +139,34 @@ FROM d
 """
 
 
+#: N-grams of all clauses, counted one by one.
+OP13 = r"""
+WITH clause AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM clause GROUP BY lang
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM clause, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, c.j, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:c.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1:], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS top
+  FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, a, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL
+), ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN inside ON best.lang = inside.lang AND best.phrase = inside.phrase WHERE top IS NULL OR 100::HUGEINT * top < 80::HUGEINT * a
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": OP1, "op7_warc_index": OP7, "op9_decontamination": OP9}
+    return {"op13_collocations": OP13, "op1_chat_prefix_tree": OP1, "op7_warc_index": OP7, "op9_decontamination": OP9}
