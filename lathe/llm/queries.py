@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import chat_tree, collocations, decontam, langid, licenses, line_dedup, mixing, packing, quality, simhash, tokens, warc
+from lathe.llm import chat_tree, collocations, decontam, langid, licenses, line_dedup, mixing, packing, quality, repair, simhash, tokens, warc
 from lathe.llm.common import read, saved
 
 #: Vocabulary file of the token-count query; a parameter of the session.
@@ -75,6 +75,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows damaged by a hash of conversation and turn: dropped, emptied, without stops, repeated, or said by the user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn"))) % 20
+    text = F.when(case == 1, F.lit("")).when(case == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text"))
+    role = F.when(case == 4, F.lit("user")).otherwise(blank("role"))
+    copies = F.when(case == 0, 0).when(case == 3, 2).otherwise(1)
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    return repair.summarize_all(table.select("conv_id"), repair.repair(damaged(table)))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = packing.pack(read(spark, sf_dir, "documents"), spark.conf.get(BYTE_BPE, BYTE_BPE_DEFAULT))
     return packing.packed_pieces(sequences).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -85,7 +100,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality, op12_packing, op13_collocations)}
+    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_license_scan, op3_token_counts, op4_line_dedup, op5_simhash, op6_language_id, op7_warc_index, op8_mixing, op9_decontamination, op10_quality, op11_repair, op12_packing, op13_collocations)}
 
 
 #: The 10-word windows of benchmark items looked up in all documents' windows of the same length.
