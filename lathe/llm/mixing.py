@@ -2,9 +2,9 @@
 
 Each source's target is split into whole passes over the source and a remaining
 budget. The remaining budget is filled by documents *counted by exact length*: a
-bounded-knapsack dynamic programme, after a proportional share of every length
-where the budget exceeds what the programme covers. Which documents of a
-length are taken is decided by a seeded hash.
+proportional share of every length, and a bounded-knapsack dynamic programme over the
+last words. Where that leaves words, the programme covers more and more of the budget,
+in the end all of it. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import checkpoint, salted_join
 
-#: Words that the dynamic programme fits at least, where the longest document has fewer.
-DP_WORDS = 20_000
+#: Words that the dynamic programme covers at first, and how much more in each further attempt.
+DP_WORDS, MORE = 20_000, 8
+#: Sums that an attempt may look at, over all lengths, and at once (four bytes each).
+WORK, MOST_SUMS = 4_000_000_000, 50_000_000
 #: Documents of one (source, length) that one part of their seeded deal holds on average at most; at least 64 parts.
 PART_ROWS, LEAST_PARTS = 2_000_000, 64
 
@@ -60,42 +62,59 @@ def source_targets(sources: DataFrame, weights=(1, 2, 3), most: float = 3.0) ->
             return weighted.select("source", "source_size", F.when(capped, cap).otherwise(F.lit(share) * F.col("_weight")).alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS, work: int = WORK, most_sums: int = MOST_SUMS) -> np.ndarray:
     """How many documents of each length to take for the largest sum up to ``budget``.
 
-    The programme covers ``room``, the larger of ``dp_words`` and the longest length:
-    a budget of at most twice that is fitted exactly. A larger one first takes the
-    same share of every length, then longer lengths, until one to two times ``room``
-    words are left, and the programme fits these exactly with what is not yet taken.
-    It holds eight bytes a word of that rest, in units of the lengths' common divisor.
+    An attempt takes the same share of every length, then longer lengths, until about
+    ``dp_words`` words are left, and fits these by the programme. A sum equal to the
+    budget is the largest. Otherwise ``MORE`` times as many words are left to the
+    programme, until it covers the whole budget and so finds the largest sum.
+
+    That is so for every budget whose sums, in units of the lengths' common divisor,
+    are at most ``most_sums`` and, times the parts that lengths are dealt in (about the
+    logarithms of their counts), at most ``work``. Beyond, the best attempt is taken. It
+    lacks fewer words than the shortest document that it leaves has.
     """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
-    take = np.zeros(len(sizes), np.int64)
+    best = np.zeros(len(sizes), np.int64)
     if budget <= 0 or total == 0:
-        return take
+        return best
     if budget >= total:
         return counts.copy()
-    room = max(dp_words, int(sizes.max()))
-    left = budget
-    if budget > 2 * room:
-        take = (counts * ((budget - room) / total)).astype(np.int64)
-        left -= int((take * sizes).sum())
-        for i in np.argsort(-sizes, kind="stable"):  # longer lengths while room stays
-            if sizes[i] > 0 and left - sizes[i] >= room:
-                k = min(int(counts[i] - take[i]), int((left - room) // sizes[i]))
-                take[i] += k
-                left -= k * int(sizes[i])
-    unit = int(np.gcd.reduce(sizes))
-    return take + _knapsack(sizes // unit, counts - take, left // unit)
+    unit, room = int(np.gcd.reduce(sizes)), dp_words
+    while True:
+        take = _share(sizes, counts, budget, total, room) if budget > 2 * room else np.zeros(len(sizes), np.int64)
+        left, whole = (budget - int(take @ sizes)) // unit, not take.any()
+        parts = int(np.ceil(np.log2(np.minimum(counts - take, left // np.maximum(sizes // unit, 1)) + 1)).sum())
+        if best.any() and (left > most_sums or parts * left > work):
+            return best
+        take = take + _knapsack(sizes // unit, counts - take, left)
+        if not best.any() or take @ sizes > best @ sizes:
+            best = take
+        if whole or int(best @ sizes) == budget // unit * unit:
+            return best
+        room *= MORE
+
+
+def _share(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, room: int) -> np.ndarray:
+    """The same share of every length, then longer lengths, while ``room`` words are left."""
+    take = (counts * ((budget - room) / total)).astype(np.int64)
+    left = budget - int((take * sizes).sum())
+    for i in np.argsort(-sizes, kind="stable"):
+        if sizes[i] > 0 and left - sizes[i] >= room:
+            k = min(int(counts[i] - take[i]), int((left - room) // sizes[i]))
+            take[i] += k
+            left -= k * int(sizes[i])
+    return take
 
 
 def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     """Bounded subset sum: each length's count is split in powers of two; ``made`` keeps the part that first reached a sum."""
     take = np.zeros(len(sizes), np.int64)
-    made = np.full(budget + 1, -1, np.int64)
+    made = np.full(budget + 1, -1, np.int32)
     made[0] = 0
-    parts = []
+    parts, top = [], 0  # top: the largest sum that may be reached
     for i in np.argsort(-sizes, kind="stable"):
         size, n, k = int(sizes[i]), 0, 1
         if not 0 < size <= budget:
@@ -104,10 +123,11 @@ def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
         while n < most and made[budget] < 0:
             k = min(k, most - n)
             step = size * k
+            top = min(budget, top + step)
             if step <= budget:
                 parts.append((int(i), k))
-                fresh = (made[step:] < 0) & (made[: budget + 1 - step] >= 0)
-                made[step:][fresh] = len(parts)
+                fresh = (made[step : top + 1] < 0) & (made[: top + 1 - step] >= 0)
+                made[step : top + 1][fresh] = len(parts)
             n += k
             k *= 2
         if made[budget] >= 0:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -660,6 +661,43 @@ def test_budgets_with_long_documents_are_exact():
         assert (take <= counts).all() and int(take @ sizes) == budget
 
 
+def test_any_budget_of_few_long_lengths_is_exact():
+    assert int(mixing.fit_budget(np.array([26753, 35502, 37446]), np.array([1, 2, 1]), 98_980) @ [26753, 35502, 37446]) == 97_757
+    rng = np.random.default_rng(5)
+    for n in range(120):
+        sizes = np.unique(rng.integers(5_000, 60_000, rng.integers(1, 8)))
+        counts = rng.integers(1, [3, 40][n % 2], len(sizes))
+        budget = int(rng.integers(0, int(sizes @ counts) + 1))
+        reached = 1  # a bit for each sum
+        for s, c in zip(sizes.tolist(), counts.tolist()):
+            k = 1
+            while c:
+                k = min(k, c)
+                reached |= reached << s * k
+                c, k = c - k, 2 * k
+        reached &= (1 << (budget + 1)) - 1
+        take = mixing.fit_budget(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int(take @ sizes) == reached.bit_length() - 1
+
+
+def test_budgets_beyond_the_work_lack_less_than_a_document():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        sizes = np.unique(rng.integers(5_000, 60_000, 5))
+        counts = rng.integers(1, 50, len(sizes))
+        budget = int(rng.integers(0, int(sizes @ counts)))
+        take = mixing.fit_budget(sizes, counts, budget, work=1)
+        assert (take <= counts).all() and 0 <= budget - int(take @ sizes) < min(sizes[take < counts])
+
+
+def test_one_very_long_document_is_quickly_fitted():
+    sizes = np.concatenate((np.arange(1, 2101), [3_000_000]))
+    counts = np.full(len(sizes), 5)
+    began = time.process_time()
+    take = mixing.fit_budget(sizes, counts, 20_000_000)
+    assert int(take @ sizes) == 20_000_000 and time.process_time() - began < 2
+
+
 def test_targets_of_many_sources(spark):
     rng = random.Random(1)
     sizes = {s: rng.choice([0, 1, 5, 1000, 10**6]) for s in [*{f"{rng.random()}é"[2:] for _ in range(300)}, "", "\U0001f600", "\uffff", None]}
