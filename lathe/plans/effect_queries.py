@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lathe.operators import effectiveness as X
 from lathe.plans.analytics_queries import mean
 from lathe.plans.views import TRIALS, view, with_views
 from lathe.sources.tables import new_folder
-from lathe.streaming.progress import progress_summary, run_to_end
+from lathe.streaming.progress import progress_summary, read_progress, read_table, run_to_table, summary_of_trials
 
 
 def _on(f):
@@ -22,9 +21,20 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     records = spark.sql(TRIALS.replace("FROM events", "FROM {events}"), events=events)
-    name = f"progress_{uuid.uuid4().hex}"
-    run_to_end(progress_summary(records), name, new_folder(spark, name))
-    return spark.table(name)
+    table = new_folder(spark, "progress")
+    run_to_table(records, table, new_folder(spark, "progress-checkpoint"))
+    return summary_of_trials(read_table(spark, table))
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a log of JSON lines that is read, grows by all of them again and some others, and is read on from there."""
+    log, table, at = (new_folder(spark, name) for name in ("progress-log", "progress", "progress-checkpoint"))
+    rows = view(spark, sf_dir, "trials").withColumnRenamed("passed", "pass")
+    first = F.col("repetition") % 3 < 2
+    for part in (rows.where(first), rows):
+        part.write.mode("append").json(log)
+        run_to_table(read_progress(spark, log), table, at)
+    return summary_of_trials(read_table(spark, table))
 
 
 def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +55,7 @@ QUERIES = {
     "a22_overall": _on(X.overall),
     "st1_progress_batch": _twice,
     "st1_progress_stream": _stream,
+    "st1_progress_resumed": _resumed,
 }
 
 B = with_views("benchmark_records")
@@ -80,4 +91,5 @@ count(*) FILTER (WHERE condition = 'baseline' AND passed) AS pb, count(*) FILTER
     "a22_overall": f"{B} SELECT count(*) AS total_trials, coalesce(({_rate('curated')} - {_rate('baseline')}) * 100.0, 0.0) AS curated_delta_pp, coalesce(({_rate('self_generated')} - {_rate('baseline')}) * 100.0, 0.0) AS self_generated_delta_pp FROM benchmark_records",
     "st1_progress_batch": PROGRESS,
     "st1_progress_stream": PROGRESS,
+    "st1_progress_resumed": PROGRESS,
 }

@@ -28,6 +28,30 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_jsonl(spark, path, T.EPISODE).select("task_uid", "model", "condition", "skill_name", "mode", "score", "passed", "tokens")
 
 
+#: Lines of a log by the number of the event: cut off, with one or two values of a wrong type, no object, without a task, blank, or whole.
+LOG_LINE = """CASE event_id % 8 WHEN 0 THEN '{"task_uid": "t' || event_id || '", "score": 0.' WHEN 1 THEN '{"task_uid": "t' || event_id || '", "score": "high"}' WHEN 2 THEN '[' || event_id || ']'
+  WHEN 3 THEN '{"model": "m' || event_id || '"}' WHEN 4 THEN '{"task_uid": "t' || event_id || '", "score": true, "tokens": "many"}' WHEN 5 THEN ' ' ELSE '{"task_uid": "t' || event_id || '", "score": 0.25, "tokens": ' || event_id || '}' END"""
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with bad lines, written and read back: its rows, and the lines that are none with the reason."""
+    path = new_folder(spark, "log")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(LOG_LINE).alias("value")).write.text(path)
+    good, bad = T.check_jsonl(spark, path, T.EPISODE, ["task_uid"])
+    return good.select("task_uid", "tokens", "score").unionByName(bad.select("value", "reason"), allowMissingColumns=True)
+
+
+def _rejected_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same objects as JSON arrays of up to 1000, of which those that hold a cut-off one are no JSON at all; what is no row is counted by reason."""
+    path = new_folder(spark, "arrays")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(LOG_LINE).alias("value")).where("value <> ' '")
+    kinds = lines.withColumn("file", F.concat_ws("-", F.floor(F.col("event_id") / 1000), F.when(F.col("event_id") % 8 == 0, "cut")))
+    arrays = kinds.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    good, bad = T.check_json_array(spark, path, T.EPISODE, ["task_uid"])
+    return bad.groupBy("reason").agg(F.count("*").alias("n")).unionByName(good.agg(F.lit("none").alias("reason"), F.count("*").alias("n")))
+
+
 def _json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills as JSON arrays of at most 1000, one per file, read back as rows."""
     path = new_folder(spark, "skills-json")
@@ -136,6 +160,8 @@ def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "s1_json_arrays": _json_arrays,
     "s2_s7_json_lines": _jsonl,
+    "s2_rejected_lines": _rejected,
+    "s1_rejected_elements": _rejected_elements,
     "s3_read_documents": _documents,
     "s5_read_skill_tree": _read_tree,
     "s8_csv_export": _csv,
@@ -156,6 +182,10 @@ CUT = "left(text, 300)"
 ORACLES = {
     "s1_json_arrays": f"{with_views('edges', 'skills')} SELECT s.skill_uid, s.name, s.step_a || '~' || s.step_b AS procedure, CAST(count(e.task_uid) AS INTEGER) AS n_tasks FROM skills s LEFT JOIN edges e ON e.skill_uid = s.skill_uid GROUP BY ALL",
     "s2_s7_json_lines": f"{with_views('episodes')} SELECT task_uid, model, condition, skill_name, mode, score, passed, tokens FROM episodes",
+    "s2_rejected_lines": f"""WITH l AS (SELECT event_id, {LOG_LINE} AS value FROM events) SELECT CASE WHEN event_id % 8 > 5 THEN 't' || event_id END AS task_uid, CASE WHEN event_id % 8 > 5 THEN CAST(event_id AS BIGINT) END AS tokens, CASE WHEN event_id % 8 > 5 THEN CAST(0.25 AS DOUBLE) END AS score,
+CASE WHEN event_id % 8 < 5 THEN value END AS value, CASE event_id % 8 WHEN 0 THEN 'no JSON' WHEN 1 THEN 'wrong type: score' WHEN 2 THEN 'no object' WHEN 3 THEN 'missing: task_uid' WHEN 4 THEN 'wrong type: tokens, score' END AS reason FROM l WHERE event_id % 8 <> 5""",
+    "s1_rejected_elements": """WITH e AS (SELECT event_id // 1000 AS f, event_id % 8 AS k FROM events) SELECT 'no JSON' AS reason, count(DISTINCT f) AS n FROM e WHERE k = 0 UNION ALL
+SELECT CASE k WHEN 1 THEN 'wrong type: score' WHEN 2 THEN 'no object' WHEN 3 THEN 'missing: task_uid' WHEN 4 THEN 'wrong type: tokens, score' ELSE 'none' END AS r, count(*) FROM e WHERE k NOT IN (0, 5) GROUP BY r""",
     "s3_read_documents": "SELECT sha256(text) AS text_sha256 FROM benchmark",
     "s5_read_skill_tree": f"""{SK}, n AS (SELECT name AS a, lead(name) OVER w AS b, lead(name, 2) OVER w AS c FROM skills WINDOW w AS (PARTITION BY collection ORDER BY ord))
 SELECT CAST(3 AS INTEGER) AS k_value, 'seq' AS composition_type, 'seq-' || a || '-then-' || b || '-then-' || c AS name FROM n WHERE c IS NOT NULL UNION ALL SELECT 3, 'par', 'par-' || a || '-and-' || b || '-and-' || c FROM n WHERE c IS NOT NULL""",

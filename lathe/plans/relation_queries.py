@@ -150,6 +150,7 @@ QUERIES = {
     "p13_rename_tasks": lambda s, d: M.rename_tasks(skills_of(s, d), tasks_of(s, d)),
     "p13_rename_sources": lambda s, d: _joined(M.rename_sources(skills_of(s, d), tasks_of(s, d)).select("skill_uid", "source_task_uids"), "source_task_uids"),
     "p12_similar_pairs": lambda s, d: P.similar_pairs(_alike(s, d)),
+    "p12_representatives": lambda s, d: P.representatives(_alike(s, d)),
     "p12_merge_skills": lambda s, d: _joined(P.merge_skills(_alike(s, d)).select("skill_uid", "name", "source_task_uids"), "source_task_uids"),
     "l1_lineage": lambda s, d: L.lineage(skills_of(s, d), tasks_of(s, d)),
     "l2_summary": lambda s, d: L.summary(tasks_of(s, d), skills_of(s, d)),
@@ -272,6 +273,12 @@ REVISED = f"""{S}, {_defects_of("""l AS (SELECT *, CAST(regexp_extract(trigger_b
 f AS (SELECT skill_uid, 'd' AS kind, 0 AS i, 'Reads.' AS t FROM l UNION ALL SELECT skill_uid, 'w', 0, '' FROM l UNION ALL SELECT skill_uid, 's', 1, CASE WHEN large THEN 'The analyst reads it' ELSE step_a END FROM l UNION ALL SELECT skill_uid, 's', 2, step_b FROM l WHERE NOT large UNION ALL SELECT skill_uid, 'c', 1, trigger_b FROM l)""")}"""
 ROLL_UP = "t AS (SELECT l.skill_uid, count(e.defect_type) AS n FROM l LEFT JOIN e ON e.skill_uid = l.skill_uid GROUP BY l.skill_uid) SELECT count(*) AS skills, count(*) FILTER (WHERE n = 0) AS valid, count(*) FILTER (WHERE n > 0) AS with_defects, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_defects FROM t"
 
+#: Skills in order: each goes to the first kept one that is similar, or is kept.
+GREEDY = f"""WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), edges AS ({with_views('edges').split('AS (', 1)[1].rsplit(')', 1)[0]}),
+n AS (SELECT ord, skill_uid, merge_name, list_distinct(string_split(merge_name, '-')) AS w, row_number() OVER (ORDER BY ord) AS i FROM skills),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS kept, []::STRUCT(o BIGINT, w VARCHAR[])[] AS ks UNION ALL
+SELECT i, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(ks, {{'o': ord, 'w': w}}) ELSE ks END FROM (SELECT n.i, n.ord, n.w, r.ks, list_filter(r.ks, lambda k: len(list_intersect(k.w, n.w)) / CAST(greatest(len(k.w), len(n.w)) AS DOUBLE) > 0.6)[1].o AS hit FROM r JOIN n ON n.i = r.i + 1))"""
+
 ORACLES = {
     "v7_defects": f"{DEFECTS} SELECT skill_uid, defect_type, location, description, count(*) AS n FROM e GROUP BY ALL",
     "v9_revise_loop": f"{REVISED}, {ROLL_UP}",
@@ -288,12 +295,10 @@ SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) A
     "p13_rename_tasks": f"{ETS}, {EDGE}, {RENAMED} SELECT * FROM r",
     "p13_rename_sources": f"{ETS}, {EDGE}, {RENAMED} SELECT s.skill_uid, coalesce(string_agg(coalesce(r.new_uid, x.task_uid), '~' ORDER BY x.task_uid) FILTER (WHERE x.task_uid IS NOT NULL), '') AS source_task_uids FROM skills s LEFT JOIN x ON x.skill_uid = s.skill_uid LEFT JOIN r ON r.task_uid = x.task_uid GROUP BY s.skill_uid",
     "p12_similar_pairs": f"{S}, n AS (SELECT min(ord) AS ord, w FROM (SELECT ord, list_sort(list_distinct(string_split(merge_name, '-'))) AS w FROM skills) GROUP BY w) SELECT a.ord AS ord_a, b.ord AS ord_b FROM n a JOIN n b ON a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) > 0.6",
-    "p12_merge_skills": f"""WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), edges AS ({with_views('edges').split('AS (', 1)[1].rsplit(')', 1)[0]}),
-n AS (SELECT ord, skill_uid, merge_name, list_distinct(string_split(merge_name, '-')) AS w, row_number() OVER (ORDER BY ord) AS i FROM skills),
-r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS kept, []::STRUCT(o BIGINT, w VARCHAR[])[] AS ks UNION ALL
-SELECT i, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(ks, {{'o': ord, 'w': w}}) ELSE ks END FROM (SELECT n.i, n.ord, n.w, r.ks, list_filter(r.ks, lambda k: len(list_intersect(k.w, n.w)) / CAST(greatest(len(k.w), len(n.w)) AS DOUBLE) > 0.6)[1].o AS hit FROM r JOIN n ON n.i = r.i + 1)),
+    "p12_merge_skills": f"""{GREEDY},
 t AS (SELECT r.kept, e.task_uid FROM r JOIN n ON n.ord = r.ord JOIN edges e ON e.skill_uid = n.skill_uid), g AS (SELECT kept, string_agg(DISTINCT task_uid, '~' ORDER BY task_uid) AS ts FROM t GROUP BY kept)
 SELECT n.skill_uid, n.merge_name AS name, coalesce(g.ts, '') AS source_task_uids FROM r JOIN n ON n.ord = r.ord AND r.kept = r.ord LEFT JOIN g ON g.kept = r.ord""",
+    "p12_representatives": f"""{GREEDY} SELECT r.ord, r.kept, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM r JOIN n a ON a.ord = r.ord JOIN n b ON b.ord = r.kept""",
     "l1_lineage": f"{ETS}, {EDGE} SELECT coalesce(t.source_document_uid, '') AS source_document_uid, coalesce(t.source_artifact, '') AS source_artifact, '' AS passage_uid, x.task_uid, coalesce(t.title, '') AS task_title, x.skill_uid, x.name AS skill_name FROM x LEFT JOIN tasks t ON t.task_uid = x.task_uid",
     "l2_summary": f"""{ETS}, {EDGE} SELECT (SELECT count(DISTINCT source_document_uid) FROM tasks WHERE source_document_uid <> '') AS documents, (SELECT count(*) FROM tasks) AS tasks, (SELECT count(*) FROM skills) AS skills, (SELECT count(*) FROM x) AS records,
 (SELECT count(*) FROM tasks WHERE source_document_uid = '') AS orphaned_tasks, (SELECT count(*) FROM skills WHERE skill_uid NOT IN (SELECT skill_uid FROM edges)) AS orphaned_skills, (SELECT count(*) FROM tasks WHERE task_uid NOT IN (SELECT task_uid FROM x)) AS unlinked_tasks""",

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +61,74 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _checked(objects: DataFrame, schema: T.StructType, required: Sequence[str], where: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON texts ``value`` that fit a schema, and the others as (*where, value, reason).
+
+    Reasons, the first that holds: no text (not UTF-8), no JSON, no object, wrong type
+    (with the fields), missing (with the required fields that are absent or null).
+    """
+    raw = T.StructType([*schema.fields, T.StructField("_raw", T.StringType())])
+    parsed = objects.withColumn("_row", F.from_json("value", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}))
+    given = F.col("_row._raw").isNotNull()
+    variant = F.try_parse_json(F.when(given, F.col("value")))
+    names = lambda flags: F.array_join(F.filter(F.array(*flags), lambda x: x.isNotNull()), ", ")
+    held = lambda f: F.col("_row").getField(f)
+    found = lambda f: F.try_variant_get(variant, f'$["{f}"]', "variant")
+    wrong = [F.when(held(f.name).isNull() & found(f.name).isNotNull() & ~F.is_variant_null(found(f.name)), F.lit(f.name)) for f in schema]
+    absent = [F.when(held(f).isNull(), F.lit(f)) for f in required]
+    reason = (
+        F.when(~F.is_valid_utf8("value"), "not UTF-8")
+        .when(given & variant.isNull(), "no JSON")
+        .when(given & ~F.schema_of_variant(variant).startswith("OBJECT"), "no object")
+        .when(given, F.concat(F.lit("wrong type: "), names(wrong)))
+    )
+    if required:
+        reason = reason.when(names(absent) != "", F.concat(F.lit("missing: "), names(absent)))
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason is null").select(*[held(f.name).alias(f.name) for f in schema])
+    return good, judged.where("reason is not null").select(*where, F.make_valid_utf8("value").alias("value"), "reason")
+
+
+def check_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows of files that hold one JSON array of objects each, and what is no row: (file_path, position, value, reason).
+
+    ``position`` counts from 0; a file that is no JSON array is one bad row without a position.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value", F.try_parse_json("value").alias("_v"))
+    is_array = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
+    broken = files.where(~is_array).select("file_path", F.lit(None).cast("int").alias("position"), F.make_valid_utf8("value").alias("value"), F.when(F.col("_v").isNull(), "no JSON").otherwise("no array").alias("reason"))
+    arrays = files.where(is_array).select("file_path", "_v")
+    each = arrays.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("file_path", F.col("pos").alias("position"), F.to_json("value").alias("value"))
+    good, bad = _checked(each, schema, required, ["file_path", "position"])
+    return good, bad.unionByName(broken)
+
+
+def check_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and the lines that are no row: (file_path, line, value, reason); blank lines are skipped.
+
+    ``line`` counts from 1 in its file, which may be read in many splits: a line's place
+    in its split is known from the order of reading, and the lines of earlier splits are
+    added, of which only counts are shuffled. The files are read again for them, but only
+    if lines are bad.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    lines = spark.read.text(path).select(block, "value", F.monotonically_increasing_id().alias("id"))
+    good, bad = _checked(lines.where(F.trim(F.translate("value", "\t\r\x0b\x0c", "    ")) != ""), schema, required, ["block", "id"])
+    blocks = lines.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("block.file_path").orderBy("block.start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    placed = bad.join(blocks, "block").withColumn("line", F.col("base") + F.col("id") - F.col("first") + 1)
+    return good, placed.select("block.file_path", "line", "value", "reason")
+
+
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Files that hold one JSON array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The rows of ``check_json_array``."""
+    return check_json_array(spark, path, schema)[0]
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """One JSON object a line; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The rows of ``check_jsonl``."""
+    return check_jsonl(spark, path, schema)[0]
 
 
 def read_documents(spark: SparkSession, path: str, extensions: Sequence[str] = ("txt", "md", "xml"), recursive: bool = True) -> DataFrame:

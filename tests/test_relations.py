@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from lathe.operators import compose as C
 from lathe.operators import lineage as L
@@ -12,7 +13,7 @@ from lathe.operators import skill_merge as S
 from lathe.operators import verify as V
 from lathe.operators.calls import call_model, run_episodes
 from lathe.sources import tables as T
-from lathe.streaming.progress import progress_summary, read_progress, run_to_end
+from lathe.streaming import progress
 
 SKILL = "ord long, skill_uid string, name string, source_task_uids array<string>"
 
@@ -87,6 +88,48 @@ def test_merge(spark):
     assert len(merged(spark, *names)) == greedy(names)
 
 
+def nearest(names):
+    """(kept, overlap) of each name, in order."""
+    kept, out = [], []
+    for i, n in enumerate(names):
+        w = set(n.split("-"))
+        hit = next(((k, len(w & x) / max(len(w), len(x))) for k, x in kept if len(w & x) / max(len(w), len(x)) > 0.6), None)
+        if hit is None:
+            kept.append((i, w))
+        out.append(hit or (i, 1.0))
+    return out
+
+
+@pytest.mark.parametrize("candidates", [3, 200, 10**6])
+def test_representatives(spark, monkeypatch, candidates):
+    monkeypatch.setattr(S, "CANDIDATES", candidates)
+    rng = random.Random(candidates)
+    n = 40 if candidates == 3 else 160
+    names = ["-".join(rng.choices("abcdefgh" * 3 + "xyzuvw", k=rng.choice([1, 2, 3, 4, 5, 6]))) for _ in range(n)]
+    got = {r.ord: (r.kept, r.overlap) for r in S.representatives(skills(spark, *[(x, []) for x in names])).collect()}
+    assert [got[i] for i in range(n)] == nearest(names)
+
+
+def test_candidates_of_many_alike_names_stay_linear(spark, monkeypatch):
+    made, close = [], S._close
+
+    def counted(earlier, later):
+        a, b = (x.select("t", F.col("ord").alias(c)) for x, c in ((earlier, "a"), (later, "b")))
+        made.append(a.join(b, "t").count())
+        return close(earlier, later)
+
+    monkeypatch.setattr(S, "_close", counted)
+    rng = random.Random(4)
+    six = ["-".join(rng.sample(["read", "find", "rank", "pick", "sort", "check"], rng.randint(2, 6))) for _ in range(5000)]
+    S.representatives(skills(spark, *[(x, []) for x in six])).collect()
+    assert sum(made) < 5000 * 6  # word sets, of which there are few
+    made.clear()
+    monkeypatch.setattr(S, "CANDIDATES", 30_000)
+    alike = [f"read-the-long-text-first-{i}" for i in range(3000)]  # all pairs: 4.5 million, three common keys each
+    got = S.representatives(skills(spark, *[(x, []) for x in alike])).collect()
+    assert {r.kept for r in got} == {0} and sum(made) < 3000 * 30
+
+
 TASK = "task_uid string, title string, source_document_uid string, source_artifact string, ord long"
 
 
@@ -223,17 +266,56 @@ def test_episodes(spark):
     assert sorted((r.mode, len(r.replies)) for r in run_episodes(t, concurrency=2).collect()) == [("guided", 1), ("guided", 3), ("singlecall", 1), ("stepwise", 8)]
 
 
-def test_progress_stream(spark, tmp_path):
-    rec = lambda i, ok: json.dumps({"problem_id": f"p{i}", "provider": "x", "model": "m", "condition": "baseline", "skill_name": "", "k_value": 0, "repetition": 0, "pass": ok, "score": 0.5, "tokens": 2})
-    log = tmp_path / "log"
+def record(i, ok, at=None):
+    return {"problem_id": f"p{i}", "provider": "x", "model": "m", "condition": "baseline", "skill_name": None, "k_value": 0, "repetition": 0, "pass": ok, "score": 0.5, "tokens": 2}
+
+
+def summary(df):
+    r = df.first()
+    return r.n_trials, pytest.approx(r.pass_rate), r.mean_score, r.tokens
+
+
+def test_progress_table_resumes(spark, tmp_path, monkeypatch):
+    log, table, at = tmp_path / "log", str(tmp_path / "table"), str(tmp_path / "ck")
+    log.mkdir()
+    write = lambda name, *rows: (log / name).write_text("".join(json.dumps(record(*r)) + "\n" for r in rows))
+    run = lambda: progress.run_to_table(progress.read_progress(spark, str(log), 1), table, at)
+    write("1.jsonl", (1, True), (2, False), (1, True))
+    run()
+    for n, rows in (("2.jsonl", [(1, True), (3, True)]), ("3.jsonl", [(2, False), (3, True), (4, False)])):
+        write(n, *rows)
+    calls, known = [], progress.read_table
+
+    def dies(session, path, before=None):
+        calls.append(before)
+        if len(calls) == 2:  # in the second batch of this run, after the first was committed
+            raise RuntimeError("killed")
+        return known(session, path, before)
+
+    monkeypatch.setattr(progress, "read_table", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    monkeypatch.undo()
+    assert sorted(r.problem_id for r in progress.read_table(spark, table).collect()) == ["p1", "p2", "p3"]
+    (tmp_path / "table" / "batch_id=2").mkdir()  # what a batch that died while writing leaves
+    (tmp_path / "table" / "batch_id=2" / "part-0.parquet").write_text("cut off")
+    assert sorted(progress.committed_batches(spark, table)) == [0, 1]
+    run()
+    run()  # nothing new
+    batch = progress.progress_summary(spark.read.schema(progress.RECORD).json(str(log)).withColumnRenamed("pass", "passed"))
+    assert summary(progress.summary_of_trials(progress.read_table(spark, table))) == summary(batch) == (4, 0.5, 0.5, 8)
+    assert progress.read_table(spark, str(tmp_path / "none")) is None
+
+
+def test_progress_with_a_time_column(spark, tmp_path):
+    log, table, at = tmp_path / "log", str(tmp_path / "table"), str(tmp_path / "ck")
     log.mkdir()
-    (log / "1.jsonl").write_text(rec(1, True) + "\n" + rec(2, False) + "\n")
-    for n in (2, 3):
-        query = run_to_end(progress_summary(read_progress(spark, str(log))), "progress_test", str(tmp_path / f"ck"))
-        (log / f"{n}.jsonl").write_text(rec(1, True) + "\n" + rec(3, True) + "\n")
-        query.stop()
-    r = spark.table("progress_test").first()
-    assert (r.n_trials, r.pass_rate, r.mean_score, r.tokens) == (3, pytest.approx(2 / 3), 0.5, 6)
+    for n, rows in enumerate([[(1, 10), (2, 11)], [(1, 12), (3, 13)], [(2, 14), (4, 15)]]):
+        (log / f"{n}.jsonl").write_text("".join(json.dumps(record(i, True) | {"at": f"2025-01-01T{hour}:00:00Z"}) + "\n" for i, hour in rows))
+        stream = spark.readStream.schema(StructType([*progress.RECORD.fields, StructField("at", TimestampType())])).json(str(log)).withColumnRenamed("pass", "passed")
+        progress.run_to_table(stream, table, at, "at", "6 hours")
+    rows = progress.read_table(spark, table)
+    assert sorted(r.problem_id for r in rows.collect()) == ["p1", "p2", "p3", "p4"]
 
 
 def test_numbers_within_hot_keys(spark):
