@@ -266,6 +266,59 @@ def test_episodes(spark):
     assert sorted((r.mode, len(r.replies)) for r in run_episodes(t, concurrency=2).collect()) == [("guided", 1), ("guided", 3), ("singlecall", 1), ("stepwise", 8)]
 
 
+class Killed(BaseException):
+    """What ends a task, and not only a call."""
+
+
+def logging_client(log, dies_at=None):
+    """A client that writes down what it is asked and dies when so much has been; a prompt with ``bad`` fails each time."""
+
+    def client():
+        def chat(messages):
+            with open(log, "a+") as f:
+                f.seek(0)
+                if dies_at is not None and sum(1 for _ in f) >= dies_at:
+                    raise Killed
+                f.write(json.dumps(messages) + "\n")
+            if "bad" in messages[-1]["content"]:
+                raise RuntimeError("refused")
+            return {"message": {"content": "re: " + messages[-1]["content"][-20:]}, "usage": {"prompt_tokens": 1, "completion_tokens": 2}}
+
+        return chat
+
+    return client
+
+
+def lines_of(log):
+    return log.read_text().splitlines()
+
+
+def test_nothing_is_asked_twice(spark, tmp_path):
+    log, store = tmp_path / "log", str(tmp_path / "store")
+    df = spark.createDataFrame([("s", f"question {i % 40}") for i in range(60)] + [(None, "bad one")], "system_prompt string, user_prompt string")
+    with pytest.raises(Exception, match="Killed"):
+        call_model(df, logging_client(log, 15), 3, store)
+    half = lines_of(log)
+    assert len(half) == len(set(half)) and 15 <= len(half) < 41
+    rows = call_model(df, logging_client(log), 2, store).collect()  # other tasks than before
+    again = lines_of(log)
+    assert len(set(again)) == 41 and len([x for x in again if "bad" not in x]) == 40
+    assert len(rows) == 61 and all(r.reply == "re: " + r.user_prompt[-20:] and r.completion_tokens == 2 and r.error is None for r in rows if r.user_prompt != "bad one")
+    assert [r.error for r in rows if r.user_prompt == "bad one"] == ["RuntimeError: refused"]
+    call_model(df, logging_client(log), 2, store).collect()
+    assert [x for x in lines_of(log)[len(again):] if "bad" not in x] == []  # a failed call is made again, no other
+
+
+def test_cut_off_episodes_go_on(spark, tmp_path):
+    log, store = tmp_path / "log", str(tmp_path / "store")
+    trials = spark.createDataFrame([(f"t{i}", "m", "curated", "guided", "s", "p", "c", ["one", "two", "three"], k) for i in range(4) for k in range(2)], "task_uid string, model string, condition string, mode string, system_prompt string, passage string, challenge string, procedure array<string>, repetition int")
+    with pytest.raises(Exception, match="Killed"):
+        run_episodes(trials, logging_client(log, 13), concurrency=2, store=store)
+    rows = run_episodes(trials, logging_client(log), concurrency=3, store=store).collect()
+    assert len(rows) == 8 and {len(r.replies) for r in rows} == {4} and {r.tokens for r in rows} == {12}
+    assert len(lines_of(log)) == 8 * 4  # each turn of each repetition once, over both runs
+
+
 def record(i, ok, at=None):
     return {"problem_id": f"p{i}", "provider": "x", "model": "m", "condition": "baseline", "skill_name": None, "k_value": 0, "repetition": 0, "pass": ok, "score": 0.5, "tokens": 2}
 
