@@ -155,17 +155,19 @@ def with_markdown(composed: DataFrame) -> DataFrame:
 def dependencies(edges: DataFrame) -> DataFrame:
     """(name, ref) edges -> all (name, dependency) reachable, each once; cycles end at visited nodes.
 
-    Each round joins only the pairs that the last one found, against all edges;
-    rounds are as many as the longest chain.
+    Pairs are held with their distance. A round joins those up to a distance to those of
+    just that distance, and so finds all up to twice as far: a shortest path is one of
+    the former and then one of the latter. Rounds are the logarithm of the longest
+    distance, and a pair is met once for each node on a shortest path at that place.
     """
-    edges = checkpoint(edges.select("name", "ref").distinct())
-    seen = fresh = edges.select("name", F.col("ref").alias("dependency"))
+    reached, reach = checkpoint(edges.select("name", F.col("ref").alias("dependency"), F.lit(1).alias("distance")).distinct()), 1
     while True:
-        step = fresh.join(edges.select(F.col("name").alias("dependency"), "ref"), "dependency").select("name", F.col("ref").alias("dependency")).distinct()
-        fresh = checkpoint(step.join(seen, ["name", "dependency"], "left_anti"))
+        far = reached.where(F.col("distance") == reach).select(F.col("name").alias("dependency"), F.col("dependency").alias("_to"))
+        step = reached.join(far, "dependency").groupBy("name", F.col("_to").alias("dependency")).agg((F.min("distance") + reach).alias("distance"))
+        fresh = checkpoint(step.join(reached, ["name", "dependency"], "left_anti"))
         if fresh.isEmpty():
-            return seen
-        seen = checkpoint(seen.union(fresh))
+            return reached.select("name", "dependency")
+        reached, reach = checkpoint(reached.union(fresh)), 2 * reach
 
 
 def invalid_references(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -180,10 +182,18 @@ def covering(composed: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def covering_tasks(sources: DataFrame, required: DataFrame) -> DataFrame:
-    """C9 for many tasks: sources (composed, skill), required (task_uid, skill) -> (task_uid, composed) by relational division."""
-    need = required.distinct().groupBy("task_uid").agg(F.count("*").alias("_need"))
-    have = required.distinct().join(sources.distinct(), "skill").groupBy("task_uid", "composed").agg(F.count("*").alias("_have"))
-    return have.join(need, "task_uid").where("_have = _need").select("task_uid", "composed")
+    """C9 for many tasks: sources (composed, skill), required (task_uid, skill) -> (task_uid, composed) whose sources hold all that a task requires.
+
+    A task looks up only the one of its skills that is in the fewest compositions; the
+    others are tested on the composition's set of skills. A skill that is in most
+    compositions is so looked up by those tasks alone that require nothing rarer.
+    """
+    held = sources.distinct()
+    listed = held.groupBy("skill").agg(F.count("*").alias("_n"))
+    sets = held.groupBy("composed").agg(F.collect_set("skill").alias("_has")).withColumn("skill", F.explode("_has"))
+    needs = required.distinct().join(listed, "skill", "left").groupBy("task_uid").agg(F.collect_set("skill").alias("_needs"), F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "skill")).alias("_rarest"))
+    asked = needs.where("_rarest.n > 0").select("task_uid", "_needs", "_rarest.skill")
+    return asked.join(sets, "skill").where(F.size(F.array_except("_needs", "_has")) == 0).select("task_uid", "composed")
 
 
 def lookup(names: DataFrame, atomic: DataFrame, composed: DataFrame) -> DataFrame:

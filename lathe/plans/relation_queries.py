@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.operators import compose as C
@@ -128,9 +128,18 @@ def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task requires a part and up to three that follow it in its collection; four are never in one composition."""
     composed = C.COMPOSE["seq"](C.windows(registry_of(spark, sf_dir))).select(F.col("name").alias("composed"), F.explode("source_skills").alias("skill"))
-    required = registry_of(spark, sf_dir).select(F.col("ord").cast("string").alias("task_uid"), F.col("name").alias("skill"))
-    return C.covering_tasks(composed, required)
+    w = Window.partitionBy("collection").orderBy("ord")
+    following = registry_of(spark, sf_dir).select("ord", F.array("name", *[F.lead("name", n).over(w) for n in (1, 2, 3)]).alias("all"))
+    wanted = F.filter(F.slice("all", F.lit(1), (F.col("ord") % 4 + 1).cast("int")), lambda x: x.isNotNull())
+    return C.covering_tasks(composed, following.select(F.col("ord").cast("string").alias("task_uid"), F.explode(wanted).alias("skill")))
+
+
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promo parts have lost their tasks."""
+    lost = F.col("name").endswith("-promo")
+    return L.orphaned_skills(skills_of(spark, sf_dir).withColumn("source_task_uids", F.when(~lost, F.col("source_task_uids")).otherwise(F.array())))
 
 
 def _alike(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +165,7 @@ QUERIES = {
     "l2_summary": lambda s, d: L.summary(tasks_of(s, d), skills_of(s, d)),
     "l2_unlinked_tasks": lambda s, d: L.unlinked_tasks(tasks_of(s, d), skills_of(s, d)),
     "l2_orphaned_tasks": lambda s, d: L.orphaned_tasks(tasks_of(s, d)),
-    "l2_orphaned_skills": lambda s, d: L.orphaned_skills(skills_of(s, d)),
+    "l2_orphaned_skills": _orphans,
     "l2_document_tasks": lambda s, d: L.document_tasks(tasks_of(s, d)),
     "l3_source_documents": lambda s, d: L.source_documents(tasks_of(s, d)),
     "l4_skills_export": lambda s, d: L.skills_export(skills_of(s, d)),
@@ -304,7 +313,7 @@ SELECT n.skill_uid, n.merge_name AS name, coalesce(g.ts, '') AS source_task_uids
 (SELECT count(*) FROM tasks WHERE source_document_uid = '') AS orphaned_tasks, (SELECT count(*) FROM skills WHERE skill_uid NOT IN (SELECT skill_uid FROM edges)) AS orphaned_skills, (SELECT count(*) FROM tasks WHERE task_uid NOT IN (SELECT task_uid FROM x)) AS unlinked_tasks""",
     "l2_unlinked_tasks": f"{ETS}, {EDGE} SELECT task_uid FROM tasks WHERE task_uid NOT IN (SELECT task_uid FROM x)",
     "l2_orphaned_tasks": f"{with_views('tasks')} SELECT task_uid FROM tasks WHERE source_document_uid = ''",
-    "l2_orphaned_skills": f"{with_views('edges', 'skills')} SELECT skill_uid FROM skills WHERE skill_uid NOT IN (SELECT skill_uid FROM edges)",
+    "l2_orphaned_skills": f"{with_views('edges', 'skills')} SELECT skill_uid FROM skills WHERE name LIKE '%-promo' OR skill_uid NOT IN (SELECT skill_uid FROM edges)",
     "l2_document_tasks": f"{with_views('tasks')} SELECT source_document_uid, max_by(source_artifact, ord) AS source_artifact, count(*) AS n_tasks FROM tasks WHERE source_document_uid <> '' GROUP BY source_document_uid",
     "l3_source_documents": f"{with_views('tasks')}, f AS (SELECT source_document_uid AS document_uid, min_by(source_artifact, ord) AS source_name FROM tasks WHERE source_document_uid <> '' GROUP BY 1) SELECT document_uid, CASE WHEN source_name LIKE 'dataset:%' THEN 'dataset' WHEN source_name LIKE '%.pdf' THEN 'pdf' ELSE 'file' END AS source_type, source_name FROM f",
     "l4_skills_export": f"{with_views('edges', 'skills')} SELECT s.skill_uid, s.name, s.description, 2 AS procedure_steps, CAST(count(e.task_uid) AS INTEGER) AS instance_count FROM skills s LEFT JOIN edges e ON e.skill_uid = s.skill_uid GROUP BY ALL",
@@ -317,6 +326,6 @@ SELECT n.skill_uid, n.merge_name AS name, coalesce(g.ts, '') AS source_task_uids
     "c6_semantic_fusion": f"{S}, {REG} SELECT collection, 'sem-' || array_to_string(names, '-') AS name, 'Semantic fusion of 2 skills' AS description, 'When integrated skill application is needed' AS when_to_use, 'Apply skills with semantic understanding' AS procedure, array_to_string(names, '~') AS source_skills FROM w WHERE k = 2",
     "c7_dependencies": f"WITH RECURSIVE skills AS ({S.split('AS (', 1)[1].rsplit(')', 1)[0]}), {GRAPH}, r AS (SELECT name, ref AS dependency FROM g UNION SELECT r.name, g.ref FROM r JOIN g ON g.name = r.dependency) SELECT * FROM r",
     "c8_invalid_references": f"{S}, {GRAPH} SELECT name, string_agg(ref, '~' ORDER BY ref) AS missing FROM g WHERE ref NOT IN (SELECT name FROM g) GROUP BY name",
-    "c9_covering_tasks": f"""{S}, {REG}, h AS (SELECT 'seq-' || array_to_string(names, '-then-') AS composed, unnest(names) AS skill FROM w), q AS (SELECT CAST(ord AS VARCHAR) AS task_uid, name AS skill FROM reg)
-SELECT DISTINCT q.task_uid, h.composed FROM q JOIN h ON h.skill = q.skill""",
+    "c9_covering_tasks": f"""{S}, {REG}, h AS (SELECT 'seq-' || array_to_string(names, '-then-') AS composed, unnest(names) AS skill FROM w), q AS (SELECT CAST(ord AS VARCHAR) AS task_uid, unnest(list_filter([name, lead(name) OVER v, lead(name, 2) OVER v, lead(name, 3) OVER v][1:1 + ord % 4], lambda x: x IS NOT NULL)) AS skill FROM reg WINDOW v AS (PARTITION BY collection ORDER BY ord))
+SELECT q.task_uid, h.composed FROM q JOIN h ON h.skill = q.skill GROUP BY q.task_uid, h.composed HAVING count(DISTINCT q.skill) = (SELECT count(DISTINCT x.skill) FROM q x WHERE x.task_uid = q.task_uid)""",
 }

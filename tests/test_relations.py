@@ -208,6 +208,45 @@ def test_dependencies_end_on_cycles(spark):
     assert C.invalid_references(e, spark.createDataFrame([("a",), ("b",)], "name string")).first().missing == ["c"]
 
 
+def closure(edges):
+    to, out = {}, set()
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+    for a in to:
+        todo, seen = list(to[a]), set()
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += to.get(x, ())
+        out |= {(a, x) for x in seen}
+    return out
+
+
+def test_dependencies_of_graphs(spark):
+    rng = random.Random(7)
+    for n, m in ((8, 10), (30, 40), (30, 90)):
+        edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        assert {tuple(r) for r in C.dependencies(spark.createDataFrame(edges, "name string, ref string")).collect()} == closure(edges)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, checkpoint = [], C.checkpoint
+    monkeypatch.setattr(C, "checkpoint", lambda df: rounds.append(1) or checkpoint(df))
+    n = 2000
+    edges = spark.range(n).select(F.col("id").cast("string").alias("name"), (F.col("id") + 1).cast("string").alias("ref"))
+    assert C.dependencies(edges).count() == n * (n + 1) // 2
+    assert len(rounds) / 2 <= 15
+
+
+def test_covering_of_several_skills(spark):
+    rng = random.Random(3)
+    sets = {f"c{i}": {"common", *rng.sample("abcdefghij", rng.randint(1, 4))} for i in range(60)}
+    tasks = {f"t{i}": set(rng.sample(["common", *"abcdefghij", "none"], rng.randint(1, 4))) for i in range(60)} | {"only": {"common"}, "un": {"none", "common"}}
+    rows = lambda of: [(k, x) for k, v in of.items() for x in v] * 2
+    got = C.covering_tasks(spark.createDataFrame(rows(sets), "composed string, skill string"), spark.createDataFrame(rows(tasks), "task_uid string, skill string")).collect()
+    assert sorted(map(tuple, got)) == sorted((t, c) for t, need in tasks.items() for c, has in sets.items() if need <= has)
+
+
 def test_covering_and_lookup(spark):
     c = C.compose_sequential(C.windows(registry(spark), [2]))
     assert [r.name for r in C.covering(c, ["skill-1", "skill-2"]).collect()] == ["seq-skill-1-then-skill-2"]
