@@ -43,11 +43,23 @@ def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_summary(rows.union(rows))
 
 
+def _tested(counts: DataFrame) -> DataFrame:
+    """Tests to 6 places, as far as both engines' logarithms agree."""
+    out = X.with_tests(counts)
+    return out.withColumns({c: F.round(c, 6) for c in ("p_value", "treatment_ci_lower", "treatment_ci_upper")})
+
+
+def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with 1 for passed and 0 for failed as their score."""
+    return view(spark, sf_dir, "benchmark_records").withColumn("score", F.col("passed").cast("double"))
+
+
 QUERIES = {
     "a17_overall_rates": _on(lambda r: X.rates(X.overall_counts(r))),
-    "a18_a19_overall_tests": _on(lambda r: X.with_tests(X.overall_counts(r))),
+    "a18_a19_overall_tests": lambda s, d: _tested(X.overall_counts(_passing(s, d))),
+    "a19_score_tests": _on(lambda r: X.with_tests(X.overall_counts(r))),
     "a20_by_skill": _on(X.by_skill),
-    "a20_by_skill_tests": _on(lambda r: X.with_tests(X.matched_counts(r, "skill_name"))),
+    "a20_by_skill_tests": lambda s, d: _tested(X.matched_counts(_passing(s, d), "skill_name")),
     "a20_by_k": _on(X.by_k),
     "a20_by_composition_type": _on(X.by_composition_type),
     "a21_by_domain": _on(X.by_domain),
@@ -74,15 +86,37 @@ def _keyed(key: str) -> str:
 count(*) FILTER (WHERE condition = 'curated' AND passed) AS pt FROM benchmark_records WHERE condition IN ('baseline', 'curated') GROUP BY 1) {RATES}"""
 
 
+#: The permutations' hypergeometric tail and the resamples' binomial quantiles, over all numbers of passed trials.
+TESTS = """, pk AS (SELECT *, unnest(range(greatest(0, pt + pb - n_baseline), least(n_treatment, pt + pb) + 1)) AS k FROM c WHERE n_baseline > 0 AND n_treatment > 0),
+pp AS (SELECT grp, sum(exp(lgamma(pt + pb + 1) - lgamma(k + 1) - lgamma(pt + pb - k + 1) + lgamma(n_treatment + n_baseline - pt - pb + 1) - lgamma(n_treatment - k + 1) - lgamma(n_baseline - pt - pb + k + 1)
+    - lgamma(n_treatment + n_baseline + 1) + lgamma(n_treatment + 1) + lgamma(n_baseline + 1)))
+  FILTER (WHERE abs(k / CAST(n_treatment AS DOUBLE) - (pt + pb - k) / CAST(n_baseline AS DOUBLE)) >= abs(pt / CAST(n_treatment AS DOUBLE) - pb / CAST(n_baseline AS DOUBLE)) - 1e-12) AS p FROM pk GROUP BY grp),
+bx AS (SELECT grp, n_treatment, pt, unnest(range(0, n_treatment + 1)) AS x FROM c WHERE n_baseline > 0 AND n_treatment > 0),
+bc AS (SELECT grp, n_treatment, x, sum(CASE WHEN pt = 0 THEN CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END WHEN pt = n_treatment THEN CASE WHEN x = n_treatment THEN 1.0 ELSE 0.0 END
+  ELSE exp(lgamma(n_treatment + 1) - lgamma(x + 1) - lgamma(n_treatment - x + 1) + x * ln(pt / CAST(n_treatment AS DOUBLE)) + (n_treatment - x) * ln(1 - pt / CAST(n_treatment AS DOUBLE))) END) OVER (PARTITION BY grp ORDER BY x) AS below FROM bx),
+ci AS (SELECT grp, min(x) FILTER (WHERE below >= 0.025 - 1e-12) / CAST(any_value(n_treatment) AS DOUBLE) AS lo, min(x) FILTER (WHERE below >= 0.975 - 1e-12) / CAST(any_value(n_treatment) AS DOUBLE) AS hi FROM bc GROUP BY grp),
+rated AS (RATES) SELECT rated.*, round(least(1.0, coalesce(pp.p, 1.0)), 6) AS p_value, CAST(0.0 AS DOUBLE) AS p_error, round(ci.lo, 6) AS treatment_ci_lower, round(ci.hi, 6) AS treatment_ci_upper
+FROM rated LEFT JOIN pp ON pp.grp = rated."group" LEFT JOIN ci ON ci.grp = rated."group" """
+
+
+def _with_tests(sql: str) -> str:
+    """SQL that ends with RATES, with the tests."""
+    return sql.removesuffix(RATES).rstrip() + TESTS.replace("RATES", RATES)
+
+
 def _rate(c: str) -> str:
     return f"(CAST(count(*) FILTER (WHERE condition = '{c}' AND passed) AS DOUBLE) / nullif(count(*) FILTER (WHERE condition = '{c}'), 0))"
 
 
 PROGRESS = f"""{with_views("trials")} SELECT model, condition, count(*) AS n_trials, count(*) FILTER (WHERE passed) / CAST(count(*) AS DOUBLE) AS pass_rate, {mean('score')} AS mean_score, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens FROM trials GROUP BY model, condition"""
 
+OVERALL = f"""{B}, g AS (SELECT * FROM (VALUES ('curated'), ('self_generated')) v(grp)), c AS (SELECT grp, count(*) FILTER (WHERE condition = 'baseline') AS n_baseline, count(*) FILTER (WHERE condition = grp) AS n_treatment,
+count(*) FILTER (WHERE condition = 'baseline' AND passed) AS pb, count(*) FILTER (WHERE condition = grp AND passed) AS pt FROM g, benchmark_records GROUP BY grp) {RATES}"""
+
 ORACLES = {
-    "a17_overall_rates": f"""{B}, g AS (SELECT * FROM (VALUES ('curated'), ('self_generated')) v(grp)), c AS (SELECT grp, count(*) FILTER (WHERE condition = 'baseline') AS n_baseline, count(*) FILTER (WHERE condition = grp) AS n_treatment,
-count(*) FILTER (WHERE condition = 'baseline' AND passed) AS pb, count(*) FILTER (WHERE condition = grp AND passed) AS pt FROM g, benchmark_records GROUP BY grp) {RATES}""",
+    "a17_overall_rates": OVERALL,
+    "a18_a19_overall_tests": _with_tests(OVERALL),
+    "a20_by_skill_tests": _with_tests(_matched("skill_name")),
     "a20_by_skill": _matched("skill_name"),
     "a20_by_k": _matched("k_value"),
     "a20_by_composition_type": _matched("composition_type", "grp <> ''"),

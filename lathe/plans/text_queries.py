@@ -193,6 +193,13 @@ def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "s.passed", "s.score", "s.valid_rules", "s.invalid_rules", "s.classical", "s.conclusion_reached")
 
 
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that a document is asked for, by its id, and the one that it names, by its number of lines."""
+    asked = F.get(F.array(*map(F.lit, ["mp", "∧i", "⊥e"])), (F.col("doc_id") % 3).cast("int"))
+    named = F.get(F.array(*map(F.lit, [" Modus-Ponens", "and-intro ", "the rule is mp", "EFQ", "∧I"])), F.size(F.split(F.coalesce("text", F.lit("")), "\n")) % 5)
+    return docs_of(spark, sf_dir).select("doc_id", proof_score(named, asked, "rule_selection").alias("s")).select("doc_id", "s.passed", "s.score", "s.valid_rules", "s.invalid_rules")
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", title_case(F.concat("p_name", F.lit("-"), F.lower("p_type"))).alias("title"))
 
@@ -267,6 +274,7 @@ QUERIES = {
     "e1_deterministic_score": _scored,
     "e2_judge_verdicts": _verdicts,
     "e3_proof_scores": _proofs,
+    "e3_rule_selection": _selected,
     "e4_step_totals": _totals,
     "s4_text_column": _detected,
     "s6_merge_tables": _merged,
@@ -361,6 +369,8 @@ string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND tex
 y AS (SELECT *, regexp_replace(regexp_replace(string_split(lower(regexp_replace(reply, '^\s+|\s+$', '', 'g')), chr(10))[1], '^\s+|\s+$', '', 'g'), '\.+$', '') AS line FROM x),
 z AS (SELECT doc_id, CASE WHEN coalesce(length(text), 0) % 10 = 0 THEN TRUE WHEN lang = 'en' THEN regexp_extract(line, '^(\S+)', 1) = want OR line = want WHEN lang = 'de' THEN line IN ('a', 'b') AND line = want WHEN lang = 'fr' THEN line IN ('yes', 'no') AND line = want ELSE FALSE END AS passed FROM y) SELECT doc_id, passed, CAST(passed AS DOUBLE) AS score FROM z""",
     "e2_judge_verdicts": """WITH x AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, n % 4 < 2 AS passed, CASE n % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 ELSE CAST(n % 9 AS DOUBLE) / 10 END AS score, sha256(CASE n % 4 WHEN 2 THEN 'Failed to parse judge response: ' || left('{"passed": tru' || t, 200) ELSE t END) AS rationale_sha256 FROM x""",
+    "e3_rule_selection": """WITH x AS (SELECT doc_id, doc_id % 3 AS t, len(string_split(coalesce(text, ''), chr(10))) % 5 AS k FROM documents), y AS (SELECT doc_id, (t = 0 AND k IN (0, 2)) OR (t = 1 AND k IN (1, 4)) OR (t = 2 AND k = 3) AS ok FROM x)
+SELECT doc_id, ok AS passed, CAST(ok AS DOUBLE) AS score, CAST(ok AS BIGINT) AS valid_rules, CAST(NOT ok AS BIGINT) AS invalid_rules FROM y""",
     "e3_proof_scores": """WITH l AS (SELECT doc_id, length(unnest(string_split(text, chr(10)))) % 6 AS k FROM documents), x AS (SELECT d.doc_id, count(*) FILTER (WHERE k < 2) AS v, count(*) FILTER (WHERE k IN (2, 3, 4)) AS i, CASE WHEN bool_or(k = 4) THEN 1 ELSE 0 END AS c FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id, d.text IS NULL),
 y AS (SELECT x.*, d.text IS NOT NULL AS has FROM x JOIN documents d ON d.doc_id = x.doc_id)
 SELECT doc_id, has AND i = 0 AND c = 0 AND v > 0 AS passed, CASE WHEN has THEN greatest(0, least(1, CAST(v - i - 3 * c AS DOUBLE) / greatest(v + i, 1))) ELSE CAST(0 AS DOUBLE) END AS score, v AS valid_rules, i AS invalid_rules, CAST(c AS BIGINT) AS classical, has AS conclusion_reached FROM y""",

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,18 +71,55 @@ def test_bootstrap():
     assert mean == 0.6 and abs(low - (0.6 - 1.96 * np.sqrt(0.24 / 1000))) < 0.005 and abs(high - (0.6 + 1.96 * np.sqrt(0.24 / 1000))) < 0.005
 
 
-def test_permutation():
-    assert X.permutation_test([1.0], [0], [3]) == (0.0, 1.0)
-    assert X.permutation_test([1.0], [3], [3])[1] == 1.0
-    assert X.permutation_test([0.0, 1.0], [0, 40], [40, 0])[1] == pytest.approx(1 / 10_001)
-    # against all 252 splits of ten rows
+def all_splits(values, a, b):
+    """p over all ways to deal the rows again."""
     from itertools import combinations
 
-    a, b = [0.0, 0.0, 1.0, 1.0, 1.0], [0.0, 0.0, 0.0, 0.0, 1.0]
-    pool = a + b
-    seen = abs(np.mean(a) - np.mean(b))
-    exact = np.mean([abs(np.mean([pool[i] for i in c]) - np.mean([pool[i] for i in range(10) if i not in c])) >= seen - 1e-12 for c in combinations(range(10), 5)])
-    assert X.permutation_test([0.0, 1.0], [2, 3], [4, 1])[1] == pytest.approx(exact, abs=0.02)
+    left, right = ([v for v, n in zip(values, side) for _ in range(n)] for side in (a, b))
+    pool = np.array(left + right)
+    seen = abs(np.mean(left) - np.mean(right))
+    total = pool.sum()
+    sums = [pool[list(c)].sum() for c in combinations(range(len(pool)), len(left))]
+    return np.mean([abs(x / len(left) - (total - x) / len(right)) >= seen - 1e-12 for x in sums])
+
+
+def test_permutation(monkeypatch):
+    assert X.permutation_test([1.0], [0], [3]) == (0.0, 1.0, 0.0)
+    assert X.permutation_test([1.0], [3], [3]) == (0.0, 1.0, 0.0)
+    assert X.permutation_test([0.0, 1.0], [0, 40], [40, 0])[1:] == (pytest.approx(2 / math.comb(80, 40)), 0.0)
+    rng = np.random.default_rng(3)
+    for values in ([0.0, 1.0], [0.25, 0.5], [0.0, 0.1, 0.35], [-1.0, 0.0, 0.5, 2.0]):
+        for _ in range(6):
+            a, b = rng.integers(0, 4, len(values)), rng.integers(0, 4, len(values))
+            if a.sum() and b.sum():
+                _, p, error = X.permutation_test(values, a, b)
+                assert p == pytest.approx(all_splits(values, a, b)) and error == 0.0
+    values, a, b = [0.0, 0.1, 0.35, 1.0], [15, 10, 5, 20], [20, 12, 8, 10]
+    _, exact, none = X.permutation_test(values, a, b)
+    monkeypatch.setattr(X, "EXACT_WORK", 0)
+    _, p, error = X.permutation_test(values, a, b)
+    assert none == 0.0 and 0 < error < 0.01 and abs(p - exact) < 4 * error
+    _, p, error = X.permutation_test([0.0, 1 / 3, math.pi], [3, 3, 3], [1, 3, 5])  # no common step
+    assert error > 0
+
+
+def test_large_groups_are_exact():
+    _, p, error = X.permutation_test([0.0, 1.0], [600_000_000, 400_000_000], [600_020_000, 399_980_000])
+    z = 20_000 / math.sqrt(2 * 1e9 * 0.4 * 0.6)
+    assert error == 0.0 and p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.01)
+    assert X.hypergeometric(10**9, 10**8, 10**7)[1].sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def test_exact_intervals():
+    for n, k in ((1, 0), (1, 1), (7, 0), (7, 7), (40, 3), (1000, 600)):
+        x = np.arange(n + 1)
+        below = np.cumsum([math.comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(n + 1)]) if n < 500 else None
+        low, high = X.binomial_interval(n, k)
+        if below is not None:
+            assert (low, high) == (x[below >= 0.025 - 1e-12][0] / n, x[below >= 0.975 - 1e-12][0] / n)
+        else:
+            _, sampled_low, sampled_high = X.bootstrap_ci([0.0, 1.0], [n - k, k])
+            assert abs(low - sampled_low) < 0.003 and abs(high - sampled_high) < 0.003
 
 
 RECORD = "problem_id string, condition string, skill_name string, domain string, passed boolean, score double"
