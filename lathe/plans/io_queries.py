@@ -13,6 +13,7 @@ from lathe.operators import matching as M
 from lathe.operators import passages as P
 from lathe.operators import records as R
 from lathe.plans.relation_queries import registry_of, skills_of, tasks_of
+from lathe.plans.text_queries import letters_closed, rejoined
 from lathe.plans.views import view, with_views
 from lathe.sources import tables as T
 from lathe.sources.tables import new_folder
@@ -177,9 +178,23 @@ QUERIES = {
     "u2_episodes": _episodes,
 }
 
+def _cleaned_lines(text: str, at: str) -> str:
+    """The lines of all documents, each after a spelled-out word, without spelling and broken hyphens, as a table ``at``."""
+    lines = f"{at}0 AS (SELECT doc_id * 1000000 + generate_subscripts(l, 1) AS id, 'w o r d. ' || unnest(l) AS s FROM (SELECT doc_id, string_split({text}, chr(10)) AS l FROM documents))"
+    return f"{lines}, {letters_closed(f'{at}0', f'{at}c')}, {rejoined(f'{at}c', at)}"
+
+
+#: Spans of a document as JSON objects and as XML elements, in the shapes of the payloads.
+PAYLOADS = f"""WITH {_cleaned_lines("text", "j")}, {_cleaned_lines("regexp_replace(text, '[<>&]', ' ', 'g')", "v")}, t0 AS (SELECT doc_id AS id, text AS s FROM documents), {letters_closed("t0", "tc")}, {rejoined("tc", "t")},
+js AS (SELECT id // 1000000 AS id, string_agg('{{"text": ' || CAST(to_json(s) AS VARCHAR) || '}}', ', ' ORDER BY id) AS o FROM j GROUP BY ALL), xs AS (SELECT id // 1000000 AS id, string_agg('<span>' || s || '</span>', '' ORDER BY id) AS o FROM v GROUP BY ALL)
+SELECT d.doc_id, sha256('{{"pages": [{{"blocks": [{{"lines": [{{"spans": [' || js.o || ']}}]}}]}}]}}') AS pages_sha256, sha256('{{"blocks": [' || js.o || ']}}') AS blocks_sha256, sha256('{{"a": {{"b": [' || js.o || ']}}}}') AS nested_sha256,
+  sha256('<doc>' || xs.o || '</doc>') AS xml_sha256, sha256(coalesce(t.s, '')) AS txt_sha256
+FROM documents d LEFT JOIN js ON js.id = d.doc_id LEFT JOIN xs ON xs.id = d.doc_id LEFT JOIN t ON t.id = d.doc_id"""
+
 TK, SK = with_views("tasks"), with_views("skills")
 CUT = "left(text, 300)"
 ORACLES = {
+    "t11_clean_payloads": PAYLOADS,
     "s1_json_arrays": f"{with_views('edges', 'skills')} SELECT s.skill_uid, s.name, s.step_a || '~' || s.step_b AS procedure, CAST(count(e.task_uid) AS INTEGER) AS n_tasks FROM skills s LEFT JOIN edges e ON e.skill_uid = s.skill_uid GROUP BY ALL",
     "s2_s7_json_lines": f"{with_views('episodes')} SELECT task_uid, model, condition, skill_name, mode, score, passed, tokens FROM episodes",
     "s2_rejected_lines": f"""WITH l AS (SELECT event_id, {LOG_LINE} AS value FROM events) SELECT CASE WHEN event_id % 8 > 5 THEN 't' || event_id END AS task_uid, CASE WHEN event_id % 8 > 5 THEN CAST(event_id AS BIGINT) END AS tokens, CASE WHEN event_id % 8 > 5 THEN CAST(0.25 AS DOUBLE) END AS score,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions import text as T
-from lathe.functions.cleanup import Cleanup, blocks, clean, close_lettertracks, rejoin_hyphens
+from lathe.functions.cleanup import COMPOUND_PREFIXES, Cleanup, blocks, clean, close_lettertracks, rejoin_hyphens
 from lathe.functions.skill_markdown import parse_markdown, parse_registry_skill, render_skill
 from lathe.operators import passages as P
 from lathe.operators import records as R
@@ -47,18 +47,23 @@ def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(spark, sf_dir).select("doc_id", T.extraction_method(model, "skill-extraction").alias("method"))
 
 
+def _paragraphs(text: Column) -> Column:
+    """A blank line after every line that ends a sentence, as between the paragraphs of a text."""
+    return F.replace(text, F.lit(".\n"), F.lit(".\n\n"))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.passages(_sources(spark, sf_dir), 1000, "\n").withColumn("text_sha256", F.sha2("text", 256)).drop("text", "extraction_method")
+    return P.passages(_sources(spark, sf_dir).withColumn("text", _paragraphs(F.col("text"))), 1000).withColumn("text_sha256", F.sha2("text", 256)).drop("text", "extraction_method")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(P.chunks(F.col("text"), 604, "\n")).alias("chunk_index", "c"))
+    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(P.chunks(_paragraphs(F.col("text")), 604)).alias("chunk_index", "c"))
     return rows.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.length("c").cast("bigint").alias("chars"), F.sha2("c", 256).alias("sha256"))
 
 
 def _dataset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs_of(spark, sf_dir).where("text is not null").select("source", F.col("doc_id").alias("ord"), "text")
-    return P.dataset_chunks(rows, 4000, "\n").select("source", "chunk_index", "total_chunks", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))
+    rows = docs_of(spark, sf_dir).where("text is not null").select("source", F.col("doc_id").alias("ord"), _paragraphs(F.col("text")).alias("text"))
+    return P.dataset_chunks(rows, 4000).select("source", "chunk_index", "total_chunks", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,11 +250,11 @@ QUERIES = {
     "t2_extraction_method": _methods,
     "t3_normalize_whitespace": _digest(lambda c: T.normalize_whitespace(F.concat(F.regexp_replace(c, " ", "  \n"), F.lit("\n\n\n\nend  ")))),
     "t4_lettertracks": _digest(lambda c: close_lettertracks(F.concat(F.lit("C o m p r e h e n s i o n "), c))),
-    "t5_rejoin_hyphens": _digest(lambda c: rejoin_hyphens(F.regexp_replace(c, "th", "th-\n"))),
+    "t5_rejoin_hyphens": _digest(lambda c: rejoin_hyphens(F.concat(F.regexp_replace(c, "th", "th-\n"), F.lit(" well-known x-rays up-\nto-date Re-\nAdd  co-operate semi-colons two-two-two")))),
     "t6_space_blocks": _digest(lambda c: T.space_blocks(F.regexp_replace(c, r"\. |\n", ".7"))),
     "t7_fix_markdown": _digest(lambda c: T.fix_markdown(F.regexp_replace(c, " the ", "****"))),
     "t8_cleanup": _digest(lambda c: clean(c, Cleanup(lettertracks=False, hyphens=False, is_markdown=True))),
-    "t8_cleanup_all": _digest(lambda c: clean(c)),
+    "t8_cleanup_all": _digest(lambda c: clean(F.concat(F.lit("C o m p r e h e n s i o n "), F.regexp_replace(c, "th", "th-\n"), F.lit(" well-known x-rays up-\nto-date Re-\nAdd")))),
     "t9_markdown_to_text": _digest(lambda c: T.markdown_to_text(F.concat(F.lit("# Head\n[a](b) ***c*** __d__ `e`\n---\n\n\n\n"), F.regexp_replace(c, " the ", " **the** ")))),
     "t10_markdown_blocks": _block_counts,
     "t12_strip_fences": _digest(lambda c: T.strip_fences(F.concat(F.lit("```json\n"), c, F.lit("\n```")))),
@@ -318,7 +323,7 @@ def _uid(seed: str) -> str:
     return f"left(sha256({seed}), 4) || '-' || sha256({seed})[5:8] || '-' || sha256({seed})[9:12] || '-' || sha256({seed})[13:16]"
 
 
-PARTS = r"list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+PARTS = r"list_filter(list_transform(string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
 
 
 def _fold(size: int, keys: str) -> str:
@@ -329,6 +334,43 @@ UNION ALL SELECT {keys}, ps, i + 1, CASE WHEN size + length(ps[i + 1]) + 2 > {si
 c AS (SELECT {keys}, chunk, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS t FROM r GROUP BY {keys}, chunk), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total FROM c WHERE length(t) >= 200)"""
 
 
+def letters_closed(src: str, out: str) -> str:
+    """T4 for texts without double blanks: blanks in a chain of lone letters go if it has four or more."""
+    return f"""{out}_t AS (SELECT id, unnest(string_split(s, ' ')) AS t, generate_subscripts(string_split(s, ' '), 1) AS j FROM {src}),
+{out}_l AS (SELECT *, regexp_matches(t, '(^|[^a-zA-Z])[A-Za-z]$') AND coalesce(regexp_matches(lead(t) OVER w, '^[A-Za-z]($|[^a-zA-Z])'), false) AS link, regexp_full_match(t, '[A-Za-z]') AS lone FROM {out}_t WINDOW w AS (PARTITION BY id ORDER BY j)),
+{out}_b AS (SELECT *, CASE WHEN lone AND coalesce(lag(link) OVER w, false) THEN 0 ELSE 1 END AS begins FROM {out}_l WINDOW w AS (PARTITION BY id ORDER BY j)),
+{out}_g AS (SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY j) AS chain FROM {out}_b),
+{out}_n AS (SELECT *, count(*) FILTER (WHERE link) OVER (PARTITION BY id, chain) AS links, count(*) OVER (PARTITION BY id) AS last FROM {out}_g),
+{out} AS (SELECT id, string_agg(t || CASE WHEN j = last OR link AND links >= 3 THEN '' ELSE ' ' END, '' ORDER BY j) AS s FROM {out}_n GROUP BY id)"""
+
+
+def _hyphens_joined(src: str, out: str, between: str, right: str) -> str:
+    """One pass of T5: words around ``between`` are joined unless the right one begins upper case or the left one is a prefix of compounds.
+
+    Of places that follow each other only every second is looked at, as a word is not both right and left.
+    """
+    word = "[\\pL\\pN_]"
+    prefixes = ", ".join(f"'{p}'" for p in sorted(COMPOUND_PREFIXES))
+    return f"""{out}_t AS (SELECT id, unnest(x) AS t, generate_subscripts(x, 1) AS j FROM (SELECT id, regexp_extract_all(s, '{word}+|[^\\pL\\pN_]+') AS x FROM {src})),
+{out}_c AS (SELECT *, lag(t) OVER w AS a, lead(t) OVER w AS b, coalesce(lead(t, 2) OVER w, '') AS after FROM {out}_t WINDOW w AS (PARTITION BY id ORDER BY j)),
+{out}_m AS (SELECT *, coalesce(regexp_full_match(t, '{between}') AND length(a) >= 2 AND regexp_matches(b, '^{right}') AND length(b) >= 2 + CAST(after[1] = '-' AS INTEGER), false) AS here FROM {out}_c),
+{out}_f AS (SELECT *, CASE WHEN here AND coalesce(lag(here, 2) OVER w, false) THEN 0 ELSE 1 END AS first FROM {out}_m WINDOW w AS (PARTITION BY id ORDER BY j)),
+{out}_i AS (SELECT *, sum(first) OVER (PARTITION BY id, j % 2 ORDER BY j) AS island FROM {out}_f),
+{out}_k AS (SELECT *, row_number() OVER (PARTITION BY id, j % 2, island ORDER BY j) % 2 = 1 AS odd FROM {out}_i),
+{out} AS (SELECT id, string_agg(CASE WHEN here AND odd AND NOT regexp_matches(b, '^\\p{{Lu}}') AND lower(a) NOT IN ({prefixes}) THEN '' ELSE t END, '' ORDER BY j) AS s FROM {out}_k GROUP BY id)"""
+
+
+def rejoined(src: str, out: str) -> str:
+    return _hyphens_joined(src, f"{out}1", r"-\s*\n\s*", "[\\pL\\pN_]") + ",\n" + _hyphens_joined(f"{out}1", out, "-", "[a-z]")
+
+
+def _sha_of(text: str, steps: str, last: str, after: str = "coalesce(z.s, '')") -> str:
+    """Length and hash of all documents' texts after the named steps."""
+    return f"""WITH x AS (SELECT doc_id AS id, {text} AS s FROM documents WHERE text IS NOT NULL), {steps}, y AS (SELECT x.id, {after} AS o FROM x LEFT JOIN {last} z ON z.id = x.id)
+SELECT d.doc_id, CAST(length(o) AS BIGINT) AS chars, sha256(o) AS sha256 FROM documents d LEFT JOIN y ON y.id = d.doc_id"""
+
+
+SPELLED, BROKEN = "'C o m p r e h e n s i o n '", "replace(text, 'th', 'th-' || chr(10))"
 REPLY = """b AS (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark), o AS (SELECT *, unnest(CASE item_id % 4 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] ELSE []::INTEGER[] END) AS i FROM b)"""
 
 ORACLES = {
@@ -336,6 +378,9 @@ ORACLES = {
 SELECT doc_id, d AS document_uid, {_uid("d || '|0|' || left(sha256(text), 16)")} AS passage_uid, {_uid("'law|' || a || '|' || CAST(doc_id % 5 AS VARCHAR)")} AS task_uid FROM u""",
     "t2_extraction_method": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'org-' END || source || '-' || lang || '-skill-extraction-v1' AS method FROM documents",
     "t3_normalize_whitespace": _sha(_white("(regexp_replace(text, ' ', '  ' || chr(10), 'g') || chr(10) || chr(10) || chr(10) || chr(10) || 'end  ')")),
+    "t4_lettertracks": _sha_of(f"{SPELLED} || text", letters_closed("x", "c"), "c"),
+    "t5_rejoin_hyphens": _sha_of(f"{BROKEN} || ' well-known x-rays up-' || chr(10) || 'to-date Re-' || chr(10) || 'Add  co-operate semi-colons two-two-two'", rejoined("x", "h"), "h"),
+    "t8_cleanup_all": _sha_of(f"{SPELLED} || {BROKEN} || ' well-known x-rays up-' || chr(10) || 'to-date Re-' || chr(10) || 'Add'", letters_closed("x", "c") + ", " + rejoined("c", "h"), "h", _white(_spaced("coalesce(z.s, '')"))),
     "t6_space_blocks": _sha(_spaced(_rep("text", r"\. |\n", ".7"))),
     "t7_fix_markdown": _sha(_marks("replace(text, ' the ', '****')")),
     "t8_cleanup": _sha(_white(_marks(_spaced("text")))),
