@@ -12,7 +12,7 @@ from lathe.operators import matching as M
 from lathe.operators import skill_merge as P
 from lathe.operators import verify as V
 from lathe.plans.views import view, with_views
-from lathe.sources.tables import count_operators
+from lathe.sources.tables import count_operators, spread
 
 MODELS, MODES = ["m-a", "m-b"], ["singlecall", "stepwise"]
 
@@ -105,7 +105,7 @@ def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as skills: the first line describes, the second says when to use, of the others every third is a constraint and the rest are steps."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.split("text", "\n").alias("_l"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("text is not null").select("doc_id", F.split("text", "\n").alias("_l"))
     line = lambda i: F.coalesce(F.get("_l", F.lit(i)), F.lit(""))
     rest = F.slice("_l", F.lit(3), F.greatest(F.size("_l") - 2, F.lit(0)))
     steps, limits = F.filter(rest, lambda x, i: i % 3 != 2), F.filter(rest, lambda x, i: i % 3 == 2)

@@ -15,11 +15,11 @@ from lathe.operators.calls import call_model
 from lathe.operators.compose import title_case
 from lathe.operators.proofs import proof_score
 from lathe.plans.relation_queries import registry_of, skills_of
-from lathe.sources.tables import text_column, union_all
+from lathe.sources.tables import spread, text_column, union_all
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _digest(f):

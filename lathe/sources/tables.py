@@ -61,6 +61,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over as many partitions as there are cores, where its files give fewer; else as they are.
+
+    For work row by row on tables of one or a few large files, of which each would be one task.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _checked(objects: DataFrame, schema: T.StructType, required: Sequence[str], where: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON texts ``value`` that fit a schema, and the others as (*where, value, reason).
 
