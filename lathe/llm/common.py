@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.sources.tables import checkpoint, new_folder  # noqa: F401
+from lathe.sources.tables import checkpoint, new_folder, spread  # noqa: F401
 
 #: Larger than any real id: rows without a doc_id sort after all others.
 NO_ID = 2**63 - 1
@@ -29,7 +29,9 @@ PLAIN = bytes(
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; documents and pages of few files are spread over the cores, as they are worked on row by row."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table in ("documents", "pages") else rows
 
 
 def as_bytes(array: pa.Array) -> list[bytes | None]:
