@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.functions.text import strip, strip_right
@@ -72,6 +72,28 @@ def pending(planned: DataFrame, recorded: DataFrame, keys: Sequence[str] = ("tri
     return planned.join(recorded.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Buckets of a trial log; a fixed property of the stored table.
+LOG_BUCKETS = 64
+
+
+def open_trial_log(spark: SparkSession, name: str, path: str, buckets: int = LOG_BUCKETS) -> str:
+    """The trial log at ``path`` as the table ``name``, stored in buckets of its keys; a new session opens the same files again."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (trial_key STRING, repetition BIGINT) USING parquet CLUSTERED BY (trial_key, repetition) SORTED BY (trial_key, repetition) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def record_trials(trials: DataFrame, log: str, buckets: int = LOG_BUCKETS) -> None:
+    """Add trials (trial_key, repetition) to a log, a file a bucket."""
+    trials.select("trial_key", F.col("repetition").cast("bigint")).repartition(buckets, "trial_key", "repetition").write.insertInto(log)
+
+
+def pending_in_log(planned: DataFrame, log: str) -> DataFrame:
+    """``pending`` against a log: only the planned trials are shuffled, to the log's buckets; the log, however long it grew, is read where it lies."""
+    recorded = planned.sparkSession.table(log).select("trial_key", F.col("repetition").alias("_repetition")).hint("merge")
+    numbered_plan = planned.withColumn("_repetition", F.col("repetition").cast("bigint"))
+    return numbered_plan.join(recorded, ["trial_key", "_repetition"], "left_anti").select(*planned.columns)
+
+
 def filter_tasks(tasks: DataFrame, domain: str | None = None, difficulty: str | None = None, skills: Sequence[str] | None = None) -> DataFrame:
     """Tasks of a domain, a difficulty, or with any of the required skills."""
     if domain is not None:

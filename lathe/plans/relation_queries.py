@@ -12,7 +12,7 @@ from lathe.operators import matching as M
 from lathe.operators import skill_merge as P
 from lathe.operators import verify as V
 from lathe.plans.views import view, with_views
-from lathe.sources.tables import count_operators, spread
+from lathe.sources.tables import count_operators, new_folder, spread
 
 MODELS, MODES = ["m-a", "m-b"], ["singlecall", "stepwise"]
 
@@ -68,6 +68,17 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.pending(planned, recorded).select("trial_key")
 
 
+def _pending_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trials recorded in two runs, and asked for of the log that they left."""
+    path = new_folder(spark, "trial-log")
+    log = M.open_trial_log(spark, f"lathe_trials_{path[-32:]}", path)
+    planned = _keyed(spark, sf_dir)
+    first = F.substring(F.sha2("trial_key", 256), 1, 1)
+    for run in (planned.where(first < "4"), planned.where((first >= "4") & (first < "8"))):
+        M.record_trials(run, log)
+    return M.pending_in_log(planned, log).select("trial_key")
+
+
 def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks_of(spark, sf_dir).select("task_uid", "title", "domain", "ord")
     later = t.where("ord % 3 = 0").withColumn("title", F.concat("title", F.lit(" (new)")))
@@ -153,6 +164,7 @@ QUERIES = {
     "m2_one_to_one_plan": _plan,
     "m3_cross_task_plan": _cross,
     "s10_pending_trials": _pending,
+    "s10_pending_in_log": _pending_in_log,
     "n7_filter_tasks": _filtered,
     "n8_combine_tasks": _combined,
     "n10_validation_subset": _subset,
@@ -298,6 +310,7 @@ ORACLES = {
     "m3_cross_task_plan": f"""{with_views('tasks')}, g AS (SELECT task_uid, c AS condition, '' AS skill_name FROM tasks, (VALUES ('baseline'), ('self_generated')) v(c) UNION ALL SELECT task_uid, 'curated', n_name FROM tasks, nation)
 SELECT condition, model, repetition, count(*) AS n, count(DISTINCT skill_name) AS n_skills FROM g, (VALUES ('m-a'), ('m-b')) a(model), (VALUES (0), (1)) r(repetition) GROUP BY ALL""",
     "s10_pending_trials": f"{ETS}, {EDGE}, {MATCH}, {PLAN}, t AS (SELECT {KEY} AS trial_key FROM p, (VALUES ('m-a'), ('m-b')) a(model)) SELECT trial_key FROM t WHERE trial_key NOT IN (SELECT trial_key FROM t WHERE left(sha256(trial_key), 1) < '8')",
+    "s10_pending_in_log": f"{ETS}, {EDGE}, {MATCH}, {PLAN}, t AS (SELECT {KEY} AS trial_key FROM p, (VALUES ('m-a'), ('m-b')) a(model)) SELECT trial_key FROM t WHERE trial_key NOT IN (SELECT trial_key FROM t WHERE left(sha256(trial_key), 1) < '8')",
     "n7_filter_tasks": f"{with_views('tasks')} SELECT task_uid FROM tasks WHERE domain = 'law' AND difficulty = 'easy'",
     "n8_combine_tasks": f"{with_views('tasks')} SELECT task_uid, CASE WHEN ord % 3 = 0 THEN title || ' (new)' ELSE title END AS title, domain, CAST(CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS source_ord FROM tasks",
     "n10_validation_subset": f"{ETS}, {EDGE} SELECT 'other' AS name, count(*) AS n_tasks FROM x JOIN tasks t ON t.task_uid = x.task_uid WHERE x.ord % 7 <> 0",

@@ -41,6 +41,24 @@ def test_pending_and_keys(spark):
     assert [r.repetition for r in M.pending(p, p.where("repetition = 0")).collect()] == [1]
 
 
+def test_a_growing_log_is_not_shuffled(spark, tmp_path):
+    keys = "trial_key string, repetition int"
+    plan = spark.createDataFrame([(f"k{i}", r) for i in range(50) for r in range(3)] + [("é", 0)], keys)
+    log = M.open_trial_log(spark, "trial_log_test", str(tmp_path / "log"), 8)
+    assert M.pending_in_log(plan, log).count() == 151
+    for some in (plan.where("repetition = 0"), plan.where("repetition = 1 and trial_key < 'k3'"), plan.where("repetition = 0")):
+        M.record_trials(some, log, 8)
+    spark.sql("DROP TABLE trial_log_test")  # another session opens the same files
+    log = M.open_trial_log(spark, "trial_log_test", str(tmp_path / "log"), 8)
+    left = M.pending_in_log(plan, log)
+    assert sorted(map(tuple, left.collect())) == sorted(tuple(r) for r in plan.collect() if r.repetition == 2 or r.repetition == 1 and r.trial_key >= "k3")
+    lines = left._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    assert sum("Exchange" in x for x in lines) == 1 and any("trial_log_test" in x and "Bucketed: true" in x for x in lines)
+    join, log_scan = (next(i for i, x in enumerate(lines) if word in x) for word in ("SortMergeJoin", "trial_log_test"))
+    other = next(i for i, x in enumerate(lines) if "Exchange" in x)
+    assert join < other < log_scan and lines[other].index("Exchange") > lines[join].index("SortMergeJoin")  # the one exchange is the plan's
+
+
 def test_later_sources_override(spark):
     a = spark.createDataFrame([("t", 0, "x"), ("t", 1, "y"), ("u", 2, "z")], "task_uid string, ord long, v string")
     b = spark.createDataFrame([("u", 0, "new", 1)], "task_uid string, ord long, v string, extra int")
