@@ -17,7 +17,7 @@ through by chance is counted exactly and dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ LEAST = 30
 COVERED = 80
 #: Bits of a bitmap of frequent n-grams: 16 MB.
 BITMAP_BITS = 27
-#: Bytes of text that a task looks at together; a long text is split between lines and clauses.
+#: Bytes of text that a task looks at together; a longer text is split between words, and its parts overlap as chunks do.
 BLOCK = 2 << 20
 #: Parts in which a language's best phrases are found before they meet.
 PARTS = 64
@@ -80,10 +80,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def chunks(texts: list[bytes], trigger: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunks(texts: list[bytes], trigger: int = TRIGGER, more: Sequence[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of the text, whether it is the text's last, and the bytes (with offsets) of every chunk of normal texts.
 
-    In a chunk one blank stands between words and one line end between clauses.
+    In a chunk one blank stands between words and one line end between clauses. Texts
+    with ``more`` to come end with words that the rest begins with, and have no last chunk.
     """
     words = Words(texts)
     n = len(words.start)
@@ -104,18 +105,26 @@ def chunks(texts: list[bytes], trigger: int = TRIGGER) -> tuple[np.ndarray, np.n
     at = np.concatenate(([0], np.cumsum(words.end - words.start + 1)))
     size = at[until + 1] - 1 - at[first]
     ends = np.concatenate(([0], np.cumsum(size)))
+    if more is not None:
+        last = last & ~np.array(more, bool)[text]
     return text, last, data[np.arange(ends[-1]) + np.repeat(at[first] - ends[:-1], size)], ends
 
 
-def _split(text: bytes, block: int) -> Iterator[bytes]:
-    """A normal text in parts of about ``block`` bytes that end with a clause; n-grams never reach beyond one."""
+def _split(text: bytes, block: int) -> Iterator[tuple[bytes, bool]]:
+    """A normal text in parts of about ``block`` bytes, and whether more follows: that begins with the part's last ``OVERLAP`` words, as a chunk does."""
     while len(text) > block:
-        at = text.find(b"\n", block)
+        at = min((x for x in (text.find(b" ", block), text.find(b"\n", block)) if x >= 0), default=-1)
         if at < 0:
             break
-        yield text[:at]
-        text = text[at + 1 :]
-    yield text
+        part, tail = text[:at], at
+        for _ in range(OVERLAP):
+            tail = len(part[:tail].rstrip(b" \n"))
+            tail = max(part.rfind(b" ", 0, tail), part.rfind(b"\n", 0, tail)) + 1
+        if not tail:  # of a few words only
+            break
+        yield part, True
+        text = text[tail:]
+    yield text, False
 
 
 def _dictionary(docs: DataFrame, trigger: int, block: int) -> DataFrame:
@@ -124,20 +133,19 @@ def _dictionary(docs: DataFrame, trigger: int, block: int) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column("lang")
-            rows, texts, held = [], [], 0
+            parts, held = [], 0
             for row, text in enumerate(as_bytes(batch.column("text"))):
-                for part in _split((text or b"").translate(NORMAL), block):
-                    rows.append(row)
-                    texts.append(part)
+                for part, more in _split((text or b"").translate(NORMAL), block):
+                    parts.append((row, part, more))
                     held += len(part)
                     if held >= block:
-                        yield found(lang, rows, texts)
-                        rows, texts, held = [], [], 0
-            if texts:
-                yield found(lang, rows, texts)
+                        yield found(lang, *zip(*parts))
+                        parts, held = [], 0
+            if parts:
+                yield found(lang, *zip(*parts))
 
-    def found(lang: pa.Array, rows: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        text, last, data, ends = chunks(texts, trigger)
+    def found(lang: pa.Array, rows: Sequence[int], texts: Sequence[bytes], more: Sequence[bool]) -> pa.RecordBatch:
+        text, last, data, ends = chunks(list(texts), trigger, more)
         chunk = pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays([lang.take(pa.array(np.array(rows)[text])), chunk, pa.array(last)], ["lang", "chunk", "last"])
 

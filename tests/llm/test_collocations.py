@@ -60,6 +60,21 @@ def test_chunks_hold_every_ngram_once():
         assert grams.weight.sum() == sum(len(w) for t in texts for w in clauses(t))
 
 
+def test_parts_of_long_texts_hold_every_ngram_once():
+    rng = random.Random(5)
+    for n in range(60):
+        text = prose(rng, rng.choice([5, 60, 400])).encode().translate(NORMAL) if n % 3 else b" ".join([b"a b c dd e"] * 40)
+        for block in (1, 7, 50):
+            parts = list(collocations._split(text, block))
+            assert [more for _, more in parts] == [True] * (len(parts) - 1) + [False]
+            _, last, data, ends = chunks([p for p, _ in parts], 3, [m for _, m in parts])
+            found = [bytes(data[i:j]) for i, j in zip(ends, ends[1:])]
+            grams = Grams("en", found, np.array(last), np.ones(len(found), np.int64))
+            for k in (2, 4):
+                got = Counter(grams.phrases(np.flatnonzero(grams.starts(k)), k).to_pylist())
+                assert got == Counter(" ".join(w[i : i + k]) for w in clauses(text.decode()) for i in range(len(w) - k + 1)), (text, block)
+
+
 def test_equal_passages_are_cut_alike():
     rng = random.Random(8)
     passage = " ".join(rng.choice("abcdefghijklmnop") for _ in range(400))
