@@ -101,9 +101,11 @@ def _checked(objects: DataFrame, schema: T.StructType, required: Sequence[str],
 def check_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows of files that hold one JSON array of objects each, and what is no row: (file_path, position, value, reason).
 
-    ``position`` counts from 0; a file that is no JSON array is one bad row without a position.
+    ``position`` counts from 0; a single object counts as an array of one; a file that is
+    neither is one bad row without a position.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value", F.try_parse_json("value").alias("_v"))
+    files = files.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))).otherwise(F.col("_v")))
     is_array = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
     broken = files.where(~is_array).select("file_path", F.lit(None).cast("int").alias("position"), F.make_valid_utf8("value").alias("value"), F.when(F.col("_v").isNull(), "no JSON").otherwise("no array").alias("reason"))
     arrays = files.where(is_array).select("file_path", "_v")

@@ -43,9 +43,11 @@ def test_bad_elements_and_files_of_arrays(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": 5, "text": "cut of')
     (tmp_path / "c.json").write_text('{"id": 6}')
     (tmp_path / "d.json").write_text("[]")
+    (tmp_path / "e.json").write_text('"text"')
+    (tmp_path / "f.json").write_text('{"id": 7, "text": "f"}\n')
     good, bad = T.check_json_array(spark, str(tmp_path), SCHEMA, ["text"])
-    assert sorted((r.id, r.text) for r in good.collect()) == [(1, "a"), (4, "d\né")]
-    assert sorted((r.file_path[-6:], -1 if r.position is None else r.position, r.reason) for r in bad.collect()) == [("a.json", 1, "wrong type: id"), ("a.json", 2, "no object"), ("b.json", -1, "no JSON"), ("c.json", -1, "no array")]
+    assert sorted((r.id, r.text) for r in good.collect()) == [(1, "a"), (4, "d\né"), (7, "f")]
+    assert sorted((r.file_path[-6:], -1 if r.position is None else r.position, r.reason) for r in bad.collect()) == [("a.json", 1, "wrong type: id"), ("a.json", 2, "no object"), ("b.json", -1, "no JSON"), ("c.json", 0, "missing: text"), ("e.json", -1, "no array")]
 
 
 def test_no_bad_rows(spark, tmp_path):
