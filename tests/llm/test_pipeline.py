@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from lathe.llm import langid, line_dedup
-from tests.llm.test_operators import DOCS, SYLLABLES, blank_words, block_brute, brute_components, brute_fingerprint, hits, spoken
+from tests.llm.test_operators import DOCS, SYLLABLES, aligned_brute, blank_words, brute_components, brute_fingerprint, hits, spoken
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_stages(spark, sf_dir):
 
     edited = stage(spark, 1, kept, path)
     order = sorted(kept)
-    gone = block_brute([kept[i][1] for i in order])
+    gone = aligned_brute([kept[i][1] for i in order])
     for n, i in enumerate(order):
         text = "\n".join(x for k, x in enumerate(kept[i][1].split("\n")) if k not in set(gone.get(n, [])))
         assert edited[i][1] == text and edited[i][4] == len(text)
