@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm.common import as_bytes, salted_join, saved
+from lathe.operators.numbering import numbered
 
 #: Words that a chunk shares with the next, and those of the longest phrase.
 OVERLAP, LONGEST = 3, 4
@@ -40,8 +41,6 @@ COVERED = 80
 BITMAP_BITS = 27
 #: Bytes of text that a task looks at together; a longer text is split between words, and its parts overlap as chunks do.
 BLOCK = 2 << 20
-#: Parts in which a language's best phrases are found before they meet.
-PARTS = 64
 
 #: Maps A-Z to a-z, ends of clauses and lines to a line end, a tab to a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -334,9 +333,7 @@ def mine(docs: DataFrame, top: int = 2000, least: int = LEAST, trigger: int = TR
     change results.
     """
     counts = count_phrases(docs, least, trigger, bits, block)
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
-    best = score_phrases(counts).withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    scored = score_phrases(counts).select("*", (-F.col("score")).alias("_score"), (-F.col("a")).alias("_a"))
+    best = numbered(scored, ["lang"], ["_score", "_a", "phrase"], "rank").where(F.col("rank") <= top)
     total = counts.where("size = 0").select("lang", "n")
     return best.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
