@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: Spark would repeat its expression for each use in a filter on it, but filters stay above an outer explode."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _checked(objects: DataFrame, schema: T.StructType, required: Sequence[str], where: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON texts ``value`` that fit a schema, and the others as (*where, value, reason).
 
@@ -77,25 +82,28 @@ def _checked(objects: DataFrame, schema: T.StructType, required: Sequence[str],
     (with the fields), missing (with the required fields that are absent or null).
     """
     raw = T.StructType([*schema.fields, T.StructField("_raw", T.StringType())])
-    parsed = objects.withColumn("_row", F.from_json("value", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}))
-    given = F.col("_row._raw").isNotNull()
-    variant = F.try_parse_json(F.when(given, F.col("value")))
+    parsed = _once(objects, "_row", F.from_json("value", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}))
     names = lambda flags: F.array_join(F.filter(F.array(*flags), lambda x: x.isNotNull()), ", ")
     held = lambda f: F.col("_row").getField(f)
-    found = lambda f: F.try_variant_get(variant, f'$["{f}"]', "variant")
+    given, valid = F.col("_row._raw").isNotNull(), F.coalesce(F.is_valid_utf8("value"), F.lit(True))
+    fits = valid & ~given
+    for f in required:
+        fits = fits & held(f).isNotNull()
+    fits = F.coalesce(fits, F.lit(False))
+    good = parsed.where(fits).select(*[held(f.name).alias(f.name) for f in schema])
+
+    others = _once(parsed.where(~fits), "_given", F.try_parse_json(F.when(given, F.col("value"))))
+    found = lambda f: F.try_variant_get("_given", f'$["{f}"]', "variant")
     wrong = [F.when(held(f.name).isNull() & found(f.name).isNotNull() & ~F.is_variant_null(found(f.name)), F.lit(f.name)) for f in schema]
     absent = [F.when(held(f).isNull(), F.lit(f)) for f in required]
     reason = (
-        F.when(~F.is_valid_utf8("value"), "not UTF-8")
-        .when(given & variant.isNull(), "no JSON")
-        .when(given & ~F.schema_of_variant(variant).startswith("OBJECT"), "no object")
+        F.when(~valid, "not UTF-8")
+        .when(given & F.col("_given").isNull(), "no JSON")
+        .when(given & ~F.schema_of_variant("_given").startswith("OBJECT"), "no object")
         .when(given, F.concat(F.lit("wrong type: "), names(wrong)))
+        .otherwise(F.concat(F.lit("missing: "), names(absent)))
     )
-    if required:
-        reason = reason.when(names(absent) != "", F.concat(F.lit("missing: "), names(absent)))
-    judged = parsed.withColumn("reason", reason)
-    good = judged.where("reason is null").select(*[held(f.name).alias(f.name) for f in schema])
-    return good, judged.where("reason is not null").select(*where, F.make_valid_utf8("value").alias("value"), "reason")
+    return good, others.select(*where, F.make_valid_utf8("value").alias("value"), reason.alias("reason"))
 
 
 def check_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -54,3 +55,14 @@ def test_no_bad_rows(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n')
     good, bad = T.check_jsonl(spark, str(tmp_path), SCHEMA)
     assert good.count() == 1 and bad.count() == 0
+
+
+def parses(df):
+    """How often a plan's expressions parse JSON."""
+    return len(re.findall(r"(?i)jsontostructsevaluator|from_json|parse_json|parsejson", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"\n".join([*GOOD, *BAD]))
+    good, bad = T.check_jsonl(spark, str(tmp_path), SCHEMA, ["id", "text"])
+    assert 1 <= parses(good) <= 2 and parses(bad) <= 4  # a name may stand twice in the text of a call
