@@ -112,11 +112,13 @@ def check_json_array(spark: SparkSession, path: str | list[str], schema: T.Struc
     ``position`` counts from 0; a single object counts as an array of one; a file that is
     neither is one bad row without a position.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value", F.try_parse_json("value").alias("_v"))
-    files = files.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))).otherwise(F.col("_v")))
-    is_array = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    files = _once(texts, "_v", F.try_parse_json("value"))
+    first = F.substring(F.ltrim("value", F.lit(" \t\r\n")), 1, 1)
+    rows = F.when(first == "{", F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))).otherwise(F.col("_v"))
+    is_array = F.col("_v").isNotNull() & F.coalesce(first.isin("[", "{"), F.lit(False))
     broken = files.where(~is_array).select("file_path", F.lit(None).cast("int").alias("position"), F.make_valid_utf8("value").alias("value"), F.when(F.col("_v").isNull(), "no JSON").otherwise("no array").alias("reason"))
-    arrays = files.where(is_array).select("file_path", "_v")
+    arrays = files.where(is_array).select("file_path", rows.alias("_v"))
     each = arrays.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("file_path", F.col("pos").alias("position"), F.to_json("value").alias("value"))
     good, bad = _checked(each, schema, required, ["file_path", "position"])
     return good, bad.unionByName(broken)
