@@ -49,7 +49,8 @@ TASK_CALLS, BUCKET_DIGITS = 500, 3
 
 
 def _tasks(calls: int, concurrency: int) -> int:
-    return max(concurrency, -(-calls // TASK_CALLS))
+    """Tasks for so many calls; not more than there are buckets, as the rest would be empty."""
+    return max(concurrency, min(-(-calls // TASK_CALLS), 16**BUCKET_DIGITS))
 
 
 def call_model(rows: DataFrame, make_client: Callable[[], Chat] = offline_client, concurrency: int = 8, store: str | None = None, flush: int = FLUSH) -> DataFrame:

@@ -1,15 +1,17 @@
 """A store of model replies on shared storage, written as they come in.
 
 Replies are keyed by a hash of what was asked and lie in ``bucket=…`` folders as
-Parquet files. A task writes what it got every ``FLUSH`` replies and whenever it ends,
-also by an error; a file is complete or not there, as it is renamed when written. A
-task that is run again, by Spark or by the next job, finds what its predecessors got.
+Parquet files. A task writes what it got every ``FLUSH`` replies, but once a second if
+they come faster, and whenever it ends, also by an error; a file is complete or not
+there, as it is renamed when written. A task that is run again, by Spark or by the next
+job, finds what its predecessors got.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -19,8 +21,8 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-#: Replies that a task may hold unwritten.
-FLUSH = 20
+#: Replies that a task may hold unwritten; those of how many seconds, if they are more; and of those at most.
+FLUSH, FLUSH_SECONDS, FLUSH_MOST = 20, 1.0, 10_000
 SCHEMA = "key string, reply string, prompt_tokens bigint, completion_tokens bigint"
 _ARROW = pa.schema([("key", pa.string()), ("reply", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64())])
 
@@ -46,6 +48,7 @@ class Replies:
     def __init__(self, path: str, bucket: str, flush: int = FLUSH):
         self.fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         self.folder, self.flush_every, self.fresh = f"{root}/bucket={bucket}", flush, []
+        self.written = time.monotonic()
         self.known: dict[str, tuple[str, int, int]] = {}
         found = self.fs.get_file_info(pafs.FileSelector(self.folder, allow_not_found=True))
         for name in (f.path for f in found if f.path.endswith(".parquet")):
@@ -60,7 +63,8 @@ class Replies:
         if error is None:
             self.known[key] = (reply, asked, said)
             self.fresh.append({"key": key, "reply": reply, "prompt_tokens": asked, "completion_tokens": said})
-            if len(self.fresh) >= self.flush_every:
+            n = len(self.fresh)
+            if n >= self.flush_every and (n >= FLUSH_MOST or time.monotonic() - self.written >= FLUSH_SECONDS):
                 self.write()
         return reply, asked, said, error
 
@@ -70,7 +74,7 @@ class Replies:
             self.fs.create_dir(self.folder, recursive=True)
             pq.write_table(pa.Table.from_pylist(self.fresh, _ARROW), f"{self.folder}/_{name}.tmp", filesystem=self.fs)
             self.fs.move(f"{self.folder}/_{name}.tmp", f"{self.folder}/{name}.parquet")
-            self.fresh = []
+            self.fresh, self.written = [], time.monotonic()
 
 
 class Buckets:

@@ -11,7 +11,8 @@ from lathe.operators import matching as M
 from lathe.operators import numbering
 from lathe.operators import skill_merge as S
 from lathe.operators import verify as V
-from lathe.operators.calls import call_model, run_episodes
+from lathe.operators import replies
+from lathe.operators.calls import _tasks, call_model, run_episodes
 from lathe.sources import tables as T
 from lathe.streaming import progress
 
@@ -376,6 +377,19 @@ def test_cut_off_episodes_go_on(spark, tmp_path):
     assert len(lines_of(log)) == 8 * 4  # each turn of each repetition once, over both runs
 
 
+def test_fast_replies_share_files_and_slow_ones_are_written(tmp_path, monkeypatch):
+    def files(name, seconds):
+        monkeypatch.setattr(replies, "FLUSH_SECONDS", seconds)
+        with replies.Buckets(str(tmp_path / name), 2) as buckets:
+            for i in range(50):
+                buckets.at("0").ask(str(i), lambda: ("r", 1, 1, None))
+        assert len(replies.Replies(str(tmp_path / name), "0").known) == 50
+        return len(list((tmp_path / name).rglob("*.parquet")))
+
+    assert files("fast", 60.0) == 1 and files("slow", 0.0) == 25
+    assert (_tasks(3, 8), _tasks(50_000, 8), _tasks(10**9, 8)) == (8, 100, 4096)
+
+
 def record(i, ok, at=None):
     return {"problem_id": f"p{i}", "provider": "x", "model": "m", "condition": "baseline", "skill_name": None, "k_value": 0, "repetition": 0, "pass": ok, "score": 0.5, "tokens": 2}
 
