@@ -169,8 +169,9 @@ def text_column(df: DataFrame) -> str:
     return strings[0]
 
 
-#: Between skills that share a file.
-SKILL_BREAK = "\n\f\n"
+#: Between skills that share a file, and how many do at most: a file is read whole by one task. Reading in splits would not do, as
+#: skills end in line feeds and a break may overlap itself at a split's end, where Hadoop's reader can repeat a skill.
+SKILL_BREAK, FILE_SKILLS = "\n\f\n", 5000
 
 
 def read_skill_tree(spark: SparkSession, path: str, k_values: Sequence[int] | None = None, operators: Sequence[str] | None = None) -> DataFrame:
@@ -212,12 +213,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_composed(composed: DataFrame, path: str, k_values: Sequence[int] | None = None, operators: Sequence[str] | None = None) -> DataFrame:
-    """Composed skills as text under ``k_value=…/composition_type=…/``; returns the count of each operator."""
+    """Composed skills as text under ``k_value=…/composition_type=…/``, ``FILE_SKILLS`` a file at most; returns the count of each operator."""
     if k_values is not None:
         composed = composed.where(F.col("k_value").isin(list(k_values)))
     if operators is not None:
         composed = composed.where(F.col("composition_type").isin(list(operators)))
-    composed.select("k_value", "composition_type", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("k_value", "composition_type").option("lineSep", SKILL_BREAK).text(path)
+    composed.select("k_value", "composition_type", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("k_value", "composition_type").option("lineSep", SKILL_BREAK).option("maxRecordsPerFile", FILE_SKILLS).text(path)
     return count_operators(composed)
 
 

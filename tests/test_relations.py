@@ -293,6 +293,15 @@ def test_sources(spark, tmp_path):
         T.text_column(spark.range(1))
 
 
+def test_files_of_composed_skills_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FILE_SKILLS", 3)
+    c = spark.range(20, numPartitions=1).select(F.lit(2).alias("k_value"), F.lit("seq").alias("composition_type"), F.concat(F.lit("# s"), "id", F.lit("\n\n")).alias("markdown"))
+    T.write_composed(c, str(tmp_path / "out"))
+    files = [f.read_text().count(T.SKILL_BREAK) for f in (tmp_path / "out").rglob("*.txt")]
+    assert sum(files) == 20 and max(files) <= 3
+    assert sorted(r.content for r in T.read_skill_tree(spark, str(tmp_path / "out")).collect()) == sorted(f"# s{i}\n\n" for i in range(20))
+
+
 def test_sinks(spark, tmp_path):
     c = C.with_markdown(C.compose_all(registry(spark)))
     assert T.write_composed(c, str(tmp_path / "out"), k_values=[2], operators=["par"]).first().n == 2
