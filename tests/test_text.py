@@ -153,3 +153,15 @@ def test_dataset_chunks_over_runs(spark, size, most):
 def test_payload_shapes(spark, kind, payload, cleaned):
     df = spark.createDataFrame([(kind, payload)], "k string, p string")
     assert df.select(clean_payload(F.col("k"), F.col("p"))).first()[0] == cleaned
+
+
+def test_texts_of_a_batch_are_taken_in_slices(spark):
+    import pyarrow as pa
+
+    from lathe.functions import cleanup
+
+    kinds, texts = zip(*cleanup._slices(pa.array(["txt"] * 600), pa.array([str(i) for i in range(600)])))
+    assert max(map(len, texts)) <= 256 and sum(texts, []) == [str(i) for i in range(600)] and len(sum(kinds, [])) == 600
+    df = spark.range(600, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat("id", F.lit(" ab-\ncd S k i l l"))).alias("t"))
+    out = df.select("id", cleanup.close_lettertracks(F.col("t")).alias("a"), clean_payload(F.lit("txt"), F.col("t")).alias("b")).collect()
+    assert all((r.a, r.b) == ((f"{r.id} ab-\ncd Skill", f"{r.id} abcd Skill") if r.id % 7 else (None, None)) for r in out) and len(out) == 600
