@@ -165,3 +165,9 @@ def test_texts_of_a_batch_are_taken_in_slices(spark):
     df = spark.range(600, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat("id", F.lit(" ab-\ncd S k i l l"))).alias("t"))
     out = df.select("id", cleanup.close_lettertracks(F.col("t")).alias("a"), clean_payload(F.lit("txt"), F.col("t")).alias("b")).collect()
     assert all((r.a, r.b) == ((f"{r.id} ab-\ncd Skill", f"{r.id} abcd Skill") if r.id % 7 else (None, None)) for r in out) and len(out) == 600
+
+
+def test_the_whole_cleanup_is_one_pass_through_python(spark):
+    df = spark.createDataFrame([("S k i l l s ab-\ncd",), (None,)], "t string").select(clean(F.col("t")).alias("c"))
+    assert [r.c for r in df.collect()] == ["Skills abcd", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("each(") == 1
