@@ -74,4 +74,4 @@ def test_an_array_is_parsed_once_a_branch(spark, tmp_path):
     good, bad = T.check_json_array(spark, str(tmp_path), SCHEMA, ["id"])
     assert sorted(r.id for r in good.collect()) == [1, 2]
     assert sorted((r.file_path[-6:], r.reason) for r in bad.collect()) == [("a.json", "no object")]
-    assert parses(good) <= 6 and parses(bad) <= 14  # a name may stand twice in the text of a call
+    assert 1 <= parses(good) <= 3 and parses(bad) <= 5  # of the text, of an object as an array, of each row; and of the rows not taken
