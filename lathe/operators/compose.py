@@ -155,21 +155,91 @@ def with_markdown(composed: DataFrame) -> DataFrame:
 def dependencies(edges: DataFrame) -> DataFrame:
     """(name, ref) edges -> all (name, dependency) reachable, each once; cycles end at visited nodes.
 
+    Nodes that reach each other reach the same, so one of them stands for all while the
+    pairs are found; at the end each pair of classes becomes those of their members.
+    """
+    links, held = _without_cycles(checkpoint(edges.select("name", F.col("ref").alias("dependency")).distinct()))
+    pairs = _closure(links)
+    if held is None:
+        return pairs
+    # a large class is several parts, so that its pairs are not made by one task
+    n = F.ceil(F.col("n") / CLASS_PART)
+    sizes = held.groupBy("root").agg(F.count("*").alias("n")).select(F.col("root").alias("_root"), n.alias("n"))
+    held = checkpoint(held.join(sizes, F.col("root").eqNullSafe(F.col("_root"))).select("node", "root", F.pmod(F.xxhash64("node"), "n").alias("part")))
+    parts = held.select("root", "part").distinct()
+    for side in ("name", "dependency"):
+        of = parts.select(F.col("root").alias("_root"), F.col("part").alias(f"_{side}"))
+        pairs = pairs.join(of, F.col(side).eqNullSafe(F.col("_root"))).drop("_root")
+    for side in ("name", "dependency"):
+        of = held.select("node", F.col("root").alias("_root"), F.col("part").alias("_part"))
+        pairs = pairs.join(of, F.col(side).eqNullSafe(F.col("_root")) & (F.col(f"_{side}") == F.col("_part"))).withColumn(side, F.col("node")).drop("node", "_root", "_part", f"_{side}")
+    return pairs.select("name", "dependency")
+
+
+#: Members of a class that one task expands at most, about.
+CLASS_PART = 1000
+
+
+def _closure(links: DataFrame) -> DataFrame:
+    """All pairs reachable by distinct links (name, dependency).
+
     Pairs are held with their distance. A round joins those up to a distance to those of
     just that distance, and so finds all up to twice as far: a shortest path is one of
     the former and then one of the latter. Rounds are the logarithm of the longest
     distance, and a pair is met once for each node on a shortest path at that place.
     """
-    reached, reach = checkpoint(edges.select("name", F.col("ref").alias("dependency"), F.lit(1).alias("distance")).distinct()), 1
+    reached, reach = links.withColumn("distance", F.lit(1)), 1
     while True:
         far = reached.where(F.col("distance") == reach).select(F.col("name").alias("dependency"), F.col("dependency").alias("_to"))
         step = reached.join(far, "dependency").groupBy("name", F.col("_to").alias("dependency")).agg((F.min("distance") + reach).alias("distance"))
-        fresh = checkpoint(step.join(reached, ["name", "dependency"], "left_anti"))
+        known = reached.select(F.col("name").alias("_name"), F.col("dependency").alias("_dependency"))
+        fresh = checkpoint(step.join(known, F.col("name").eqNullSafe(F.col("_name")) & F.col("dependency").eqNullSafe(F.col("_dependency")), "left_anti"))
         if fresh.isEmpty():
             return reached.select("name", "dependency")
         reached, reach = checkpoint(reached.union(fresh)), 2 * reach
 
 
+def _without_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links between classes of nodes that reach each other, and (node, root) of all nodes; None if each is a class of its own.
+
+    A round merges nodes that are at most four links apart in both directions, and so
+    shortens the cycles that are left. Rounds end when few nodes are merged: what is left
+    of cycles is met by the closure. Nodes that no link enters, or none leaves, are on no
+    cycle and are left out of the search.
+    """
+    members = None
+    while True:
+        inner = links.where("name != dependency")
+        inner = inner.join(inner.select("name").distinct().withColumnRenamed("name", "dependency"), "dependency", "left_semi")
+        inner = inner.join(links.where("name != dependency").select(F.col("dependency").alias("name")).distinct(), "name", "left_semi")
+        two = checkpoint(_walks(inner).distinct())
+        lower, one_way = F.least("name", "dependency").alias("root"), F.col("name") < F.col("dependency")
+        both = _walks(two).where("name != dependency").groupBy(F.greatest("name", "dependency").alias("node"), lower).agg(F.min(one_way).alias("_some"), F.max(one_way).alias("_all"))
+        moved = checkpoint(both.where("_some != _all").groupBy("node").agg(F.min("root").alias("root")))
+        n = moved.count()
+        if n == 0:
+            return links, members
+        moved = checkpoint(_renamed(moved, "root", moved))
+        if members is None:
+            members = links.select(F.col("name").alias("node")).union(links.select("dependency")).distinct().select("node", F.col("node").alias("root"))
+        members = checkpoint(_renamed(members, "root", moved))
+        links = checkpoint(_renamed(_renamed(links, "name", moved), "dependency", moved).distinct())
+        if 10 * n < links.count():
+            return links, members
+
+
+def _walks(pairs: DataFrame) -> DataFrame:
+    """Pairs, and those of two that follow each other; some several times."""
+    then = pairs.select(F.col("name").alias("dependency"), F.col("dependency").alias("_to"))
+    return pairs.select("name", "dependency").union(pairs.join(then, "dependency").select("name", "_to"))
+
+
+def _renamed(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
+    """``df`` with the roots of moved nodes in a column."""
+    to = moved.select(F.col("node").alias(column), F.col("root").alias("_new"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
+
+
 def invalid_references(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Per skill, its related names that are no skill, in order."""
     bad = edges.join(names.select(F.col("name").alias("ref")), "ref", "left_anti")

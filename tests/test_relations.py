@@ -257,6 +257,22 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len(rounds) / 2 <= 15
 
 
+def test_pairs_of_cycles_are_made_at_the_end(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"n{b}-{i}", f"n{b}-{j}") for b in range(3) for i in range(30) if i % 5 for j in ((i + 7) % 30, i * 3 % 30)] + [(f"n0-{rng.randrange(30)}", f"n1-{rng.randrange(30)}") for _ in range(3)]
+    edges += [(None, "n0-1"), ("n2-1", None), ("alone", "alone"), ("alone", "n2-2")]
+    rows, checkpoint = [], C.checkpoint
+    monkeypatch.setattr(C, "checkpoint", lambda df: (out := checkpoint(df), rows.append(out.count()))[0])
+    got = sorted(map(str, map(tuple, C.dependencies(spark.createDataFrame(edges, "name string, ref string")).collect())))
+    want = {(a, b) for a, b in closure([e for e in edges if None not in e])}
+    want |= {(None, "n0-1"), *((None, b) for a, b in want if a == "n0-1")} | {("n2-1", None), *((a, None) for a, b in want if b == "n2-1")}
+    assert got == sorted(map(str, want))
+    assert max(rows) < len(want) / 3
+    if hasattr(C, "CLASS_PART"):
+        monkeypatch.setattr(C, "CLASS_PART", 4)
+        assert sorted(map(str, map(tuple, C.dependencies(spark.createDataFrame(edges, "name string, ref string")).collect()))) == got
+
+
 def test_covering_of_several_skills(spark):
     rng = random.Random(3)
     sets = {f"c{i}": {"common", *rng.sample("abcdefghij", rng.randint(1, 4))} for i in range(60)}
