@@ -131,8 +131,8 @@ def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills under revision: a reply rewrites the description, and the steps of large parts only."""
-    s = skills_of(spark, sf_dir).join(view(spark, sf_dir, "skills").select("ord", "trigger_b"), "ord")
-    rows = s.select("skill_uid", "description", F.lit("").alias("when_to_use"), "procedure", F.array("trigger_b").alias("constraints"))
+    s = view(spark, sf_dir, "skills")
+    rows = s.select("skill_uid", "description", F.lit("").alias("when_to_use"), F.array("step_a", "step_b").alias("procedure"), F.array("trigger_b").alias("constraints"))
     large = F.regexp_extract(F.col("constraints")[0], r"size (\d+)", 1).cast("int") > 25
     fix = lambda bad: bad.withColumn("procedure", F.when(large, F.array(F.lit("The analyst reads it"))).otherwise(F.col("procedure"))).withColumn("description", F.lit("Reads."))
     return V.roll_up(V.revise_loop(rows, fix))

@@ -13,6 +13,7 @@ from lathe.operators import skill_merge as S
 from lathe.operators import verify as V
 from lathe.operators import replies
 from lathe.operators.calls import _tasks, call_model, run_episodes
+from lathe.plans import relation_queries
 from lathe.sources import tables as T
 from lathe.streaming import progress
 
@@ -196,6 +197,27 @@ def test_revisions_stop(spark):
     assert {r.skill_uid: r.is_valid for r in V.revise_loop(df, fix).collect()} == {"good": True, "bad": True, "hopeless": False}
 
 
+def test_revisions_are_dealt_over_tasks(spark, monkeypatch):
+    shape, busy, checkpoint = "skill_uid string, description string, when_to_use string, procedure array<string>, constraints array<string>", [], T.checkpoint
+
+    def counted(df):
+        out = checkpoint(df)
+        busy.append(out.select(F.spark_partition_id().alias("p")).distinct().count())
+        return out
+
+    monkeypatch.setattr(T, "checkpoint", counted)
+    df = spark.createDataFrame([(f"s{i}", "", "", ["hm"], []) for i in range(200)], shape).coalesce(1)
+    assert V.revise_loop(df, lambda bad: bad).count() == 200
+    assert len(busy) == 3 and min(busy) >= 4
+
+
+def test_revision_query_reads_parts_alone(spark, tmp_path):
+    source = "/root/testdata/sf0.001/part.parquet"
+    spark.read.parquet(source).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    row = relation_queries.QUERIES["v9_revise_loop"](spark, str(tmp_path)).first()
+    assert row.skills == spark.read.parquet(source).count() and row.valid + row.with_defects == row.skills
+
+
 EXAMPLE = "array<struct<title:string,input:string,process:string,output:string>>"
 
 
