@@ -75,3 +75,18 @@ def test_an_array_is_parsed_once_a_branch(spark, tmp_path):
     assert sorted(r.id for r in good.collect()) == [1, 2]
     assert sorted((r.file_path[-6:], r.reason) for r in bad.collect()) == [("a.json", "no object")]
     assert 1 <= parses(good) <= 3 and parses(bad) <= 5  # of the text, of an object as an array, of each row; and of the rows not taken
+
+
+def test_bad_lines_are_never_broadcast(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "x", "text": "cut of\n' * 8000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")  # under the 220 kB of the file, over what Spark takes its bad lines for
+    try:
+        bad = T.check_jsonl(spark, str(tmp_path), SCHEMA, ["id"])[1]
+        rows = bad.select("line", "reason")
+        assert "BuildLeft" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert [r.line for r in rows.where("reason = 'no JSON'").orderBy("line").collect()] == list(range(1, 8001))
+        assert "BuildLeft" not in rows._jdf.queryExecution().executedPlan().toString()
+        plain = bad.select("value", "reason")
+        assert plain.count() == 8000 and "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
